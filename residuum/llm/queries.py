@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import mixing, sharding, simhash, token_output
+from residuum.llm import mixing, quality_rules, sharding, simhash, token_output
 from residuum.llm.common import documents, new_path, stash
 
 
@@ -42,14 +42,46 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    more = [r for r in quality_rules.rules(F.col("text")) if r.name not in ("few_words", "repeated_windows")]  # those two are the base
+    cascade = quality_rules.cheapest_first(docs, "text", more)
+    measured = quality_rules.measure(docs).withColumn("base_failed", base_failed)
+    kept = F.when(F.col("base_failed"), False).otherwise(quality_rules.rejected_by(cascade).isNull())
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_shard": op8_shard,
     "op9_token_output": op9_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (
+  SELECT rid, i, w[i : i + 4] AS five FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM worded WHERE len(w) >= 5)),
+twice AS (SELECT rid, unnest(list(i)) AS i FROM windows GROUP BY rid, five HAVING count(*) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY rid),
+measured AS (
+  SELECT d.*, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         length(regexp_replace(t, '\P{L}+', '', 'g')) AS letters, length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS upper_,
+         length(regexp_replace(t, '[^!]+', '', 'g')) AS bangs, coalesce(c.n, 0) AS n_repeat_words
+  FROM worded d LEFT JOIN covered c ON d.rid = c.rid),
+based AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * len(lines) OR 2 * upper_ > letters OR 2 * bangs > n_words
+         OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * letters < 3 * word_chars) AS kept
+FROM based
+""",
     "op7_mix_sources": """
 WITH sized AS (
   SELECT doc_id AS id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
