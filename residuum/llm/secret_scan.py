@@ -118,7 +118,7 @@ def tested(s: Column, match: float, swap: float) -> Column:
         weight = F.when(n < least, w).otherwise(weight)
     uniform = chi <= (size - 1) + 4 * F.sqrt(2 * (size - 1))
     z = (z_chi + z_runs + z_serial) / F.sqrt(F.lit(3.0))
-    return F.when(uniform, F.greatest(F.lit(0), F.floor(_z_to_tenths(z) + BIN * F.log10(weight)).cast("int"))).otherwise(-1)
+    return F.when(uniform, F.greatest(F.lit(0), F.floor(let(z, _z_to_tenths) + BIN * F.log10(weight)).cast("int"))).otherwise(-1)
 
 
 def _tokens(text: Column) -> Column:
@@ -144,7 +144,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def discovered(spans: Column) -> Column:
         token = lambda x: F.substr(text, (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int"))
-        return F.filter(spans, lambda x: tested(statistics(token(x)), match, swap) >= cut)
+        return F.filter(spans, lambda x: let(token(x), lambda t: let(statistics(t), lambda s: tested(s, match, swap) >= cut)))
 
     more = let(spans_of(text, CANDIDATE, len(BASE)), discovered)
     return docs.withColumn("spans", F.array_sort(F.concat(*base_spans(text), more)))
