@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import mixing, quality_rules, secret_scan, sharding, simhash, token_output
+from residuum.llm import chat, mixing, quality_rules, secret_scan, sharding, simhash, token_output
 from residuum.llm.common import documents, new_path, stash
 
 
@@ -60,7 +60,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
+    read = chat.read_windows(chat.format_windows(turns))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    window = F.struct("window", told.alias("told"), F.array_join("learnt", "").alias("learnt"))
+    # the digest is of whole conversations, so here, unlike in the operator, each is put together
+    whole = read.groupBy("conv").agg(F.array_sort(F.collect_list(window)).alias("w"), F.sum(F.size("turns")).alias("n_turns"), F.sum(F.length("formatted")).alias("formatted_chars"))
+    told, learnt = F.array_join("w.told", ""), F.array_join("w.learnt", "")
+    return whole.select(F.col("conv").alias("conv_id"), "n_turns", F.sha2(told, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_windows": op2_chat_windows,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
@@ -70,6 +84,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_windows": r"""
+WITH turns AS (
+  SELECT conv_id AS conv, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS pos,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 3 AS tokens FROM turns),
+marked AS (SELECT *, pos = 1 AND role = 'system' AS sys FROM placed),
+summed AS (
+  SELECT *, sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER w AS upto,
+         greatest(1, 512 - 128 - coalesce(max(CASE WHEN sys THEN tokens END) OVER w, 0)) AS room
+  FROM marked WINDOW w AS (PARTITION BY conv ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+spanned AS (
+  SELECT *, CASE WHEN sys THEN upto ELSE upto - tokens END AS since FROM summed),
+keyed AS (
+  SELECT *, CASE WHEN NOT sys THEN 2 * (since // room) + CASE WHEN since // room < (upto - 1) // room THEN 1 ELSE 0 END END AS span,
+         8 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '[<\[]\\*(\|(turn|end)\|>|/?s>|/?INST\])')) + 7 AS chars FROM spanned),
+spans AS (SELECT conv, span, min(since) AS begin_ FROM keyed WHERE NOT sys GROUP BY conv, span),
+shown AS (
+  SELECT conv, chars FROM keyed WHERE NOT sys
+  UNION ALL SELECT k.conv, k.chars FROM keyed k JOIN spans s ON k.conv = s.conv AND NOT k.sys AND k.upto <= s.begin_ AND s.begin_ - k.since <= 128
+  UNION ALL SELECT k.conv, k.chars FROM keyed k LEFT JOIN spans s ON k.conv = s.conv WHERE k.sys),
+size_ AS (SELECT conv, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv),
+told AS (
+  SELECT conv, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS told,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '') AS learnt FROM keyed GROUP BY conv)
+SELECT t.conv AS conv_id, n_turns, sha256(told) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
+FROM told t JOIN size_ s ON t.conv = s.conv
+""",
     "op5_quality_rules": r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
