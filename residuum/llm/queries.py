@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import chat, mixing, quality_rules, secret_scan, sharding, simhash, token_output
+from residuum.llm import chat, langid, mixing, quality_rules, secret_scan, sharding, simhash, token_output
 from residuum.llm.common import documents, new_path, stash
 
 
@@ -73,10 +73,22 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(F.col("conv").alias("conv_id"), "n_turns", F.sha2(told, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def held_out(doc_id) -> F.col:
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id")), F.col("text"), F.col("lang"), F.col("doc_id"))
+    found = langid.predict(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_windows": op2_chat_windows,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
     "op8_shard": op8_shard,
     "op9_token_output": op9_token_output,
