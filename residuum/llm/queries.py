@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import chat, langid, mixing, quality_rules, secret_scan, sharding, simhash, token_output
+from residuum.llm import chat, decontam, langid, mixing, quality_rules, secret_scan, sharding, simhash, token_output
 from residuum.llm.common import documents, new_path, stash
 
 
@@ -84,7 +84,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_chat_windows": op2_chat_windows,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
