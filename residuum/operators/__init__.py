@@ -1 +1 @@
-"""operators of the engine."""
+"""Operators on DataFrames: windows, spatial joins, curation, search, transfer, evaluation, learning."""
