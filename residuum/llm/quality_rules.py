@@ -11,12 +11,13 @@ gives an empty result in the given order of rules. Extra columns pass through.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import SPACE_CHARS, WORD, let, stash
+from residuum.llm.common import SPACES, WORD, let, stash
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -28,8 +29,9 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def count_chars(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def left_of(text: Column, removed: str) -> Column:
+    """Characters left when what the pattern matches is taken out."""
+    return F.length(F.regexp_replace(text, removed, ""))
 
 
 def words(text: Column) -> Column:
@@ -75,77 +77,85 @@ def duplicate_lines(kept_lines: Column) -> Column:
     return let(kept_lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+def facts(text: Column) -> Column:
+    """What several rules need: the words, the code points in them, the letters."""
+    return F.struct(words(text).alias("words"), left_of(text, SPACES).alias("word_chars"), (F.length(text) - left_of(text, r"\p{L}+")).alias("letters"))
+
+
+def symbols(text: Column) -> Column:
+    return left_of(text, f"[^{SYMBOLS}]+")
+
+
 @dataclass(frozen=True)
 class Rule:
+    """``rejects(text, facts)``: a condition on the whole text."""
+
     name: str
-    rejects: Column
-
-
-def rules(text: Column) -> list[Rule]:
-    """Conditions on the whole text that reject it. Thresholds are parameters of the corpus, in whole percents or ratios."""
-    text = whole(text)
-    n_words = F.regexp_count(text, F.lit(WORD))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    in_words = F.length(F.translate(text, SPACE_CHARS, ""))
-    return [
-        Rule("few_words", n_words < 10),
-        Rule("repeated_windows", let(words(text), lambda w: 100 * repeated_words(w) > 20 * F.size(w))),
-        Rule("symbols", 10 * count_chars(text, SYMBOLS) > n_words),
-        Rule("duplicate_lines", let(lines(text), lambda x: 100 * duplicate_lines(x) > 40 * F.size(x))),
-        Rule("shouting", 2 * F.regexp_count(text, F.lit(r"\p{Lu}")) > letters),
-        Rule("exclaiming", 2 * count_chars(text, "!") > n_words),
-        Rule("word_length", (in_words < 2 * n_words) | (in_words > 15 * n_words)),
-        Rule("few_letters", 10 * letters < 3 * in_words),
-    ]
-
-
-def cheapest_first(docs: DataFrame, text_col: str, cascade: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    rejects: Callable[[Column, Column], Column]
+
+
+#: Thresholds are parameters of the corpus, in whole percents or ratios.
+RULES = (
+    Rule("few_words", lambda t, f: F.size(f["words"]) < 10),
+    Rule("repeated_windows", lambda t, f: 100 * repeated_words(f["words"]) > 20 * F.size(f["words"])),
+    Rule("symbols", lambda t, f: 10 * symbols(t) > F.size(f["words"])),
+    Rule("duplicate_lines", lambda t, f: let(lines(t), lambda x: 100 * duplicate_lines(x) > 40 * F.size(x))),
+    Rule("shouting", lambda t, f: 2 * F.regexp_count(t, F.lit(r"\p{Lu}")) > f["letters"]),
+    Rule("exclaiming", lambda t, f: 2 * (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))) > F.size(f["words"])),
+    Rule("word_length", lambda t, f: (f["word_chars"] < 2 * F.size(f["words"])) | (f["word_chars"] > 15 * F.size(f["words"]))),
+    Rule("few_letters", lambda t, f: 10 * f["letters"] < 3 * f["word_chars"]),
+)
+
+
+def cheapest_first(docs: DataFrame, text_col: str, cascade: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a sample of whole texts."""
     total = docs.count()
     if not total:
-        return cascade
-    sample = stash(docs.select(text_col).sample(min(1.0, 1.2 * sample_rows / total), seed=5).limit(sample_rows), "quality-sample")
+        return list(cascade)
+    sample = docs.select(F.col(text_col).alias("text")).sample(min(1.0, 1.2 * sample_rows / total), seed=5).limit(sample_rows)
+    text = whole(F.col("text"))
+    sample = stash(sample.select(text.alias("text"), facts(text).alias("facts")), "quality-sample")
 
     def seconds(of: Column) -> tuple[float, int]:
         began = time.perf_counter()
         n = sample.agg(F.count_if(of)).first()[0]
         return time.perf_counter() - began, n
 
-    base = min(seconds(F.length(text_col) < 0)[0] for _ in range(2))
+    base = min(seconds(F.length("text") < 0)[0] for _ in range(2))
     gain = {}
     for rule in cascade:
-        took, n = seconds(rule.rejects)
+        took, n = seconds(rule.rejects(F.col("text"), F.col("facts")))
         gain[rule.name] = n / max(took - base, 1e-3)
     return sorted(cascade, key=lambda r: -gain[r.name])
 
 
-def rejected_by(cascade: list[Rule]) -> Column:
-    """Name of the first rule that rejects, else null; later rules aren't evaluated."""
-    first, *rest = cascade
-    out = F.when(first.rejects, first.name)
-    for rule in rest:
-        out = out.when(rule.rejects, rule.name)
+def rejected_by(cascade: Sequence[Rule], text: Column, known: Column) -> Column:
+    """Name of the first rule that rejects, else null; later rules aren't evaluated. ``known``: the text's facts."""
+    out = F.when(F.lit(False), "")
+    for rule in cascade:
+        out = out.when(rule.rejects(text, known), rule.name)
     return out
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    text = whole(F.col(text_col))
-    counts = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
-    return docs.withColumn("__counts", counts).withColumns({
-        "n_words": F.col("__counts.n_words"),
-        "word_chars": F.length(F.translate(text, SPACE_CHARS, "")).cast("long"),
-        "n_symbols": count_chars(text, SYMBOLS).cast("long"),
-        "n_dup_lines": duplicate_lines(lines(text)).cast("long"),
-        "n_repeat_words": F.col("__counts.n_repeat_words"),
-    }).drop("__counts")
-
-
-def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", cascade: Sequence[Rule] | None = None) -> DataFrame:
     """``docs`` with ``rejected_by``: the rule that rejects the document, null if it is kept."""
-    return docs.withColumn("rejected_by", rejected_by(cheapest_first(docs, text_col, rules(F.col(text_col)))))
+    cascade = cheapest_first(docs, text_col) if cascade is None else cascade
+    text = whole(F.col(text_col))
+    return docs.withColumn("rejected_by", let(facts(text), lambda f: rejected_by(cascade, text, f)))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that a rule rejects."""
-    return docs.filter(rejected_by(cheapest_first(docs, text_col, rules(F.col(text_col)))).isNull())
+    text, cascade = whole(F.col(text_col)), cheapest_first(docs, text_col)
+    return docs.filter(let(facts(text), lambda f: rejected_by(cascade, text, f)).isNull())
+
+
+def measure(docs: DataFrame, text_col: str = "text", cascade: Sequence[Rule] = ()) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and, by ``cascade``, rejected_by."""
+    text = whole(F.col(text_col))
+
+    def of(f: Column) -> Column:
+        counts = {"n_words": F.size(f["words"]), "word_chars": f["word_chars"], "n_symbols": symbols(text), "n_dup_lines": duplicate_lines(lines(text)), "n_repeat_words": repeated_words(f["words"])}
+        return F.struct(*[c.cast("long").alias(k) for k, c in counts.items()], rejected_by(cascade, text, f).alias("rejected_by"))
+
+    return docs.withColumn("__facts", let(facts(text), of)).select(*[f"`{c}`" for c in docs.columns], "__facts.*")
