@@ -100,11 +100,11 @@ def train(x: np.ndarray, labels: list[str]) -> Model:
     return Model(languages, table, bias, temperature, float(np.quantile(right, 1 - PASS_RATE)) if len(right) else 1.0)
 
 
-def fit(labelled: DataFrame, text: Column, lang: Column, row: Column, most_rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most about ``most_rows`` rows with a language and a letter, chosen by a hash of ``row``."""
-    rows = labelled.select(text.alias("text"), lang.alias("lang"), F.pmod(F.xxhash64(row, F.lit(SEED)), F.lit(1_000_000)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+def fit(labelled: DataFrame, text: Column, lang: Column, most_rows: int = TRAIN_ROWS) -> Model:
+    """Train on at most about ``most_rows`` texts with a language and a letter, chosen by a hash of the text; copies count once."""
+    rows = labelled.select(text.alias("text"), lang.alias("lang"), F.pmod(F.xxhash64(text, F.lit(SEED)), F.lit(1_000_000)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     total = rows.select("lang").count()
-    sample = rows.filter(F.col("h") < int(1_000_000 * min(1.0, most_rows / max(1, total)))).select("text", "lang")
+    sample = rows.filter(F.col("h") < int(1_000_000 * min(1.0, most_rows / max(1, total)))).select("text", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

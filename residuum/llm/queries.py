@@ -78,7 +78,7 @@ def held_out(doc_id) -> F.col:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = langid.fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id")), F.col("text"), F.col("lang"), F.col("doc_id"))
+    model = langid.fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id")), F.col("text"), F.col("lang"))
     found = langid.predict(docs, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
