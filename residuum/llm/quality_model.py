@@ -81,13 +81,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression (Adam on all rows)."""
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.3, prior: float = 0.03) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression (Adam on all rows); ``prior`` shrinks the weights, less so with more rows."""
     w = np.zeros(x.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         off = _sigmoid(x @ w[:-1] + w[-1]) - y
-        g = np.append(x.T @ off / len(y) + decay * w[:-1], off.mean())
+        g = np.append(x.T @ off / len(y) + prior / len(y) * w[:-1], off.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -169,14 +169,16 @@ def fit(docs: DataFrame, addresses: DataFrame, labels: DataFrame, labelled: int
     """Co-train on bounded samples; ``docs``: id, lang, source, text; ``labels``: id, good."""
     labels = labels.groupBy("id").agg((F.avg("good") >= 0.5).cast("int").alias("good"))
     place = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000))
-    share = min(0.5, labelled / max(1, labels.count()))
-    more = min(0.5, unlabelled / max(1, docs.count()))
+    share = min(1.0, labelled / max(1, labels.count()))
+    more = min(1.0, unlabelled / max(1, docs.count()))
     told = labels.filter(place < int(1_000_000 * share))  # at most about ``labelled`` rows
     known = docs.join(F.broadcast(told), "id").drop("good")
-    other = docs.filter((place >= int(1_000_000 * (1 - more))))
+    docs = docs.filter("id IS NOT NULL")
+    other = docs.filter(place >= int(1_000_000 * (1 - more))).join(F.broadcast(told), "id", "left_anti")
     rows = _seen(known.unionByName(other), lambda t: content(t).astype("<f2").tobytes(), "binary")
+    rows = rows.groupBy("id").agg(F.min(F.struct("of", "lang", "source", "n_chars", "n_lines")).alias("row")).select("id", "row.*")  # one row an id, however often it is there
     rows = rows.join(told, "id", "left").join(addresses, rows["id"] == addresses["page"], "left").select(rows["*"], "good", "url").collect()  # both samples
-    rows.sort(key=lambda r: (r["id"], bytes(r["of"])))
+    rows.sort(key=lambda r: r["id"])
     views = np.stack([np.frombuffer(r["of"], "<f2") for r in rows]).astype(np.float64) if rows else np.zeros((0, CONTENT)), np.stack([metadata(r["lang"], r["source"], r["url"], r["n_chars"], r["n_lines"]) for r in rows]).astype(np.float64) if rows else np.zeros((0, META))
     good = np.array([-1 if r["good"] is None else r["good"] for r in rows], np.int64)
     own = good >= 0
