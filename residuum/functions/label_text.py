@@ -45,11 +45,11 @@ def nearest_number(line: Column, keyword: str, default: float) -> Column:
     numbers = F.concat(decimals, wholes)
     at = F.instr(line, keyword)
     away = F.transform(numbers, lambda n, i: F.struct(F.abs(F.position(n, line) - at).alias("away"), i.alias("i"), n.alias("n")))
-    best = F.array_min(away)["n"].cast("double")
+    best = F.array_min(away)["n"].try_cast("double")
     return F.when(at > 0, F.coalesce(best, F.lit(default))).otherwise(default)
 
 
 def resolution(line: Column) -> Column:
     """Resolution in angstroms of a header line, null if it states none."""
     found = F.regexp_extract(line, r"RESOLUTION\..*?(\d+\.\d+) *ANGSTROMS\.", 1)
-    return F.when(found != "", found).cast("double")
+    return found.try_cast("double")

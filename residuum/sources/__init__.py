@@ -1 +1 @@
-"""sources of the engine."""
+"""Readers and writers: structure files, label tables, search reports, tables of many files."""

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Continuous evaluation: an extra, as the studied work has no streams."""
