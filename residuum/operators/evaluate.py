@@ -12,9 +12,10 @@ def errors(df: DataFrame, pred: Column, real: Column, groups: Sequence[str | Col
     """Per group: n, rmse, least and largest absolute error, Pearson r; rows with a missing side do not count."""
     both = df.withColumn("__p", pred).withColumn("__r", real).filter("__p IS NOT NULL AND __r IS NOT NULL")
     diff = F.col("__p") - F.col("__r")
+    r = F.try_divide(F.covar_pop("__p", "__r"), F.stddev_pop("__p") * F.stddev_pop("__r"))  # null where a side is constant
     return both.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(diff * diff)).alias("rmse"),
-        F.min(F.abs(diff)).alias("min_abs"), F.max(F.abs(diff)).alias("max_abs"), F.corr("__p", "__r").alias("r"),
+        F.min(F.abs(diff)).alias("min_abs"), F.max(F.abs(diff)).alias("max_abs"), r.alias("r"),
     )
 
 
