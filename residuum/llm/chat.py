@@ -17,10 +17,10 @@ over budget and whole. Only a system turn: one window. Empty table: empty result
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import n_words
+from residuum.llm.common import n_words, running_total
 
 BUDGET = 512
 HISTORY = 128
@@ -47,15 +47,22 @@ def unescape_role(role: Column) -> Column:
 
 
 def _spans(turns: DataFrame, budget: int, history: int, tokens: Column) -> DataFrame:
-    """``conv, pos, role, text, system, from, to`` (prefix sums without the system turn) and ``span``."""
-    so_far = Window.partitionBy("conv").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = turns.withColumn("pos", F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "text")))
-    rows = rows.withColumn("tokens", tokens).withColumn("system", (F.col("pos") == 1) & (F.col("role") == "system"))
-    rows = rows.withColumn("to", F.sum(F.when(F.col("system"), 0).otherwise(F.col("tokens"))).over(so_far))
-    rows = rows.withColumn("room", F.greatest(F.lit(1), budget - history - F.coalesce(F.max(F.when(F.col("system"), F.col("tokens"))).over(so_far), F.lit(0))))
+    """``conv, pos, role, text, system, from, to`` (prefix sums without the system turn) and ``span``.
+
+    Sums run over all turns of all conversations at once, less what comes before the conversation, so that a conversation of
+    any length is spread over tasks. A turn has a token at least, so its sum is its place as well.
+    """
+    rows = running_total(turns.withColumn("tokens", tokens), [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"], "tokens", "pos", "chat-turns")
+    first = rows.groupBy("conv").agg(F.min(F.struct("pos", "role", "tokens")).alias("first")).select(F.col("conv").alias("c"), "first")
+    rows = rows.join(first, rows["conv"].eqNullSafe(first["c"]))
+    opens = F.col("first.role") == "system"
+    rows = rows.withColumn("system", opens & (F.col("pos") == F.col("first.pos")))
+    before = F.col("first.pos") - F.when(opens, 0).otherwise(F.col("first.tokens"))
+    rows = rows.withColumn("to", F.col("pos") - before)
+    rows = rows.withColumn("room", F.greatest(F.lit(1), budget - history - F.when(opens, F.col("first.tokens")).otherwise(0)))
     rows = rows.withColumn("from", F.when(F.col("system"), F.col("to")).otherwise(F.col("to") - F.col("tokens")))
     first, last = F.floor(F.col("from") / F.col("room")), F.floor((F.col("to") - 1) / F.col("room"))
-    return rows.withColumn("span", F.when(~F.col("system"), 2 * first + F.when(first < last, 1).otherwise(0))).drop("turn", "tokens", "room")
+    return rows.withColumn("span", F.when(~F.col("system"), 2 * first + F.when(first < last, 1).otherwise(0))).drop("turn", "tokens", "room", "first", "c")
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Column | None = None, names: tuple[str, str, str, str] = ("conv_id", "turn", "role", "text")) -> DataFrame:
