@@ -229,5 +229,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each group; rows without an id stay, as nothing names them."""
     keep = near_duplicates(docs, id_col, text_col, shingle, k).filter("id = component").select(F.col("id").alias("__keep")).distinct()
     named = docs.filter(F.col(id_col).isNotNull())
-    one = named.join(keep, named[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
+    one = named.join(keep, named[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col, text_col])
     return one.unionByName(docs.filter(F.col(id_col).isNull()))
