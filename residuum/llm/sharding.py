@@ -59,7 +59,7 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED,
     rows = rows.drop("shard", "slot")
     total = rows.count()
     parts = max(1, min(MOST_PARTITIONS, -(-total // rows_a_task)))
-    blocks = max(1, -(-total // (shards * rows_a_task)))
+    blocks = max(1, min(MOST_PARTITIONS // shards, -(-total // (shards * rows_a_task))))
     names = rows.columns
     hashed = rows.select("*", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names]).alias("__r"))
     hashed = hashed.withColumn("__p", F.pmod(F.xxhash64("__r", F.lit(1)), F.lit(parts)).cast("int"))
@@ -76,4 +76,5 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED,
     filled = sent.groupBy("shard", "__b").agg(F.count(F.lit(1)).alias("__n"))
     first = filled.select("shard", "__b", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
     slot = F.col("__first") + F.row_number().over(Window.partitionBy("shard", "__b").orderBy("__q", "__r", "__k")) - 1
+    # both tables have at most MOST_PARTITIONS rows
     return sent.join(F.broadcast(first), ["shard", "__b"]).select(*[F.col(f"`{c}`") for c in names], "shard", slot.cast("long").alias("slot"))
