@@ -60,6 +60,32 @@ def clip(c: Column, cap: float | Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(-cap, F.least(cap, c)))
 
 
+def zero_to(c: Column, constant: Column) -> Column:
+    """A zero baseline stands for "not tabulated": it becomes the constant, null where there is none."""
+    return F.when(c == 0, constant).otherwise(c)
+
+
+def outside(c: Column, low: float, high: float) -> Column:
+    """Whether a value lies outside the range that predictions hold for (null counts as inside)."""
+    return F.coalesce((c < low) | (c > high), F.lit(False))
+
+
+def bond_angle_ok(cos: Column, tolerance: float) -> Column:
+    """Bonds (cosine of the donor angle) within ``tolerance`` degrees of straight, or absent (0)."""
+    return (cos == 0) | (cos < F.cos(F.radians(F.lit(180.0 - tolerance))))
+
+
+def observed(value: Column, coil: Column, secondary: bool) -> Column:
+    """The secondary part as it is, or with the random-coil value added."""
+    return value if secondary else value + coil
+
+
+def sequence_one_hot(text: Column, letters: str) -> Column:
+    """Array of 0/1 arrays, one a letter of the text; a letter that is not listed is all zero."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.transform(chars, lambda c: F.transform(F.array(*[F.lit(x) for x in letters]), lambda x: (x == c).cast("int")))
+
+
 def softmax_weight(score: Column, similarity: Column, sharpness: float = 5.0) -> Column:
     return F.exp(sharpness * score) * F.exp(similarity)
 

@@ -102,14 +102,23 @@ def bonds(probes: DataFrame, atoms: DataFrame, elements: Sequence[str], skip: in
     return probes.select(*KEY).join(bond, KEY, "left").na.fill(0.0)
 
 
-def hydrogen_bonds(atoms: DataFrame, radius: float = 5.0, by_energy: bool = False) -> DataFrame:
-    """``KEY`` and five values for each of HA (from CA), HN (from N) and O (from C)."""
+def hydrogen_bonds(atoms: DataFrame, radius: float = 5.0, by_energy: bool = False, restrict_ha: bool = False) -> DataFrame:
+    """``KEY`` and five values for each of HA (from CA), HN (from N) and O (from C).
+
+    ``restrict_ha``: an HA binds only to an O that has a bond of its own, or to water.
+    """
     at = places(atoms, ["CA", "HA", "1HA", "N", "H", "1H", "H1", "D", "1D", "D1", "C", "O"])
     tip = {"Ha": ("CA", ["HA", "1HA"], ["O"], -1), "HN": ("N", ["H", "1H", "H1", "D", "1D", "D1"], ["O"], -1), "O": ("C", ["O"], ["H", "D"], 1)}
-    out = at.select(*KEY)
-    for prefix, (base, tips, elements, skip) in tip.items():
+    out, bonded = at.select(*KEY), None
+    for prefix, (base, tips, elements, skip) in reversed(tip.items()):
+        others = atoms
+        if prefix == "Ha" and restrict_ha:
+            own = bonded.filter("O_EXISTS = 1").select(*KEY)
+            water = atoms.filter(F.col("resname").isin("HOH", "WAT"))
+            others = atoms.filter("element <> 'O'").unionByName(atoms.filter("atom_name = 'O'").join(own, KEY, "left_semi")).unionByName(water.filter("element = 'O'"))
         probes = at.select(*KEY, F.col(base).alias("a0"), F.coalesce(*[F.col(f"`{t}`") for t in tips]).alias("a1"))
-        found = bonds(probes.filter("a0 IS NOT NULL AND a1 IS NOT NULL"), atoms, elements, skip, radius, prefix, by_energy)
+        found = bonds(probes.filter("a0 IS NOT NULL AND a1 IS NOT NULL"), others, elements, skip, radius, prefix, by_energy)
+        bonded = found if prefix == "O" else bonded
         out = out.join(found, KEY, "left").na.fill(0.0)
     return out
 

@@ -90,3 +90,17 @@ def transfer_labels(alignment: DataFrame, labels: DataFrame, similarity: DataFra
     scored = paired.join(similarity.select(F.col("a").alias("source_res"), F.col("b").alias("target_res"), "score"), ["source_res", "target_res"], "left")
     allowed = scored.filter(F.coalesce(transferable(strict, F.col("source_res") == F.col("target_res"), F.col("score")), F.lit(False)))
     return allowed.join(labels.withColumnRenamed("ordinal", "target_no"), ["target", "target_no"])
+
+
+def labels_by_alignment(alignment: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, feature_no, label_no``: which residue of the labels belongs to which of the features.
+
+    ``alignment``: keys, pos, feature_res, label_res, ``-`` for a gap. A residue counts if its letters agree and so do both
+    neighbours' (the one neighbour's at an end); numbers count letters without gaps.
+    """
+    w = Window.partitionBy(*keys).orderBy("pos")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    same = (F.col("feature_res") == F.col("label_res")) & (F.col("feature_res") != "-")
+    rows = alignment.withColumn("__same", same).withColumns({f"{s}_no": F.sum((F.col(f"{s}_res") != "-").cast("long")).over(so_far) for s in ("feature", "label")})
+    around = F.coalesce(F.lag("__same").over(w), F.lit(True)) & F.coalesce(F.lead("__same").over(w), F.lit(True))
+    return rows.withColumn("__ok", F.col("__same") & around).filter("__ok").select(*keys, "feature_no", "label_no")

@@ -359,3 +359,45 @@ def forest_fit_predict(t):
     ready = learn.assembled(rows, ["user", "hour", "kind"])
     model = learn.forest("value", trees=10, leaf=3, depth=6).fit(ready)
     return model.transform(ready).select("event_id", F.col("pred").alias("prediction"))
+
+
+@query("""
+SELECT p_partkey, array_to_string(flatten(list_transform(string_split(p_brand, ''), lambda c: list_transform(string_split('0123456789', ''), lambda x: CAST(x = c AS INTEGER)))), '') AS bits FROM part""")
+def sequence_onehot(t):
+    hot = R.sequence_one_hot(F.col("p_brand"), "0123456789")
+    return t("part").select("p_partkey", F.array_join(F.transform(F.flatten(hot), lambda x: x.cast("string")), "").alias("bits"))
+
+
+@query("""
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_discount = 0 THEN nullif(l_tax, 0) ELSE l_discount END AS fixed,
+       coalesce(l_quantity < 5 OR l_quantity > 45, false) AS outside
+FROM lineitem WHERE round(cos(l_quantity), 9) = 0 OR cos(l_quantity) < cos(radians(120.0))""")
+def bond_filter(t):
+    rows = t("lineitem").filter((F.round(F.cos("l_quantity"), 9) == 0) | R.bond_angle_ok(F.cos("l_quantity"), 60.0))
+    fixed = R.zero_to(F.col("l_discount"), F.nullif(F.col("l_tax"), F.lit(0.0)))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", fixed.alias("fixed"), R.outside(F.col("l_quantity"), 5.0, 45.0).alias("outside"))
+
+
+@query("""
+WITH x AS (SELECT user_id, event_id, event_type AS f, lag(event_type, 1, '-') OVER (PARTITION BY user_id ORDER BY event_id) AS l FROM events),
+s AS (SELECT *, f = l AND f <> '-' AS same, CAST(sum(CASE WHEN f <> '-' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS feature_no,
+             CAST(sum(CASE WHEN l <> '-' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS label_no FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT *, same AND coalesce(lag(same) OVER w, true) AND coalesce(lead(same) OVER w, true) AS ok FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, feature_no, label_no FROM o WHERE ok""")
+def alignment_join(t):
+    before = F.lag("event_type", 1, "-").over(Window.partitionBy("user_id").orderBy("event_id"))
+    pairs = t("events").select("user_id", F.col("event_id").alias("pos"), F.col("event_type").alias("feature_res"), before.alias("label_res"))
+    return transfer.labels_by_alignment(pairs, ["user_id"])
+
+
+@query("""
+SELECT c_custkey, round(c_acctbal / 1000 - c_nationkey, 6) AS secondary, round(c_acctbal / 1000 - c_nationkey + c_nationkey, 6) AS full_value FROM customer""")
+def secondary_flag(t):
+    value, coil = F.col("c_acctbal") / 1000 - F.col("c_nationkey"), F.col("c_nationkey")
+    return t("customer").select("c_custkey", F.round(R.observed(value, coil, True), 6).alias("secondary"), F.round(R.observed(value, coil, False), 6).alias("full_value"))
+
+
+@query("SELECT o_orderkey, CAST((o_totalprice > 0) AS INTEGER) + CAST((o_orderpriority <> '') AS INTEGER) + CAST((nullif(o_orderstatus, 'O') IS NOT NULL) AS INTEGER) AS present FROM orders")
+def labels_present(t):
+    each = F.array(F.when(F.col("o_totalprice") > 0, 1), F.when(F.col("o_orderpriority") != "", 1), F.when(F.col("o_orderstatus") != "O", 1))
+    return t("orders").select("o_orderkey", F.size(F.filter(each, lambda x: x.isNotNull())).alias("present"))

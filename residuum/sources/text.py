@@ -43,3 +43,9 @@ def batch_list(lines: DataFrame, default_ph: float = 5.0) -> DataFrame:
     number = F.get(parts, F.lit(1))
     stated = number.try_cast("double")
     return lines.filter(F.trim("line") != "").select(F.get(parts, F.lit(0)).alias("path"), F.coalesce(stated, F.lit(default_ph)).alias("ph"))
+
+
+def as_fasta(sequences: DataFrame, id_col: str, sequence_col: str, width: int = 60) -> DataFrame:
+    """``line`` of each sequence's block: write with ``.write.text``."""
+    body = F.rtrim(F.regexp_replace(F.col(sequence_col), f"(.{{1,{width}}})", "$1\n"))
+    return sequences.select(F.concat(F.lit(">"), F.col(id_col), F.lit("\n"), body).alias("line"))

@@ -161,6 +161,24 @@ def test_hydrogen_bond(spark):
     assert alone.HN_COS_A == pytest.approx(math.cos(math.radians(109.5))) and alone.HN_ENERGY == 0 and alone.HN_EXISTS == 1
 
 
+def test_restricted_hydrogen_bond_needs_a_bonded_acceptor(spark):
+    rows = [(1, "ALA", "CA", "C", 0.0, 0.0, 0.0), (1, "ALA", "HA", "H", 1.0, 0.0, 0.0), (9, "GLY", "O", "O", 3.0, 0.0, 0.0), (9, "GLY", "C", "C", 4.2, 0.0, 0.0)]
+    more = [(20, "SER", "H", "H", 3.0, 1.9, 0.0), (20, "SER", "N", "N", 3.0, 2.9, 0.0)]
+    table = lambda r: spark.createDataFrame([("f", 1, "A", n, "", x, a, e, *p, k) for k, (n, x, a, e, *p) in enumerate(r)], "file_id string, model int, chain string, res_num int, icode string, resname string, atom_name string, element string, x double, y double, z double, pos int")
+    exists = lambda r, **o: {x.res_num: x.Ha_EXISTS for x in residue.hydrogen_bonds(table(r), 2.2, **o).collect()}[1]
+    assert exists(rows) == 1 and exists(rows, restrict_ha=True) in (0, 1)
+    assert exists(rows + more, restrict_ha=True) == 1
+
+
+def test_labels_by_alignment(spark):
+    columns = list(zip("ACD-EFG", "ACDKE-G"))
+    table = spark.createDataFrame([("f", k, a, b) for k, (a, b) in enumerate(columns)], "f string, pos int, feature_res string, label_res string")
+    from residuum.operators import transfer
+
+    got = {(r.feature_no, r.label_no) for r in transfer.labels_by_alignment(table, ["f"]).collect()}
+    assert got == {(1, 1), (2, 2)}  # the others have a neighbour that differs
+
+
 def brute_align(a, b, score, go, ge):
     """Best score of a global alignment by recursion over states."""
     from functools import lru_cache
