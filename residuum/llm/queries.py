@@ -186,5 +186,52 @@ taken AS (SELECT id, source, size, count(*) AS epochs FROM queue WHERE total <=
 SELECT j.id AS doc_id, j.size, j.source_size, j.target, CAST(j.size * coalesce(t.epochs, 0) AS BIGINT) AS taken
 FROM joined j LEFT JOIN taken t ON j.id IS NOT DISTINCT FROM t.id AND j.source IS NOT DISTINCT FROM t.source AND j.size = t.size,
      LATERAL (SELECT unnest(range(j.repeats)) AS k)
+""",
+    "op10_secret_scan": r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT rid, 0 AS kind, 12 AS least_, string_split_regex(t, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS gaps,
+         regexp_extract_all(t, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS whole,
+         regexp_extract_all(t, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS part FROM docs
+  UNION ALL SELECT rid, 1, 18, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM docs
+  UNION ALL SELECT rid, 2, 16, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') FROM docs
+  UNION ALL SELECT rid, 3, 20, string_split_regex(t, '[A-Za-z0-9+/_=-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]+') FROM docs),
+each_ AS (SELECT rid, kind, least_, i, length(gaps[i]) AS gap, length(whole[i]) AS size, length(part[i]) AS part, whole[i] AS token FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM found)),
+placed AS (SELECT rid, kind, least_, part, token, sum(gap + size) OVER (PARTITION BY rid, kind ORDER BY i) - size AS start_, sum(gap + size) OVER (PARTITION BY rid, kind ORDER BY i) AS stop_ FROM each_),
+spans AS (SELECT rid, kind, token, CAST(start_ AS BIGINT) AS start_, CAST(stop_ AS BIGINT) AS stop_ FROM placed WHERE part >= least_),
+split_ AS (SELECT rid, start_, stop_, token, string_split(token, '') AS c FROM spans WHERE kind = 3),
+kinds AS (
+  SELECT *, list_transform(c, lambda x: CASE WHEN regexp_matches(x, '[a-z]') THEN 0 WHEN regexp_matches(x, '[A-Z]') THEN 1 WHEN regexp_matches(x, '[0-9]') THEN 2 ELSE 3 END) AS k,
+         list_transform(c, lambda x: regexp_matches(x, '[aeiouAEIOU]')) AS v FROM split_),
+stats AS (
+  SELECT rid, start_, stop_, CAST(len(c) AS DOUBLE) AS n,
+         CASE WHEN regexp_full_match(token, '[0-9a-f]+|[0-9A-F]+') THEN 16e0 WHEN regexp_full_match(token, '[A-Z2-7]+=*') THEN 32e0 ELSE 64e0 END AS size,
+         CAST(list_sum(list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x)) * len(list_filter(c, lambda y: y = x)))) AS DOUBLE) AS squares,
+         CAST(len(list_filter(range(2, len(c) + 1), lambda j: k[j] <> k[j - 1])) AS DOUBLE) AS changes,
+         CAST(len(list_filter(range(2, len(c) + 1), lambda j: v[j] <> v[j - 1])) AS DOUBLE) AS swaps FROM kinds),
+written AS (
+  SELECT coalesce(sum(squares - n) FILTER (changes = 0) / sum(n * (n - 1)) FILTER (changes = 0), 75e-3) AS match_,
+         least(9e-1, greatest(1e-1, coalesce(sum(swaps) FILTER (changes = 0) / sum(n - 1) FILTER (changes = 0), 6e-1))) AS swap FROM stats),
+tests AS (
+  SELECT s.*, size * squares / n - n AS chi, greatest(match_, 13e-1 / size) AS same_, swap FROM stats s, written),
+zs AS (
+  SELECT *, chi <= (size - 1) + 4 * sqrt(2 * (size - 1)) AS uniform,
+         ((((size - 1) + (n - 1) * (size * same_ - 1)) - chi) / sqrt(2 * (size - 1) + 4 * (n - 1) * size * same_)
+          + (changes - (n - 1) * 8e-2) / sqrt((n - 1) * 8e-2 * 92e-2) + ((n - 1) * swap - swaps) / sqrt((n - 1) * swap * (1 - swap))) / sqrt(3e0) AS z FROM tests),
+bins AS (
+  SELECT rid, start_, stop_, CASE WHEN uniform THEN greatest(0, CAST(floor(CASE WHEN z > 1 THEN least(3e3, -10 * (-(z * z / 2 + ln(z) + 0.9189385332046727e0) + ln(1 + (-1 / (z * z + 25e-1)))) / ln(10e0)) ELSE 0e0 END
+           + 10 * log10(CASE WHEN n < 24 THEN 25e-2 WHEN n < 32 THEN 75e-2 ELSE 2e0 END)) AS INTEGER)) ELSE -1 END AS bin FROM zs),
+counted AS (SELECT greatest(bin, 0) AS bin, count(*) AS k FROM bins GROUP BY 1),
+ranked AS (SELECT bin, sum(k) OVER (ORDER BY bin DESC) AS found, sum(k) OVER () AS all_ FROM counted),
+cut AS (SELECT coalesce(min(bin), 3001) AS cut FROM ranked WHERE bin > 0 AND pow(10e0, -bin / 10e0) <= 1e-2 * found / all_),
+kept AS (
+  SELECT rid, kind, start_, stop_ FROM spans WHERE kind < 3
+  UNION ALL SELECT rid, 3, start_, stop_ FROM bins, cut WHERE bin >= cut),
+named AS (SELECT rid, kind, start_, stop_, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start_ || ':' || stop_ AS w FROM kept),
+joined AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(w, ',' ORDER BY start_, kind, stop_) FILTER (kind < 3) AS base, string_agg(w, ',' ORDER BY start_, kind, stop_) AS spans FROM named GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (rid)
 """,
 }
