@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from residuum.llm.common import new_path
 
 LIMIT = 20
-EVERY = 512
+EVERY = 256
 BLOCK_TOKENS = 1 << 18
 #: Pieces that a worker remembers; about 150 bytes each.
-MOST_PIECES = 500_000
+MOST_PIECES = 700_000
 
 
 #: ASCII signs, as in string.punctuation.
@@ -219,26 +219,23 @@ class Code:
             out += np.bincount(byte + k, weights=((value >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.float64), minlength=size + 4)
         return out[:size].astype(np.uint8).tobytes(), at
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        size = 1 << self.width
-        symbol, bits = np.zeros(size, np.uint32), np.ones(size, np.int64)
-        used = int(self._span.sum())
-        symbol[:used], bits[:used] = np.repeat(self.symbols, self._span), np.repeat(self.bits, self._span)
-        return symbol, bits
+    def table(self) -> np.ndarray:
+        """By the next ``width`` bits: the symbol, shifted by six bits, and the length of its code below."""
+        out = np.ones(1 << self.width, np.int64)
+        out[: int(self._span.sum())] = np.repeat(self.symbols << 6 | self.bits, self._span)
+        return out
 
-    def decode(self, payload: bytes, checkpoints: np.ndarray, n: int, every: int, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def decode(self, payload: bytes, checkpoints: np.ndarray, n: int, every: int, table: np.ndarray) -> np.ndarray:
         """All checkpoints advance together, one token a step."""
-        symbol, bits = tables
         bytes_ = np.frombuffer(payload + bytes(every * self.width // 8 + 8), np.uint8).astype(np.int64)
         window = (bytes_[:-3] << 24) | (bytes_[1:-2] << 16) | (bytes_[2:-1] << 8) | bytes_[3:]
         at, steps = np.array(checkpoints, np.int64), min(every, n)
-        out = np.empty((steps, len(at)), np.uint32)
+        out = np.empty((steps, len(at)), np.int64)
         shift, mask = 32 - self.width, (1 << self.width) - 1
         for k in range(steps):
-            code = (window[at >> 3] >> (shift - (at & 7))) & mask
-            out[k] = symbol[code]
-            at += bits[code]
-        return out.T.reshape(-1)[:n]
+            out[k] = table[(window[at >> 3] >> (shift - (at & 7))) & mask]
+            at += out[k] & 63
+        return (out >> 6).T.reshape(-1)[:n]
 
 
 def tokenize(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,11 +326,11 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     code = Code(np.array([r["token"] for r in book], np.int64), np.array([r["bits"] for r in book], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = code.tables()
+        table = code.table()
         for batch in batches:
             for start, ids, sizes, checkpoints, payload in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 ends = np.cumsum(sizes)
-                found = code.decode(payload, checkpoints, int(ends[-1]), EVERY, tables).astype("<u4")
+                found = code.decode(payload, checkpoints, int(ends[-1]), EVERY, table).astype("<u4")
                 begins = ends - sizes
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start + begins, pa.int64()), pa.array(sizes, pa.int64()), pa.array([found[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())], names=["id", "start", "n", "ids"])
 

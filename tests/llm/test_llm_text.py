@@ -233,7 +233,7 @@ def test_huffman_is_a_limited_prefix_code(n):
     ids = rng.choice(np.arange(n) * 3, 5000)
     code = token_output.Code(np.arange(n) * 3, lengths)
     payload, at = code.encode(ids)
-    assert (code.decode(payload, at[::64], len(ids), 64, code.tables()) == ids).all()
+    assert (code.decode(payload, at[::64], len(ids), 64, code.table()) == ids).all()
 
 
 # decontamination
