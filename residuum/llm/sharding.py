@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 SHARDS = 16
 SEED = 20
 #: Rows that one task permutes; and the most logical partitions, which bounds the matrix (65,536 x 16 numbers are 8 MB).
-ROWS_A_TASK = 20_000
+ROWS_A_TASK = 5_000
 MOST_PARTITIONS = 65_536
 
 
