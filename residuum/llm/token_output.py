@@ -19,9 +19,11 @@ import json
 import re
 import string
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,11 @@ MOST_PIECES = 700_000
 
 #: ASCII signs, as in string.punctuation.
 SIGNS = string.punctuation
+#: Marks where a text is cut.
+CUT = "\x00"
+#: A text that has this (in RE2) is cut by ``BETWEEN`` alone: white space that isn't single, or isn't a space or a line end, or the mark.
+ODD = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -66,46 +73,43 @@ class PieceTokenizer:
 
     def forget(self) -> None:
         self.new: list[str] = []
-        self.count, self.known = 0, {}
-        self.first, self.rest = _Numbers(self, ""), _Numbers(self, " ")
+        self.count, self.known, self.numbers = 0, {}, _Numbers(self)
         self.flat, self.used = np.empty(1 << 16, self.dtype), 0
         self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def pieces(self, text: str) -> list[int]:
-        words = text.split()
-        gaps = len(words) - 1
-        first, rest = self.first.__getitem__, self.rest.__getitem__
-        if words and sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps:
-            out, line_end = [], self.first["\n"]
-            for line in text.split("\n"):
-                parts = line.split(" ")
-                out.append(first(parts[0]))
-                out += map(rest, parts[1:])
-                out.append(line_end)
-            out.pop()
-            return out
-        parts = re.split(r"(?<=\S) (?=\S)", text)  # white space of other shapes: stays inside its piece
-        return [first(parts[0]), *map(rest, parts[1:])] if text else []
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """Ids of each text and ``end``. Arrow cuts the texts and finds the batch's different pieces; only those are looked up."""
         if self.count > MOST_PIECES:
             self.forget()
-        numbers, ends = [], []
-        for text in texts:
-            numbers += self.pieces(text)
-            ends.append(len(numbers))
+        odd = pc.match_substring_regex(texts, ODD)
+        cut = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), " ", f"{CUT} "), "\n", f"{CUT}\n{CUT}")
+        parts = pc.split_pattern(cut, CUT)
+        pieces = parts.flatten().dictionary_encode()
+        different = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary), CUT)[0].as_py()  # one long text is faster than many short ones
+        at = self._look_up(different.split(CUT))[pieces.indices.to_numpy()]
+        odd_at = {int(k): self._look_up(BETWEEN.split(texts[int(k)].as_py())) for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
         self._learn()
-        at = np.array(numbers, np.int64)
+        out = self._ids(at, np.cumsum(pc.list_value_length(parts).to_numpy()), end)
+        for k, own in odd_at.items():
+            out[k] = self._ids(own, np.array([len(own)]), end)[0]
+        return out
+
+    def _look_up(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+
+    def _ids(self, at: np.ndarray, ends: np.ndarray, end: int) -> list[np.ndarray]:
+        """Ids of the pieces ``at``, cut where texts end."""
         lengths = self.lengths[at]
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         ids = self.flat[np.repeat(self.starts[at] - offsets[:-1], lengths) + np.arange(offsets[-1])]
-        cuts = offsets[np.array(ends, np.int64)]
+        cuts = offsets[ends]
         return [np.append(ids[a:b], self.dtype(end)) for a, b in zip([0, *cuts[:-1]], cuts)]
 
     def _letters(self, unit: str) -> tuple[int, ...]:
         """Ids of a unit that is not cut further, by the library's model."""
         if unit not in self.known:
-            self.known[unit] = tuple(t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(BYTE_CHARS)))
+            written = unit.replace(" ", BYTE_CHARS[32]) if unit.isascii() else unit.encode().decode("latin-1").translate(BYTE_CHARS)
+            self.known[unit] = tuple([t.id for t in self.model.tokenize(written)])
         return self.known[unit]
 
     def _simple(self, piece: str) -> tuple[int, ...] | None:
@@ -123,7 +127,7 @@ class PieceTokenizer:
         for k, x in zip(hard, self.tokenizer.encode_batch([self.new[k] for k in hard], add_special_tokens=False)):
             found[k] = x.ids
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), self.dtype, int(lengths.sum()))
+        ids = np.fromiter(chain.from_iterable(found), self.dtype, int(lengths.sum()))
         self.flat = _room(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts, self.lengths = _room(self.starts, self.count), _room(self.lengths, self.count)
@@ -137,13 +141,13 @@ class PieceTokenizer:
 class _Numbers(dict):
     """Piece -> its number; a piece not met before gets the next number and is put down for encoding."""
 
-    def __init__(self, owner: PieceTokenizer, before: str):
-        self.owner, self.before = owner, before
+    def __init__(self, owner: PieceTokenizer):
+        self.owner = owner
 
     def __missing__(self, piece: str) -> int:
         number = self[piece] = self.owner.count
         self.owner.count += 1
-        self.owner.new.append(self.before + piece)
+        self.owner.new.append(piece)
         return number
 
 
@@ -245,9 +249,9 @@ def tokenize(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part = tokenizer(path), TaskContext.get().partitionId()
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
-                ids = tok.encode(some.column(1).to_pylist(), end)
+            for a in range(0, batch.num_rows, 1024):
+                some = batch.slice(a, 1024)
+                ids = tok.encode(some.column(1), end)
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4" if x.dtype == np.uint32 else "<u2").tobytes() for x in ids], pa.binary())], names=["part", "id", "n", "ids"])
 
