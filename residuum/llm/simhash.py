@@ -12,6 +12,12 @@ A top node with more than ``MOST`` fingerprints is dealt into cells, and each pa
 Defined cases. Null or empty text, or one without words: fingerprint zero, linked like any other. Fewer words than a shingle:
 the whole sequence is the shingle. Null ids: linked, but never a component's name while another id is there. Repeated
 rows: same fingerprint, same component. Empty table: empty result. Extra columns are left alone.
+
+The pipeline's stage (``drop_near_duplicates``) asks for more than three bits reach: all pairs of texts whose sets of five-word
+shingles have a Jaccard similarity of ``SIMILARITY`` or more. Such pairs differ in about 10 of 64 bits, where blocks of bits no longer
+select. So MinHash bands propose pairs (one at the least similarity is missed with probability 3e-6, others less often), and
+only pairs whose exact similarity suffices are linked. Groups of a band meet in tasks that know what is linked already; the first
+bands link most, so that later groups, which are compared in full, are those that still span several components.
 """
 
 from __future__ import annotations
@@ -30,6 +36,13 @@ from residuum.llm.common import stash
 K = 3
 SHINGLE = 3
 SEED = 42
+#: Of the pipeline's stage: words of a shingle, least similarity, MinHash bands and values in each.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 5
+#: Bands that are linked before the others; most members of a band's group in a task's cell.
+FIRST, CELL = 3, 500
+#: Bits of the map of keys that share a band.
+MAP_BITS = 24
 LEAF = 32
 MOST = 50_000
 #: Where the five blocks of a fingerprint's bits begin and end.
@@ -38,16 +51,22 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 U64 = np.uint64
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Bit set if it is set in over half of the shingles' XXH64 (repeats included); 0 without words."""
+def digests(text: str, shingle: int) -> bytes:
+    """The XXH64 of each shingle, in order; nothing without words."""
     words = text.encode().translate(LOWER).split()  # bytes split at the six ASCII white-space characters
     if not words:
-        return 0
+        return b""
     digest = xxhash.xxh64_digest
     if len(words) <= shingle:
-        hashes = digest(b" ".join(words), SEED)
-    else:
-        hashes = b"".join([digest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(shingle)))])
+        return digest(b" ".join(words), SEED)
+    return b"".join([digest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(shingle)))])
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Bit set if it is set in over half of the shingles' XXH64 (repeats included); 0 without words."""
+    hashes = digests(text, shingle)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
     most = 2 * bits.sum(0, dtype=np.int64) > len(bits)
     return int.from_bytes(np.packbits(most).tobytes(), "big")
@@ -225,9 +244,143 @@ def hex16(fp) -> F.col:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, k: int = K) -> DataFrame:
-    """``docs`` with one row of each group; rows without an id stay, as nothing names them."""
-    keep = near_duplicates(docs, id_col, text_col, shingle, k).filter("id = component").select(F.col("id").alias("__keep")).distinct()
+def shingle_set(text: str, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(np.frombuffer(digests(text, shingle), U64))
+
+
+def _set_key(found: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+
+
+_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64) | U64(1)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """One value a MinHash band; sets that agree in a band agree in all its minima (and in its number)."""
+    least = np.full(BANDS * ROWS, ~U64(0))
+    for a in range(0, len(found), 1024):
+        np.minimum(least, (np.multiply.outer(_RANDOM[0], found[a : a + 1024]) + _RANDOM[1][:, None]).min(1), out=least)
+    mixed = ((least ^ least >> U64(31)) * _RANDOM[2]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
+    return mixed ^ np.arange(1, BANDS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``id, key, bands`` of each row; key names the set of shingles, and a set without members has no bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                some = batch.slice(a, 512)
+                sets = [shingle_set(t, shingle) for t in some.column(1).to_pylist()]
+                found = [bands(x).astype(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([_set_key(x) for x in sets], pa.int64()), listed], names=["id", "key", "bands"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "id long, key long, bands array<long>")
+
+
+def sets_of(docs: DataFrame, keys: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``key, members`` of the rows whose key may be among ``keys``, once a key."""
+    bit = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    words = keys.select((bit / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(key & 63L AS int))").alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits"))
+    table = np.zeros((1 << MAP_BITS) // 64, np.int64)
+    for r in words.collect():  # at most a row a word of the map
+        table[r["at"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(table.view(U64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                kept = []
+                for t in batch.column(0).slice(a, 512).to_pylist():
+                    found = shingle_set(t, shingle)
+                    low = (key := _set_key(found)) & ((1 << MAP_BITS) - 1)
+                    if int(known[low >> 6]) >> (low & 63) & 1:
+                        kept.append((key, found.tobytes()))
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.binary())], names=["key", "members"])
+
+    found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "key long, members binary")
+    return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
+
+
+def link_similar(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join all sets of the group whose Jaccard similarity suffices; sets with one label are joined already."""
+    label, sizes, links_ = label.copy(), np.array([len(x) for x in sets]), []
+    for i in range(len(sets) - 1):
+        size = sizes[i + 1 :]
+        js = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(size, sizes[i]) / np.maximum(size, sizes[i]) >= similarity))
+        for a in range(0, len(js), 256):
+            some = js[a : a + 256]
+            flat = np.concatenate([sets[j] for j in some])
+            hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)] == flat
+            common = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes[some])[:-1]], dtype=np.int64)
+            for j in some[common / (sizes[i] + sizes[some] - common) >= similarity]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    links_.append((i, int(j)))
+    return links_
+
+
+def _similar(shared: DataFrame, sets: DataFrame, similarity: float, cell: int, whole: bool) -> DataFrame:
+    """``a, b``: links within the groups of ``shared`` (key, band, part) that span several parts.
+
+    A group larger than ``cell`` is dealt into cells; ``whole``: each pair of cells meets, else each cell is alone.
+    """
+    groups = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).filter("first != last")
+    cells = F.ceil(F.col("n") / cell).cast("int")
+    dealt = shared.join(groups.select("band", "n"), "band").withColumn("own", F.pmod(F.xxhash64("key", "band"), cells).cast("int"))
+    if whole:
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
+    else:
+        dealt = dealt.withColumn("other", F.col("own"))
+    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "part").join(sets, "key")
+    where = ["band", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def emit() -> pa.RecordBatch:
+            found = link_similar([np.frombuffer(x, U64) for _, _, x in held], np.array([p for _, p, _ in held]), similarity)
+            return pa.RecordBatch.from_arrays([pa.array([held[x][0] for x, _ in found], pa.int64()), pa.array([held[y][0] for _, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for *group, key, part, members in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if group != now and held:
+                    yield emit()
+                    held = []
+                now = group
+                held.append((key, part, members))
+        if held:
+            yield emit()
+
+    met = dealt.select(*where, "key", "part", "members").repartition(*where).sortWithinPartitions(*where)
+    return met.mapInArrow(run, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """``id, key, component`` of each row; component is the smallest id that links of ``similarity`` reach, itself included."""
+    marked = stash(signatures(docs, id_col, text_col, shingle), "signatures")
+    banded = marked.select("key", F.posexplode("bands").alias("no", "band")).distinct()
+    groups = banded.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first != last")
+    shared = stash(banded.join(groups.select("band"), "band"), "shared-bands")
+    sets = stash(sets_of(docs, shared.select("key").distinct(), text_col, shingle), "shared-sets")
+    near = stash(_similar(shared.filter(F.col("no") < FIRST).select("key", "band", F.col("key").alias("part")), sets, similarity, cell, False), "similar")
+    parts = components(near)
+    rest = shared.join(parts, shared["key"] == parts["node"], "left").select("key", "band", F.coalesce("root", "key").alias("part"))
+    found = components(near.unionByName(stash(_similar(rest, sets, similarity, cell, True), "similar")))
+    each = marked.groupBy("key").agg(F.min("id").alias("first"))
+    rooted = each.join(found, each["key"] == found["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    return marked.select("id", "key").join(rooted.join(names, "root").select("key", "component"), "key").select("id", "key", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of similar texts; rows without an id stay, as nothing names them."""
+    keep = similar_texts(docs, id_col, text_col, shingle, similarity).filter("id = component").select(F.col("id").alias("__keep")).distinct()
     named = docs.filter(F.col(id_col).isNotNull())
     one = named.join(keep, named[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col, text_col])
     return one.unionByName(docs.filter(F.col(id_col).isNull()))

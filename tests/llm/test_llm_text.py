@@ -200,6 +200,30 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("cell", [simhash.CELL, 3])
+def test_stage_links_all_texts_of_enough_similarity(spark, cell):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (4, 60, 90, 150, 400)]
+    for base in texts[1:]:
+        for _ in range(14):
+            w = base.split()
+            for _ in range(rng.randrange(1, 2 + len(w) // 40)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(999)}"
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), "", None, *texts[5:8]]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words((t or "").lower())) else set() for t in texts]
+    root = list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                far += (fp(texts[i]) ^ fp(texts[j])).bit_count() > 3
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert far > 20  # pairs out of op3's reach
+    assert {r.id: r.component for r in simhash.similar_texts(docs(spark, texts), cell=cell).collect()} == dict(enumerate(root))
+
+
 # tokens
 
 
