@@ -4,7 +4,8 @@ Texts become templates: numbers, units after numbers and names (capitalised word
 placeholders, everything else into lower-case words without signs. Windows of five template words are hash-joined with those of the
 benchmark items. A document is contaminated by an item if at least 0.8 of the item's windows occur close together in it,
 either with the same values in all slots (``copy``), or with other values that replace each value of the item by
-one value throughout (``reparameterised``): slots that change at random are a coincidence of form.
+one value throughout (``reparameterised``): slots that change at random are a coincidence of form. Values are compared along one
+alignment, as a window that an item repeats also meets its other occurrences.
 
 The scan emits only windows that the benchmark has, so the benchmark's hashes and words travel to the tasks. Their number is
 bounded: a benchmark with more than ``MOST_WINDOWS`` is taken in slices of its items, each against all documents.
@@ -22,7 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.llm.common import stash
@@ -136,13 +137,25 @@ def _contaminated(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
     # a copy lies within twice the item's length: two sets of bands, shifted by half, so that one band holds it whole
     width = 2 * F.col("n") + 2 * WINDOW
     offset = F.col("at") - F.col("place")
-    bands = F.array(F.struct(F.lit(0).alias("shift"), F.floor(offset / width).alias("band")), F.struct(F.lit(1).alias("shift"), F.floor(offset / width + 0.5).alias("band")))
-    met = met.select("doc_id", "item_id", "variant", "n", "place", "slots", "found", F.inline(bands))
-    pairs = F.arrays_zip(F.col("slots").alias("old"), F.col("found").alias("new"))
-    near = met.groupBy("doc_id", "item_id", "variant", "n", "shift", "band").agg(
-        F.size(F.collect_set("place")).alias("alike"),
-        F.size(F.collect_set(F.when(F.col("slots") == F.col("found"), F.col("place")))).alias("same"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+    # and each exact alignment alone, as copies side by side share a band
+    bands = F.array(
+        F.struct(F.lit(0).alias("shift"), F.floor(offset / width).alias("band")),
+        F.struct(F.lit(1).alias("shift"), F.floor(offset / width + 0.5).alias("band")),
+        F.struct(F.lit(2).alias("shift"), offset.cast("long").alias("band")),
+    )
+    met = met.select("doc_id", "item_id", "variant", "n", "place", "slots", "found", offset.alias("offset"), F.inline(bands))
+    # a repeated window meets each of its occurrences: of a place's hits, the one nearest the band's main offset is the aligned one
+    where = ["doc_id", "item_id", "variant", "n", "shift", "band"]
+    met = met.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy(*where, "offset")))
+    met = met.withColumn("main", F.max(F.struct("often", "offset")).over(Window.partitionBy(*where))["offset"])
+    aligned = met.groupBy(*where, "place").agg(
+        F.max(F.col("slots") == F.col("found")).alias("equal"),
+        F.min_by(F.arrays_zip(F.col("slots").alias("old"), F.col("found").alias("new")), F.struct(F.abs(F.col("offset") - F.col("main")), "offset")).alias("pairs"),
+    )
+    near = aligned.groupBy(*where).agg(
+        F.count(F.lit(1)).alias("alike"),
+        F.count_if("equal").alias("same"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["old"])))
     least = F.col("n") * similarity

@@ -277,6 +277,19 @@ def test_templates_find_copies_and_new_values(spark):
     assert {r.doc_id for r in decontam.drop_contaminated(docs(spark, texts), items).collect()} == {4, 5, 6, 7, 8, 9}
 
 
+def found_in(spark, pairs):
+    """Kinds of the pairs (item, document), each item in its own document."""
+    items = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(pairs)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(docs(spark, [f"well {d} so much for that" for _, d in pairs]), items).collect()}
+    return [got.get((k, k)) for k in range(len(pairs))]
+
+
+def test_new_values_where_a_window_is_repeated(spark):
+    item = "there are 5 red apples in the old basket and 7 red apples in the old cupboard while 12 green pears wait outside for 3 hungry boys to come home"
+    new = item.replace("5 red", "9 red").replace("7 red", "8 red").replace("12", "31").replace("3 hungry", "6 hungry")
+    assert found_in(spark, [(item, new), (item, f"{item} {new}"), (item, new.replace("8 red", "9 red").replace("31", "9"))])[0] == "reparameterised"
+
+
 def test_decontamination_of_nothing(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(docs(spark, ["a b c d e f"]), items).count() == 0
