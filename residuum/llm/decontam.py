@@ -1,7 +1,8 @@
 """Benchmark decontamination through templates.
 
-Texts become templates: numbers, units after numbers and names (capitalised words within a sentence) turn into typed
-placeholders, everything else into lower-case words without signs. Windows of five template words are hash-joined with those of the
+Texts become templates: numbers, units after numbers and names (runs of capitalised words) turn into typed
+placeholders, everything else into lower-case words without signs. A capitalised word that opens a sentence may be a name or not, and
+a copy may be in other case: items and documents are read with names within sentences, without names and with all of them replaced. Windows of five template words are hash-joined with those of the
 benchmark items. A document is contaminated by an item if at least 0.8 of the item's windows occur close together in it,
 either with the same values in all slots (``copy``), or with other values that replace each value of the item by
 one value throughout (``reparameterised``): slots that change at random are a coincidence of form. Values are compared along one
@@ -9,7 +10,8 @@ alignment, as a window that an item repeats also meets its other occurrences.
 
 The scan emits only windows that the benchmark has, so the benchmark's hashes and words travel to the tasks. Their number is
 bounded: a benchmark with more than ``MOST_WINDOWS`` is taken in slices of its items, each against all documents.
-Defined cases. Null and empty texts, items of fewer than five words, and windows with fewer than three plain words match nothing.
+Defined cases. Null and empty texts match nothing, nor do template windows with fewer than three plain words; an item without any
+other (short, or dense in numbers) is matched by its words as they are, values included, in windows of up to five.
 Null ids of documents are reported as null and never dropped. Repeated rows of an id count once. Empty tables: empty result. Extra
 columns pass through ``drop_contaminated``.
 """
@@ -33,54 +35,104 @@ LEAST_PLAIN = 3
 SIMILARITY = 0.8
 MOST_WINDOWS = 500_000
 NUMBER, UNIT, NAME = "zznumberzz", "zzunitzz", "zznamezz"
+#: Marks of a text that is not yet a template: a name within a sentence, a capitalised word elsewhere, the end of what is marked.
+INNER, OPENING, END = NAME, "zzopeningzz", "zzendzz"
+#: Variants of a text: names within sentences replaced; no name replaced; all capitalised words replaced; words as they are, numbers too.
+INSIDE, NO_NAMES, ALL_NAMES, RAW = 0, 1, 2, 3
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l kl gal ms s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres percent dollar dollars cent cents euro euros degree degrees watt watts volt volts".split()
 _VALUES = re.compile(rf"(?P<n>\d+(?:[.,:/]\d+)*)(?:\s?(?P<u>%|(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})\b))?", re.I)
-_NAMES = re.compile(r"(?:(?<=[^\W_][ ])|(?<=[^\W_],[ ]))[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+\b")
+_NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+\b"
+_NAMES = re.compile(rf"(?P<inner>(?:(?<=[^\W_][ ])|(?<=[^\W_],[ ])){_NAME}(?:[ ]{_NAME})*)|\b{_NAME}")
+_MARKS = re.compile("zz(?:number|unit|name|opening|end)zz", re.I)
 _WORDS = re.compile(r"\w+")
 _FACTOR = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], np.uint64)
 SLOTS = (NUMBER, UNIT, NAME)
 
 
-def template(text: str, values: list[str] | None = None, names: bool = True) -> list[str]:
-    """Words of the template; ``values`` gets what the placeholders stand for, in order. ``names``: whether they are replaced."""
-    if values is not None:
-        marks = [(m.start(), [m[0].lower()]) for m in _NAMES.finditer(text)] if names else []
-        marks += [(m.start(), [m["n"], m["u"].lower()] if m["u"] else [m["n"]]) for m in _VALUES.finditer(text)]
-        values += [v for _, found in sorted(marks) for v in found]
-    if names:
-        text = _NAMES.sub(NAME, text)
-    if _VALUES.search(text):
+def marked(text: str, values: bool = False) -> list[str]:
+    """Lower-case words of a text with marks: ``INNER`` or ``OPENING`` and ``END`` around names, ``NUMBER`` and ``UNIT`` for values (with ``values``: before them)."""
+    if "zz" in text:
+        text = _MARKS.sub(" ", text)
+    text = _NAMES.sub(lambda m: f" {INNER if m['inner'] else OPENING} {m[0]} {END} ", text)
+    if values:
+        unit = lambda u: f"{UNIT} {'zzpercentzz' if u == '%' else u} {END} " if u else ""
+        text = _VALUES.sub(lambda m: f" {NUMBER} {m['n'].replace('.', 'zzpointzz').replace(',', 'zzcommazz').replace(':', 'zzcolonzz').replace('/', 'zzslashzz')} {END} {unit(m['u'])}", text)
+    elif _VALUES.search(text):
         text = _VALUES.sub(lambda m: f" {NUMBER} {UNIT} " if m["u"] else f" {NUMBER} ", text)
     return _WORDS.findall(text.lower())
 
 
+def template(text: str, values: list[str] | None = None, variant: int = INSIDE) -> list[str]:
+    """Words of a variant's template; ``values`` gets what the placeholders stand for, in order."""
+    if variant == RAW:
+        return _WORDS.findall(text.lower())
+    out: list[str] = []
+    kept: list[list[str]] = []
+    mark, ended = "", False  # the mark we are within; whether an opening name ended just here, which a name then continues
+    for w in marked(text, True):
+        if w in (INNER, OPENING, NUMBER, UNIT):
+            mark = w
+            slot = w in (NUMBER, UNIT) or variant == ALL_NAMES or (variant == INSIDE and w == INNER)
+            if slot and not (ended and w == INNER):
+                out.append(NAME if w == OPENING else w)
+                kept.append([])
+            mark, ended = (w if slot else ""), False
+        elif w == END:
+            ended, mark = mark == OPENING, ""
+        elif mark:
+            kept[-1].append(w)
+        else:
+            out.append(w)
+            ended = False
+    if values is not None:
+        values += [" ".join(v) for v in kept]
+    return out
+
+
+def readings(words: list[str], known: dict[str, int]) -> list[np.ndarray]:
+    """Hashes of the words of the template variants ``INSIDE``, ``NO_NAMES`` and ``ALL_NAMES``, from one pass over the marked words."""
+    h = np.fromiter(map(known.get, words, repeat(0)), np.uint64, len(words))
+    inner, opening, end = h == _CODES[INNER], h == _CODES[OPENING], h == _CODES[END]
+    begin = inner | opening
+    plain = ~(begin | end)
+    if not begin.any():
+        return [h[plain]] * 3
+    last = np.maximum.accumulate(np.where(begin, np.arange(len(h)), 0))
+    within = np.cumsum(begin) > np.cumsum(end)
+    ended = np.r_[False, (end & opening[last])[:-1]]
+    h[begin] = word_hash(NAME)
+    return [h[inner | plain & ~(within & inner[last])], h[plain], h[opening | inner & ~ended | plain & ~within]]
+
+
 def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) | 1  # never 0, which stands for a word that no item has
+    return xxhash.xxh64_intdigest(word) | 1  # never 0, which stands for a word that no item has, nor one of _CODES
+
+
+#: What marks are among hashes.
+_CODES = {INNER: 2, OPENING: 4, END: 6}
 
 
-def window_hashes(hashes: np.ndarray) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Hash of each window; 0 where a word is foreign."""
-    n = len(hashes) - WINDOW + 1
+    n = len(hashes) - window + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     own, total = np.ones(n, bool), np.zeros(n, np.uint64)
-    for k in range(WINDOW):
+    for k in range(window):
         own &= hashes[k : k + n] != 0
         total += hashes[k : k + n] * _FACTOR[k]
     return np.where(own, total | np.uint64(1), np.uint64(0))
 
 
-def windows_at(text: str, places: np.ndarray | None = None, names: bool = True) -> Iterator[tuple[int, str, list[str]]]:
-    """(place, words, slot values) of the windows of a text, or of those at ``places``, with enough plain words."""
+def windows_at(text: str, places: np.ndarray | None = None, variant: int = INSIDE, window: int = WINDOW) -> Iterator[tuple[int, str, list[str]]]:
+    """(place, words, slot values) of the windows of a text, or of those at ``places``, with enough plain words; raw windows have no slots."""
     values: list[str] = []
-    words = template(text, values, names)
-    slot = np.cumsum([0] + [w in SLOTS for w in words])
-    if slot[-1] != len(values):  # an odd text whose marks overlap: its slots have no values to compare
-        values = [""] * int(slot[-1])
-    for p in range(len(words) - WINDOW + 1) if places is None else places:
-        if slot[p + WINDOW] - slot[p] <= WINDOW - LEAST_PLAIN:
-            yield int(p), " ".join(words[p : p + WINDOW]), values[slot[p] : slot[p + WINDOW]]
+    words = template(text, values, variant)
+    slot = np.cumsum([0] + [variant != RAW and w in SLOTS for w in words])
+    for p in range(len(words) - window + 1) if places is None else places:
+        if slot[p + window] - slot[p] <= WINDOW - LEAST_PLAIN:
+            yield int(p), " ".join(words[p : p + window]), values[slot[p] : slot[p + window]]
 
 
 _ROWS = pa.schema([("id", pa.int64()), ("variant", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("window", pa.string()), ("slots", pa.list_(pa.string()))])
@@ -94,46 +146,56 @@ def _rows(id_: int, found: list[tuple[int, str, list[str]]], variant: int = 0) -
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Each item's windows, and in ``n`` how many it has; variant 1 keeps names as words, for copies in capitals or lower case."""
+    """Each item's windows, and in ``n`` how many it has, of each variant that differs; ``RAW`` (in windows of up to five words) for items without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if found := list(windows_at(text)):
-                    yield _rows(i, found)
-                if (plain := list(windows_at(text, names=False))) and plain != found:
-                    yield _rows(i, plain, 1)
+                seen = []
+                for variant in (INSIDE, NO_NAMES):
+                    if (found := list(windows_at(text, None, variant))) and found not in seen:
+                        seen.append(found)
+                        yield _rows(i, found, variant)
 
     texts = items.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROWS)
 
 
-def matching_windows(docs: DataFrame, words: list[str], windows: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The windows of documents that are among ``windows``; no row for others."""
-    hashes = {w: word_hash(w) for w in words}
-    index = np.unique([window_hashes(np.array([hashes[x] for x in w.split(" ")], np.uint64))[0] for w in windows])
-    shared = docs.sparkSession.sparkContext.broadcast((hashes, index))  # bounded by MOST_WINDOWS
+def matching_windows(docs: DataFrame, windows: list[tuple[int, str]], id_col: str, text_col: str) -> DataFrame:
+    """The windows of documents that are among ``windows`` (variant, words); no row for others."""
+    known = {w: word_hash(w) for w in {x for _, words in windows for x in words.split(" ")}}
+    sought: dict[tuple[int, int], list[int]] = {}
+    for variant, words in windows:
+        one = words.split(" ")
+        sought.setdefault((variant, len(one)), []).append(window_hashes(np.array([known[x] for x in one], np.uint64), len(one))[0])
+    index = {k: np.unique(np.array(v, np.uint64)) for k, v in sought.items()}
+    shared = docs.sparkSession.sparkContext.broadcast((known, index))  # bounded by MOST_WINDOWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, index = shared.value
+        coded = known | _CODES
+        templates, raw = any(v != RAW for v, _ in index), any(v == RAW for v, _ in index)
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = template(text)
-                all_ = window_hashes(np.fromiter(map(known.get, found, repeat(0)), np.uint64, len(found)))
-                at = np.flatnonzero(all_)
-                at = at[index[np.minimum(np.searchsorted(index, all_[at]), len(index) - 1)] == all_[at]]
-                if len(at) and (kept := list(windows_at(text, at))):
-                    yield _rows(i, kept)
+                read = readings(marked(text), coded) if templates else [None] * 3
+                if raw:
+                    words = template(text, None, RAW)
+                    read = [*read, np.fromiter(map(known.get, words, repeat(0)), np.uint64, len(words))]
+                for (variant, size), own in index.items():
+                    all_ = window_hashes(read[variant], size)
+                    at = np.flatnonzero(all_)
+                    at = at[own[np.minimum(np.searchsorted(own, all_[at]), len(own) - 1)] == all_[at]]
+                    if len(at) and (kept := list(windows_at(text, at, variant, size))):
+                        yield _rows(i, kept, variant)
 
     texts = docs.filter(F.col(text_col).isNotNull())
     return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROWS)
 
 
 def _contaminated(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    windows = [r["window"] for r in items.select("window").distinct().collect()]  # at most MOST_WINDOWS
-    words = sorted({x for w in windows for x in w.split(" ")})
-    hits = matching_windows(docs, words, windows, id_col, text_col).select(F.col("id").alias("doc_id"), "window", F.col("place").alias("at"), F.col("slots").alias("found"))
-    met = hits.join(items.withColumnRenamed("id", "item_id"), "window")  # exact, on the words themselves
+    windows = [(r["variant"], r["window"]) for r in items.select("variant", "window").distinct().collect()]  # at most MOST_WINDOWS
+    hits = matching_windows(docs, windows, id_col, text_col).select(F.col("id").alias("doc_id"), "variant", "window", F.col("place").alias("at"), F.col("slots").alias("found"))
+    met = hits.join(items.withColumnRenamed("id", "item_id"), ["variant", "window"])  # exact, on the words themselves
     # a copy lies within twice the item's length: two sets of bands, shifted by half, so that one band holds it whole
     width = 2 * F.col("n") + 2 * WINDOW
     offset = F.col("at") - F.col("place")

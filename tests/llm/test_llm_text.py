@@ -290,6 +290,21 @@ def test_new_values_where_a_window_is_repeated(spark):
     assert found_in(spark, [(item, new), (item, f"{item} {new}"), (item, new.replace("8 red", "9 red").replace("31", "9"))])[0] == "reparameterised"
 
 
+def test_copies_of_items_dense_in_capitalised_words(spark):
+    texts = ["Who wrote The Old Man And The Sea?", "Did Barack Obama or George Bush meet Angela Merkel in Berlin?"]
+    assert found_in(spark, [(t, t) for t in texts]) == ["copy"] * 2
+
+
+def test_readings_agree_with_templates():
+    rng = random.Random(8)
+    parts = ["Tom", "New York", "the", "a. The", "5 km", "1,000.5", "7%", "(Ann", "word,", "É", "Ünder", "ABC", "McDo", "zznamezz", "zzendzz", "x1", "İ", '"How', "\n", "2 Grams"]
+    for _ in range(300):
+        text = " ".join(rng.choices(parts, k=rng.randrange(30)))
+        known = {w: decontam.word_hash(w) for v in range(3) for w in decontam.template(text, None, v)}
+        for variant, got in enumerate(decontam.readings(decontam.marked(text), known | decontam._CODES)):
+            assert list(got) == [known[w] for w in decontam.template(text, None, variant)], (variant, text)
+
+
 def test_decontamination_of_nothing(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(docs(spark, ["a b c d e f"]), items).count() == 0
