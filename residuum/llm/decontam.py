@@ -156,6 +156,8 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                     if (found := list(windows_at(text, None, variant))) and found not in seen:
                         seen.append(found)
                         yield _rows(i, found, variant)
+                if not seen and (size := min(WINDOW, len(template(text, None, RAW)))):
+                    yield _rows(i, list(windows_at(text, None, RAW, size)), RAW)
 
     texts = items.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROWS)

@@ -290,6 +290,12 @@ def test_new_values_where_a_window_is_repeated(spark):
     assert found_in(spark, [(item, new), (item, f"{item} {new}"), (item, new.replace("8 red", "9 red").replace("31", "9"))])[0] == "reparameterised"
 
 
+def test_copies_of_items_dense_in_numbers_or_short(spark):
+    texts = ["Compute 17 + 23 * 4 - 9 / 3.", "Solve 3 x + 7 = 22 and 5 y - 4 = 11.", "Define photosynthesis in plants."]
+    assert found_in(spark, [(t, t) for t in texts]) == ["copy"] * 3
+    assert found_in(spark, [(texts[0], texts[0].replace("23", "24")), (texts[2], "define plants in photosynthesis")]) == [None] * 2
+
+
 def test_copies_of_items_dense_in_capitalised_words(spark):
     texts = ["Who wrote The Old Man And The Sea?", "Did Barack Obama or George Bush meet Angela Merkel in Berlin?"]
     assert found_in(spark, [(t, t) for t in texts]) == ["copy"] * 2
