@@ -152,7 +152,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen = []
-                for variant in (INSIDE, NO_NAMES):
+                for variant in (INSIDE, NO_NAMES, ALL_NAMES):
                     if (found := list(windows_at(text, None, variant))) and found not in seen:
                         seen.append(found)
                         yield _rows(i, found, variant)

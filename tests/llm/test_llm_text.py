@@ -301,6 +301,13 @@ def test_copies_of_items_dense_in_capitalised_words(spark):
     assert found_in(spark, [(t, t) for t in texts]) == ["copy"] * 2
 
 
+def test_new_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Tom gives 2 apples to Mary. How many apples does Tom have left?"
+    new = item.replace("Tom", "Bob").replace("Mary", "Ann").replace("5", "9").replace("2", "4")
+    run = "we all went by train from New York to the old harbour and stayed there with 3 friends for a while"
+    assert found_in(spark, [(item, new), (run, run.replace("New York", "Paris").replace("3", "7"))]) == ["reparameterised"] * 2
+
+
 def test_readings_agree_with_templates():
     rng = random.Random(8)
     parts = ["Tom", "New York", "the", "a. The", "5 km", "1,000.5", "7%", "(Ann", "word,", "É", "Ünder", "ABC", "McDo", "zznamezz", "zzendzz", "x1", "İ", '"How', "\n", "2 Grams"]
