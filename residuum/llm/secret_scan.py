@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on long tokens, with DataFrame functions only.
 
 Patterns give the base spans (assign, access, hex). The method adds spans of kind ``random``: every run of ``MIN_RANDOM`` or
-more characters of an encoding alphabet is a candidate; its encoding (hex, base32, base64) is inferred from the characters in
-it. Three tests compare it with text: chi-squared distance from a uniform alphabet, runs of character classes, and serial
+more characters of an encoding alphabet is a candidate; its encoding (hex of one or both cases, also with separators, which
+don't count; base32, base36, base62, base64) is inferred from the characters in it. Three tests compare it with text: chi-squared distance from a uniform alphabet, runs of character classes, and serial
 correlation of class and alphabet place. Each yields a one-sided p-value under the hypothesis "written text", whose
 parameters (character frequencies, class changes) are counted over the candidates of the whole corpus. The three
 are combined (Stouffer) and false discoveries are controlled by a weighted Benjamini-Hochberg step over all candidates, with
@@ -35,12 +35,12 @@ FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"(?<![0-9a-f])[0-9a-f]{16,}"}
 #: A text without any of these (in lower case, or as they are) has no span of the kind; plain search is cheaper than a pattern.
 NEEDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("AKIA",)}
 KINDS = ("assign", "access", "hex", "random")
-MIN_RANDOM = 20
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+MIN_RANDOM = 16
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 Q = 0.01
 SPAN = "struct<start:bigint,kind:int,stop:bigint>"
-#: Weights of the error budget by length of the candidate: under 24, under 32, longer.
-WEIGHTS = ((24, 0.25), (32, 0.75), (1 << 30, 2.0))
+#: Weights of the error budget by length of the candidate: under 20, under 24, under 32, longer.
+WEIGHTS = ((20, 0.1), (24, 0.25), (32, 0.75), (1 << 30, 2.0))
 #: Class changes of written identifiers, by character.
 CHANGE = 0.08
 BIN = 10
@@ -88,19 +88,29 @@ def _z_to_tenths(z: Column) -> Column:
 def statistics(token: Column) -> Column:
     """n, size (of the inferred alphabet), squares (of the characters' counts), changes (of class), swaps (of vowel and other)."""
 
-    def both(chars: Column, classes: Column, vowels: Column) -> Column:
+    hexed = token.rlike("^[0-9a-fA-F]+(?:[-_][0-9a-fA-F]+)*$")
+    one_case = token.rlike("^(?:[0-9a-f_-]+|[0-9A-F_-]+)$")
+    size = F.when(hexed & one_case, 16.0).when(hexed, 22.0).when(token.rlike("^[A-Z2-7]+=*$"), 32.0)
+    size = size.when(token.rlike("[0-9]") & token.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), 36.0).when(token.rlike("[0-9]") & token.rlike("^[A-Za-z0-9]+$"), 62.0).otherwise(64.0)
+
+    def squares(chars: Column) -> Column:
         counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
+        return F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * k)
+
+    def nearer(n: Column, size: Column, own: Column, folded: Column) -> Column:
+        """Hex of both cases is 22 even characters or 16 even digits in chance case: the one that fits better."""
+        excess = lambda size, squares: (size * squares / n - n - (size - 1)) / F.sqrt(2 * (size - 1))
+        fold = (size == 22) & (excess(F.lit(16.0), folded) < excess(F.lit(22.0), own))
+        return F.struct(F.when(fold, 16.0).otherwise(size).alias("size"), F.when(fold, folded).otherwise(own).alias("squares"))
+
+    def both(chars: Column, classes: Column, vowels: Column) -> Column:
         moves = lambda of: F.aggregate(F.sequence(F.lit(1), F.size(of) - 1), F.lit(0.0), lambda s, k: s + F.when(F.get(of, k) != F.get(of, k - 1), 1.0).otherwise(0.0))
-        return F.struct(
-            F.length(token).cast("double").alias("n"),
-            F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16.0).when(token.rlike("^[A-Z2-7]+=*$"), 32.0).otherwise(64.0).alias("size"),
-            F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * k).alias("squares"),
-            moves(classes).alias("changes"),
-            moves(vowels).alias("swaps"),
-        )
+        n = F.size(chars).cast("double")
+        fits = nearer(n, size, squares(chars), F.when(size == 22, squares(F.transform(chars, F.lower))))
+        return let(fits, lambda x: F.struct(n.alias("n"), x["size"].alias("size"), x["squares"].alias("squares"), moves(classes).alias("changes"), moves(vowels).alias("swaps")))
 
     kind = lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
-    chars = F.filter(F.split(token, ""), lambda c: c != "")
+    chars = F.filter(F.split(F.when(hexed, F.translate(token, "-_", "")).otherwise(token), ""), lambda c: c != "")
     return let(chars, lambda x: let(F.transform(x, kind), lambda k: let(F.transform(x, lambda c: c.rlike("[aeiouAEIOU]")), lambda v: both(x, k, v))))
 
 

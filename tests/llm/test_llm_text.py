@@ -95,6 +95,15 @@ def test_secret_spans_match_brute_force(spark):
     assert not [s for s in got[at + 3] if s.kind == 3]  # and leaves long words alone
 
 
+def test_long_tokens_of_small_alphabets(spark):
+    rng = random.Random(9)
+    kinds = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdefABCDEF"]
+    keys = ["".join(rng.choices(k, k=n)) for k in kinds for n in (64, 128)] + ["".join(rng.choice((c, c.upper())) for c in rng.choices("0123456789abcdef", k=256))]
+    keys += ["-".join("".join(rng.choices("0123456789ABCDEF", k=n)) for n in (8, 4, 4, 4, 12, 12, 12))]
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == 3] for r in secret_scan.scan(docs(spark, [f"key {k} end" for k in keys] + ["supercalifragilistic words"])).collect()}
+    assert [got[k] for k in range(len(keys) + 1)] == [[(4, 4 + len(k))] for k in keys] + [[]]
+
+
 def test_secret_scan_of_nothing(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
