@@ -206,15 +206,19 @@ def links(fps: DataFrame, k: int = K, most: int = MOST) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 50, rounds: int | None = None) -> DataFrame:
     """``node, root`` for all nodes of the links ``a, b``; root is the smallest node of the component.
 
+    With ``rounds``, after so many: then a root is a smaller node of the component, not always the smallest.
+
     Large star: each node hands its larger neighbours to the smallest one around it; small star: its smaller ones. Both keep
     components whole and end in stars after about log(n) rounds. Each round is written, so none depends on a lost executor.
     """
     edges = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
     seen = None
-    for _ in range(most_rounds):
+    for k in range(most_rounds):
+        if k == rounds:
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -328,15 +332,24 @@ def link_similar(sets: list[np.ndarray], label: np.ndarray, similarity: float) -
 def _similar(shared: DataFrame, sets: DataFrame, similarity: float, cell: int, whole: bool) -> DataFrame:
     """``a, b``: links within the groups of ``shared`` (key, band, part) that span several parts.
 
-    A group larger than ``cell`` is dealt into cells; ``whole``: each pair of cells meets, else each cell is alone.
+    A group larger than ``cell`` is dealt into cells. Unless ``whole``, each cell is alone. Else the group's largest part, which
+    is joined already, is dealt into cells of its own: they meet the cells of all other parts, which also meet each other, so that
+    a group of n members with o outside the largest part costs n * o comparisons and no member travels more than o / cell times.
     """
     groups = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).filter("first != last")
-    cells = F.ceil(F.col("n") / cell).cast("int")
-    dealt = shared.join(groups.select("band", "n"), "band").withColumn("own", F.pmod(F.xxhash64("key", "band"), cells).cast("int"))
+    spread = F.xxhash64("key", "band")
     if whole:
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
+        sizes = shared.join(groups.select("band"), "band").groupBy("band", "part").agg(F.count(F.lit(1)).alias("k"))
+        groups = sizes.groupBy("band").agg(F.sum("k").alias("n"), F.max(F.struct("k", "part")).alias("most"))
+        counts = groups.select("band", F.col("most.part").alias("main"), F.ceil(F.col("most.k") / cell).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most.k")) / cell).cast("int").alias("others"))
+        dealt = shared.join(counts, "band")
+        # cells 0, 1, ... hold the others; the largest part's follow
+        dealt = dealt.withColumn("own", F.when(F.col("part") == F.col("main"), F.col("others") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "others")).cast("int"))
+        meets = F.when(F.col("own") < F.col("others"), F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") - 1))
+        dealt = dealt.withColumn("other", F.explode(meets))
     else:
-        dealt = dealt.withColumn("other", F.col("own"))
+        cells = F.ceil(F.col("n") / cell).cast("int")
+        dealt = shared.join(groups.select("band", "n"), "band").withColumn("own", F.pmod(spread, cells).cast("int")).withColumn("other", F.col("own"))
     dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "part").join(sets, "key")
     where = ["band", "low", "high"]
 
@@ -369,7 +382,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = stash(banded.join(groups.select("band"), "band"), "shared-bands")
     sets = stash(sets_of(docs, shared.select("key").distinct(), text_col, shingle), "shared-sets")
     near = stash(_similar(shared.filter(F.col("no") < FIRST).select("key", "band", F.col("key").alias("part")), sets, similarity, cell, False), "similar")
-    parts = components(near)
+    parts = components(near, rounds=3)
     rest = shared.join(parts, shared["key"] == parts["node"], "left").select("key", "band", F.coalesce("root", "key").alias("part"))
     found = components(near.unionByName(stash(_similar(rest, sets, similarity, cell, True), "similar")))
     each = marked.groupBy("key").agg(F.min("id").alias("first"))
