@@ -1,31 +1,38 @@
 """Benchmark decontamination through templates.
 
-Texts become templates: numbers, units after numbers and names (runs of capitalised words) turn into typed
-placeholders, everything else into lower-case words without signs. A capitalised word that opens a sentence may be a name or not, and
-a copy may be in other case: items and documents are read with names within sentences, without names and with all of them replaced. Windows of five template words are hash-joined with those of the
-benchmark items. A document is contaminated by an item if at least 0.8 of the item's windows occur close together in it,
-either with the same values in all slots (``copy``), or with other values that replace each value of the item by
-one value throughout (``reparameterised``): slots that change at random are a coincidence of form. Values are compared along one
-alignment, as a window that an item repeats also meets its other occurrences.
-
-The scan emits only windows that the benchmark has, so the benchmark's hashes and words travel to the tasks. Their number is
-bounded: a benchmark with more than ``MOST_WINDOWS`` is taken in slices of its items, each against all documents.
+Texts become templates: numbers (digits or number words), units after numbers and names (runs of capitalised words) turn into
+typed placeholders, everything else into lower-case words without signs. A capitalised word that opens a sentence may be a name or
+not, and a copy may be in other case: items and documents are read with names within sentences, without names and with all of
+them replaced. Windows of five template words are hash-joined with those of the benchmark items. A document is contaminated by an
+item if at least 0.8 of the item's windows occur close together in it, either with the same values in all slots (``copy``), or
+with other values that replace each value of the item by one value throughout (``reparameterised``): slots that change
+at random are a coincidence of form, and items of fewer than ``LEAST_FORM`` windows have too little form to tell. Values are
+compared along one alignment of the two, as a window that an item repeats also meets its other occurrences.
+
+The join has two steps. Window hashes travel to the scan, which emits a row for each document and item that share enough of them:
+it looks items up by their rarest windows alone (so many that one must be there), so a window of all items costs nothing. The
+rows then meet the items' windows themselves in a broadcast join, and the alignment decides. Texts aren't shuffled. What is broadcast
+is bounded: a benchmark of more than ``MOST_WINDOWS`` windows or ``MOST_BYTES`` is taken in slices of its items, each against all documents.
+
 Defined cases. Null and empty texts match nothing, nor do template windows with fewer than three plain words; an item without any
-other (short, or dense in numbers) is matched by its words as they are, values included, in windows of up to five.
-Null ids of documents are reported as null and never dropped. Repeated rows of an id count once. Empty tables: empty result. Extra
-columns pass through ``drop_contaminated``.
+other (short, or dense in numbers) is matched by its words as they are, in windows of up to five. An item of fewer than
+``LEAST_RAW`` words only matches a document of just those words. Null ids of documents are reported as null; dropping goes by row (id and
+text), so rows without an id or with a shared one are judged by their own text. Repeated rows count once. Empty tables:
+empty result. Extra columns pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residuum.llm.common import stash
@@ -33,214 +40,289 @@ from residuum.llm.common import stash
 WINDOW = 5
 LEAST_PLAIN = 3
 SIMILARITY = 0.8
-MOST_WINDOWS = 500_000
-NUMBER, UNIT, NAME = "zznumberzz", "zzunitzz", "zznamezz"
-#: Marks of a text that is not yet a template: a name within a sentence, a capitalised word elsewhere, the end of what is marked.
-INNER, OPENING, END = NAME, "zzopeningzz", "zzendzz"
-#: Variants of a text: names within sentences replaced; no name replaced; all capitalised words replaced; words as they are, numbers too.
+LEAST_FORM, LEAST_RAW = 4, 4
+MOST_WINDOWS, MOST_BYTES = 500_000, 64_000_000
+#: Words that a task remembers, and characters that it reads at a time.
+MOST_KNOWN, CHARS = 1_000_000, 1_000_000
+#: Placeholders; no word is written so. And what stands between documents.
+NUMBER, UNIT, NAME, BETWEEN = "<number>", "<unit>", "<name>", "<between>"
+#: Readings of a text: names within sentences replaced; no name replaced; all capitalised words replaced; words as they are, numbers too.
 INSIDE, NO_NAMES, ALL_NAMES, RAW = 0, 1, 2, 3
 #: Units that may follow a number.
-UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l kl gal ms s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres percent dollar dollars cent cents euro euros degree degrees watt watts volt volts".split()
-_VALUES = re.compile(rf"(?P<n>\d+(?:[.,:/]\d+)*)(?:\s?(?P<u>%|(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})\b))?", re.I)
-_NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+\b"
-_NAMES = re.compile(rf"(?P<inner>(?:(?<=[^\W_][ ])|(?<=[^\W_],[ ])){_NAME}(?:[ ]{_NAME})*)|\b{_NAME}")
-_MARKS = re.compile("zz(?:number|unit|name|opening|end)zz", re.I)
-_WORDS = re.compile(r"\w+")
+UNITS = "% mm cm m km in ft yd mi mg g kg t lb oz ml l kl gal ms s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres percent dollar dollars cent cents euro euros degree degrees watt watts volt volts".split()
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+#: Numbers, words, and signs between sentences; signs within them (comma, apostrophe, hyphen) are left out.
+_TOKENS = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|%|[^\w\s,'’%-]+|\n")
+_CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+")
+#: What a token may be; its code is this plus its hash, which leaves the low bits free.
+WORD, CAPITALISED, DIGITS, NUMBER_WORD, UNIT_WORD, CAPITALISED_UNIT, BREAK = range(7)
+KIND, HASH = np.uint64(7), ~np.uint64(7)
 _FACTOR = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], np.uint64)
-SLOTS = (NUMBER, UNIT, NAME)
-
-
-def marked(text: str, values: bool = False) -> list[str]:
-    """Lower-case words of a text with marks: ``INNER`` or ``OPENING`` and ``END`` around names, ``NUMBER`` and ``UNIT`` for values (with ``values``: before them)."""
-    if "zz" in text:
-        text = _MARKS.sub(" ", text)
-    text = _NAMES.sub(lambda m: f" {INNER if m['inner'] else OPENING} {m[0]} {END} ", text)
-    if values:
-        unit = lambda u: f"{UNIT} {'zzpercentzz' if u == '%' else u} {END} " if u else ""
-        text = _VALUES.sub(lambda m: f" {NUMBER} {m['n'].replace('.', 'zzpointzz').replace(',', 'zzcommazz').replace(':', 'zzcolonzz').replace('/', 'zzslashzz')} {END} {unit(m['u'])}", text)
-    elif _VALUES.search(text):
-        text = _VALUES.sub(lambda m: f" {NUMBER} {UNIT} " if m["u"] else f" {NUMBER} ", text)
-    return _WORDS.findall(text.lower())
-
-
-def template(text: str, values: list[str] | None = None, variant: int = INSIDE) -> list[str]:
-    """Words of a variant's template; ``values`` gets what the placeholders stand for, in order."""
-    if variant == RAW:
-        return _WORDS.findall(text.lower())
-    out: list[str] = []
-    kept: list[list[str]] = []
-    mark, ended = "", False  # the mark we are within; whether an opening name ended just here, which a name then continues
-    for w in marked(text, True):
-        if w in (INNER, OPENING, NUMBER, UNIT):
-            mark = w
-            slot = w in (NUMBER, UNIT) or variant == ALL_NAMES or (variant == INSIDE and w == INNER)
-            if slot and not (ended and w == INNER):
-                out.append(NAME if w == OPENING else w)
-                kept.append([])
-            mark, ended = (w if slot else ""), False
-        elif w == END:
-            ended, mark = mark == OPENING, ""
-        elif mark:
-            kept[-1].append(w)
-        else:
-            out.append(w)
-            ended = False
-    if values is not None:
-        values += [" ".join(v) for v in kept]
-    return out
-
-
-def readings(words: list[str], known: dict[str, int]) -> list[np.ndarray]:
-    """Hashes of the words of the template variants ``INSIDE``, ``NO_NAMES`` and ``ALL_NAMES``, from one pass over the marked words."""
-    h = np.fromiter(map(known.get, words, repeat(0)), np.uint64, len(words))
-    inner, opening, end = h == _CODES[INNER], h == _CODES[OPENING], h == _CODES[END]
-    begin = inner | opening
-    plain = ~(begin | end)
-    if not begin.any():
-        return [h[plain]] * 3
-    last = np.maximum.accumulate(np.where(begin, np.arange(len(h)), 0))
-    within = np.cumsum(begin) > np.cumsum(end)
-    ended = np.r_[False, (end & opening[last])[:-1]]
-    h[begin] = word_hash(NAME)
-    return [h[inner | plain & ~(within & inner[last])], h[plain], h[opening | inner & ~ended | plain & ~within]]
 
 
 def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) | 1  # never 0, which stands for a word that no item has, nor one of _CODES
-
-
-#: What marks are among hashes.
-_CODES = {INNER: 2, OPENING: 4, END: 6}
-
-
-def window_hashes(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Hash of each window; 0 where a word is foreign."""
-    n = len(hashes) - window + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    own, total = np.ones(n, bool), np.zeros(n, np.uint64)
-    for k in range(window):
-        own &= hashes[k : k + n] != 0
-        total += hashes[k : k + n] * _FACTOR[k]
-    return np.where(own, total | np.uint64(1), np.uint64(0))
-
-
-def windows_at(text: str, places: np.ndarray | None = None, variant: int = INSIDE, window: int = WINDOW) -> Iterator[tuple[int, str, list[str]]]:
-    """(place, words, slot values) of the windows of a text, or of those at ``places``, with enough plain words; raw windows have no slots."""
-    values: list[str] = []
-    words = template(text, values, variant)
-    slot = np.cumsum([0] + [variant != RAW and w in SLOTS for w in words])
-    for p in range(len(words) - window + 1) if places is None else places:
-        if slot[p + window] - slot[p] <= WINDOW - LEAST_PLAIN:
-            yield int(p), " ".join(words[p : p + window]), values[slot[p] : slot[p + window]]
-
-
-_ROWS = pa.schema([("id", pa.int64()), ("variant", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("window", pa.string()), ("slots", pa.list_(pa.string()))])
-ROWS = "id long, variant int, n int, place int, window string, slots array<string>"
-
-
-def _rows(id_: int, found: list[tuple[int, str, list[str]]], variant: int = 0) -> pa.RecordBatch:
-    n = len(found)
-    columns = [[id_] * n, [variant] * n, [n] * n, *(list(c) for c in zip(*found))]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ROWS.types)], schema=_ROWS)
+    return xxhash.xxh64_intdigest(word) & ~7 | 8  # never 0, which stands for a word that no item has
+
+
+def token_kind(token: str) -> int:
+    lower = token.lower()
+    if token[0].isdecimal():
+        return DIGITS
+    if lower in NUMBER_WORDS:
+        return NUMBER_WORD
+    capitalised = _CAPITALISED.fullmatch(token)
+    if lower in UNITS:
+        return CAPITALISED_UNIT if capitalised else UNIT_WORD
+    return CAPITALISED if capitalised else WORD if token[0].isalpha() else BREAK
+
+
+class Codes(dict):
+    """Token -> its code; words that no item has (not in ``known``, where given) hash to 0."""
+
+    def __init__(self, known: frozenset[str] | None = None):
+        self.words = known
+        self[BETWEEN] = WORD
+
+    def __missing__(self, token: str) -> int:
+        lower = token.lower()
+        code = token_kind(token) | (word_hash(lower) if self.words is None or lower in self.words else 0)
+        if len(self) < MOST_KNOWN:
+            self[token] = code
+        return code
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+
+
+@dataclass(frozen=True)
+class Template:
+    """Template words: their hashes, whether each is a slot, where each begins in ``words`` (one more entry at the end), and the tokens that are words."""
+
+    hashes: np.ndarray
+    slot: np.ndarray
+    begin: np.ndarray
+    words: np.ndarray
+
+    def window_hashes(self, size: int) -> np.ndarray:
+        """Hash of each window of ``size``; 0 where a word is foreign or too few are plain."""
+        n = len(self.hashes) - size + 1
+        if n < 1:
+            return np.zeros(0, np.uint64)
+        own, total = np.ones(n, bool), np.zeros(n, np.uint64)
+        for k in range(size):
+            own &= self.hashes[k : k + n] != 0
+            total += self.hashes[k : k + n] * _FACTOR[k]
+        slots = np.r_[0, np.cumsum(self.slot)]
+        own &= slots[size:] - slots[:-size] <= WINDOW - LEAST_PLAIN
+        return np.where(own, total | np.uint64(1), np.uint64(0))
+
+    def window(self, tokens: list[str], place: int, size: int) -> tuple[str, list[str]]:
+        """Words of the window and the values in its slots."""
+        out, values = [], []
+        for j in range(place, place + size):
+            said = " ".join(tokens[k].lower() for k in self.words[self.begin[j] : self.begin[j + 1]])
+            if self.slot[j]:
+                values.append(said)
+                said = next(p for p in (NUMBER, UNIT, NAME) if word_hash(p) == int(self.hashes[j]))
+            out.append(said)
+        return " ".join(out), values
+
+
+def template(codes: np.ndarray, reading: int) -> Template:
+    """One reading of a sequence of tokens."""
+    kind = codes & KIND
+    words = np.flatnonzero(kind != BREAK)
+    kind, hashes = kind[words], codes[words] & HASH
+    opens = np.diff(words, prepend=-2) > 1
+    follows = lambda x: np.r_[False, x[:-1]] & ~opens
+    if reading == RAW:
+        return Template(hashes, np.zeros(len(words), bool), np.arange(len(words) + 1), words)
+    number = (kind == DIGITS) | (kind == NUMBER_WORD)
+    unit = ((kind == UNIT_WORD) | (kind == CAPITALISED_UNIT)) & follows(number)
+    name = ((kind == CAPITALISED) | (kind == CAPITALISED_UNIT)) & ~unit
+    name &= (reading == ALL_NAMES) | (reading == INSIDE) & ~opens
+    spelt = kind == NUMBER_WORD
+    begin = np.flatnonzero(~(name & follows(name) | spelt & follows(spelt)))  # a run of names, or of number words, is one slot
+    hashes = np.where(name, word_hash(NAME), np.where(number, word_hash(NUMBER), np.where(unit, word_hash(UNIT), hashes))).astype(np.uint64)
+    return Template(hashes[begin], (name | number | unit)[begin], np.r_[begin, len(words)], words)
+
+
+_WINDOW = pa.struct([("place", pa.int32()), ("window", pa.string()), ("slots", pa.list_(pa.string()))])
+WINDOWS = "windows array<struct<place:int,window:string,slots:array<string>>>"
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Each item's windows, and in ``n`` how many it has, of each variant that differs; ``RAW`` (in windows of up to five words) for items without any."""
+    """``item, variant, size, windows``: each item's windows of each reading that differs; ``RAW`` ones, of ``size`` words, for items without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
         for batch in batches:
+            rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = []
-                for variant in (INSIDE, NO_NAMES, ALL_NAMES):
-                    if (found := list(windows_at(text, None, variant))) and found not in seen:
+                tokens, seen = _TOKENS.findall(text), []
+                coded = codes.of(tokens)
+                for variant in (INSIDE, NO_NAMES, ALL_NAMES, RAW):
+                    read = template(coded, variant)
+                    size = WINDOW if variant != RAW else min(WINDOW, len(read.hashes))
+                    found = [(int(p), *read.window(tokens, p, size)) for p in np.flatnonzero(read.window_hashes(size))] if size else []
+                    if found and found not in seen and (variant != RAW or not seen):
                         seen.append(found)
-                        yield _rows(i, found, variant)
-                if not seen and (size := min(WINDOW, len(template(text, None, RAW)))):
-                    yield _rows(i, list(windows_at(text, None, RAW, size)), RAW)
+                        rows.append((i, variant, size, [dict(zip(("place", "window", "slots"), x)) for x in found]))
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.list_(_WINDOW)))], names=["item", "variant", "size", "windows"])
 
     texts = items.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROWS)
+    return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"item long, variant int, size int, {WINDOWS}")
+
+
+@dataclass
+class Index:
+    """The items of one reading and size: ``hashes`` of their windows, sorted; each item's places in it, and how many it may miss; the items that list a window among their rarest."""
+
+    hashes: np.ndarray
+    items: list[tuple[int, np.ndarray, int]]
+    rarest: dict[int, list[int]]
+
+    def candidates(self, met: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Items (and their places) of which enough windows are among ``met``."""
+        for k in sorted({k for m in met.tolist() for k in self.rarest.get(m, ())}):
+            item, own, miss = self.items[k]
+            if np.isin(own, met).sum() >= len(own) - miss:
+                yield item, own
+
+
+def indexes(rows: list[tuple[int, int, int, list[str]]], similarity: float) -> dict[tuple[int, int], Index]:
+    """``rows``: item, variant, size, windows."""
+    by: dict[tuple[int, int], list[tuple[int, np.ndarray, int]]] = defaultdict(list)
+    for item, variant, size, windows in rows:
+        hashes = [np.uint64(sum(word_hash(w) * int(f) for w, f in zip(words.split(" "), _FACTOR)) & (1 << 64) - 1 | 1) for words in windows]
+        by[variant, size].append((item, np.unique(np.array(hashes, np.uint64)), int(len(windows) * (1 - similarity) + 1e-9)))
+    out = {}
+    for key, items in by.items():
+        hashes, often = np.unique(np.concatenate([h for _, h, _ in items]), return_counts=True)
+        placed = [(item, np.searchsorted(hashes, h), miss) for item, h, miss in items]
+        rarest = defaultdict(list)
+        for k, (_, own, miss) in enumerate(placed):
+            for m in own[np.argsort(often[own], kind="stable")][: miss + 1].tolist():  # of so many, one is in every match
+                rarest[m].append(k)
+        out[key] = Index(hashes, placed, dict(rarest))
+    return out
 
 
-def matching_windows(docs: DataFrame, windows: list[tuple[int, str]], id_col: str, text_col: str) -> DataFrame:
-    """The windows of documents that are among ``windows`` (variant, words); no row for others."""
-    known = {w: word_hash(w) for w in {x for _, words in windows for x in words.split(" ")}}
-    sought: dict[tuple[int, int], list[int]] = {}
-    for variant, words in windows:
-        one = words.split(" ")
-        sought.setdefault((variant, len(one)), []).append(window_hashes(np.array([known[x] for x in one], np.uint64), len(one))[0])
-    index = {k: np.unique(np.array(v, np.uint64)) for k, v in sought.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((known, index))  # bounded by MOST_WINDOWS
+def matches(docs: DataFrame, items: list[tuple[int, int, int, list[str]]], id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """``id, key, item, variant, words, windows``: rows and items that may share enough windows, with the row's windows that the item has (by hash); ``key``: hash of the text."""
+    known = frozenset(w for *_, windows in items for words in windows for w in words.split(" "))
+    shared = docs.sparkSession.sparkContext.broadcast((known, indexes(items, similarity)))  # bounded by MOST_WINDOWS and MOST_BYTES
+
+    def scan(ids: list, keys: list, texts: list[str], codes: Codes, found: dict[tuple[int, int], Index]) -> Iterator[tuple]:
+        lists = [_TOKENS.findall(t) for t in texts]
+        tokens = [*chain.from_iterable((*x, BETWEEN, "\n") for x in lists)]  # documents end with a foreign word, so no window spans two
+        coded = codes.of(tokens)
+        ends = np.cumsum([len(x) + 2 for x in lists])
+        reads = {variant: template(coded, variant) for variant, _ in found}
+        for (variant, size), index in found.items():
+            read = reads[variant]
+            hashes = read.window_hashes(size)
+            at = np.flatnonzero(hashes)
+            place = np.minimum(np.searchsorted(index.hashes, hashes[at]), len(index.hashes) - 1)
+            same = index.hashes[place] == hashes[at]
+            at, place = at[same], place[same]
+            owner = np.searchsorted(ends, read.words[read.begin[at]], "right")
+            last = np.searchsorted(read.words[read.begin[:-1]], ends - 2)  # place of each document's end among the template's words
+            for d in np.unique(owner).tolist():
+                mine = owner == d
+                first = int(last[d - 1]) + 1 if d else 0
+                for item, own in index.candidates(np.unique(place[mine])):
+                    hits = at[mine][np.isin(place[mine], own)].tolist()
+                    windows = [dict(zip(("place", "window", "slots"), (p - first, *read.window(tokens, p, size)))) for p in hits]
+                    yield ids[d], keys[d], item, variant, int(last[d]) - first, windows
+
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(_WINDOW))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, index = shared.value
-        coded = known | _CODES
-        templates, raw = any(v != RAW for v, _ in index), any(v == RAW for v, _ in index)
+        known, found = shared.value
+        codes = Codes(known | {NUMBER, UNIT, NAME})
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                read = readings(marked(text), coded) if templates else [None] * 3
-                if raw:
-                    words = template(text, None, RAW)
-                    read = [*read, np.fromiter(map(known.get, words, repeat(0)), np.uint64, len(words))]
-                for (variant, size), own in index.items():
-                    all_ = window_hashes(read[variant], size)
-                    at = np.flatnonzero(all_)
-                    at = at[own[np.minimum(np.searchsorted(own, all_[at]), len(own) - 1)] == all_[at]]
-                    if len(at) and (kept := list(windows_at(text, at, variant, size))):
-                        yield _rows(i, kept, variant)
+            ids, keys, texts = (batch.column(k).to_pylist() for k in range(3))
+            cut = np.searchsorted(np.cumsum([len(t) for t in texts]), np.arange(CHARS, sum(map(len, texts)), CHARS)).tolist()
+            for a, b in zip([0, *cut], [*cut, len(texts)]):
+                if rows := list(scan(ids[a:b], keys[a:b], texts[a:b], codes, found)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["id", "key", "item", "variant", "words", "windows"])
 
     texts = docs.filter(F.col(text_col).isNotNull())
-    return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROWS)
+    return texts.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, key long, item long, variant int, words int, {WINDOWS}")
+
+
+def judge(own: list[dict], met: list[dict], similarity: float = SIMILARITY) -> tuple[str | None, float]:
+    """(kind, share of the item's windows) of the best alignment between an item's windows and a document's."""
+    where: dict[str, list[dict]] = defaultdict(list)
+    for x in met:
+        where[x["window"]].append(x)
+    # a copy lies within twice the item's length: two sets of bands of offsets, shifted by half, so that one band holds it whole;
+    # and each exact offset alone, as copies side by side share a band
+    width = 2 * len(own) + 2 * WINDOW
+    bands: dict[tuple[int, int], list[tuple[int, int, list[str], list[str]]]] = defaultdict(list)
+    for x in own:
+        for y in where.get(x["window"], ()):
+            offset = y["place"] - x["place"]
+            for band in ((0, offset // width), (1, (offset + width // 2) // width), (2, offset)):
+                bands[band].append((x["place"], offset, x["slots"], y["slots"]))
+    best: tuple[str | None, float] = (None, 0.0)
+    for pairs in bands.values():
+        alike = len({p for p, *_ in pairs})
+        if alike < similarity * len(own) - 1e-9:
+            continue
+        often = Counter(offset for _, offset, *_ in pairs)
+        main = min(often, key=lambda o: (-often[o], o))
+        aligned = {}  # of a place's hits, the one nearest the band's main offset
+        for place, offset, old, new in sorted(pairs, key=lambda x: (abs(x[1] - main), x[1])):
+            aligned.setdefault(place, (old, new))
+        equal = {place for place, _, old, new in pairs if old == new}
+        said = {pair for old, new in aligned.values() for pair in zip(old, new)}
+        agreed = len(said) == len({old for old, _ in said})
+        kind = "copy" if len(equal) >= similarity * len(own) - 1e-9 else "reparameterised" if agreed and len(own) >= LEAST_FORM else None
+        if kind:
+            best = min(best, (kind, alike / len(own)), key=lambda x: (x[0] or "~", -x[1]))
+    return best
 
 
 def _contaminated(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    windows = [(r["variant"], r["window"]) for r in items.select("variant", "window").distinct().collect()]  # at most MOST_WINDOWS
-    hits = matching_windows(docs, windows, id_col, text_col).select(F.col("id").alias("doc_id"), "variant", "window", F.col("place").alias("at"), F.col("slots").alias("found"))
-    met = hits.join(items.withColumnRenamed("id", "item_id"), ["variant", "window"])  # exact, on the words themselves
-    # a copy lies within twice the item's length: two sets of bands, shifted by half, so that one band holds it whole
-    width = 2 * F.col("n") + 2 * WINDOW
-    offset = F.col("at") - F.col("place")
-    # and each exact alignment alone, as copies side by side share a band
-    bands = F.array(
-        F.struct(F.lit(0).alias("shift"), F.floor(offset / width).alias("band")),
-        F.struct(F.lit(1).alias("shift"), F.floor(offset / width + 0.5).alias("band")),
-        F.struct(F.lit(2).alias("shift"), offset.cast("long").alias("band")),
-    )
-    met = met.select("doc_id", "item_id", "variant", "n", "place", "slots", "found", offset.alias("offset"), F.inline(bands))
-    # a repeated window meets each of its occurrences: of a place's hits, the one nearest the band's main offset is the aligned one
-    where = ["doc_id", "item_id", "variant", "n", "shift", "band"]
-    met = met.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy(*where, "offset")))
-    met = met.withColumn("main", F.max(F.struct("often", "offset")).over(Window.partitionBy(*where))["offset"])
-    aligned = met.groupBy(*where, "place").agg(
-        F.max(F.col("slots") == F.col("found")).alias("equal"),
-        F.min_by(F.arrays_zip(F.col("slots").alias("old"), F.col("found").alias("new")), F.struct(F.abs(F.col("offset") - F.col("main")), "offset")).alias("pairs"),
-    )
-    near = aligned.groupBy(*where).agg(
-        F.count(F.lit(1)).alias("alike"),
-        F.count_if("equal").alias("same"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-    )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["old"])))
-    least = F.col("n") * similarity
-    kind = F.when(F.col("same") >= least, "copy").when((F.col("alike") >= least) & consistent, "reparameterised")
-    return near.withColumn("kind", kind).filter("kind IS NOT NULL").groupBy("doc_id", "item_id").agg(F.min("kind").alias("kind"), F.max(F.col("alike") / F.col("n")).alias("contained"))
-
-
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """``doc_id, item_id, kind, contained`` of each pair of a document and an item that it holds."""
+    rows = [(r["item"], r["variant"], r["size"], r["w"]) for r in items.select("item", "variant", "size", F.col("windows.window").alias("w")).collect()]  # at most MOST_WINDOWS
+    met = matches(docs, rows, id_col, text_col, similarity)
+    own = items.select("item", "variant", "size", F.col("windows").alias("own"))
+    met = met.join(F.broadcast(own), ["item", "variant"]).filter(f"size >= {LEAST_RAW} OR words = size").select("id", "key", "item", "own", "windows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [judge(x, y, similarity) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            kinds, shares = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(kinds, pa.string()), pa.array(shares, pa.float64())], names=["id", "key", "item", "kind", "contained"])
+
+    judged = met.mapInArrow(run, "id long, key long, item long, kind string, contained double").filter("kind IS NOT NULL")
+    return judged.groupBy("id", "key", "item").agg(F.min("kind").alias("kind"), F.max("contained").alias("contained"))
+
+
+def found(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, most_windows: int = MOST_WINDOWS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``id, key, item, kind, contained`` of each row and item that it holds; ``key`` is ``xxhash64`` of the text."""
     windows = stash(item_windows(items, item_col, item_text_col), "item-windows")
-    slices = max(1, -(-windows.count() // most_windows))
-    found = None
-    for k in range(slices):
-        part = windows.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == k)
-        one = _contaminated(docs, part, id_col, text_col, similarity)
-        found = one if found is None else found.unionByName(one)
-    return found
+    said = F.aggregate("windows", F.lit(0).cast("long"), lambda n, x: n + F.length(x["window"]) + F.length(F.array_join(x["slots"], " ")) + 24)
+    n, size = windows.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0)), F.coalesce(F.sum(said), F.lit(0))).first()
+    slices = max(1, -(-n // most_windows), -(-size // most_bytes))
+    parts = [_contaminated(docs, windows.filter(F.pmod(F.xxhash64("item"), F.lit(slices)) == k), id_col, text_col, similarity) for k in range(slices)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``doc_id, item_id, kind, contained`` of each pair of a document and an item that it holds; options as of ``found``."""
+    pairs = found(docs, items, **options).groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+    return pairs.agg(F.min("kind").alias("kind"), F.max("contained").alias("contained"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that hold an item."""
-    ids = contaminated(docs, items, id_col, **options).select(F.col("doc_id").alias("__leak")).filter("__leak IS NOT NULL").distinct()
-    ids = stash(ids, "contaminated")
-    return docs.join(ids, docs[id_col] == ids["__leak"], "left_anti")
+    leaks = found(docs, items, id_col, text_col, **options).select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
+    leaks = stash(leaks, "contaminated")
+    return docs.join(leaks, docs[id_col].cast("long").eqNullSafe(leaks["__id"]) & (F.xxhash64(docs[text_col]) == leaks["__key"]), "left_anti")

@@ -317,14 +317,94 @@ def test_new_names_that_open_sentences(spark):
     assert found_in(spark, [(item, new), (run, run.replace("New York", "Paris").replace("3", "7"))]) == ["reparameterised"] * 2
 
 
-def test_readings_agree_with_templates():
+def slow_template(text, reading):
+    """Template words and slot values, token by token."""
+    out, values, before, number, name, spelt = [], [], None, False, False, False
+    for token in decontam._TOKENS.findall(text):
+        kind, word = decontam.token_kind(token), token.lower()
+        if kind == decontam.BREAK:
+            before, number, name, spelt = None, False, False, False
+            continue
+        is_number = kind in (decontam.DIGITS, decontam.NUMBER_WORD)
+        is_unit = kind in (decontam.UNIT_WORD, decontam.CAPITALISED_UNIT) and number
+        is_name = kind in (decontam.CAPITALISED, decontam.CAPITALISED_UNIT) and not is_unit and (reading == decontam.ALL_NAMES or reading == decontam.INSIDE and before is not None)
+        if is_name and name or kind == decontam.NUMBER_WORD and spelt:
+            values[-1] += " " + word
+        elif is_number or is_unit or is_name:
+            out.append(decontam.NUMBER if is_number else decontam.UNIT if is_unit else decontam.NAME)
+            values.append(word)
+        else:
+            out.append(word)
+        before, number, name, spelt = word, is_number, is_name, kind == decontam.NUMBER_WORD
+    return out, values
+
+
+def test_readings_match_a_slow_one():
     rng = random.Random(8)
-    parts = ["Tom", "New York", "the", "a. The", "5 km", "1,000.5", "7%", "(Ann", "word,", "É", "Ünder", "ABC", "McDo", "zznamezz", "zzendzz", "x1", "İ", '"How', "\n", "2 Grams"]
+    parts = ["Tom", "New York", "the", "a. The", "5 km", "1,000.5", "7%", "(Ann", "word,", "É", "Ünder", "ABC", "McDo", "<name>", "twenty-five", "x1", "İ", '"How', "\n", "2 Grams", "Miles", "three", "Hundred"]
     for _ in range(300):
         text = " ".join(rng.choices(parts, k=rng.randrange(30)))
-        known = {w: decontam.word_hash(w) for v in range(3) for w in decontam.template(text, None, v)}
-        for variant, got in enumerate(decontam.readings(decontam.marked(text), known | decontam._CODES)):
-            assert list(got) == [known[w] for w in decontam.template(text, None, variant)], (variant, text)
+        tokens = decontam._TOKENS.findall(text)
+        for reading in (decontam.INSIDE, decontam.NO_NAMES, decontam.ALL_NAMES):
+            got = decontam.template(decontam.Codes().of(tokens), reading)
+            n = len(got.hashes)
+            words_, values = slow_template(text, reading)
+            assert got.hashes.tolist() == [decontam.word_hash(w) for w in words_], (reading, text)
+            assert not n or got.window(tokens, 0, n) == (" ".join(words_), values), (reading, text)
+
+
+def test_two_documents_never_make_a_window(spark):
+    items = spark.createDataFrame([(1, "one red fox met a blue hare near our old mill")], "item_id long, text string")
+    halves = ["it says one red fox met a", "blue hare near our old mill"]
+    assert decontam.contaminated(docs(spark, halves).coalesce(1), items).count() == 0
+
+
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    rows = [(None, ITEM), (None, "quite clean"), (3, ITEM), (3, "clean too"), (3, ITEM), (None, ITEM[: len(ITEM) // 2]), (None, ITEM[len(ITEM) // 2 :])]
+    table = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t in rows], DOCS)
+    assert sorted((r.doc_id is None, r.item_id) for r in decontam.contaminated(table, items).collect()) == [(False, 7), (True, 7)]
+    assert sorted(r.text for r in decontam.drop_contaminated(table, items).collect()) == sorted(t for _, t in rows if t != ITEM)
+
+
+def test_short_items_match_only_themselves(spark):
+    assert found_in(spark, [("Paris", "we met in Paris"), ("yes no", "yes no")]) == [None, None]
+    items = spark.createDataFrame([(1, "Paris"), (2, "what is this")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, ["paris!", "What is this?", "Paris it is", "so what is this"]), items).collect()} == {(0, 1), (1, 2)}
+
+
+NAMES = "Tom Ann Bob Mary Alice Robert Peter Susan Karl Nina Oscar Paula".split()
+STORIES = (
+    "{a} has {x} {red} apples in the box. {a} gives {y} apples to {b} and keeps the {red} ones. How many apples does {a} have left?",
+    "A train leaves {c} at {x} km per hour while {a} drives a {red} car at {y} km per hour. After {z} hours, how far apart are the train and {a}?",
+    "She has {x} {red} apples in the box and {y} green pears, then she has {z} {red} apples in the box and {x} green pears. How many did {a} eat?",
+    "{a} then buys {x} pens for {y} dollars at the {red} shop near the school. If {a} sells every pen for {z} dollars, what profit does {a} make?",
+    "In {c}, {a} and {b} paint a fence of {x} meters in {y} hours. How long would {b} need alone if {a} paints {z} meters of the {red} fence per hour?",
+)
+
+
+def story(rng, k, red, values=None):
+    """A word problem; ``red`` tells items of one kind apart."""
+    a, b = rng.sample(NAMES, 2)
+    x, y, z = rng.sample(range(2, 500) if values is None else values, 3)
+    return STORIES[k % len(STORIES)].format(a=a, b=b, c=rng.choice(("Paris", "New York", "Rome", "San Marino")), x=x, y=y, z=z, red=red)
+
+
+def test_recall_of_new_values_against_all_pairs(spark):
+    rng = random.Random(12)
+    reds = [f"{p}{q}" for p in ("dark", "pale", "light", "deep") for q in ("red", "blue", "grey", "brown", "pink")]
+    items = [(k, story(rng, k, reds[k % len(reds)])) for k in range(100)]
+    prose = lambda n: " ".join(rng.choice(("we", "saw", "how", "many", "boats", "the", "box", "in", "and", "left", "Tom", "has", "7")) for _ in range(n))
+    planted = [f"{prose(40)}. {story(rng, k, reds[k % len(reds)], range(500, 999))} {prose(30)}" for k in range(100)]
+    spelt = [f"{prose(9)}. {story(rng, k, reds[k % len(reds)], decontam.NUMBER_WORDS[3:20])}" for k in range(100)]
+    clean = [prose(200) for _ in range(100)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, planted + spelt + clean), table).collect()}
+    # all pairs, by the slow template: enough windows of the item anywhere, and one new value for each old one
+    assert sum((k, k) in got for k in range(100)) >= 90 and sum((100 + k, k) in got for k in range(100)) >= 90
+    assert not [d for d, _ in got if d >= 200]
+    # an item of one story never matches another story
+    assert all(d % 100 % len(STORIES) == i % len(STORIES) for d, i in got)
 
 
 def test_decontamination_of_nothing(spark):
