@@ -24,13 +24,14 @@ empty result. Extra columns pass through ``drop_contaminated``.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +43,10 @@ LEAST_PLAIN = 3
 SIMILARITY = 0.8
 LEAST_FORM, LEAST_RAW = 4, 4
 MOST_WINDOWS, MOST_BYTES = 500_000, 64_000_000
-#: Words that a task remembers, and characters that it reads at a time.
-MOST_KNOWN, CHARS = 1_000_000, 1_000_000
+#: Pieces of text that a task remembers, and bytes that it reads at a time.
+MOST_KNOWN, BYTES = 1_000_000, 2_000_000
 #: Placeholders; no word is written so. And what stands between documents.
-NUMBER, UNIT, NAME, BETWEEN = "<number>", "<unit>", "<name>", "<between>"
+NUMBER, UNIT, NAME, BETWEEN = "<number>", "<unit>", "<name>", "\x02"
 #: Readings of a text: names within sentences replaced; no name replaced; all capitalised words replaced; words as they are, numbers too.
 INSIDE, NO_NAMES, ALL_NAMES, RAW = 0, 1, 2, 3
 #: Units that may follow a number.
@@ -64,34 +65,62 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word) & ~7 | 8  # never 0, which stands for a word that no item has
 
 
+_LISTED = dict.fromkeys(NUMBER_WORDS, NUMBER_WORD) | dict.fromkeys(UNITS, UNIT_WORD)
+
+
 def token_kind(token: str) -> int:
-    lower = token.lower()
-    if token[0].isdecimal():
-        return DIGITS
-    if lower in NUMBER_WORDS:
-        return NUMBER_WORD
-    capitalised = _CAPITALISED.fullmatch(token)
-    if lower in UNITS:
-        return CAPITALISED_UNIT if capitalised else UNIT_WORD
-    return CAPITALISED if capitalised else WORD if token[0].isalpha() else BREAK
+    kind = _LISTED.get(token.lower())
+    if kind == NUMBER_WORD:
+        return kind
+    if token[0].isalpha():
+        capitalised = _CAPITALISED.fullmatch(token)
+        return (CAPITALISED_UNIT if kind else CAPITALISED) if capitalised else kind or WORD
+    return kind or (DIGITS if token[0].isdecimal() else BREAK)
 
 
 class Codes(dict):
-    """Token -> its code; words that no item has (not in ``known``, where given) hash to 0."""
+    """Codes of the tokens of texts. Arrow splits texts at white space, which no token spans; each different piece is read once.
+
+    Words that no item has (not in ``known``, where given) hash to 0. The mapping is of pieces to their numbers.
+    """
 
     def __init__(self, known: frozenset[str] | None = None):
         self.words = known
-        self[BETWEEN] = WORD
-
-    def __missing__(self, token: str) -> int:
-        lower = token.lower()
-        code = token_kind(token) | (word_hash(lower) if self.words is None or lower in self.words else 0)
-        if len(self) < MOST_KNOWN:
-            self[token] = code
-        return code
-
-    def of(self, tokens: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.flat, self.begins = array("Q", [WORD]), array("q", [0, 1])
+        self[BETWEEN] = 0
+
+    def __missing__(self, piece: str) -> int:
+        flat, known = self.flat, self.words
+        if piece.isalpha() and piece.islower() and piece not in _LISTED:
+            flat.append(word_hash(piece) if known is None or piece in known else 0)
+        else:
+            for token in _TOKENS.findall(piece):
+                lower = token.lower()
+                flat.append(token_kind(token) | (word_hash(lower) if known is None or lower in known else 0))
+        self.begins.append(len(flat))
+        self[piece] = n = len(self)
+        return n
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all tokens and where each text ends; a foreign word and a break are added to each, so that no window spans two."""
+        if len(self) > MOST_KNOWN:
+            self.forget()
+        ended = pc.binary_join_element_wise(pc.replace_substring(texts, "\n", " ; "), f" {BETWEEN} ;", "")
+        parts = pc.utf8_split_whitespace(ended)
+        pieces = parts.flatten().dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary), "\x1f")[0].as_py().split("\x1f")  # one long text is faster than many short ones
+        if len(distinct) != len(pieces.dictionary):
+            distinct = pieces.dictionary.to_pylist()
+        at = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        begins, flat = np.frombuffer(self.begins, np.int64), np.frombuffer(self.flat, np.uint64)
+        sizes = begins[at + 1] - begins[at]
+        ends = np.cumsum(sizes)
+        counts = pc.list_value_length(parts).to_numpy()
+        return flat[np.repeat(begins[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends[np.cumsum(counts, dtype=np.int64) - 1]
 
 
 @dataclass(frozen=True)
@@ -116,11 +145,11 @@ class Template:
         own &= slots[size:] - slots[:-size] <= WINDOW - LEAST_PLAIN
         return np.where(own, total | np.uint64(1), np.uint64(0))
 
-    def window(self, tokens: list[str], place: int, size: int) -> tuple[str, list[str]]:
-        """Words of the window and the values in its slots."""
+    def window(self, tokens: list[str], place: int, size: int, skipped: int = 0) -> tuple[str, list[str]]:
+        """Words of the window and the values in its slots; ``tokens`` begin after the ``skipped`` first."""
         out, values = [], []
         for j in range(place, place + size):
-            said = " ".join(tokens[k].lower() for k in self.words[self.begin[j] : self.begin[j + 1]])
+            said = " ".join(tokens[k - skipped].lower() for k in self.words[self.begin[j] : self.begin[j + 1]])
             if self.slot[j]:
                 values.append(said)
                 said = next(p for p in (NUMBER, UNIT, NAME) if word_hash(p) == int(self.hashes[j]))
@@ -160,7 +189,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens, seen = _TOKENS.findall(text), []
-                coded = codes.of(tokens)
+                coded = codes.of(pa.array([text]))[0][:-2]
                 for variant in (INSIDE, NO_NAMES, ALL_NAMES, RAW):
                     read = template(coded, variant)
                     size = WINDOW if variant != RAW else min(WINDOW, len(read.hashes))
@@ -214,11 +243,9 @@ def matches(docs: DataFrame, items: list[tuple[int, int, int, list[str]]], id_co
     known = frozenset(w for *_, windows in items for words in windows for w in words.split(" "))
     shared = docs.sparkSession.sparkContext.broadcast((known, indexes(items, similarity)))  # bounded by MOST_WINDOWS and MOST_BYTES
 
-    def scan(ids: list, keys: list, texts: list[str], codes: Codes, found: dict[tuple[int, int], Index]) -> Iterator[tuple]:
-        lists = [_TOKENS.findall(t) for t in texts]
-        tokens = [*chain.from_iterable((*x, BETWEEN, "\n") for x in lists)]  # documents end with a foreign word, so no window spans two
-        coded = codes.of(tokens)
-        ends = np.cumsum([len(x) + 2 for x in lists])
+    def scan(batch: pa.RecordBatch, codes: Codes, found: dict[tuple[int, int], Index]) -> Iterator[tuple]:
+        ids, keys, texts = batch.columns
+        coded, ends = codes.of(texts)
         reads = {variant: template(coded, variant) for variant, _ in found}
         for (variant, size), index in found.items():
             read = reads[variant]
@@ -230,23 +257,24 @@ def matches(docs: DataFrame, items: list[tuple[int, int, int, list[str]]], id_co
             owner = np.searchsorted(ends, read.words[read.begin[at]], "right")
             last = np.searchsorted(read.words[read.begin[:-1]], ends - 2)  # place of each document's end among the template's words
             for d in np.unique(owner).tolist():
-                mine = owner == d
+                mine, tokens = owner == d, None
                 first = int(last[d - 1]) + 1 if d else 0
                 for item, own in index.candidates(np.unique(place[mine])):
                     hits = at[mine][np.isin(place[mine], own)].tolist()
-                    windows = [dict(zip(("place", "window", "slots"), (p - first, *read.window(tokens, p, size)))) for p in hits]
-                    yield ids[d], keys[d], item, variant, int(last[d]) - first, windows
+                    tokens = tokens or _TOKENS.findall(texts[d].as_py())
+                    windows = [dict(zip(("place", "window", "slots"), (p - first, *read.window(tokens, p, size, int(ends[d - 1]) if d else 0)))) for p in hits]
+                    yield ids[d].as_py(), keys[d].as_py(), item, variant, int(last[d]) - first, windows
 
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(_WINDOW))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found = shared.value
-        codes = Codes(known | {NUMBER, UNIT, NAME})
+        codes = Codes(known)
         for batch in batches:
-            ids, keys, texts = (batch.column(k).to_pylist() for k in range(3))
-            cut = np.searchsorted(np.cumsum([len(t) for t in texts]), np.arange(CHARS, sum(map(len, texts)), CHARS)).tolist()
-            for a, b in zip([0, *cut], [*cut, len(texts)]):
-                if rows := list(scan(ids[a:b], keys[a:b], texts[a:b], codes, found)):
+            read = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(), dtype=np.int64)
+            cut = np.searchsorted(read, np.arange(BYTES, read[-1] if len(read) else 0, BYTES)).tolist()
+            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+                if a < b and (rows := list(scan(batch.slice(a, b - a), codes, found))):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["id", "key", "item", "variant", "words", "windows"])
 
     texts = docs.filter(F.col(text_col).isNotNull())

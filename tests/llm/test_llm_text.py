@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -346,7 +347,7 @@ def test_readings_match_a_slow_one():
         text = " ".join(rng.choices(parts, k=rng.randrange(30)))
         tokens = decontam._TOKENS.findall(text)
         for reading in (decontam.INSIDE, decontam.NO_NAMES, decontam.ALL_NAMES):
-            got = decontam.template(decontam.Codes().of(tokens), reading)
+            got = decontam.template(decontam.Codes().of(pa.array([text]))[0][:-2], reading)
             n = len(got.hashes)
             words_, values = slow_template(text, reading)
             assert got.hashes.tolist() == [decontam.word_hash(w) for w in words_], (reading, text)
