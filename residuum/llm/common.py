@@ -16,14 +16,20 @@ SPACES = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: The temporary folder of this process, once one is needed.
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for cut lineage (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The cluster's folder for cut lineage (``spark.checkpoint.dir``); where none is set, a temporary one, but on local masters alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        own = tempfile.mkdtemp(prefix="residuum-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        folder = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="residuum-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        folder = f"file://{_own[0]}"
     return folder.rstrip("/")
 
 
@@ -52,6 +58,33 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running_sums(values: Column, block: int = 64, levels: int = 3) -> Column:
+    """Inclusive running sums of an array of longs.
+
+    A fold that appends copies its array at each step, so it is kept to blocks, whose totals are summed in the same way: the
+    work is in proportion to the array up to some millions of values.
+    """
+
+    def fold(a: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+
+        return F.aggregate(a, start, step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        last = lambda x: F.element_at(x, -1)
+        upto = running_sums(F.transform(blocks, last), block, levels - 1)
+        return F.flatten(F.zip_with(blocks, upto, lambda x, t: F.transform(x, lambda v: v + t - last(x))))
+
+    def cut(a: Column) -> Column:
+        at = F.sequence(F.lit(0), F.ceil(F.size(a) / block).cast("int") - 1)
+        return let(F.transform(at, lambda b: fold(F.slice(a, b * block + 1, F.lit(block)))), joined)
+
+    return fold(values) if levels == 1 else let(values, lambda a: F.when(F.size(a) <= block, fold(a)).otherwise(cut(a)))
+
+
 def running_total(df: DataFrame, keys: list[Column | str], value: str, out: str, what: str) -> DataFrame:
     """``df`` with ``out``: the inclusive sum of ``value`` over all rows in the order of ``keys``.
 

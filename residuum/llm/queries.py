@@ -195,35 +195,81 @@ found AS (
          regexp_extract_all(t, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS part FROM docs
   UNION ALL SELECT rid, 1, 18, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM docs
   UNION ALL SELECT rid, 2, 16, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') FROM docs
-  UNION ALL SELECT rid, 3, 20, string_split_regex(t, '[A-Za-z0-9+/_=-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]+') FROM docs),
+  UNION ALL SELECT rid, 3, 16, string_split_regex(t, '[A-Za-z0-9+/_=-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]+') FROM docs),
 each_ AS (SELECT rid, kind, least_, i, length(gaps[i]) AS gap, length(whole[i]) AS size, length(part[i]) AS part, whole[i] AS token FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM found)),
 placed AS (SELECT rid, kind, least_, part, token, sum(gap + size) OVER (PARTITION BY rid, kind ORDER BY i) - size AS start_, sum(gap + size) OVER (PARTITION BY rid, kind ORDER BY i) AS stop_ FROM each_),
 spans AS (SELECT rid, kind, token, CAST(start_ AS BIGINT) AS start_, CAST(stop_ AS BIGINT) AS stop_ FROM placed WHERE part >= least_),
-split_ AS (SELECT rid, start_, stop_, token, string_split(token, '') AS c FROM spans WHERE kind = 3),
-kinds AS (
-  SELECT *, list_transform(c, lambda x: CASE WHEN regexp_matches(x, '[a-z]') THEN 0 WHEN regexp_matches(x, '[A-Z]') THEN 1 WHEN regexp_matches(x, '[0-9]') THEN 2 ELSE 3 END) AS k,
-         list_transform(c, lambda x: regexp_matches(x, '[aeiouAEIOU]')) AS v FROM split_),
+cores AS (
+  SELECT rid, start_, stop_, token, CASE WHEN regexp_full_match(token, '[0-9a-fA-F]+(?:[-_][0-9a-fA-F]+)*') THEN translate(token, '-_', '') ELSE regexp_replace(token, '=+$', '') END AS core
+  FROM spans WHERE kind = 3 AND regexp_matches(token, '[A-Za-z]')),
+coded AS (
+  SELECT *, CAST(length(core) AS DOUBLE) AS n, lower(core) AS low,
+         CASE WHEN regexp_full_match(core, '[0-9a-f]+|[0-9A-F]+') THEN 0 WHEN regexp_full_match(core, '[0-9a-fA-F]+') THEN 1 WHEN regexp_full_match(core, '[a-z]+|[A-Z]+') THEN 2
+              WHEN regexp_full_match(core, '[A-Z2-7]+') THEN 3 WHEN regexp_full_match(core, '[a-z0-9]+|[A-Z0-9]+') THEN 4 WHEN regexp_full_match(core, '[A-Za-z]+') THEN 5
+              WHEN regexp_full_match(core, '[1-9A-HJ-NP-Za-km-z]+') THEN 6 WHEN regexp_full_match(core, '[A-Za-z0-9]+') THEN 7 ELSE 8 END AS code
+  FROM cores WHERE length(core) >= 12),
+lists AS (
+  SELECT *, code >= 5 AS cased, string_split(core, '') AS c, string_split(low, '') AS l,
+         list_transform(string_split(CASE WHEN code < 5 THEN low ELSE translate(core, '-_', '+/') END, ''),
+                        lambda x: CAST(instr(CASE WHEN code < 5 THEN '0123456789abcdefghijklmnopqrstuvwxyz' ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' END, x) AS DOUBLE)) AS p,
+         CASE WHEN code >= 5 THEN core ELSE low END AS read FROM coded),
+sums AS (
+  SELECT *, list_sum(p) AS s, list_sum(list_transform(p, lambda x: x * x)) AS q, list_sum(list_transform(range(2, len(p) + 1), lambda j: p[j] * p[j - 1])) AS lagged,
+         CAST(list_sum(list_transform(list_distinct(c), lambda x: pow(len(list_filter(c, lambda y: y = x)), 2))) AS DOUBLE) AS own,
+         CAST(list_sum(list_transform(list_distinct(l), lambda x: pow(len(list_filter(l, lambda y: y = x)), 2))) AS DOUBLE) AS folded,
+         n - length(regexp_replace(read, '[aeiou]', '', 'g')) AS c1, n - length(regexp_replace(read, '[tnshrdlcm]', '', 'g')) AS c2,
+         n - length(regexp_replace(read, '[A-Z]', '', 'g')) AS c4, n - length(regexp_replace(read, '[0-9]', '', 'g')) AS c5 FROM lists),
+fitted AS (SELECT *, code = 1 AND (16 * folded / n - n - 15) / sqrt(30e0) < (22 * own / n - n - 21) / sqrt(42e0) AS fold FROM sums),
 stats AS (
-  SELECT rid, start_, stop_, CAST(len(c) AS DOUBLE) AS n,
-         CASE WHEN regexp_full_match(token, '[0-9a-f]+|[0-9A-F]+') THEN 16e0 WHEN regexp_full_match(token, '[A-Z2-7]+=*') THEN 32e0 ELSE 64e0 END AS size,
-         CAST(list_sum(list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x)) * len(list_filter(c, lambda y: y = x)))) AS DOUBLE) AS squares,
-         CAST(len(list_filter(range(2, len(c) + 1), lambda j: k[j] <> k[j - 1])) AS DOUBLE) AS changes,
-         CAST(len(list_filter(range(2, len(c) + 1), lambda j: v[j] <> v[j - 1])) AS DOUBLE) AS swaps FROM kinds),
-written AS (
-  SELECT coalesce(sum(squares - n) FILTER (changes = 0) / sum(n * (n - 1)) FILTER (changes = 0), 75e-3) AS match_,
-         least(9e-1, greatest(1e-1, coalesce(sum(swaps) FILTER (changes = 0) / sum(n - 1) FILTER (changes = 0), 6e-1))) AS swap FROM stats),
-tests AS (
-  SELECT s.*, size * squares / n - n AS chi, greatest(match_, 13e-1 / size) AS same_, swap FROM stats s, written),
+  SELECT rid, start_, stop_, n, cased, [c1, c2, n - c1 - c2 - c4 - c5, c4, c5] AS cells,
+         ([[2e0, 2, 2, 0, 10], [4e0, 4, 4, 0, 10], [5e0, 9, 12, 0, 0], [5e0, 9, 12, 0, 6], [5e0, 9, 12, 0, 10], [5e0, 9, 12, 26, 0], [5e0, 8, 12, 24, 9], [5e0, 9, 12, 26, 10], [5e0, 9, 14, 26, 10]])[CASE WHEN fold THEN 1 ELSE code + 1 END] AS alphabet,
+         CAST(len(regexp_extract_all(core, '[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+')) - 1 AS DOUBLE) AS changes, CASE WHEN fold THEN folded ELSE own END AS squares,
+         CASE WHEN q - n * (s / n) * (s / n) > 0 THEN (lagged - (s / n) * (2 * s - (p[1] + p[-1])) + (n - 1) * (s / n) * (s / n)) / (q - n * (s / n) * (s / n)) ELSE 1e0 END AS serial,
+         regexp_matches(token, '^(?:[-_/+=]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}))+[-_/+=0-9]*$') AS written,
+         regexp_matches(token, '[0-9]') AND regexp_matches(token, '^(?:[-_/+=]*(?:[A-Z]?[a-z]{3,}|[0-9]{1,4}))+[-_/+=]*$') AS numbered FROM fitted),
+prior AS (SELECT * FROM (VALUES (FALSE, [36e-2, 44e-2, 18e-2, 0e0, 2e-2], 3e-2, 2e-3, 2e-1, 3e-2), (TRUE, [31e-2, 39e-2, 2e-1, 8e-2, 2e-2], 2e-1, 1e-2, 2e-1, 3e-2)) v(cased, shares, rate, between_, serial_, spread)),
+totals AS (
+  SELECT cased, CAST(count(*) AS DOUBLE) AS k, sum(n) AS n, sum(n - 1) AS m, sum(changes) AS x, sum(changes / (n - 1)) AS r, sum(pow(changes / (n - 1), 2)) AS rr, sum(1 / (n - 1)) AS i,
+         sum(abs(serial)) AS z, sum(pow(abs(serial), 2)) AS zz, [sum(cells[1]), sum(cells[2]), sum(cells[3]), sum(cells[4]), sum(cells[5])] AS c FROM stats WHERE written GROUP BY cased),
+filled AS (
+  SELECT a.*, coalesce(k, 0e0) AS k, coalesce(n, 0e0) AS n, coalesce(m, 0e0) AS m, coalesce(x, 0e0) AS x, coalesce(r, 0e0) AS r, coalesce(rr, 0e0) AS rr, coalesce(i, 0e0) AS i, coalesce(z, 0e0) AS z,
+         coalesce(zz, 0e0) AS zz, coalesce(c, [0e0, 0e0, 0e0, 0e0, 0e0]) AS c FROM prior a LEFT JOIN totals t ON a.cased = t.cased),
+first_ AS (
+  SELECT cased, k, list_transform(range(1, 6), lambda j: (4e2 * shares[j] + c[j]) / (4e2 + n)) AS shares, (4e2 * rate + x) / (4e2 + m) AS rate, (20 * serial_ + z) / (20 + k) AS serial_,
+         between_ AS b0, spread AS s0, r, rr, i, z, zz FROM filled),
+written_ AS (
+  SELECT cased, shares, rate, (20 * b0 + greatest(0e0, rr - 2 * rate * r + k * rate * rate - rate * (1 - rate) * i)) / (20 + k) AS between_, serial_,
+         (20 * s0 + zz - 2 * serial_ * z + k * serial_ * serial_) / (20 + k) AS spread FROM first_),
+shared AS (SELECT s.*, list_sum(alphabet) AS size, w.shares, w.rate, w.between_, w.serial_, w.spread FROM stats s JOIN written_ w ON s.cased = w.cased),
+chis AS (
+  SELECT *, list_transform(alphabet, lambda a: a / size) AS e,
+         list_sum(list_transform(range(1, 6), lambda j: CASE WHEN alphabet[j] > 0 THEN pow(cells[j] - n * (alphabet[j] / size), 2) / (n * (alphabet[j] / size)) ELSE 0e0 END)) AS chi FROM shared),
+slopes AS (SELECT *, list_transform(range(1, 6), lambda j: CASE WHEN e[j] > 0 THEN (shares[j] - e[j]) / e[j] ELSE 0e0 END) AS a FROM chis),
+means AS (
+  SELECT *, n * list_sum(list_transform(range(1, 6), lambda j: CASE WHEN e[j] > 0 THEN pow(shares[j] - e[j], 2) / e[j] ELSE 0e0 END))
+            + list_sum(list_transform(range(1, 6), lambda j: CASE WHEN e[j] > 0 THEN shares[j] * (1 - shares[j]) / e[j] ELSE 0e0 END)) AS mean_,
+         4 * n * (list_sum(list_transform(range(1, 6), lambda j: shares[j] * a[j] * a[j])) - pow(list_sum(list_transform(range(1, 6), lambda j: shares[j] * a[j])), 2)) + 8 AS variance,
+         1 - (pow(alphabet[1] + alphabet[2] + alphabet[3], 2) + pow(alphabet[4], 2) + pow(alphabet[5], 2)) / (size * size) AS drawn FROM slopes),
+raw_ AS (
+  SELECT *, (mean_ - chi) / sqrt(variance) AS z0, (mean_ - 4) / sqrt(variance) AS w0, (changes / (n - 1) - rate) / sqrt(between_ + rate * (1 - rate) / (n - 1)) AS z1,
+         (drawn - rate) / sqrt(between_ + rate * (1 - rate) / (n - 1)) AS w1, (serial_ - abs(serial)) / sqrt(spread) AS z2, (serial_ - 8e-1 / sqrt(n)) / sqrt(spread) AS w2 FROM means),
+moments AS (
+  SELECT cased, (20 + sum(z0 * z0)) / (20 + count(*)) AS q0, (20 + sum(z1 * z1)) / (20 + count(*)) AS q1, (20 + sum(z2 * z2)) / (20 + count(*)) AS q2,
+         sum(z0 * z1) / (20 + count(*)) AS p01, sum(z0 * z2) / (20 + count(*)) AS p02, sum(z1 * z2) / (20 + count(*)) AS p12 FROM raw_ WHERE written GROUP BY cased),
+scaled AS (
+  SELECT r.*, coalesce(q0, 1e0) AS q0, coalesce(q1, 1e0) AS q1, coalesce(q2, 1e0) AS q2, greatest(0e0, coalesce(p01 / sqrt(q0 * q1), 0e0)) AS p01,
+         greatest(0e0, coalesce(p02 / sqrt(q0 * q2), 0e0)) AS p02, greatest(0e0, coalesce(p12 / sqrt(q1 * q2), 0e0)) AS p12 FROM raw_ r LEFT JOIN moments m ON r.cased = m.cased),
+weighed AS (SELECT *, greatest(5e-2, w0 / sqrt(q0)) AS v0, greatest(5e-2, w1 / sqrt(q1)) AS v1, greatest(5e-2, w2 / sqrt(q2)) AS v2 FROM scaled),
 zs AS (
-  SELECT *, chi <= (size - 1) + 4 * sqrt(2 * (size - 1)) AS uniform,
-         ((((size - 1) + (n - 1) * (size * same_ - 1)) - chi) / sqrt(2 * (size - 1) + 4 * (n - 1) * size * same_)
-          + (changes - (n - 1) * 8e-2) / sqrt((n - 1) * 8e-2 * 92e-2) + ((n - 1) * swap - swaps) / sqrt((n - 1) * swap * (1 - swap))) / sqrt(3e0) AS z FROM tests),
+  SELECT *, (v0 * (z0 / sqrt(q0)) + v1 * (z1 / sqrt(q1)) + v2 * (z2 / sqrt(q2))) / sqrt(v0 * v0 + v1 * v1 + v2 * v2 + 2 * v0 * v1 * p01 + 2 * v0 * v2 * p02 + 2 * v1 * v2 * p12) AS z,
+         chi <= 185e-1 AND size * squares / n - n <= (size - 1) + 4 * sqrt(2 * (size - 1)) AS uniform,
+         CASE WHEN n < 20 THEN 1e-1 WHEN n < 24 THEN 25e-2 WHEN n < 32 THEN 75e-2 ELSE 2e0 END AS weight FROM weighed),
 bins AS (
-  SELECT rid, start_, stop_, CASE WHEN uniform THEN greatest(0, CAST(floor(CASE WHEN z > 1 THEN least(3e3, -10 * (-(z * z / 2 + ln(z) + 0.9189385332046727e0) + ln(1 + (-1 / (z * z + 25e-1)))) / ln(10e0)) ELSE 0e0 END
-           + 10 * log10(CASE WHEN n < 24 THEN 25e-2 WHEN n < 32 THEN 75e-2 ELSE 2e0 END)) AS INTEGER)) ELSE -1 END AS bin FROM zs),
+  SELECT rid, start_, stop_, CASE WHEN uniform AND NOT numbered THEN greatest(0, CAST(floor(CASE WHEN z > 1 THEN least(3e3, -10 * (-(z * z / 2 + ln(z) + 0.9189385332046727e0) + ln(1 + (-1 / (z * z + 25e-1)))) / ln(10e0)) ELSE 0e0 END
+           + 10 * log10(weight / avg(weight) OVER ())) AS INTEGER)) ELSE -1 END AS bin FROM zs),
 counted AS (SELECT greatest(bin, 0) AS bin, count(*) AS k FROM bins GROUP BY 1),
 ranked AS (SELECT bin, sum(k) OVER (ORDER BY bin DESC) AS found, sum(k) OVER () AS all_ FROM counted),
-cut AS (SELECT coalesce(min(bin), 3001) AS cut FROM ranked WHERE bin > 0 AND pow(10e0, -bin / 10e0) <= 1e-2 * found / all_),
+cut AS (SELECT coalesce(min(bin), 6000) AS cut FROM ranked WHERE bin > 0 AND pow(10e0, -bin / 10e0) <= 1e-2 * found / all_),
 kept AS (
   SELECT rid, kind, start_, stop_ FROM spans WHERE kind < 3
   UNION ALL SELECT rid, 3, start_, stop_ FROM bins, cut WHERE bin >= cut),

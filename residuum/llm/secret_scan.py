@@ -1,28 +1,40 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on long tokens, with DataFrame functions only.
 
-Patterns give the base spans (assign, access, hex). The method adds spans of kind ``random``: every run of ``MIN_RANDOM`` or
-more characters of an encoding alphabet is a candidate; its encoding (hex of one or both cases, also with separators, which
-don't count; base32, base36, base62, base64) is inferred from the characters in it. Three tests compare it with text: chi-squared distance from a uniform alphabet, runs of character classes, and serial
-correlation of class and alphabet place. Each yields a one-sided p-value under the hypothesis "written text", whose
-parameters (character frequencies, class changes) are counted over the candidates of the whole corpus. The three
-are combined (Stouffer) and false discoveries are controlled by a weighted Benjamini-Hochberg step over all candidates, with
-weights by length: a short token has little evidence, so it gets a smaller share of the error budget. A discovery must
-also pass the uniformity test itself, which a repeated or padded token fails.
+Patterns give the base spans (assign, access, hex). The method adds spans of kind ``random``: every run of 16 or more characters of
+an encoding alphabet, a letter among them, is a candidate. Its encoding (hex of one or both cases, also with separators, which don't
+count; base32, base36, base58, base62, base64, or letters alone) is inferred from the characters in it. Three tests compare it with
+written text:
+
+* chi-squared: how far the shares of vowels, common consonants, other letters, capitals (where both cases occur) and digits are from
+  those of a uniform draw from the encoding's alphabet;
+* runs: how often the class of character (lower, upper, digit, sign) changes;
+* serial correlation: of neighbours' places in the alphabet (lag 1).
+
+Each yields a deviate under the hypothesis "written text", whose parameters (shares of characters; mean and spread of the rate of
+changes and of the correlation) are counted over those candidates of the whole corpus that have the shape of words, run together or
+joined by signs, for encodings of one case and of two apart. The three are summed with weights (Stouffer), each weighing as much as a uniform
+draw from the encoding would deviate by it on average; the sum is scaled by the mean squares and products of the deviates over
+the same candidates, as the tests depend on each other.
+False discoveries are controlled by a weighted Benjamini-Hochberg step over all candidates, with weights by length that have mean
+1 over the candidates: a short token has little evidence, so it gets a smaller share of the error budget. A discovery must also be compatible with a
+uniform draw itself, by its shares and by chi-squared over single characters, which a repeated or padded token fails, and mustn't be words among short numbers.
 
 p-values are counted in bins of a tenth of a decade, so the step reads one small table whatever the corpus.
-Defined cases. Null text: empty, no spans. Very long texts and tokens are scanned whole. Repeated rows: same spans. Empty table:
-empty result. Ids may be null or repeated; nothing joins on them. Extra columns pass through.
+Defined cases. Null text: empty, no spans. Very long texts and tokens are scanned whole; spans are put together in time that is linear in
+their number. Repeated rows: same spans. Empty table: empty result. Ids may be null or repeated; nothing joins on them. Extra columns pass
+through, but a column ``spans`` is replaced.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residuum.llm.common import let, stash
+from residuum.llm.common import let, running_sums, stash
 
 #: Kind, pattern, group to measure, least length of that group. Fixed by contract; in the order of the kinds.
 BASE = (
@@ -35,14 +47,44 @@ FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"(?<![0-9a-f])[0-9a-f]{16,}"}
 #: A text without any of these (in lower case, or as they are) has no span of the kind; plain search is cheaper than a pattern.
 NEEDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("AKIA",)}
 KINDS = ("assign", "access", "hex", "random")
-MIN_RANDOM = 16
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 Q = 0.01
 SPAN = "struct<start:bigint,kind:int,stop:bigint>"
-#: Weights of the error budget by length of the candidate: under 20, under 24, under 32, longer.
+#: Shares of the error budget by length of the candidate, before they are scaled to mean 1: under 20, under 24, under 32, longer.
 WEIGHTS = ((20, 0.1), (24, 0.25), (32, 0.75), (1 << 30, 2.0))
-#: Class changes of written identifiers, by character.
-CHANGE = 0.08
+#: Encodings: pattern of the characters, then how many vowels, common consonants, other letters or signs, capitals and digits the alphabet
+#: has. The first that fits counts. The first ``FOLDED_CODES`` are of one case (or of hex) and read without case.
+ENCODINGS = (
+    ("^[0-9a-f]+$|^[0-9A-F]+$", (2, 2, 2, 0, 10)),
+    ("^[0-9a-fA-F]+$", (4, 4, 4, 0, 10)),
+    ("^[a-z]+$|^[A-Z]+$", (5, 9, 12, 0, 0)),
+    ("^[A-Z2-7]+$", (5, 9, 12, 0, 6)),
+    ("^[a-z0-9]+$|^[A-Z0-9]+$", (5, 9, 12, 0, 10)),
+    ("^[A-Za-z]+$", (5, 9, 12, 26, 0)),
+    ("^[1-9A-HJ-NP-Za-km-z]+$", (5, 8, 12, 24, 9)),
+    ("^[A-Za-z0-9]+$", (5, 9, 12, 26, 10)),
+    ("", (5, 9, 14, 26, 10)),
+)
+FOLDED_CODES = 5
+KINDS_OF_CHARACTERS = 5
+ONE_CASE_HEX, HEX = 0, 1
+VOWELS, COMMON = "aeiou", "tnshrdlcm"
+#: Order of the characters of one-case encodings (folded) and of the others.
+FOLDED = "0123456789abcdefghijklmnopqrstuvwxyz"
+ORDER = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Shape of words, run together or joined by signs. And of words of three letters or more among short numbers, as in names of parts
+#: and versions: these would pass for draws from an encoding, and a draw of 20 characters looks so in 3 of 100 cases at most.
+WRITTEN = "^(?:[-_/+=]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}))+[-_/+=0-9]*$"
+NUMBERED = "^(?:[-_/+=]*(?:[A-Z]?[a-z]{3,}|[0-9]{1,4}))+[-_/+=]*$"
+#: Least length of a candidate without padding and, in hex, separators.
+LEAST_CORE = 12
+#: What is taken for written text before any is seen, at the weight of ``PRIOR`` tokens of 20 characters, for encodings of one case and of two:
+#: shares of the five kinds of characters; mean and variance between tokens of the rate of changes; mean and variance of the correlation's size.
+PRIOR = 20
+SHARES = ((0.36, 0.44, 0.18, 0.0, 0.02), (0.31, 0.39, 0.2, 0.08, 0.02))
+CHANGES, SERIAL = ((0.03, 0.002), (0.2, 0.01)), ((0.2, 0.03), (0.2, 0.03))
+#: Largest chi-squared of the shares that a discovery may have (0.001 of four degrees of freedom), and largest excess over single characters in deviations.
+MOST_CHI, MOST_EXCESS = 18.5, 4.0
 BIN = 10
 LOWEST = 300
 
@@ -53,21 +95,17 @@ def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int =
     Splitting at the pattern gives the gaps, extracting it gives the matches; their lengths add up to places.
     """
 
-    def place(gaps: Column) -> Column:
-        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        sizes = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("len"), F.transform(measured, F.length).alias("part"))
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["gap"]
-            stop = begin + F.coalesce(x["len"], F.lit(0))
-            span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")).cast(SPAN)
-            return F.struct(stop.alias("at"), F.when(x["part"] >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def lengths(of: int) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(of)), lambda x: F.length(x).cast("bigint"))
 
-        return F.aggregate(sizes, start, step, lambda acc: acc["found"])
+    def place(size: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        stop = running_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(size)), size, lambda x, y: x + y))
+        parts = F.arrays_zip(stop.alias("stop"), size.alias("size"), (lengths(group) if group else size).alias("part"))
+        span = lambda x: F.struct((x["stop"] - x["size"]).alias("start"), F.lit(kind).alias("kind"), x["stop"].alias("stop")).cast(SPAN)
+        return F.transform(F.filter(parts, lambda x: x["part"] >= least), span)
 
-    return F.when(text.rlike(pattern) if may is None else may & text.rlike(pattern), let(F.split(text, pattern, -1), place)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(pattern) if may is None else may & text.rlike(pattern), let(lengths(0), place)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -86,75 +124,214 @@ def _z_to_tenths(z: Column) -> Column:
 
 
 def statistics(token: Column) -> Column:
-    """n, size (of the inferred alphabet), squares (of the characters' counts), changes (of class), swaps (of vowel and other)."""
-
+    """n; alphabet (counts of the kinds of characters in the inferred one); cells (counts in the token); cased; changes (of class); squares
+    (sum of the squared counts of its characters); serial (correlation of neighbours' places); written, numbered (its shape)."""
+
+    def of(core: Column) -> Column:
+        n, low = F.length(core).cast("double"), F.lower(core)
+        code = F.lit(len(ENCODINGS) - 1)
+        for k, (pattern, _) in reversed([*enumerate(ENCODINGS)][:-1]):
+            code = F.when(core.rlike(pattern), k).otherwise(code)
+        repeats = lambda x: F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0.0), lambda s, c: s + F.pow(n - F.length(F.replace(x, c, F.lit(""))), F.lit(2)))
+
+        def placed(p: Column) -> Column:
+            """Lag-1 correlation, 1 where all places are the same."""
+            total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+            first, last = F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1)
+            sums = F.struct(total(p).alias("s"), total(F.transform(p, lambda x: x * x)).alias("q"), total(F.zip_with(first, last, lambda x, y: x * y)).alias("c"))
+
+            def correlation(x: Column) -> Column:
+                mean, ends = x["s"] / n, F.get(p, 0) + F.element_at(p, -1)
+                spread = x["q"] - n * mean * mean
+                return F.when(spread > 0, (x["c"] - mean * (2 * x["s"] - ends) + (n - 1) * mean * mean) / spread).otherwise(1.0)
+
+            return let(sums, correlation)
+
+        def shaped(code: Column) -> Column:
+            folded = code < FOLDED_CODES
+            place = lambda c: F.instr(F.when(folded, FOLDED).otherwise(ORDER), c).cast("double")
+            places = F.transform(F.split(F.when(folded, low).otherwise(F.translate(core, "-_", "+/")), ""), place)
+            return F.struct(let(places, placed).alias("serial"), repeats(core).alias("squares"), F.when(code == HEX, repeats(low)).alias("folded"))
+
+        def counted(cased: Column) -> Column:
+            count = lambda characters: (n - F.length(F.translate(F.when(cased, core).otherwise(low), characters, ""))).cast("double")
+            vowels, common, capitals, digits = (count(x) for x in (VOWELS, COMMON, ORDER[:26], FOLDED[:10]))
+            return F.array(vowels, common, n - vowels - common - capitals - digits, capitals, digits)
+
+        def told(x: Column) -> Column:
+            """Hex of both cases is 22 even characters or 16 even digits in chance case: the one that fits better."""
+            excess = lambda size, squares: (size * squares / n - n - (size - 1)) / F.sqrt(F.lit(2.0 * (size - 1)))
+            fold = F.coalesce(excess(16, x["folded"]) < excess(22, x["squares"]), F.lit(False))
+            cased = code >= FOLDED_CODES
+            alphabet = F.get(F.array(*[F.array(*[F.lit(float(v)) for v in a]) for _, a in ENCODINGS]), F.when(fold, ONE_CASE_HEX).otherwise(code))
+            runs = F.regexp_count(core, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"))
+            return F.struct(
+                n.alias("n"), alphabet.alias("alphabet"), counted(cased).alias("cells"), cased.alias("cased"),
+                (runs - 1).cast("double").alias("changes"), F.when(fold, x["folded"]).otherwise(x["squares"]).alias("squares"), x["serial"].alias("serial"), token.rlike(WRITTEN).alias("written"), (token.rlike("[0-9]") & token.rlike(NUMBERED)).alias("numbered"),
+            )
+
+        return let(code, lambda c: let(shaped(c), told))
+
+    return let(_core(token), of)
+
+
+def _core(token: Column) -> Column:
+    """Without padding or, in hex, separators."""
     hexed = token.rlike("^[0-9a-fA-F]+(?:[-_][0-9a-fA-F]+)*$")
-    one_case = token.rlike("^(?:[0-9a-f_-]+|[0-9A-F_-]+)$")
-    size = F.when(hexed & one_case, 16.0).when(hexed, 22.0).when(token.rlike("^[A-Z2-7]+=*$"), 32.0)
-    size = size.when(token.rlike("[0-9]") & token.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), 36.0).when(token.rlike("[0-9]") & token.rlike("^[A-Za-z0-9]+$"), 62.0).otherwise(64.0)
-
-    def squares(chars: Column) -> Column:
-        counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
-        return F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * k)
-
-    def nearer(n: Column, size: Column, own: Column, folded: Column) -> Column:
-        """Hex of both cases is 22 even characters or 16 even digits in chance case: the one that fits better."""
-        excess = lambda size, squares: (size * squares / n - n - (size - 1)) / F.sqrt(2 * (size - 1))
-        fold = (size == 22) & (excess(F.lit(16.0), folded) < excess(F.lit(22.0), own))
-        return F.struct(F.when(fold, 16.0).otherwise(size).alias("size"), F.when(fold, folded).otherwise(own).alias("squares"))
-
-    def both(chars: Column, classes: Column, vowels: Column) -> Column:
-        moves = lambda of: F.aggregate(F.sequence(F.lit(1), F.size(of) - 1), F.lit(0.0), lambda s, k: s + F.when(F.get(of, k) != F.get(of, k - 1), 1.0).otherwise(0.0))
-        n = F.size(chars).cast("double")
-        fits = nearer(n, size, squares(chars), F.when(size == 22, squares(F.transform(chars, F.lower))))
-        return let(fits, lambda x: F.struct(n.alias("n"), x["size"].alias("size"), x["squares"].alias("squares"), moves(classes).alias("changes"), moves(vowels).alias("swaps")))
-
-    kind = lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
-    chars = F.filter(F.split(F.when(hexed, F.translate(token, "-_", "")).otherwise(token), ""), lambda c: c != "")
-    return let(chars, lambda x: let(F.transform(x, kind), lambda k: let(F.transform(x, lambda c: c.rlike("[aeiouAEIOU]")), lambda v: both(x, k, v))))
-
-
-def tested(s: Column, match: float, swap: float) -> Column:
-    """Bin of the combined p-value (tenths of a decade, weighted by length), less than 0 where the uniformity test fails."""
-    n, size = s["n"], s["size"]
-    chi = size * s["squares"] / n - n
-    same = F.greatest(F.lit(match), 1.3 / size)
-    text_chi = (size - 1) + (n - 1) * (size * same - 1)
-    z_chi = (text_chi - chi) / F.sqrt(2 * (size - 1) + 4 * (n - 1) * size * same)
-    z_runs = (s["changes"] - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE))
-    z_serial = ((n - 1) * swap - s["swaps"]) / F.sqrt((n - 1) * swap * (1 - swap))
+    return F.when(hexed, F.translate(token, "-_", "")).otherwise(F.regexp_replace(token, "=+$", ""))
+
+
+def _candidate(token: Column) -> Column:
+    """Whether a run is tested; numbers aren't, as digits alone say nothing of a key."""
+    return token.rlike("[A-Za-z]") & (F.length(_core(token)) >= LEAST_CORE)
+
+
+@dataclass(frozen=True)
+class Written:
+    """Written text, as counted: shares of the kinds of characters; mean and variance of the rate of changes between tokens and of the
+    correlation's size; mean squares of the three deviates and mean products of the first and second, first and third, second and third."""
+
+    shares: tuple[float, ...]
+    changes: tuple[float, float]
+    serial: tuple[float, float]
+    squares: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    products: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+
+@dataclass(frozen=True)
+class Null:
+    """Written text in encodings of one case and of two; mean of the weights; least bin that is a discovery."""
+
+    written: tuple[Written, Written]
+    weight: float = 1.0
+    cut: int = 0
+
+
+def _sum(columns) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def _size(s: Column) -> Column:
+    return _sum(F.get(s["alphabet"], k) for k in range(KINDS_OF_CHARACTERS))
+
+
+def _shares(s: Column) -> list[tuple[Column, Column]]:
+    """(count in the token, share of the alphabet) of each kind of characters."""
+    return [(F.get(s["cells"], k), F.get(s["alphabet"], k) / _size(s)) for k in range(KINDS_OF_CHARACTERS)]
+
+
+def _chi(s: Column) -> Column:
+    n = s["n"]
+    return _sum(F.when(e > 0, (c - n * e) * (c - n * e) / (n * e)).otherwise(0.0) for c, e in _shares(s))
+
+
+def deviates(s: Column, null: Null) -> list[tuple[Column, Column]]:
+    """(deviate, its mean for a uniform draw) of each test; large ones are unlike written text and like a uniform draw."""
+    n = s["n"]
+    either = lambda of: F.when(s["cased"], of(null.written[1])).otherwise(of(null.written[0]))
+    parts = [(e, either(lambda w, k=k: F.lit(w.shares[k]))) for k, (_, e) in enumerate(_shares(s))]
+    over = lambda x, e: F.when(e > 0, x / e).otherwise(0.0)
+    mean = n * _sum(over((p - e) * (p - e), e) for e, p in parts) + _sum(over(p * (1 - p), e) for e, p in parts)
+    tilt = _sum(p * over(p - e, e) for e, p in parts)
+    variance = 4 * n * (_sum(p * over(p - e, e) * over(p - e, e) for e, p in parts) - tilt * tilt) + 2 * (KINDS_OF_CHARACTERS - 1)
+    rate, between = either(lambda w: F.lit(w.changes[0])), either(lambda w: F.lit(w.changes[1]))
+    serial, spread = either(lambda w: F.lit(w.serial[0])), either(lambda w: F.lit(w.serial[1]))
+    alphabet = [F.get(s["alphabet"], k) for k in range(KINDS_OF_CHARACTERS)]
+    lower = alphabet[0] + alphabet[1] + alphabet[2]
+    drawn = 1 - (lower * lower + alphabet[3] * alphabet[3] + alphabet[4] * alphabet[4]) / (_size(s) * _size(s))  # rate of changes of a uniform draw
+    tests = (
+        (mean, _chi(s), F.lit(KINDS_OF_CHARACTERS - 1.0), variance, -1),
+        (rate, s["changes"] / (n - 1), drawn, between + rate * (1 - rate) / (n - 1), 1),
+        (serial, F.abs(s["serial"]), 0.8 / F.sqrt(n), spread, -1),
+    )
+    scale = [F.sqrt(v * either(lambda w, k=k: F.lit(w.squares[k]))) for k, (*_, v, _) in enumerate(tests)]
+    return [(sign * (got - usual) / d, sign * (uniform_ - usual) / d) for (usual, got, uniform_, _, sign), d in zip(tests, scale)]
+
+
+def uniform(s: Column) -> Column:
+    """Whether a uniform draw may well look like this."""
+    n, size = s["n"], _size(s)
+    return (_chi(s) <= MOST_CHI) & (size * s["squares"] / n - n <= (size - 1) + MOST_EXCESS * F.sqrt(2 * (size - 1)))
+
+
+def combined(s: Column, null: Null) -> Column:
+    """Weighted sum of the deviates, of variance 1 under written text."""
+    either = lambda of: F.when(s["cased"], of(null.written[1])).otherwise(of(null.written[0]))
+
+    def of(x: Column) -> Column:
+        z, w = [x[f"z{k}"] for k in range(3)], [F.greatest(F.lit(0.05), x[f"w{k}"]) for k in range(3)]
+        product = [2 * w[a] * w[b] * either(lambda p, k=k: F.lit(p.products[k])) for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)))]
+        return _sum(a * b for a, b in zip(w, z)) / F.sqrt(_sum([a * a for a in w] + product))
+
+    both = [c.alias(f"{name}{k}") for k, pair in enumerate(deviates(s, null)) for name, c in zip("zw", pair)]
+    return let(F.struct(*both), of)
+
+
+def _weight(n: Column) -> Column:
     weight = F.lit(WEIGHTS[-1][1])
     for least, w in reversed(WEIGHTS[:-1]):
         weight = F.when(n < least, w).otherwise(weight)
-    uniform = chi <= (size - 1) + 4 * F.sqrt(2 * (size - 1))
-    z = (z_chi + z_runs + z_serial) / F.sqrt(F.lit(3.0))
-    return F.when(uniform, F.greatest(F.lit(0), F.floor(let(z, _z_to_tenths) + BIN * F.log10(weight)).cast("int"))).otherwise(-1)
+    return weight
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+def tested(s: Column, null: Null) -> Column:
+    """Bin of the combined p-value (tenths of a decade, weighted by length), less than 0 where uniformity is refused or the shape is that of words and numbers."""
+    bin_ = F.floor(let(combined(s, null), _z_to_tenths) + BIN * F.log10(_weight(s["n"]) / null.weight))
+    return F.when(uniform(s) & ~s["numbered"], F.greatest(F.lit(0), bin_.cast("int"))).otherwise(-1)
 
 
-def calibrate(docs: DataFrame, text: Column) -> tuple[float, float, int]:
-    """Over all candidates: how often two characters of written text match, how often it swaps vowel and consonant, and the least bin that is a discovery."""
-    stats = stash(docs.select(F.explode(_tokens(text)).alias("token")).select(statistics(F.col("token")).alias("s")), "secret-candidates")
-    n, written_like = F.col("s.n"), F.col("s.changes") == 0  # runs of one class: words run together
-    match, swap = stats.filter(written_like).agg(F.sum(F.col("s.squares") - n) / F.sum(n * (n - 1)), F.sum("s.swaps") / F.sum(n - 1)).first()
-    match, swap = (0.075 if match is None else match), min(0.9, max(0.1, 0.6 if swap is None else swap))
-    bins = stats.select(F.greatest(tested(F.col("s"), match, swap), F.lit(0)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("k"))
+def _tokens(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), _candidate)
+
+
+def calibrate(docs: DataFrame, text: Column) -> Null:
+    """Count what written text looks like, and the least bin that is a discovery, over all candidates."""
+    tokens = docs.filter(text.rlike(CANDIDATE)).select(F.explode(_tokens(text)).alias("token"))
+    stats = stash(tokens.select(statistics(F.col("token")).alias("s")), "secret-candidates")
+    s = F.col("s")
+    n, rate, size = s["n"], s["changes"] / (s["n"] - 1), F.abs(s["serial"])
+    names = {"k": F.lit(1.0), "n": n, "m": n - 1, "x": s["changes"], "r": rate, "rr": rate * rate, "i": 1 / (n - 1), "z": size, "zz": size * size} | {f"c{k}": F.get(s["cells"], k) for k in range(KINDS_OF_CHARACTERS)}
+    by = stats.filter(s["written"]).groupBy(s["cased"].alias("cased"))
+    totals = {r["cased"]: r for r in by.agg(*[F.sum(x).alias(k) for k, x in names.items()]).collect()}  # two rows
+
+    def counted(cased: bool) -> Written:
+        t = totals.get(cased) or dict.fromkeys(names, 0.0)
+        many, chars = PRIOR + t["k"], PRIOR * 20.0
+        shares = tuple((chars * SHARES[cased][k] + t[f"c{k}"]) / (chars + t["n"]) for k in range(KINDS_OF_CHARACTERS))
+        change = (chars * CHANGES[cased][0] + t["x"]) / (chars + t["m"])
+        between = max(0.0, t["rr"] - 2 * change * t["r"] + t["k"] * change * change - change * (1 - change) * t["i"])
+        serial = (PRIOR * SERIAL[cased][0] + t["z"]) / many
+        spread = PRIOR * SERIAL[cased][1] + t["zz"] - 2 * serial * t["z"] + t["k"] * serial * serial
+        return Written(shares, (change, (PRIOR * CHANGES[cased][1] + between) / many), (serial, spread / many))
+
+    first = Null((counted(False), counted(True)))
+    z = [d for d, _ in deviates(s, first)]
+    pairs = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
+    moments = {r["cased"]: r for r in by.agg(F.count(F.lit(1)).alias("k"), *[F.sum(z[a] * z[b]).alias(f"z{a}{b}") for a, b in pairs]).collect()}
+
+    def dependent(cased: bool) -> Written:
+        t, w = moments.get(cased), first.written[cased]
+        if t is None:
+            return w
+        mean = {(a, b): ((PRIOR if a == b else 0.0) + t[f"z{a}{b}"]) / (PRIOR + t["k"]) for a, b in pairs}
+        squares = tuple(mean[k, k] for k in range(3))
+        return Written(w.shares, w.changes, w.serial, squares, tuple(max(0.0, mean[a, b] / (squares[a] * squares[b]) ** 0.5) for a, b in pairs[3:]))
+
+    null = Null((dependent(False), dependent(True)), stats.agg(F.avg(_weight(n))).first()[0] or 1.0)
+    bins = stats.select(F.greatest(tested(s, null), F.lit(0)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("k"))
     ranked = bins.withColumn("found", F.sum("k").over(Window.orderBy(F.desc("bin")))).withColumn("all", F.sum("k").over(Window.partitionBy(F.lit(0))))  # one row a bin
     cut = ranked.filter((F.col("bin") > 0) & (F.pow(F.lit(10.0), -F.col("bin") / BIN) <= Q * F.col("found") / F.col("all"))).agg(F.min("bin")).first()[0]
-    return match, swap, BIN * LOWEST + 1 if cut is None else cut
+    return Null(null.written, null.weight, BIN * LOWEST * 2 if cut is None else cut)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``spans``: (start, kind, stop) by start, then kind; kinds as in ``KINDS``. Two passes over the texts, no shuffle of them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    match, swap, cut = calibrate(docs, text)
+    null = calibrate(docs, text)
 
     def discovered(spans: Column) -> Column:
         token = lambda x: F.substr(text, (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int"))
-        return F.filter(spans, lambda x: let(token(x), lambda t: let(statistics(t), lambda s: tested(s, match, swap) >= cut)))
+        return F.filter(spans, lambda x: let(token(x), lambda t: F.when(_candidate(t), let(statistics(t), lambda s: tested(s, null) >= null.cut)).otherwise(False)))
 
     more = let(spans_of(text, CANDIDATE, len(BASE)), discovered)
     return docs.withColumn("spans", F.array_sort(F.concat(*base_spans(text), more)))

@@ -167,3 +167,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(ids[3]) < len(ids[2]) < len(ids[0]) and table.count() > 0
     whole = {(r.doc_id, r.shard, r.slot) for r in corpus_pipeline.run(spark, SF).collect()}
     assert whole == {(r.doc_id, r.shard, r.slot) for r in table.collect()}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from residuum.llm import common
+
+    bare = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(bare("spark://host:7077"))
+    assert common.shared_folder(bare("local[2]")) == common.shared_folder(bare("local[4]"))
+
+
+def test_running_sums_of_long_arrays(spark):
+    from pyspark.sql import functions as F
+
+    from residuum.llm.common import running_sums
+
+    sizes = [0, 1, 63, 64, 65, 4096, 5000, 20_000]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n int").withColumn("a", F.transform(F.sequence(F.lit(0), "n"), lambda x: (x % 7).cast("bigint")))
+    for r in rows.withColumn("s", running_sums(F.slice("a", F.lit(1), F.col("n")))).collect():
+        assert r.s == list(__import__("itertools").accumulate(k % 7 for k in range(r.n)))
