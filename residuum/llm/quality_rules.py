@@ -1,11 +1,14 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Each rule is a cheap or dear condition on the whole text that rejects a document. On a sample the seconds that a rule takes
-and the share that it rejects are measured; rules then run in the order of rejections per second, and a CASE stops at the
-first that fires. The order changes the cost alone, never the verdict.
+A rule is a condition on facts of the whole text (counts of words, letters, ...) that rejects a document. A fact is worked out
+when the first rule needs it and kept for later ones; a rule that rejects ends the cascade, so facts that only later rules need
+are never worked out. On a sample each fact's cost in seconds (least of three runs) and each text's verdict by every rule
+are measured. The order is greedy: next comes the rule that rejects most of the sample's remaining texts per second of the facts that it
+still needs. The order changes the cost alone, never the verdict.
 
 Defined cases. Null and empty texts have no words and fail ``few_words``. Repeated rows are judged alike. An empty table
-gives an empty result in the given order of rules. Extra columns pass through.
+gives an empty result in the given order of rules. Extra columns pass through, but those named like a result (``rejected_by``, and
+in ``measure`` the counts) are replaced.
 """
 
 from __future__ import annotations
@@ -77,85 +80,132 @@ def duplicate_lines(kept_lines: Column) -> Column:
     return let(kept_lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def facts(text: Column) -> Column:
-    """What several rules need: the words, the code points in them, the letters."""
-    return F.struct(words(text).alias("words"), left_of(text, SPACES).alias("word_chars"), (F.length(text) - left_of(text, r"\p{L}+")).alias("letters"))
-
-
 def symbols(text: Column) -> Column:
     return left_of(text, f"[^{SYMBOLS}]+")
 
 
+Facts = dict[str, Column]
+#: How each fact comes from the text and the facts that it depends on.
+FACTS: dict[str, Callable[[Column, Facts], Column]] = {
+    "words": lambda t, f: words(t),
+    "n_words": lambda t, f: F.size(f["words"]),
+    "word_chars": lambda t, f: left_of(t, SPACES),
+    "n_symbols": lambda t, f: symbols(t),
+    "n_lines": lambda t, f: F.size(f["lines"]),
+    "lines": lambda t, f: lines(t),
+    "n_dup_lines": lambda t, f: duplicate_lines(f["lines"]),
+    "n_repeat_words": lambda t, f: repeated_words(f["words"]),
+    "letters": lambda t, f: F.length(t) - left_of(t, r"\p{L}+"),
+    "capitals": lambda t, f: F.regexp_count(t, F.lit(r"\p{Lu}")),
+    "exclamations": lambda t, f: F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
+}
+DEPENDS = {"n_words": "words", "n_repeat_words": "words", "n_lines": "lines", "n_dup_lines": "lines"}
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def with_facts(text: Column, known: Facts, names: Sequence[str], body: Callable[[Facts], Column]) -> Column:
+    """``body`` of the known facts and ``names``; each missing one is worked out once, here."""
+    missing = [n for n in names if n not in known]
+    deeper = {DEPENDS[n] for n in missing if n in DEPENDS} - set(known)
+    if deeper:
+        return with_facts(text, known, sorted(deeper), lambda k: with_facts(text, k, missing, body))
+    if not missing:
+        return body(known)
+    found = F.struct(*[FACTS[n](text, known).alias(n) for n in missing])
+    return let(found, lambda s: body(known | {n: s[n] for n in missing}))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects(text, facts)``: a condition on the whole text."""
+    """``rejects(facts)``: a condition on the facts in ``needs``."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    needs: tuple[str, ...]
+    rejects: Callable[[Facts], Column]
 
 
 #: Thresholds are parameters of the corpus, in whole percents or ratios.
 RULES = (
-    Rule("few_words", lambda t, f: F.size(f["words"]) < 10),
-    Rule("repeated_windows", lambda t, f: 100 * repeated_words(f["words"]) > 20 * F.size(f["words"])),
-    Rule("symbols", lambda t, f: 10 * symbols(t) > F.size(f["words"])),
-    Rule("duplicate_lines", lambda t, f: let(lines(t), lambda x: 100 * duplicate_lines(x) > 40 * F.size(x))),
-    Rule("shouting", lambda t, f: 2 * F.regexp_count(t, F.lit(r"\p{Lu}")) > f["letters"]),
-    Rule("exclaiming", lambda t, f: 2 * (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))) > F.size(f["words"])),
-    Rule("word_length", lambda t, f: (f["word_chars"] < 2 * F.size(f["words"])) | (f["word_chars"] > 15 * F.size(f["words"]))),
-    Rule("few_letters", lambda t, f: 10 * f["letters"] < 3 * f["word_chars"]),
+    Rule("few_words", ("n_words",), lambda f: f["n_words"] < 10),
+    Rule("repeated_windows", ("n_repeat_words", "n_words"), lambda f: 100 * f["n_repeat_words"] > 20 * f["n_words"]),
+    Rule("symbols", ("n_symbols", "n_words"), lambda f: 10 * f["n_symbols"] > f["n_words"]),
+    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda f: 100 * f["n_dup_lines"] > 40 * f["n_lines"]),
+    Rule("shouting", ("capitals", "letters"), lambda f: 2 * f["capitals"] > f["letters"]),
+    Rule("exclaiming", ("exclamations", "n_words"), lambda f: 2 * f["exclamations"] > f["n_words"]),
+    Rule("word_length", ("word_chars", "n_words"), lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 15 * f["n_words"])),
+    Rule("few_letters", ("letters", "word_chars"), lambda f: 10 * f["letters"] < 3 * f["word_chars"]),
 )
 
 
-def cheapest_first(docs: DataFrame, text_col: str, cascade: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second on a sample of whole texts."""
-    total = docs.count()
-    if not total:
-        return list(cascade)
-    sample = docs.select(F.col(text_col).alias("text")).sample(min(1.0, 1.2 * sample_rows / total), seed=5).limit(sample_rows)
-    text = whole(F.col("text"))
-    sample = stash(sample.select(text.alias("text"), facts(text).alias("facts")), "quality-sample")
+def _all_needs(rule: Rule) -> set[str]:
+    return set(rule.needs) | {DEPENDS[n] for n in rule.needs if n in DEPENDS}
 
-    def seconds(of: Column) -> tuple[float, int]:
-        began = time.perf_counter()
-        n = sample.agg(F.count_if(of)).first()[0]
-        return time.perf_counter() - began, n
 
-    base = min(seconds(F.length("text") < 0)[0] for _ in range(2))
-    gain = {}
-    for rule in cascade:
-        took, n = seconds(rule.rejects(F.col("text"), F.col("facts")))
-        gain[rule.name] = n / max(took - base, 1e-3)
-    return sorted(cascade, key=lambda r: -gain[r.name])
+def greedy_order(cascade: Sequence[Rule], seconds: dict[str, float], verdicts: dict[int, int], known: Sequence[str] = ()) -> list[Rule]:
+    """Rules by rejections per second, one after another; ``verdicts``: texts by which rules (bits) reject them."""
+    left, order, have, rest = dict(verdicts), [], set(known), list(range(len(cascade)))
+    while rest:
+        cost = lambda k: max(1e-4, sum(seconds.get(n, 0.0) for n in _all_needs(cascade[k]) - have))
+        best = max(rest, key=lambda k: (sum(n for bits, n in left.items() if bits >> k & 1) / cost(k), -cost(k), -k))
+        rest.remove(best)
+        order.append(cascade[best])
+        have |= _all_needs(cascade[best])
+        left = {bits: n for bits, n in left.items() if not bits >> best & 1}
+    return order
 
 
-def rejected_by(cascade: Sequence[Rule], text: Column, known: Column) -> Column:
-    """Name of the first rule that rejects, else null; later rules aren't evaluated. ``known``: the text's facts."""
-    out = F.when(F.lit(False), "")
-    for rule in cascade:
-        out = out.when(rule.rejects(text, known), rule.name)
-    return out
+def cheapest_first(docs: DataFrame, text_col: str, cascade: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, known: Sequence[str] = ()) -> list[Rule]:
+    """The rules in greedy order on a sample of whole texts; facts in ``known`` cost nothing, as they are there anyway."""
+    total = docs.count()
+    if not total:
+        return list(cascade)
+    sample = docs.select(whole(F.col(text_col)).alias("text")).sample(min(1.0, 1.2 * sample_rows / total), seed=5).limit(sample_rows)
+    sample, text = stash(sample, "quality-sample"), F.col("text")
+
+    def seconds(of: Column) -> float:
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            sample.agg(F.count_if(of)).first()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    base = seconds(F.length("text") < 0)
+    costs: dict[str, float] = {}
+    for name in sorted({n for r in cascade for n in _all_needs(r)}, key=lambda n: n in DEPENDS):
+        alone = seconds(with_facts(text, {}, (name,), lambda f, n=name: F.hash(f[n]) == 0 if n not in ("words", "lines") else F.size(f[n]) < 0))
+        costs[name] = max(0.0, alone - base - costs.get(DEPENDS.get(name), 0.0))
+    needs = sorted({n for r in cascade for n in r.needs})
+    bits = with_facts(text, {}, needs, lambda f: sum((F.when(r.rejects(f), 1 << k).otherwise(0) for k, r in enumerate(cascade)), F.lit(0)))
+    verdicts = {r["bits"]: r["n"] for r in sample.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return greedy_order(cascade, costs, verdicts, known)
+
+
+def rejected_by(cascade: Sequence[Rule], text: Column, known: Facts | None = None) -> Column:
+    """Name of the first rule that rejects, else null; what only later rules need isn't worked out."""
+    if not cascade:
+        return F.lit(None).cast("string")
+    rule, rest = cascade[0], cascade[1:]
+    return with_facts(text, known or {}, rule.needs, lambda f: F.when(rule.rejects(f), F.lit(rule.name)).otherwise(rejected_by(rest, text, f)))
 
 
 def judge(docs: DataFrame, text_col: str = "text", cascade: Sequence[Rule] | None = None) -> DataFrame:
     """``docs`` with ``rejected_by``: the rule that rejects the document, null if it is kept."""
     cascade = cheapest_first(docs, text_col) if cascade is None else cascade
-    text = whole(F.col(text_col))
-    return docs.withColumn("rejected_by", let(facts(text), lambda f: rejected_by(cascade, text, f)))
+    return docs.withColumn("rejected_by", rejected_by(cascade, whole(F.col(text_col))))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that a rule rejects."""
-    text, cascade = whole(F.col(text_col)), cheapest_first(docs, text_col)
-    return docs.filter(let(facts(text), lambda f: rejected_by(cascade, text, f)).isNull())
+    return docs.filter(rejected_by(cheapest_first(docs, text_col), whole(F.col(text_col))).isNull())
 
 
 def measure(docs: DataFrame, text_col: str = "text", cascade: Sequence[Rule] = ()) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and, by ``cascade``, rejected_by."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and, by ``cascade`` (which uses these), rejected_by."""
     text = whole(F.col(text_col))
 
-    def of(f: Column) -> Column:
-        counts = {"n_words": F.size(f["words"]), "word_chars": f["word_chars"], "n_symbols": symbols(text), "n_dup_lines": duplicate_lines(lines(text)), "n_repeat_words": repeated_words(f["words"])}
-        return F.struct(*[c.cast("long").alias(k) for k, c in counts.items()], rejected_by(cascade, text, f).alias("rejected_by"))
+    def of(f: Facts) -> Column:
+        return F.struct(*[f[n].cast("long").alias(n) for n in MEASURES], rejected_by(cascade, text, f).alias("rejected_by"))
 
-    return docs.withColumn("__facts", let(facts(text), of)).select(*[f"`{c}`" for c in docs.columns], "__facts.*")
+    kept = [c for c in docs.columns if c not in (*MEASURES, "rejected_by")]
+    return docs.withColumn("__facts", with_facts(text, {}, MEASURES, of)).select(*[f"`{c}`" for c in kept], "__facts.*")

@@ -45,7 +45,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     more = [r for r in quality_rules.RULES if r.name not in ("few_words", "repeated_windows")]  # those two are the base
-    measured = quality_rules.measure(docs, "text", quality_rules.cheapest_first(docs, "text", more))
+    measured = quality_rules.measure(docs, "text", quality_rules.cheapest_first(docs, "text", more, known=("words", "lines", *quality_rules.MEASURES)))
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     kept = ~base_failed & F.col("rejected_by").isNull()
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), kept.alias("kept"))

@@ -62,6 +62,24 @@ def test_quality_order_never_changes_the_verdict(spark):
     assert kept[0] == kept[1] == {0, 1, 2, 3, 4} == {r.doc_id for r in quality_rules.keep_good(table).collect()}
 
 
+def test_quality_order_by_rejections_per_second():
+    cheap, dear, shared = (quality_rules.Rule(n, needs, None) for n, needs in (("cheap", ("word_chars",)), ("dear", ("n_repeat_words",)), ("shared", ("n_words",))))
+    seconds = {"word_chars": 1.0, "words": 4.0, "n_repeat_words": 4.0, "n_words": 0.1}
+    # bits: 1 cheap, 2 dear, 4 shared; once dear has run, shared needs a tenth of a second alone
+    order = lambda verdicts, known=(): [r.name for r in quality_rules.greedy_order([cheap, dear, shared], seconds, verdicts, known)]
+    assert order({1: 2, 2: 30, 4: 4}) == ["dear", "shared", "cheap"]
+    assert order({1: 20, 2: 30, 4: 4}) == ["cheap", "dear", "shared"]
+    assert order({3: 20, 2: 1, 4: 5}) == ["cheap", "shared", "dear"]  # what cheap has rejected counts no more
+    assert order({1: 2, 2: 30, 4: 4}, ("words", "n_words")) == ["shared", "dear", "cheap"]
+
+
+def test_quality_measures_replace_columns_of_their_names(spark):
+    table = docs(spark, ["a b c", None]).selectExpr("doc_id", "text", "'x' AS n_words", "'y' AS rejected_by", "'z' AS other")
+    got = quality_rules.measure(table, "text", quality_rules.RULES).orderBy("doc_id").collect()
+    assert [(r.n_words, r.rejected_by, r.other) for r in got] == [(3, "few_words", "z"), (0, "few_words", "z")]
+    assert len(got[0]) == len(set(got[0].__fields__))
+
+
 def test_quality_of_nothing(spark):
     assert quality_rules.keep_good(docs(spark, [])).count() == 0
 
