@@ -1,18 +1,21 @@
 """Quality classifier by co-training on two views of a page.
 
 The content view sees the text: hashed trigrams of character shapes and how much repeats. The metadata view sees what surrounds
-it: language, source, length, lines, and host and address of the page that carries the document (its id stands in the
-address). Each view has a logistic regression. In each round a view labels the unlabelled pages that it is surest of, and
-the other view trains on them as well. Afterwards each view's logits are calibrated on labelled rows kept from training
-(Platt scaling), a third logistic regression on the calibrated logits combines them, and every document is scored.
+it: language, source, length, lines and characters a line in octaves, and host, address and title of the page that carries the document
+(its id stands in the address). Each view has a logistic regression, calibrated (Platt scaling) on labelled rows of their own. In each
+round a view labels the unlabelled pages that it is surest of by its calibrated probability, and the other view trains on them as well.
+Labels of both kinds are handed over in the ratio of the labelled rows, as many as the scarcer kind allows, so that
+a view which is never sure of bad pages hands on nothing and can't tilt the other; pages that the other view surely sees otherwise are
+left out. Rounds end when neither view has anything to hand on. Afterwards the views are calibrated again, a third logistic regression on the calibrated logits, fitted on further
+rows, combines them, and every document is scored.
 
 The fit uses at most about ``LABELLED`` labelled and ``UNLABELLED`` further rows, chosen by a hash of the id; scoring reads every
-whole text once and shuffles ids and metadata only. ``kept`` compares the score with a threshold that lets
-``PASS_RATE`` of the good calibration rows pass.
+whole text once and shuffles ids and metadata only. Half of the labelled rows train the views, a fifth calibrates, the rest is halved
+for the combination and for the threshold, which lets ``PASS_RATE`` of the good rows pass (``kept``).
 
 Defined cases. Null or empty text: all its features are zero, scored like any other. No labels, or of one kind only: score is the
 share of good labels (1 without any) and everything is kept. Repeated labels of an id: their majority. A document on several pages: the
-first address. Null ids: scored without a page. Repeated rows: same score. Empty table: empty result. Extra columns are dropped.
+first address, and its title. Null ids: scored without a page. Repeated rows: same score. Empty table: empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -34,9 +37,12 @@ ROUNDS, EACH = 4, 100
 #: How sure a view must be to hand a label on.
 SURE = 0.95
 PASS_RATE = 0.998
+#: How much each view's weights are shrunk: metadata have many rare tags.
+SHRINK = (0.03, 0.1)
 SEED = 4
 SHAPES, TAGS = 512, 256
-CONTENT, META = SHAPES + 5, TAGS + 4
+OCTAVES = 24
+CONTENT, META = SHAPES + 5, TAGS + 3 * OCTAVES + 6
 
 
 def _shape_table() -> bytes:
@@ -63,7 +69,7 @@ def content(text: str | None) -> np.ndarray:
     return out
 
 
-def metadata(lang: str | None, source: str | None, url: str | None, n_chars: int, n_lines: int) -> np.ndarray:
+def metadata(lang: str | None, source: str | None, url: str | None, title: str | None, n_chars: int, n_lines: int) -> np.ndarray:
     """Features of what surrounds the text."""
     out = np.zeros(META, np.float32)
     address = re.match(r"(?P<scheme>\w+)://(?P<host>[^/]*)(?P<path>[^?#]*)(?P<rest>.*)", url or "")
@@ -73,7 +79,11 @@ def metadata(lang: str | None, source: str | None, url: str | None, n_chars: int
         tags += [f"rest {x}" for x in re.findall(r"[?&#](\w+)", address["rest"])]
     for tag in tags:
         out[xxhash.xxh32_intdigest(tag) % TAGS] += 0.5
-    out[TAGS:] = np.log1p(n_chars) / 10, np.log1p(n_lines) / 5, np.log1p(n_chars / max(1, n_lines)) / 10, float(bool(address))
+    sizes = n_chars, n_lines, n_chars // max(1, n_lines)
+    for k, size in enumerate(sizes):
+        out[TAGS + k * OCTAVES + min(OCTAVES - 1, size.bit_length())] = 0.5
+    signs = sum(not c.isalnum() and not c.isspace() for c in title or "")
+    out[TAGS + 3 * OCTAVES :] = *(np.log1p(x) / 10 for x in sizes), float(bool(address)), float(bool(title)), signs / max(1, len(title or ""))
     return out
 
 
@@ -107,47 +117,68 @@ class Model:
         return np.clip(a * (x @ w + b) + c, -30, 30)
 
 
-def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, each: int = EACH) -> Model:
-    """``xs`` and ``pool``: both views of the labelled and the unlabelled rows; ``y``: 0 or 1."""
+def handed_on(sure: np.ndarray, other: np.ndarray, known: dict[int, float], prior: float, each: int) -> dict[int, float]:
+    """Labels that a view hands on: the rows of the pool that it is surest of, of both kinds in the ratio of ``prior``.
+
+    ``sure`` and ``other``: the calibrated probability of good by this and the other view; ``known``: what the other view has been told.
+    """
+    free = np.array([r not in known for r in range(len(sure))], bool)
+    good = np.flatnonzero(free & (sure >= SURE) & (other > 1 - SURE))
+    bad = np.flatnonzero(free & (sure <= 1 - SURE) & (other < SURE))
+    rows = min(each, len(good) / prior, len(bad) / (1 - prior))
+    n_good, n_bad = int(rows * prior), int(rows * (1 - prior))
+    if not n_good or not n_bad:
+        return {}
+    good, bad = good[np.argsort(-sure[good], kind="stable")][:n_good], bad[np.argsort(sure[bad], kind="stable")][:n_bad]
+    return {int(r): 1.0 for r in good} | {int(r): 0.0 for r in bad}
+
+
+def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, each: int = EACH, log: list[tuple[int, int]] | None = None) -> Model:
+    """``xs`` and ``pool``: both views of the labelled and the unlabelled rows; ``y``: 0 or 1. ``log`` gets how many labels each view handed on in each round."""
     prior = float(y.mean()) if len(y) else 1.0
-    if len(y) < 20 or prior in (0.0, 1.0):
+    at = np.random.Generator(np.random.PCG64(SEED)).permutation(len(y))
+    own, scaling, mixing, cutting = np.split(at, (np.array([0.5, 0.7, 0.85]) * len(y)).astype(int))
+    if len(y) < 20 or any(len(set(y[part])) < 2 for part in (own, scaling, mixing)):
         flat = (np.zeros(CONTENT), 0.0), (np.zeros(META), 0.0)
         return Model(flat, ((0.0, 0.0), (0.0, 0.0)), (0.0, 0.0, float(np.clip(np.log((prior + 1e-6) / (1 - prior + 1e-6)), -14, 14))), 0.0)
-    at = np.random.Generator(np.random.PCG64(SEED)).permutation(len(y))
-    held, own = at[: len(y) * 3 // 10], at[len(y) * 3 // 10 :]
     told: list[dict[int, float]] = [{}, {}]  # what each view has learnt from the other: row of the pool -> label
 
     def fit(view: int) -> tuple[np.ndarray, float]:
         rows = np.array(list(told[view]), np.int64)
-        return logistic(np.concatenate((xs[view][own], pool[view][rows])), np.concatenate((y[own], [told[view][r] for r in rows])))
+        return logistic(np.concatenate((xs[view][own], pool[view][rows])), np.concatenate((y[own], [told[view][r] for r in rows])), prior=SHRINK[view])
+
+    def calibrated(view: int, weights: tuple[np.ndarray, float]) -> tuple[float, float]:
+        a, c = logistic((xs[view][scaling] @ weights[0] + weights[1])[:, None] / 10, y[scaling], rate=0.05)
+        return max(0.0, float(a[0])) / 10, c
 
     views = [fit(0), fit(1)]
+    scale = [calibrated(v, views[v]) for v in (0, 1)]
     for _ in range(rounds):
-        for view in (0, 1):
-            p = _sigmoid(pool[view] @ views[view][0] + views[view][1])
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                share = max(1, round(each * (prior if label else 1 - prior)))
-                new = [int(r) for r in np.argsort(-sure, kind="stable") if r not in told[1 - view]][:share]
-                told[1 - view] |= {r: label for r in new if sure[r] >= SURE}
+        p = [_sigmoid(scale[v][0] * (pool[v] @ views[v][0] + views[v][1]) + scale[v][1]) for v in (0, 1)]
+        new = [handed_on(p[v], p[1 - v], told[1 - v], prior, each) for v in (0, 1)]
+        if log is not None:
+            log.append((len(new[0]), len(new[1])))
+        if not any(new):
+            break
+        told[1] |= new[0]
+        told[0] |= new[1]
         views = [fit(0), fit(1)]
-    raw = [xs[v][held] @ views[v][0] + views[v][1] for v in (0, 1)]
-    scale = []
-    for z in raw:
-        a, c = logistic(z[:, None] / 10, y[held], rate=0.05)
-        scale.append((float(a[0]) / 10, c))
-    both = np.stack([np.clip(a * z + c, -30, 30) for z, (a, c) in zip(raw, scale)], 1)
-    mix, bias = logistic(both / 10, y[held], rate=0.05)
+        scale = [calibrated(v, views[v]) for v in (0, 1)]
+    logits = lambda part: np.stack([np.clip(a * (xs[v][part] @ w + b) + c, -30, 30) for v, ((w, b), (a, c)) in enumerate(zip(views, scale))], 1)
+    mix, bias = logistic(logits(mixing) / 10, y[mixing], rate=0.05)
     mix = mix / 10
-    score = _sigmoid(both @ mix + bias)
-    threshold = min(0.5, float(np.quantile(score[y[held] == 1], 1 - PASS_RATE)))
+    good = _sigmoid(logits(cutting) @ mix + bias)[y[cutting] == 1]
+    threshold = min(0.5, float(np.quantile(good, 1 - PASS_RATE))) if len(good) else 0.0
     return Model(tuple(views), tuple(scale), (float(mix[0]), float(mix[1]), bias), threshold)
 
 
-def _addresses(pages: DataFrame, url_col: str) -> DataFrame:
-    """``page, url``: the first address of each document id."""
+def _addresses(pages: DataFrame, url_col: str, html_col: str = "html") -> DataFrame:
+    """``page, url, title``: the first address of each document id and the title of its page (null without ``html_col``)."""
     number = F.regexp_extract(url_col, r"^\w+://[^/]+/(?:[^/?#]+/)*?(\d{1,18})(?:[/.?#]|$)", 1)  # empty if there is none
     id_ = F.when(number != "", number).cast("long")
-    return pages.select(id_.alias("page"), F.col(url_col).alias("url")).filter("page IS NOT NULL").groupBy("page").agg(F.min("url").alias("url"))
+    title = F.regexp_extract(html_col, r"<title>([^<]*)</title>", 1) if html_col in pages.columns else F.lit(None).cast("string")
+    found = pages.select(id_.alias("page"), F.struct(F.col(url_col).alias("url"), title.alias("title")).alias("first")).filter("page IS NOT NULL")
+    return found.groupBy("page").agg(F.min("first").alias("first")).select("page", "first.*")
 
 
 _TABLE = "id long, lang string, source string, n_chars long, n_lines long"
@@ -177,9 +208,9 @@ def fit(docs: DataFrame, addresses: DataFrame, labels: DataFrame, labelled: int
     other = docs.filter(place >= int(1_000_000 * (1 - more))).join(F.broadcast(told), "id", "left_anti")
     rows = _seen(known.unionByName(other), lambda t: content(t).astype("<f2").tobytes(), "binary")
     rows = rows.groupBy("id").agg(F.min(F.struct("of", "lang", "source", "n_chars", "n_lines")).alias("row")).select("id", "row.*")  # one row an id, however often it is there
-    rows = rows.join(told, "id", "left").join(addresses, rows["id"] == addresses["page"], "left").select(rows["*"], "good", "url").collect()  # both samples
+    rows = rows.join(told, "id", "left").join(addresses, rows["id"] == addresses["page"], "left").select(rows["*"], "good", "url", "title").collect()  # both samples
     rows.sort(key=lambda r: r["id"])
-    views = np.stack([np.frombuffer(r["of"], "<f2") for r in rows]).astype(np.float64) if rows else np.zeros((0, CONTENT)), np.stack([metadata(r["lang"], r["source"], r["url"], r["n_chars"], r["n_lines"]) for r in rows]).astype(np.float64) if rows else np.zeros((0, META))
+    views = np.stack([np.frombuffer(r["of"], "<f2") for r in rows]).astype(np.float64) if rows else np.zeros((0, CONTENT)), np.stack([metadata(r["lang"], r["source"], r["url"], r["title"], r["n_chars"], r["n_lines"]) for r in rows]).astype(np.float64) if rows else np.zeros((0, META))
     good = np.array([-1 if r["good"] is None else r["good"] for r in rows], np.int64)
     own = good >= 0
     return co_train((views[0][own], views[1][own]), good[own].astype(np.float64), (views[0][~own], views[1][~own]))
@@ -188,11 +219,11 @@ def fit(docs: DataFrame, addresses: DataFrame, labels: DataFrame, labelled: int
 def score(docs: DataFrame, addresses: DataFrame, model: Model) -> DataFrame:
     """``id, text_score, meta_score, score, kept`` of every row."""
     read = stash(_seen(docs, lambda t: float(model.logit(0, content(t))), "double"), "content-scores")
-    met = read.join(addresses, read["id"] == addresses["page"], "left").select("id", F.col("of").alias("text_logit"), "lang", "source", "url", "n_chars", "n_lines")
+    met = read.join(addresses, read["id"] == addresses["page"], "left").select("id", F.col("of").alias("text_logit"), "lang", "source", "url", "title", "n_chars", "n_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [float(model.logit(1, metadata(*x))) for x in zip(*(batch.column(k).to_pylist() for k in range(2, 7)))]
+            found = [float(model.logit(1, metadata(*x))) for x in zip(*(batch.column(k).to_pylist() for k in range(2, 8)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["id", "text_logit", "meta_logit"])
 
     logits = met.mapInArrow(run, "id long, text_logit double, meta_logit double")

@@ -139,6 +139,40 @@ def test_quality_model_ranks_held_out_labels(spark):
     assert np.mean([got[r.doc_id].kept for r in labels.filter("quality = 1").collect()]) > 0.97
 
 
+def auc(score, y):
+    rank = np.argsort(np.argsort(score)) + 1
+    n = y.sum()
+    return (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+
+
+def test_exchange_goes_both_ways_and_helps():
+    rng = np.random.default_rng(3)
+
+    def rows(n):
+        y = (rng.random(n) < 0.7).astype(float)
+        return tuple(rng.normal(0, 1, (n, size)) * (np.arange(size) < 40) + 0.38 * (2 * y - 1)[:, None] * (np.arange(size) < 20) for size in (quality_model.CONTENT, quality_model.META)), y
+
+    (xs, y), (pool, _), (held, told) = rows(160), rows(3000), rows(4000)
+    found = {}
+    for rounds in (0, 6):
+        log = []
+        model = quality_model.co_train(xs, y, pool, rounds=rounds, each=200, log=log)
+        found[rounds] = [auc(model.logit(v, held[v]), told) for v in (0, 1)]
+        if rounds:
+            assert min(a for a, _ in log) == 0 or len(log) == rounds
+            assert sum(a for a, _ in log) > 200 and sum(b for _, b in log) > 200, log
+    assert all(after > before + 0.01 for before, after in zip(found[0], found[6])), found
+
+
+def test_a_view_that_is_never_sure_of_bad_pages_hands_on_nothing():
+    sure = np.r_[np.full(50, 0.99), np.full(50, 0.6)]
+    assert quality_model.handed_on(sure, np.full(100, 0.5), {}, 0.8, 20) == {}
+    both = np.r_[np.full(60, 0.99), np.full(3, 0.01), np.full(40, 0.5)]
+    got = quality_model.handed_on(both, np.full(103, 0.5), {0: 1.0}, 0.8, 20)
+    assert sum(got.values()) == 12 and len(got) == 15 and 0 not in got  # three bad ones allow twelve good ones
+    assert 61 not in quality_model.handed_on(both, np.where(np.arange(103) == 61, 0.99, 0.5), {}, 0.8, 20)  # the other view is sure of the opposite
+
+
 def test_quality_model_of_odd_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.b/en/1?x=1", ""), (2, None, None)], "page_id long, url string, html string")
     labels = spark.createDataFrame([(1, 1, None), (1, None, 0)], "doc_id long, quality int, toxic int")
