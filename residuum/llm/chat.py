@@ -4,7 +4,10 @@ Prefix sums of turn tokens cut a conversation into strides of the room that a wi
 system turn and the history). Turns that lie within a stride form a span, a turn that crosses into the next stride is a
 span of its own: spans are aligned to turns and need no sequential packing. Every window shows the system turn, then as
 many turns before its span as fit into the history budget, then the span. The loss mask covers assistant texts of the span
-alone, so a repeated target is masked.
+alone, so a repeated target is masked. Strides don't move, so a turn across the border of two leaves both less than full.
+
+Turns are sorted once, with their texts; windows are planned on token counts alone; texts are attached to the plan in one join and
+gathered by window.
 
 Turns are written ``<|turn|>role\\ntext<|end|>``. Control strings of this and common other templates inside a text get a backslash
 after their first bracket, and one more if they have some, which is undone exactly. In roles, % and line ends are
@@ -17,15 +20,17 @@ over budget and whole. Only a system turn: one window. Empty table: empty result
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residuum.llm.common import n_words, running_total
+from residuum.llm.common import n_words, stash
 
 BUDGET = 512
 HISTORY = 128
 #: Tokens that the marks of a turn count as.
 MARKS = 3
+#: Where ``monotonically_increasing_id`` puts the number of the range.
+RANGE_BITS = 33
 TURN, END = "<|turn|>", "<|end|>"
 CONTROL = r"(\|(?:turn|end)\|>|/?s>|/?INST\])"
 
@@ -46,46 +51,59 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def _spans(turns: DataFrame, budget: int, history: int, tokens: Column) -> DataFrame:
-    """``conv, pos, role, text, system, from, to`` (prefix sums without the system turn) and ``span``.
+def _spans(told: DataFrame, budget: int, history: int) -> DataFrame:
+    """``conv, at, system, from, to`` (prefix sums without the system turn) and ``span`` of each turn, without its text.
 
-    Sums run over all turns of all conversations at once, less what comes before the conversation, so that a conversation of
-    any length is spread over tasks. A turn has a token at least, so its sum is its place as well.
+    ``told``: turns with ``at``, a number that rises in the order of the turns and names their range in its upper bits. Sums run over all
+    turns of all conversations at once, range by range, less what comes before the conversation, so that a conversation of any length is spread
+    over tasks.
     """
-    rows = running_total(turns.withColumn("tokens", tokens), [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"], "tokens", "pos", "chat-turns")
-    first = rows.groupBy("conv").agg(F.min(F.struct("pos", "role", "tokens")).alias("first")).select(F.col("conv").alias("c"), "first")
+    rows = told.select("conv", "at", "tokens", (F.col("role") == "system").alias("opens"), F.shiftright("at", RANGE_BITS).alias("range"))
+    sums = rows.groupBy("range").agg(F.sum("tokens").alias("sum"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("earlier"))  # one row a range
+    within = Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(F.broadcast(offsets), "range").withColumn("sum", F.col("earlier") + F.sum("tokens").over(within))
+    first = rows.groupBy("conv").agg(F.min(F.struct("at", "sum", "opens", "tokens")).alias("first")).select(F.col("conv").alias("c"), "first")
     rows = rows.join(first, rows["conv"].eqNullSafe(first["c"]))
-    opens = F.col("first.role") == "system"
-    rows = rows.withColumn("system", opens & (F.col("pos") == F.col("first.pos")))
-    before = F.col("first.pos") - F.when(opens, 0).otherwise(F.col("first.tokens"))
-    rows = rows.withColumn("to", F.col("pos") - before)
-    rows = rows.withColumn("room", F.greatest(F.lit(1), budget - history - F.when(opens, F.col("first.tokens")).otherwise(0)))
-    rows = rows.withColumn("from", F.when(F.col("system"), F.col("to")).otherwise(F.col("to") - F.col("tokens")))
+    before = F.col("first.sum") - F.when(F.col("first.opens"), 0).otherwise(F.col("first.tokens"))
+    to = F.col("sum") - before
+    system = F.col("first.opens") & (F.col("at") == F.col("first.at"))
+    room = F.greatest(F.lit(1), budget - history - F.when(F.col("first.opens"), F.col("first.tokens")).otherwise(0))
+    rows = rows.select("conv", "at", system.alias("system"), F.when(system, to).otherwise(to - F.col("tokens")).alias("from"), to.alias("to"), room.alias("room"))
     first, last = F.floor(F.col("from") / F.col("room")), F.floor((F.col("to") - 1) / F.col("room"))
-    return rows.withColumn("span", F.when(~F.col("system"), 2 * first + F.when(first < last, 1).otherwise(0))).drop("turn", "tokens", "room", "first", "c")
+    return rows.withColumn("span", F.when(~F.col("system"), 2 * first + F.when(first < last, 1).otherwise(0))).drop("room")
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Column | None = None, names: tuple[str, str, str, str] = ("conv_id", "turn", "role", "text")) -> DataFrame:
-    """``conv, window, lead, formatted, loss``: windows by number (gaps may occur); the first ``lead`` turns of one are repeats;
-    ``loss`` has (start, length) in code points of what is to be learnt."""
-    conv, turn, role, text = names
-    turns = conversations.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = _spans(turns, budget, history, n_words(F.col("text")) + MARKS if tokens is None else tokens)
-    told = rows.filter("NOT system")
-    spans = told.groupBy("conv", "span").agg(F.min("from").alias("begin"))
-    own = told.select("conv", "span", "pos", "role", "text", F.lit(True).alias("fresh"))
+def planned(told: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """``conv, span, at, fresh``: which turns each window shows, and whether as new ones; no texts."""
+    rows = stash(_spans(told, budget, history), "chat-plan")
+    turns = rows.filter("NOT system")
+    spans = turns.groupBy("conv", "span").agg(F.min("from").alias("begin"))
+    own = turns.select("conv", "span", "at", F.lit(True).alias("fresh"))
     # a turn is history of the spans that begin within the history budget after it: an equality on steps of that width
     step = max(1, history)
-    past = told.filter(F.col("to") - F.col("from") <= history).withColumn("step", F.explode(F.sequence(F.floor(F.col("to") / step), F.floor((F.col("from") + history) / step))))
+    past = turns.filter(F.col("to") - F.col("from") <= history).withColumn("step", F.explode(F.sequence(F.floor(F.col("to") / step), F.floor((F.col("from") + history) / step))))
     stepped = spans.select(F.col("conv").alias("c"), F.col("span").alias("s"), "begin", F.floor(F.col("begin") / step).alias("b"))
     past = past.join(stepped, past["conv"].eqNullSafe(stepped["c"]) & (past["step"] == stepped["b"]) & (F.col("begin") >= F.col("to")) & (F.col("begin") <= F.col("from") + history))
-    past = past.select("conv", F.col("s").alias("span"), "pos", "role", "text", F.lit(False).alias("fresh"))
-    systems = rows.filter("system").select("conv", "pos", "role", "text")
+    past = past.select("conv", F.col("s").alias("span"), "at", F.lit(False).alias("fresh"))
+    systems = rows.filter("system").select("conv", "at")
     started = spans.select(F.col("conv").alias("c"), "span", "begin")
     lead = systems.join(started, systems["conv"].eqNullSafe(started["c"]), "left")
-    lead = lead.select("conv", F.coalesce("span", F.lit(0)).alias("span"), "pos", "role", "text", (F.coalesce("begin", F.lit(0)) == 0).alias("fresh"))
-    shown = own.unionByName(past).unionByName(lead)
-    body = F.struct("pos", "fresh", (F.col("role") == "assistant").alias("learn"), F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))
+    lead = lead.select("conv", F.coalesce("span", F.lit(0)).alias("span"), "at", (F.coalesce("begin", F.lit(0)) == 0).alias("fresh"))
+    return own.unionByName(past).unionByName(lead)
+
+
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Column | None = None, names: tuple[str, str, str, str] = ("conv_id", "turn", "role", "text")) -> DataFrame:
+    """``conv, window, lead, formatted, loss``: windows by number (gaps may occur); the first ``lead`` turns of one are repeats;
+    ``loss`` has (start, length) in code points of what is to be learnt."""
+    conv, turn, role, text = names
+    turns = conversations.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    turns = turns.withColumn("tokens", n_words(F.col("text")) + MARKS if tokens is None else tokens)
+    order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    told = stash(turns.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "chat-turns")
+    shown = planned(told, budget, history).join(told.select("at", "role", "text"), "at")
+    body = F.struct("at", "fresh", (F.col("role") == "assistant").alias("learn"), F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))
     windows = shown.groupBy("conv", "span").agg(F.array_sort(F.collect_list(body)).alias("turns"))  # as many as the budget holds
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
 
