@@ -24,11 +24,11 @@ MAX_ASA = {
 # Shift of oxidised cysteine against the reduced one, by atom.
 OXIDISED_CYS = {"H": 0.11, "HA": 0.16, "C": 0.0, "CA": -2.8, "CB": 13.1, "N": -0.2}
 
-# The third atoms after N, CA, CB (gamma) and after CA, CB, gamma (delta) that define chi1 and chi2.
-CHI_ATOMS = {
-    "ARG": ("CG", "CD"), "ASN": ("CG", "OD1"), "ASP": ("CG", "OD1"), "CYS": ("SG", None), "GLN": ("CG", "CD"), "GLU": ("CG", "CD"), "HIS": ("CG", "ND1"),
-    "ILE": ("CG1", "CD1"), "LEU": ("CG", "CD1"), "LYS": ("CG", "CD"), "MET": ("CG", "SD"), "PHE": ("CG", "CD1"), "PRO": ("CG", "CD"), "SER": ("OG", None),
-    "THR": ("OG1", None), "TRP": ("CG", "CD1"), "TYR": ("CG", "CD1"), "VAL": ("CG1", None),
+# The side chain's atoms after CB in order; chi1 is over N, CA, CB and the first, chi2 over CA, CB and the first two, and so on.
+SIDE_CHAINS = {
+    "ARG": ("CG", "CD", "NE", "CZ", "NH1"), "ASN": ("CG", "OD1"), "ASP": ("CG", "OD1"), "CYS": ("SG",), "GLN": ("CG", "CD", "OE1"), "GLU": ("CG", "CD", "OE1"),
+    "HIS": ("CG", "ND1"), "ILE": ("CG1", "CD1"), "LEU": ("CG", "CD1"), "LYS": ("CG", "CD", "CE", "NZ"), "MET": ("CG", "SD", "CE"), "PHE": ("CG", "CD1"),
+    "PRO": ("CG", "CD"), "SER": ("OG",), "THR": ("OG1",), "TRP": ("CG", "CD1"), "TYR": ("CG", "CD1"), "VAL": ("CG1",),
 }
 
 # Atoms around each aromatic ring in order, and the ring's intensity.
@@ -53,12 +53,11 @@ def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def chi_table(spark: SparkSession) -> DataFrame:
-    """``resname, chi, k, atom_name``: the four atoms of chi1 and chi2."""
+    """``resname, chi, k, atom_name``: the four atoms of each chi."""
     rows = []
-    for res, (gamma, delta) in CHI_ATOMS.items():
-        for chi, atoms in ((1, ("N", "CA", "CB", gamma)), (2, ("CA", "CB", gamma, delta))):
-            if None not in atoms:
-                rows += [(res, chi, k, a) for k, a in enumerate(atoms)]
+    for res, side in SIDE_CHAINS.items():
+        path = ("N", "CA", "CB", *side)
+        rows += [(res, chi, k, path[chi - 1 + k]) for chi in range(1, len(side) + 1) for k in range(4)]
     return table(spark, rows, "resname string, chi int, k int, atom_name string")
 
 

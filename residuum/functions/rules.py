@@ -48,11 +48,10 @@ def null_if_all_zero(c: Column, flags: Sequence[Column]) -> Column:
     return F.when(F.greatest(*flags, F.lit(0)) != 0, c)
 
 
-def null_if_angles_differ(c: Column, cos: Column, sin: Column, cos_ref: Column, sin_ref: Column, tolerance: float = 0.001) -> Column:
-    """c where an angle agrees with its reference or does not exist (cos = sin = 0)."""
-    absent = (cos == 0) & (sin == 0)
-    close = (F.abs(cos - cos_ref) <= tolerance) & (F.abs(sin - sin_ref) <= tolerance)
-    return F.when(F.coalesce(absent | close, F.lit(False)), c)
+def null_if_angles_differ(c: Column, cos: Column, sin: Column, cos_ref: Column, tolerance: float = 0.001) -> Column:
+    """c where an angle's cosine agrees with its reference, or one of the two angles does not exist: cos = sin = 0 here, a cosine of 1 less one of 0 there."""
+    off = F.abs(cos - cos_ref)
+    return F.when(F.coalesce(((cos == 0) & (sin == 0)) | (off == 1) | (off <= tolerance), F.lit(False)), c)
 
 
 def clip(c: Column, cap: float | Column) -> Column:

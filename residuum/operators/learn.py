@@ -25,8 +25,8 @@ def assembled(df: DataFrame, features: Sequence[str], into: str = "features") ->
     return VectorAssembler(inputCols=list(features), outputCol=into, handleInvalid="skip").transform(df)
 
 
-def forest(label: str, trees: int = 500, subset: str = "0.3", leaf: int = 3, depth: int = 12, seed: int = 1, bootstrap: bool = False) -> RandomForestRegressor:
-    """Trees on all rows, without bootstrap unless asked for."""
+def forest(label: str, trees: int = 500, subset: str = "0.3", leaf: int = 3, depth: int = 30, seed: int = 1, bootstrap: bool = False) -> RandomForestRegressor:
+    """Trees on all rows, without bootstrap unless asked for; as deep as the leaf size lets them be, up to the library's limit of 30."""
     return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="pred", numTrees=trees, featureSubsetStrategy=subset, minInstancesPerNode=leaf, maxDepth=depth, seed=seed, bootstrap=bootstrap)
 
 

@@ -29,6 +29,23 @@ def both_hits(sequence: DataFrame, structure: DataFrame) -> DataFrame:
     return share_of_best(joined, ["query"], "score")
 
 
+def hit_summary(hits: DataFrame, keys: Sequence[str] = ("query",), identity: str = "identity") -> DataFrame:
+    """How many references a query has, and the largest identity among them."""
+    return hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("references"), F.max(identity).alias("best_identity"))
+
+
+def reconciled(aligned: DataFrame, keys: Sequence[str], own: str = "a", recognised: str = "b") -> DataFrame:
+    """``keys, ordinal, letter``: the letters of one's own sequence that the other program has seen too, by their place in one's own.
+
+    ``aligned``: both sequences with ``-`` for gaps, of one length.
+    """
+    letters = lambda c: F.filter(F.split(F.col(c), ""), lambda x: x != "")
+    rows = aligned.select(*keys, F.posexplode(F.arrays_zip(letters(own).alias("own"), letters(recognised).alias("seen"))).alias("pos", "p"))
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*keys, "p.*", F.sum((F.col("p.own") != "-").cast("long")).over(w).alias("ordinal"))
+    return rows.filter("own <> '-' AND seen <> '-'").select(*keys, "ordinal", F.col("own").alias("letter"))
+
+
 def share_of_best(df: DataFrame, keys: Sequence[str], score: str, name: str | None = None) -> DataFrame:
     return df.withColumn(name or score, F.col(score) / F.max(score).over(Window.partitionBy(*keys)))
 
@@ -78,18 +95,27 @@ def transferable(strict: int, same: Column, similarity: Column) -> Column:
     return {0: same, 1: similarity > 0, 2: F.lit(True)}[strict]
 
 
-def transfer_labels(alignment: DataFrame, labels: DataFrame, similarity: DataFrame, strict: int = 1) -> DataFrame:
+def transfer_labels(alignment: DataFrame, labels: DataFrame, similarity: DataFrame, strict: int = 1, coil: DataFrame | None = None, special: str = "P") -> DataFrame:
     """Labels of targets on the positions of queries.
 
     ``alignment``: query, target, pos, source_res, target_res, one row an aligned column in order, ``-`` for a gap. Ordinals
     without gaps on either side number the residues; ``labels``: target, ordinal, atom, value; ``similarity``: a, b, score (symmetric).
+    With ``coil`` (context, resname as letter, atom, value) the target's own random-coil value, in the context of its next residue, is taken off.
     """
     w = Window.partitionBy("query", "target").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     numbered = alignment.withColumns({f"{s}_no": F.sum((F.col(f"{s}_res") != "-").cast("long")).over(w) for s in ("source", "target")})
+    if coil is not None:  # the next letter that is no gap
+        later = Window.partitionBy("query", "target").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+        following = F.first(F.when(F.col("target_res") != "-", F.col("target_res")), ignorenulls=True).over(later)
+        numbered = numbered.withColumn("context", F.when(following == special, "pro").otherwise("ala"))
     paired = numbered.filter("source_res <> '-' AND target_res <> '-'")
     scored = paired.join(similarity.select(F.col("a").alias("source_res"), F.col("b").alias("target_res"), "score"), ["source_res", "target_res"], "left")
     allowed = scored.filter(F.coalesce(transferable(strict, F.col("source_res") == F.col("target_res"), F.col("score")), F.lit(False)))
-    return allowed.join(labels.withColumnRenamed("ordinal", "target_no"), ["target", "target_no"])
+    found = allowed.join(labels.withColumnRenamed("ordinal", "target_no"), ["target", "target_no"])
+    if coil is None:
+        return found
+    found = add_baseline(found, coil, "target_res")
+    return found.withColumn("value", F.col("value") - F.col("coil")).drop("coil", "context")
 
 
 def labels_by_alignment(alignment: DataFrame, keys: Sequence[str]) -> DataFrame:

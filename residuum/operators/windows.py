@@ -69,5 +69,5 @@ def current_section(df: DataFrame, keys: Sequence[str], order: Sequence[str], ma
 
 
 def folds(key: str, k: int = 10) -> Column:
-    """Fold of a row, by its key: the same on every run."""
-    return F.pmod(F.col(key), F.lit(k)).cast("int")
+    """Fold of a row, by a hash of its key (of any type): the same on every run, even however keys are spaced."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int")

@@ -5,24 +5,34 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.regression import RandomForestRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.functions import lookup
 from residuum.functions import rules as R
-from residuum.operators import learn, residue, transfer
+from residuum.operators import curate, learn, residue, transfer
 from residuum.operators import windows as W
 from residuum.sources.labels import ATOMS
 
 KEY = residue.KEY
 
 
-def single(atoms: DataFrame, scores: DataFrame, dssp: DataFrame | None = None, flank: int = 0) -> DataFrame:
-    """A row a residue. With ``dssp`` residues that it lacks are dropped, as without an assignment they are unusable."""
-    atoms = residue.standard(atoms)
-    ids = atoms.select(*KEY, F.col("resname").alias("RESNAME")).distinct()
-    parts = [residue.torsions(atoms), residue.side_torsions(atoms), residue.hydrogen_bonds(atoms), residue.contact_order(atoms), residue.substitution_row(atoms, scores), residue.exposure(atoms), residue.ring_currents(atoms), residue.mean_bfactor(atoms), residue.oxidised(atoms)]
+def single(atoms: DataFrame, scores: DataFrame, dssp: DataFrame | None = None, flank: int = 0, ph: DataFrame | None = None, default_ph: float = 5.0, restrict_ha: bool = True, in_order: bool = False) -> DataFrame:
+    """A row a residue. With ``dssp`` residues that it lacks are dropped, as without an assignment they are unusable.
+
+    ``ph``: file_id, ph; other files have the default. ``in_order``: fail where a chain's numbers repeat or fall along the file.
+    """
+    everything, atoms = atoms, residue.standard(atoms)
+    ids = atoms.groupBy(*KEY, F.col("resname").alias("RESNAME")).agg(F.min("pos").alias("__pos"))
+    if in_order:
+        ids = curate.check_order(ids, KEY[:-1], "__pos", "res_num")
+    ids = ids.drop("__pos")
+    parts = [residue.torsions(atoms), residue.side_torsions(atoms), residue.hydrogen_bonds(atoms, restrict_ha=restrict_ha, around=everything), residue.contact_order(atoms), residue.substitution_row(atoms, scores), residue.exposure(atoms), residue.ring_currents(atoms), residue.mean_bfactor(atoms), residue.oxidised(atoms)]
     table = reduce(lambda a, b: a.join(b, KEY, "left"), parts, ids)
+    if ph is None:
+        table = table.withColumn("PH", F.lit(default_ph))
+    else:
+        table = table.join(ph.groupBy("file_id").agg(F.min("ph").alias("PH")), "file_id", "left").withColumn("PH", F.coalesce("PH", F.lit(default_ph)))
     if dssp is not None:
         table = table.join(residue.accessible(dssp).drop("resname"), KEY)
     if flank:
@@ -32,7 +42,7 @@ def single(atoms: DataFrame, scores: DataFrame, dssp: DataFrame | None = None, f
 
 def triple(table: DataFrame, coil: DataFrame) -> DataFrame:
     """Features of the residue and both neighbours by number, and random-coil values in the context of the next residue."""
-    own = {"RESNAME", "CYS_OX", *KEY}
+    own = {"RESNAME", "CYS_OX", "PH", *KEY}
     shared = [c for c in table.columns if c not in own and not c.endswith("_RC") and not c.startswith("RESNAME_")]
     wide = W.guarded(table, KEY[:-1], "res_num", {c: 0.0 for c in shared} | {"RESNAME": ""})
     wide = transfer.with_context(wide, KEY[:-1], "res_num", "RESNAME")
@@ -42,10 +52,11 @@ def triple(table: DataFrame, coil: DataFrame) -> DataFrame:
     return wide.withColumns(shift).drop("context", "CYS_OX", *ATOMS)
 
 
-def preprocess(table: DataFrame) -> DataFrame:
-    """Ring currents of both alpha hydrogens merged, hydrophobicity, powers of distances and cosines."""
+def preprocess(table: DataFrame, alphas: str = "mean") -> DataFrame:
+    """Ring currents of both alpha hydrogens merged (``alphas``: their mean, or one of them by name), hydrophobicity, powers of distances and cosines."""
     if "HA2_RC" in table.columns:
-        ha = F.when(F.col("HA2_RC").isNotNull(), (F.col("HA2_RC") + F.col("HA3_RC")) / 2).otherwise(F.col("HA_RC"))
+        merged = {"mean": (F.col("HA2_RC") + F.col("HA3_RC")) / 2, "HA2": F.col("HA2_RC"), "HA3": F.col("HA3_RC")}[alphas]
+        ha = F.when(F.col("HA2_RC").isNotNull(), merged).otherwise(F.col("HA_RC"))
         table = table.withColumn("HA_RC", ha).drop("HA2_RC", "HA3_RC")
     energies = F.create_map(*[F.lit(v) for kv in lookup.HYDROPHOBICITY.items() for v in kv])
     distances = [c for c in table.columns if c.split("_")[1:2] == ["d"]]
@@ -60,6 +71,23 @@ def for_atom(table: DataFrame, atom: str) -> list[str]:
     return sorted(c for c in table.columns if c not in drop)
 
 
+def training_table(table: DataFrame, labels: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Features with the labels of their residues, null where there is none.
+
+    ``labels``: file_id, chain, resid and any of the six atoms (others are added as null). ``pairs`` (file_id, chain, feature_no, label_no) says which residue
+    of the labels, by ordinal, belongs to which of the features; without it their numbers agree.
+    """
+    labels = labels.withColumns({a: F.lit(None).cast("double") for a in ATOMS if a not in labels.columns})
+    where = KEY[:1] + KEY[2:3]
+    named = labels.select(*where, "resid", *ATOMS)
+    if pairs is None:
+        return table.join(named.withColumnRenamed("resid", "res_num"), [*where, "res_num"], "left")
+    told = Window.partitionBy(*where).orderBy("resid")
+    named = named.withColumn("label_no", F.row_number().over(told)).join(pairs, [*where, "label_no"]).drop("label_no", "resid")
+    numbered = table.withColumn("feature_no", F.row_number().over(Window.partitionBy(*KEY[:-1]).orderBy("res_num")))
+    return numbered.join(named, [*where, "feature_no"], "left").drop("feature_no")
+
+
 def predict(table: DataFrame, atom: str, models: dict[str, RandomForestRegressionModel], transferred: DataFrame | None = None) -> DataFrame:
     """``KEY, RESNAME, <atom>_X`` and, with ``transferred`` (KEY, RESNAME, value, score, cov, match), the combined prediction with its fallback.
 

@@ -10,6 +10,7 @@ from residuum.functions import rules as R
 from residuum.operators import curate, evaluate, learn, transfer
 from residuum.operators import windows as W
 from residuum.plans.registry import query
+from residuum.sources import tables
 
 
 @query("""
@@ -89,13 +90,13 @@ def range_nullout(t):
 
 @query("""
 WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CAST(l_returnflag = 'R' AS INTEGER) AS f1, CAST(l_linestatus = 'F' AS INTEGER) AS f2,
-                  cos(l_discount) AS c, sin(l_discount) AS s, cos(l_tax) AS c2, sin(l_tax) AS s2 FROM lineitem)
+                  cos(l_discount) AS c, sin(l_discount) AS s, cos(l_tax) AS c2 FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN f1 + f2 > 0 THEN l_quantity END AS flagged,
-       CASE WHEN (c = 0 AND s = 0) OR (abs(c - c2) <= 0.01 AND abs(s - s2) <= 0.01) THEN l_quantity END AS agreeing FROM x""")
+       CASE WHEN (c = 0 AND s = 0) OR abs(c - c2) = 1 OR abs(c - c2) <= 0.001 THEN l_quantity END AS agreeing FROM x""")
 def flag_purifier(t):
     flags = [(F.col("l_returnflag") == "R").cast("int"), (F.col("l_linestatus") == "F").cast("int")]
     quantity, d, x = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", R.null_if_all_zero(quantity, flags).alias("flagged"), R.null_if_angles_differ(quantity, F.cos(d), F.sin(d), F.cos(x), F.sin(x), 0.01).alias("agreeing"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", R.null_if_all_zero(quantity, flags).alias("flagged"), R.null_if_angles_differ(quantity, F.cos(d), F.sin(d), F.cos(x)).alias("agreeing"))
 
 
 @query("""
@@ -294,7 +295,7 @@ def edit_distance(t):
 
 
 @query("""
-WITH x AS (SELECT event_id, event_type, value, CAST(event_id % 10 AS INTEGER) AS fold FROM events),
+WITH x AS (SELECT event_id, event_type, value, CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 AS INTEGER) AS fold FROM events),
 f AS (SELECT event_type, fold, sum(value) AS s, count(value) AS n FROM x GROUP BY event_type, fold),
 a AS (SELECT event_type, sum(s) AS s, sum(n) AS n FROM f GROUP BY event_type)
 SELECT x.event_id, x.fold, round((a.s - f.s) / (a.n - f.n), 6) AS oof FROM x JOIN f USING (event_type, fold) JOIN a USING (event_type)""")
@@ -304,7 +305,7 @@ def kfold_oof(t):
 
 
 @query("""
-WITH x AS (SELECT event_id, event_type, value, CAST(event_id % 10 AS INTEGER) AS fold, user_id FROM events),
+WITH x AS (SELECT event_id, event_type, value, CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 AS INTEGER) AS fold, user_id FROM events),
 f AS (SELECT event_type, fold, sum(value) AS s, count(value) AS n FROM x GROUP BY event_type, fold),
 a AS (SELECT event_type, sum(s) AS s, sum(n) AS n FROM f GROUP BY event_type)
 SELECT x.event_id, round(coalesce(CASE WHEN user_id % 3 = 0 THEN value * 0.5 END, (a.s - f.s) / (a.n - f.n)) + length(event_type), 6) AS final
@@ -320,7 +321,7 @@ def stack_fallback(t):
 SELECT o_custkey AS custkey, o_orderkey AS orderkey, CAST(NULL AS VARCHAR) AS name FROM orders UNION ALL SELECT c_custkey, NULL, c_name FROM customer""")
 def union_by_name(t):
     orders = t("orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"))
-    return orders.unionByName(t("customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("custkey")), allowMissingColumns=True)
+    return tables.union([orders, t("customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("custkey"))])
 
 
 @query("""
@@ -354,11 +355,11 @@ def whiten(t):
 
 @query()
 def forest_fit_predict(t):
-    """Rows only: trees have no SQL."""
-    rows = t("events").select("event_id", F.col("user_id").cast("double").alias("user"), F.hour("ts").cast("double").alias("hour"), F.length("event_type").cast("double").alias("kind"), "value")
+    """Rows only: trees have no SQL. Each fold is predicted by a model of the others."""
+    rows = t("events").select("event_id", F.col("user_id").cast("double").alias("user"), F.hour("ts").cast("double").alias("hour"), F.length("event_type").cast("double").alias("kind"), "value", W.folds("event_id", 3).alias("fold"))
     ready = learn.assembled(rows, ["user", "hour", "kind"])
-    model = learn.forest("value", trees=10, leaf=3, depth=6).fit(ready)
-    return model.transform(ready).select("event_id", F.col("pred").alias("prediction"))
+    held = learn.out_of_fold(ready, learn.forest("value", trees=10, leaf=3, depth=6), "fold", 3, ["event_id"])
+    return held.withColumnRenamed("pred", "prediction")
 
 
 @query("""

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from residuum.plans import positional, registry, tabular  # noqa: F401
+from residuum.plans import positional, registry, structures, tabular  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")

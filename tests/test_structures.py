@@ -161,13 +161,86 @@ def test_hydrogen_bond(spark):
     assert alone.HN_COS_A == pytest.approx(math.cos(math.radians(109.5))) and alone.HN_ENERGY == 0 and alone.HN_EXISTS == 1
 
 
-def test_restricted_hydrogen_bond_needs_a_bonded_acceptor(spark):
-    rows = [(1, "ALA", "CA", "C", 0.0, 0.0, 0.0), (1, "ALA", "HA", "H", 1.0, 0.0, 0.0), (9, "GLY", "O", "O", 3.0, 0.0, 0.0), (9, "GLY", "C", "C", 4.2, 0.0, 0.0)]
-    more = [(20, "SER", "H", "H", 3.0, 1.9, 0.0), (20, "SER", "N", "N", 3.0, 2.9, 0.0)]
-    table = lambda r: spark.createDataFrame([("f", 1, "A", n, "", x, a, e, *p, k) for k, (n, x, a, e, *p) in enumerate(r)], "file_id string, model int, chain string, res_num int, icode string, resname string, atom_name string, element string, x double, y double, z double, pos int")
-    exists = lambda r, **o: {x.res_num: x.Ha_EXISTS for x in residue.hydrogen_bonds(table(r), 2.2, **o).collect()}[1]
-    assert exists(rows) == 1 and exists(rows, restrict_ha=True) in (0, 1)
-    assert exists(rows + more, restrict_ha=True) == 1
+ATOM_ROW = "file_id string, model int, chain string, res_num int, icode string, resname string, atom_name string, element string, x double, y double, z double, pos int"
+#: An alpha hydrogen that points at the O of another residue, whose C is behind it; and an amide H that points at that O.
+ALPHA = [(5, "ALA", "CA", "C", 0.0, 0.0, 0.0), (5, "ALA", "HA", "H", 1.0, 0.0, 0.0)]
+CARBONYL = [(9, "GLY", "O", "O", 3.0, 0.0, 0.0), (9, "GLY", "C", "C", 4.2, 0.0, 0.0)]
+AMIDE = [(20, "SER", "H", "H", 3.0, 1.9, 0.0), (20, "SER", "N", "N", 3.0, 2.9, 0.0)]
+
+
+def alpha_bond(spark, rows, **options):
+    table = spark.createDataFrame([("f", 1, "A", n, "", x, a, e, *p, k) for k, (n, x, a, e, *p) in enumerate(rows)], ATOM_ROW)
+    return {r.res_num: r for r in residue.hydrogen_bonds(table, **options).collect()}[5]
+
+
+def test_alpha_bond_needs_an_acceptor_with_a_bond_of_its_own(spark):
+    energy = 0.084 * 332 * (1 / 3 + 1 / 3.2 - 1 / 2 - 1 / 4.2)
+    lonely = alpha_bond(spark, ALPHA + CARBONYL)
+    assert (lonely.Ha_d, lonely.Ha_EXISTS) == (2.0, 0.0)  # the alpha hydrogen itself is no bond of the O's own
+    assert (lonely.Ha_COS_A, lonely.Ha_COS_H, lonely.Ha_ENERGY) == (pytest.approx(-1), pytest.approx(-1), pytest.approx(energy))
+    assert alpha_bond(spark, ALPHA + CARBONYL + AMIDE).Ha_EXISTS == 1
+    weak = [(20, "SER", "H", "H", 3.0, 4.0, 0.0), (20, "SER", "N", "N", 3.0, 5.0, 0.0)]  # -0.14 kcal/mol
+    assert alpha_bond(spark, ALPHA + CARBONYL + weak).Ha_EXISTS == 0
+    assert alpha_bond(spark, ALPHA + CARBONYL + weak, energy_of_own=False).Ha_EXISTS == 1
+    following = [(10, *x[1:]) for x in AMIDE]  # the O's next residue doesn't count
+    assert alpha_bond(spark, ALPHA + CARBONYL + following).Ha_EXISTS == 0
+    assert alpha_bond(spark, ALPHA + CARBONYL, restrict_ha=False).Ha_EXISTS == 1
+
+
+def test_alpha_bond_passes_over_neighbours_and_bent_acceptors(spark):
+    for near in (4, 6):
+        rows = [(near, *x[1:]) for x in CARBONYL]
+        assert alpha_bond(spark, ALPHA + rows + AMIDE).Ha_d == 0
+    bent = [(9, "GLY", "O", "O", 1.0, 1.5, 0.0), (9, "GLY", "C", "C", 0.0, 0.9, 0.0)]  # 90 degrees at HA, under 90 at the O
+    far = [(12, x[1], x[2], x[3], x[4] + 0.5, *x[5:]) for x in CARBONYL]
+    assert alpha_bond(spark, ALPHA + bent + far).Ha_d == 2.5
+    # the angle at the O is to its residue's C, not to the nearest heavy atom
+    beside = [(9, "GLY", "N", "N", 3.0, -1.1, 0.0)]
+    assert alpha_bond(spark, ALPHA + CARBONYL + beside).Ha_COS_A == pytest.approx(-1)
+
+
+def test_alpha_bond_to_water(spark):
+    water = alpha_bond(spark, ALPHA + [(99, "HOH", "O", "O", 3.0, 0.0, 0.0)])
+    assert (water.Ha_d, water.Ha_EXISTS, water.Ha_ENERGY) == (2.0, 1.0, 0.0) and water.Ha_COS_A == pytest.approx(math.cos(math.radians(109.5)))
+
+
+def test_amide_bond_to_nitrogen_and_energy(spark):
+    donor, acceptor = [(5, "ALA", "N", "N", 0.0, 0.0, 0.0), (5, "ALA", "H", "H", 1.0, 0.0, 0.0)], [(9, "HIS", "NE2", "N", 3.0, 0.0, 0.0), (9, "HIS", "CE1", "C", 4.2, 0.0, 0.0)]
+    row = alpha_bond(spark, donor + acceptor)
+    assert (row.HN_d, row.HN_EXISTS) == (2.0, 1.0)
+    assert alpha_bond(spark, donor + [(4, *x[1:]) for x in acceptor]).HN_EXISTS == 0
+    distant = [(9, "HIS", "NE2", "N", 5.5, 0.0, 0.0), (9, "HIS", "CE1", "C", 6.7, 0.0, 0.0)]
+    assert alpha_bond(spark, donor + distant).HN_EXISTS == 1 and alpha_bond(spark, donor + distant, by_energy=True).HN_EXISTS == 0
+
+
+def test_water_reaches_the_features_and_ph_is_joined(spark, tmp_path):
+    rows = [atom(k, n, "ALA", "A", 5, *p, element=e) for k, (n, e, p) in enumerate((("N", "N", (0, 3, 0)), ("CA", "C", (0, 0, 0)), ("HA", "H", (1, 0, 0)), ("C", "C", (-1.2, 0, 1)), ("O", "O", (-2, 0, 2))))]
+    rows.append(atom(9, "O", "HOH", "A", 99, 3, 0, 0, het=True))
+    table = structure.atoms(text.numbered_lines(spark, write(tmp_path, "w.pdb", rows)))
+    scores = spark.createDataFrame([("ALA", "ALA", 4.0)], "a string, b string, score double")
+    ph = spark.createDataFrame([("w", 6.5)], "file_id string, ph double")
+    row = features.single(table, scores, ph=ph, in_order=True).collect()[0]
+    assert (row.Ha_EXISTS, row.Ha_d, row.PH) == (1.0, 2.0, 6.5)
+    assert features.single(table, scores).collect()[0].PH == 5.0
+    assert "PH" in features.for_atom(features.single(table, scores), "CA")
+
+
+def test_order_of_residues_is_checked(spark, tmp_path):
+    rows = [atom(1, "CA", "ALA", "A", 5, 0, 0, 0), atom(2, "CA", "ALA", "A", 4, 4, 0, 0)]
+    table = structure.atoms(text.numbered_lines(spark, write(tmp_path, "u.pdb", rows)))
+    scores = spark.createDataFrame([("ALA", "ALA", 4.0)], "a string, b string, score double")
+    assert features.single(table, scores).count() == 2
+    with pytest.raises(Exception, match="out of order"):
+        features.single(table, scores, in_order=True).collect()
+
+
+def test_ring_current_prefers_the_plain_name(spark, atoms):
+    one = structure.first_model(atoms)
+    moved = one.filter("atom_name = 'H'").withColumns({"atom_name": F.lit("1H"), "x": F.col("x") + 3, "pos": F.col("pos") + 1000})
+    want = {r.res_num: r.H_RC for r in residue.ring_currents(one).collect()}
+    assert {r.res_num: r.H_RC for r in residue.ring_currents(one.unionByName(moved)).collect()} == pytest.approx(want)
+    alone = {r.res_num: r.H_RC for r in residue.ring_currents(one.filter("atom_name <> 'H'").unionByName(moved)).collect()}
+    assert all(alone[k] is not None and alone[k] != want[k] for k in want)
 
 
 def test_labels_by_alignment(spark):
