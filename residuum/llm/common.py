@@ -6,7 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +38,50 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that this process has made under the shared one and not discarded.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/residuum-{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/residuum-{what}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stash(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later passes neither recompute it nor depend on an executor."""
     path = new_path(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing will read any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in _made:
+            _made.remove(path)
+
+
+@contextmanager
+def discarding(spark: SparkSession, keep: str) -> Iterator[None]:
+    """Discards, at its end, every folder made within but ``keep``, which has been written by then."""
+    before = set(_made)
+    yield
+    discard(spark, *[p for p in _made if p not in before and p != keep])
+
+
+def slices(batch: pa.RecordBatch, column: int, most_rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and about so many bytes of a text column; a longer text is a part of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        read = int(sizes[a - 1]) if a else 0
+        b = min(a + most_rows, max(a + 1, int(np.searchsorted(sizes, read + most_bytes, "right"))))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import stash
+from residuum.llm.common import slices, stash
 
 WINDOW = 5
 LEAST_PLAIN = 3
@@ -271,10 +271,8 @@ def matches(docs: DataFrame, items: list[tuple[int, int, int, list[str]]], id_co
         known, found = shared.value
         codes = Codes(known)
         for batch in batches:
-            read = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(), dtype=np.int64)
-            cut = np.searchsorted(read, np.arange(BYTES, read[-1] if len(read) else 0, BYTES)).tolist()
-            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
-                if a < b and (rows := list(scan(batch.slice(a, b - a), codes, found))):
+            for some in slices(batch, 2, 10_000, BYTES):
+                if rows := list(scan(some, codes, found)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["id", "key", "item", "variant", "words", "windows"])
 
     texts = docs.filter(F.col(text_col).isNotNull())

@@ -6,7 +6,7 @@ numbers, seeded), then each partition permutes its rows and cuts them by its row
 each shard permutes what it got. Shard sizes are exact by construction and reruns agree.
 
 Partitions are logical, by a hash of the row, so that a recomputed task after a lost executor deals the same rows.
-Defined cases. Nulls hash as such. Identical rows get an ordinal within their partition and are spread like any others.
+Defined cases. Nulls hash as such. Identical rows get an ordinal within their partition, or, where there are very many, in all, and are spread like any others.
 Fewer rows than shards: the first shards hold one row each. Empty table: empty result. Input columns named like the two
 results are replaced.
 """
@@ -18,7 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from residuum.llm.common import stash
+
 SHARDS = 16
+#: The most rows whose copies are counted apart, so that they can be broadcast.
+MOST_HOT = 100_000
 SEED = 20
 #: Rows that one task permutes; and the most logical partitions, which bounds the matrix (65,536 x 16 numbers are 8 MB).
 ROWS_A_TASK = 5_000
@@ -62,6 +66,13 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED,
     blocks = max(1, min(MOST_PARTITIONS // shards, -(-total // (shards * rows_a_task))))
     names = rows.columns
     hashed = rows.select("*", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names]).alias("__r"))
+    # copies of a row share a hash: those of a row with very many are counted first and spread by their number
+    many = max(rows_a_task // 5, total // MOST_HOT)
+    hot = stash(hashed.groupBy("__r").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > many).select("__r"), "shard-hot")
+    if not hot.isEmpty():
+        counted = hashed.join(F.broadcast(hot), "__r", "left_semi").groupBy(*[F.col(f"`{c}`") for c in names], "__r").agg(F.count(F.lit(1)).cast("int").alias("__n"))
+        copies = counted.withColumn("__r", F.explode(F.transform(F.sequence(F.lit(1), "__n"), lambda k: F.xxhash64("__r", k)))).drop("__n")
+        hashed = hashed.join(F.broadcast(hot), "__r", "left_anti").unionByName(copies)
     hashed = hashed.withColumn("__p", F.pmod(F.xxhash64("__r", F.lit(1)), F.lit(parts)).cast("int"))
     held = {r["__p"]: r["n"] for r in hashed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a partition
     matrix = communication_matrix([held.get(p, 0) for p in range(parts)], exact_sizes(total, shards), seed)

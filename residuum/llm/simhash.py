@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import stash
+from residuum.llm.common import discard, stash
 
 K = 3
 SHINGLE = 3
@@ -225,7 +225,8 @@ def components(edges: DataFrame, most_rounds: int = 50, rounds: int | None = Non
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = stash(small.distinct(), "links")
+        before, edges = edges, stash(small.distinct(), "links")
+        discard(edges.sparkSession, before.stash_path)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

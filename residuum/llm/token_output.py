@@ -9,7 +9,8 @@
 
 The format is a folder: ``codes`` (token, bits) and ``blocks`` (part, block, start, ids, lengths, checkpoints, payload), both
 Parquet, so that Spark's committer makes a lost task harmless and any store that Spark can read will do.
-Defined cases. Null and empty texts: only the end id. Null ids sort first. Repeated ids: in the order of their token ids.
+Defined cases. Null and empty texts: only the end id. Null ids sort first. Repeated ids: in a fixed order
+(by their texts' hash across ranges, by their token ids within one).
 Empty table: an empty folder that reads back as no rows. Extra columns are not stored.
 """
 
@@ -28,9 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from residuum.llm.common import new_path
+from residuum.llm.common import discard, new_path, slices
 
 LIMIT = 20
+#: The longest code that the 32-bit writer takes.
+MOST_LIMIT = 25
+#: Bytes of text that a range is meant to hold, and that are tokenized at a time.
+RANGE_BYTES, BATCH_BYTES = 16_000_000, 64_000_000
 EVERY = 256
 BLOCK_TOKENS = 1 << 18
 #: Pieces that a worker remembers; about 150 bytes each.
@@ -249,13 +254,15 @@ def tokenize(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part = tokenizer(path), TaskContext.get().partitionId()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                some = batch.slice(a, 1024)
+            for some in slices(batch, 1, 1024, BATCH_BYTES):
                 ids = tok.encode(some.column(1), end)
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4" if x.dtype == np.uint32 else "<u2").tobytes() for x in ids], pa.binary())], names=["part", "id", "n", "ids"])
 
-    ranged = texts.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    # as many ranges as the texts' size asks for; rows that share an id are told apart by their texts, so that they can be split
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = texts.repartitionByRange(max(1, -(-size // RANGE_BYTES)), *order).sortWithinPartitions(*order)
     return ranged.mapInArrow(run, "part int, id long, n long, ids binary")
 
 
@@ -282,6 +289,8 @@ def count_ids(tokens: DataFrame, width: str) -> DataFrame:
 
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end: int, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
     """Tokenize ``docs`` and write the folder ``out`` in ascending order of id."""
+    if limit > MOST_LIMIT:
+        raise ValueError(f"codes have at most {MOST_LIMIT} bits")
     spark, width = docs.sparkSession, _width(tokenizer_path)
     raw = new_path(spark, "token-ids")
     tokenize(docs, tokenizer_path, end, id_col, text_col).write.option("compression", "zstd").parquet(raw)
@@ -318,6 +327,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end: int, id_co
 
     ordered = tokens.repartition("part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "n", "ids")
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{out}/blocks")
+    discard(spark, raw)
 
 
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("checkpoints", pa.list_(pa.int64())), ("payload", pa.binary())])
