@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from residuum.operators.ranks import quantiles
+
 
 def outliers(df: DataFrame, value: str, k: float = 5.0, groups: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``is_outlier``: outside mean +- k sample standard deviations of its group (nulls never are).
@@ -20,8 +22,11 @@ def outliers(df: DataFrame, value: str, k: float = 5.0, groups: Sequence[str] =
 
 
 def medians(train: DataFrame, names: Sequence[str], skip_zero: bool = True) -> DataFrame:
-    """One row: the median of each column over its non-zero (or all) values."""
-    return train.agg(*[F.median(F.when(F.col(n) != 0, F.col(n)) if skip_zero else F.col(n)).alias(n) for n in names])
+    """One row: the median of each column over its non-zero (or all) values, null without any."""
+    kept = lambda n: F.when(F.col(n) != 0, F.col(n)) if skip_zero else F.col(n)
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), kept(n).cast("double").alias("value")) for n in names])).alias("p")).select("p.*")
+    found = quantiles(long, "value", [0.5], ["name"])
+    return found.agg(*[F.max(F.when(F.col("name") == n, F.col("quantile"))).alias(n) for n in names])
 
 
 def impute(df: DataFrame, fitted: DataFrame, zero: bool = True) -> DataFrame:
@@ -78,8 +83,13 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 
 def describe(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    quartile = lambda q: F.percentile(value, q)
-    return df.groupBy(*groups).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), F.max(value).alias("max"))
+    """Count, mean, sample deviation, extremes and quartiles of each group."""
+    keys = list(groups)
+    stats = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    named = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
+    found = quantiles(df, value, list(named), keys).groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for s, n in named.items()])
+    joined = stats.join(found, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], "left") if keys else stats.crossJoin(F.broadcast(found))  # one row without groups
+    return joined.select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:

@@ -20,6 +20,29 @@ def letters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+#: Most distinct seeds of the queries that are broadcast to the targets' scan (8 bytes each); beyond it the two sides are shuffled.
+MOST_BROADCAST = 2_000_000
+
+
+def seeds_among(df: DataFrame, id_col: str, units: Column, k: int, wanted: DataFrame, joiner: str = "") -> DataFrame:
+    """As ``seeds``, but only those of ``wanted`` (column seed): windows are told apart by a hash first, and only those whose hash is wanted are written out.
+
+    Hashes are few where the wanted seeds are, so the scan sends on next to nothing of texts that share none.
+    """
+    w = F.col("__units")
+    parts = [F.slice(w, F.lit(j + 1), F.size(w)) for j in range(k)]
+    windows = F.slice(F.arrays_zip(*[p.alias(f"u{j}") for j, p in enumerate(parts)]), F.lit(1), F.greatest(F.lit(0), F.size(w) - k + 1))
+    each = df.select(F.col(id_col), units.alias("__units")).select(id_col, F.explode(windows).alias("__w"))
+    each = each.withColumn("__h", F.xxhash64(*[F.col(f"__w.u{j}") for j in range(k)]))
+    few = wanted.select("seed").distinct()
+    split = F.split("seed", joiner) if joiner else letters(F.col("seed"))
+    hashes = few.select(F.xxhash64(*[F.get(split, F.lit(j)) for j in range(k)]).alias("__h")).distinct()
+    if hashes.count() <= MOST_BROADCAST:
+        hashes = F.broadcast(hashes)
+    kept = each.join(hashes, "__h", "left_semi")
+    return kept.select(id_col, F.concat_ws(joiner, *[F.col(f"__w.u{j}") for j in range(k)]).alias("seed")).distinct()
+
+
 def seed_hits(queries: DataFrame, targets: DataFrame, query_id: str, target_id: str, least: int = 1) -> DataFrame:
     """Shared seeds of each query and target, and the rank of the target (ties by id). Both sides: id, seed."""
     shared = queries.join(targets, "seed").groupBy(query_id, target_id).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
@@ -97,14 +120,30 @@ def superpose(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, ((p * p).sum() + (q * q).sum() - 2 * s.sum()) / len(p))))
 
 
-def tm_score(p: np.ndarray, q: np.ndarray, length: int) -> float:
-    """TM-score of aligned points under the superposition that minimises their distance; ``length`` normalises."""
-    a, b = p - p.mean(0), q - q.mean(0)
-    u, s, vt = np.linalg.svd(a.T @ b)
-    turn = u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt))]) @ vt
+def _turn(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotation and centres of the superposition that minimises the distance of two point sets."""
+    p, q = a.mean(0), b.mean(0)
+    u, s, vt = np.linalg.svd((a - p).T @ (b - q))
+    return u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt))]) @ vt, p, q
+
+
+def tm_score(p: np.ndarray, q: np.ndarray, length: int, rounds: int = 20) -> float:
+    """TM-score of aligned points, ``length`` normalises: the best over superpositions that start from all points and from fragments of half and a
+    quarter of them and are repeated on the pairs that are near each other, until these settle."""
     d0 = max(0.5, 1.24 * max(length - 15, 1) ** (1 / 3) - 1.8)
-    d2 = ((a @ turn - b) ** 2).sum(1)
-    return float((1 / (1 + d2 / d0**2)).sum() / length)
+    reach, n, best = max(4.5, min(8.0, d0)), len(p), 0.0
+    parts = {(0, n)} | {(k, k + size) for size in (n // 2, n // 4) if size >= 4 for k in range(0, n - size + 1, max(1, size // 2))}
+    for first, last in sorted(parts):
+        chosen = np.arange(first, last)
+        for _ in range(rounds):
+            turn, a, b = _turn(p[chosen], q[chosen])
+            d2 = (((p - a) @ turn - (q - b)) ** 2).sum(1)
+            best = max(best, float((1 / (1 + d2 / d0**2)).sum() / length))
+            near = np.flatnonzero(d2 <= reach**2)
+            if len(near) < 3 or np.array_equal(near, chosen):
+                break
+            chosen = near
+    return best
 
 
 def structure_scores(pairs: DataFrame) -> DataFrame:

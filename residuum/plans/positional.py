@@ -81,7 +81,8 @@ s AS (SELECT item_id, doc_id, count(*) AS shared FROM bs JOIN ds USING (seed) GR
 SELECT item_id, doc_id, shared, CAST(row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS INTEGER) AS rank FROM s""")
 def seed_search(t):
     words = F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0))
-    targets, queries = search.seeds(t("documents"), "doc_id", words, 5, " "), search.seeds(t("benchmark"), "item_id", words, 5, " ")
+    queries = search.seeds(t("benchmark"), "item_id", words, 5, " ")
+    targets = search.seeds_among(t("documents"), "doc_id", words, 5, queries, " ")
     return search.seed_hits(queries, targets, "item_id", "doc_id")
 
 
@@ -168,17 +169,16 @@ def ring_field(t):
 
 @query()
 def ring_current(t):
-    """Rows only: polygons are checked by hand in the tests. Rings: five points in order of id, eight a label."""
+    """Rows only: ``residue_ring_currents`` has the SQL. Rings: all points of a label, five by five in order of id."""
     points = _points(t)
     return spatial.ring_current(points, _rings(points), ["label"], ["vec_id"], F.lit(1.0), F.lit(1.0)).withColumn("ring", F.round("ring", 6))
 
 
 def _rings(points):
-    """The first five points of each (label, id modulo 8): ranked, so that no group is gathered whole."""
-    w = Window.partitionBy("label", "g").orderBy("vec_id")
-    first = points.withColumn("g", F.col("vec_id") % 8).withColumn("k", F.row_number().over(w)).filter("k <= 5")
+    """All points of a label in rings of five, by rank; a rest of fewer is no ring."""
+    ranked = points.withColumn("g", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1) / 5))
     ring = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y", "z"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z")))
-    return first.groupBy("label", "g").agg(ring.alias("ring"))
+    return ranked.groupBy("label", "g").agg(ring.alias("ring")).filter(F.size("ring") == 5)
 
 
 @query("""

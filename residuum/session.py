@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that every plan of the library relies on for results (time zone) or for scale (adaptive execution).
 DEFAULTS = {
@@ -24,3 +29,23 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, driver_memor
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+#: The temporary folder of this process, once a local session without a shared one needs it.
+_own: list[str] = []
+
+
+def stash(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` once to the folder that the cluster names in ``spark.checkpoint.dir`` and read it back; only a local master may be without one."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="residuum-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        folder = f"file://{_own[0]}"
+    path = f"{folder.rstrip('/')}/residuum-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -135,3 +135,40 @@ def test_union_and_unambiguous_files(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(2.0, 1)], "w double, k int")
     assert [(r.k, r.v, r.w) for r in tables.union([a, b]).orderBy("v").collect()] == [(1, None, 2.0), (1, "x", None)]
     assert [r.k for r in tables.unambiguous(spark.createDataFrame([(1,), (1,), (2,)], "k int"), "k").collect()] == [2]
+
+
+def test_quantiles_are_exact_however_rows_are_spread(spark):
+    import numpy as np
+
+    from residuum.operators.ranks import quantiles
+
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.integers(0, 9, 400)] + [("b", float(x)) for x in rng.normal(size=301)] + [("c", 2.5), (None, 1.0), (None, 4.0), ("d", None)]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.share): r.quantile for r in quantiles(spark.createDataFrame(rows, "g string, v double").repartition(7), "v", shares, ["g"]).collect()}
+    want = {(g, s): float(np.quantile([v for h, v in rows if h == g], s)) for g in ("a", "b", "c", None) for s in shares}
+    assert got == pytest.approx(want)
+    assert quantiles(spark.createDataFrame([], "v double"), "v", shares).count() == 0
+
+
+def test_folds_take_keys_of_any_type(spark):
+    from pyspark.sql import functions as F
+
+    from residuum.operators import windows as W
+
+    rows = spark.range(3000).select((F.col("id") * 10).alias("n"), F.concat(F.lit("k"), F.col("id")).alias("s"))
+    for key in ("n", "s"):
+        sizes = [r["count"] for r in rows.groupBy(W.folds(key, 10)).count().collect()]
+        assert len(sizes) == 10 and min(sizes) > 230
+
+
+def test_tm_score_of_a_hinge():
+    import numpy as np
+
+    from residuum.operators import search
+
+    rng = np.random.default_rng(2)
+    p = np.cumsum(rng.normal(size=(60, 3)) * 2, 0)
+    turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    q = np.concatenate((p[:40], (p[40:] - p[40]) @ (turn * np.sign(np.linalg.det(turn))) + p[40] + 30))
+    assert search.tm_score(p, q, 60) > 40 / 60 - 0.01  # two thirds fit exactly
