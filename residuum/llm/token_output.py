@@ -1,16 +1,16 @@
 """Token ids as canonical length-limited Huffman codes in independent blocks.
 
-1. Texts are range-partitioned by id and tokenized; ids are stored once. A text is cut at single spaces and line ends that
-   stand between other characters, where a byte-level pre-tokenizer always cuts too, so that a piece met before costs a
-   table look-up instead of an encoding.
+1. Texts are range-partitioned by id and tokenized; ids are stored once, in blocks of whole documents, and each task counts its
+   own. A text is cut at single spaces and line ends that stand between other characters, where a byte-level pre-tokenizer
+   always cuts too, so that a piece met before costs a table look-up instead of an encoding.
 2. Token counts of the whole corpus (one row a token id) give the code: package-merge, lengths of at most ``LIMIT`` bits.
-3. Each range writes blocks: the codes of whole documents, the bit offset of every ``EVERY``-th token (checkpoints), and per
+3. Blocks are coded one by one, without a shuffle: the codes, the bit offset of every ``EVERY``-th token (checkpoints), and per
    document its id and length. A block needs only the code book, so blocks decode anywhere, and all its checkpoints at once.
 
 The format is a folder: ``codes`` (token, bits) and ``blocks`` (part, block, start, ids, lengths, checkpoints, payload), both
 Parquet, so that Spark's committer makes a lost task harmless and any store that Spark can read will do.
-Defined cases. Null and empty texts: only the end id. Null ids sort first. Repeated ids: in a fixed order
-(by their texts' hash across ranges, by their token ids within one).
+Defined cases. Null and empty texts: only the end id. Null ids sort first. Repeated ids: in the fixed order of
+their texts' hash.
 Empty table: an empty folder that reads back as no rows. Extra columns are not stored.
 """
 
@@ -248,43 +248,72 @@ class Code:
 
 
 def tokenize(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``part, id, n, ids``: token ids (little-endian) of each document, in ranges of the id; ``part`` rises with the id."""
+    """Blocks of token ids, in ranges of the id: ``part, block, start, n, ids, lengths, raw`` (``start`` within the range, ``raw`` little-endian);
+    ``part`` rises with the id. A task's last row has no ``raw`` but the ``symbols`` that it has met and their ``counts``."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part = tokenizer(path), TaskContext.get().partitionId()
+        tok, part, tally = tokenizer(path), TaskContext.get().partitionId(), np.zeros(1, np.int64)
+        block, start, ids, parts, held = 0, 0, [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            raw = np.concatenate(parts)
+            return _one_row(_RAW, part, block, start, held, ids, [len(x) for x in parts], raw.astype(raw.dtype.newbyteorder("<")).tobytes(), None, None)
+
         for batch in batches:
             for some in slices(batch, 1, 1024, BATCH_BYTES):
-                ids = tok.encode(some.column(1), end)
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4" if x.dtype == np.uint32 else "<u2").tobytes() for x in ids], pa.binary())], names=["part", "id", "n", "ids"])
+                for id_, found in zip(some.column(0).to_pylist(), tok.encode(some.column(1), end)):
+                    if parts and held + len(found) > BLOCK_TOKENS:
+                        tally = _added(tally, parts)
+                        yield flush()
+                        block, start, ids, parts, held = block + 1, start + held, [], [], 0
+                    ids.append(id_)
+                    parts.append(found)
+                    held += len(found)
+        if parts:
+            tally = _added(tally, parts)
+            yield flush()
+            symbols = np.flatnonzero(tally)
+            yield _one_row(_RAW, part, None, None, None, None, None, None, symbols, tally[symbols])
 
     # as many ranges as the texts' size asks for; rows that share an id are told apart by their texts, so that they can be split
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     ranged = texts.repartitionByRange(max(1, -(-size // RANGE_BYTES)), *order).sortWithinPartitions(*order)
-    return ranged.mapInArrow(run, "part int, id long, n long, ids binary")
+    return ranged.mapInArrow(run, RAW_SCHEMA)
+
+
+def _added(tally: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    """Counts by token id, those of ``parts`` added."""
+    found = np.bincount(np.concatenate(parts), minlength=len(tally))
+    found[: len(tally)] += tally
+    return found
+
+
+def _one_row(schema: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
 
 def _width(path: str) -> str:
     return "<u2" if tokenizer(path).dtype == np.uint16 else "<u4"
 
 
-def count_ids(tokens: DataFrame, width: str) -> DataFrame:
-    """``token, n`` over all documents; each task adds up its own counts first."""
+def count_ids(tokens: DataFrame) -> DataFrame:
+    """``token, n`` over all documents, from what each task has counted; tallies that are read together are added up before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                found = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(a, 256).to_pylist()), width))
-                if len(found) > len(total):
-                    found, total = total, found
-                total[: len(found)] += found
+            for symbols, counts in zip(batch.column(0), batch.column(1)):
+                at, n = symbols.values.to_numpy(), counts.values.to_numpy()
+                if at[-1] >= len(total):
+                    total = np.concatenate((total, np.zeros(at[-1] + 1 - len(total), np.int64)))
+                total[at] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tallies = tokens.filter(F.col("raw").isNull()).select("symbols", "counts")
+    return tallies.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end: int, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
@@ -292,44 +321,32 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end: int, id_co
     if limit > MOST_LIMIT:
         raise ValueError(f"codes have at most {MOST_LIMIT} bits")
     spark, width = docs.sparkSession, _width(tokenizer_path)
-    raw = new_path(spark, "token-ids")
-    tokenize(docs, tokenizer_path, end, id_col, text_col).write.option("compression", "zstd").parquet(raw)
-    tokens = spark.read.schema("part int, id long, n long, ids binary").parquet(raw)
-    counted = sorted((r["token"], r["n"]) for r in count_ids(tokens, width).collect())  # one row a token id
+    path = new_path(spark, "token-ids")
+    tokenize(docs, tokenizer_path, end, id_col, text_col).write.option("compression", "zstd").parquet(path)
+    tokens = spark.read.schema(RAW_SCHEMA).parquet(path)
+    counted = sorted((r["token"], r["n"]) for r in count_ids(tokens).collect())  # one row a token id
     symbols, counts = (np.array(x, np.int64) for x in (zip(*counted) if counted else ((), ())))
     lengths = code_lengths(counts, limit)
     spark.createDataFrame([(int(a), int(b)) for a, b in zip(symbols, lengths)], "token long, bits int").coalesce(1).write.parquet(f"{out}/codes")
+    blocks = tokens.filter(F.col("raw").isNotNull())
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = {r["part"]: r["first"] for r in tokens.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("first")).collect()}  # one row a range
+    first = {r["part"]: r["first"] for r in blocks.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("first")).collect()}  # one row a range
     code = Code(symbols, lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, start, ids, sizes, parts, held = None, 0, 0, [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            payload, at = code.encode(np.concatenate(parts))
-            columns = [[part], [block], [start], [ids], [sizes], [at[::EVERY].tolist()], [payload]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BLOCK.types)], schema=_BLOCK)
-
         for batch in batches:
-            for p, i, n, raw_ids in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if parts and (p != part or held + n > BLOCK_TOKENS):
-                    yield flush()
-                    block, start, ids, sizes, parts, held = block + 1, start + held, [], [], [], 0
-                if p != part:
-                    part, block, start = p, 0, first[p]
-                ids.append(i)
-                sizes.append(n)
-                parts.append(np.frombuffer(raw_ids, width).astype(np.int64))
-                held += n
-        if parts:
-            yield flush()
+            for k in range(batch.num_rows):
+                part, block, start, ids, sizes, raw = (batch.column(c)[k] for c in range(6))
+                payload, at = code.encode(np.frombuffer(raw.as_buffer(), width).astype(np.int64))
+                yield _one_row(_BLOCK, part.as_py(), block.as_py(), first[part.as_py()] + start.as_py(), ids.as_py(), sizes.as_py(), at[::EVERY], payload)
 
-    ordered = tokens.repartition("part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "n", "ids")
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{out}/blocks")
-    discard(spark, raw)
+    coded = blocks.select("part", "block", "start", "ids", "lengths", "raw").mapInArrow(run, BLOCK_SCHEMA)
+    coded.write.option("compression", "none").parquet(f"{out}/blocks")
+    discard(spark, path)
 
 
+_RAW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("raw", pa.binary()), ("symbols", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+RAW_SCHEMA = "part int, block int, start long, n long, ids array<long>, lengths array<long>, raw binary, symbols array<long>, counts array<long>"
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("checkpoints", pa.list_(pa.int64())), ("payload", pa.binary())])
 BLOCK_SCHEMA = "part int, block int, start long, ids array<long>, lengths array<long>, checkpoints array<long>, payload binary"
 
