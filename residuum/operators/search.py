@@ -112,6 +112,18 @@ def align_pairs(pairs: DataFrame, a: str, b: str, score: list[list[float]], lett
     return pairs.withColumn("aligned", run(F.col(a), F.col(b)))
 
 
+def sequence_search(queries: DataFrame, targets: DataFrame, k: int, score: list[list[float]], alphabet: str, least: int = 2, gap_open: float = -10.0, gap_extend: float = -0.5) -> DataFrame:
+    """``query, target, shared, aligned, rank``: targets with at least ``least`` seeds of a query, aligned to it and ranked by the alignment's score (ties by target).
+
+    ``queries``: query, sequence; ``targets``: target, sequence; both with distinct ids. Only pairs that share seeds are aligned, and sequences are joined to these pairs alone.
+    """
+    own = seeds(queries, "query", letters(F.col("sequence")), k)
+    hits = seed_hits(own, seeds_among(targets, "target", letters(F.col("sequence")), k, own), "query", "target", least).drop("rank")
+    pairs = hits.join(queries.select("query", F.col("sequence").alias("__a")), "query").join(targets.select("target", F.col("sequence").alias("__b")), "target")
+    found = align_pairs(pairs, "__a", "__b", score, alphabet, gap_open, gap_extend).select("query", "target", "shared", "aligned")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("aligned.score"), "target")))
+
+
 def superpose(p: np.ndarray, q: np.ndarray) -> float:
     """Root-mean-square distance of two point sets after the best rotation (Kabsch)."""
     p, q = p - p.mean(0), q - q.mean(0)

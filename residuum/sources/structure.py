@@ -39,6 +39,14 @@ def first_model(table: DataFrame) -> DataFrame:
     return table.join(least, ["file_id", "model"], "left_semi")
 
 
+def one_chain(table: DataFrame) -> DataFrame:
+    """The first model of each file; evaluating it fails where that has several chains."""
+    first = first_model(table)
+    several = first.groupBy("file_id").agg((F.min("chain") != F.max("chain")).alias("__several"))
+    stop = F.raise_error(F.concat(F.lit("several chains in "), F.col("file_id"))).cast("boolean")
+    return first.join(several, "file_id").filter(F.when(F.col("__several"), stop).otherwise(True)).drop("__several")
+
+
 def first_altloc(table: DataFrame) -> DataFrame:
     """One place for each atom: the alphabetically first alternate."""
     w = Window.partitionBy(*RESIDUE, "atom_name").orderBy("altloc", "pos")

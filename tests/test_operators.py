@@ -11,6 +11,7 @@ from residuum.functions import label_text as L
 from residuum.functions import rules as R
 from residuum.operators import curate, evaluate, learn, transfer
 from residuum.operators import windows as W
+from residuum.plans import features
 from residuum.sources import tables
 
 
@@ -131,6 +132,30 @@ def test_forests_stack_and_fall_back(spark, tmp_path):
     assert df.select(F.sum(c)).first()[0] == sum((r[5] if r[5] is not None else r[2]) + 1 for r in rows)
 
 
+def test_prediction_falls_back_where_nothing_valid_is_transferred(spark):
+    rows = [("f", 1, "A", k, "ALA", 50.0, float(k % 5), float(k % 3), 2.0 * (k % 5) + k % 3) for k in range(60)]
+    table = spark.createDataFrame(rows, "file_id string, model int, chain string, res_num int, RESNAME string, RCOIL_CA double, x1 double, x2 double, label double")
+    known = table.withColumns({"r0_pred": F.col("label"), "Y": F.col("label"), "SCORE": F.lit(1.0), "COV": F.lit(1.0), "MATCH": F.lit(1.0)})
+    names = ["x1", "x2"]
+    inputs = {"r0": names, "r1": [*names, "r0_pred"], "r2": [*names, "Y", "SCORE", "COV", "MATCH", "r0_pred"]}
+    models = {k: learn.forest("label", trees=2, subset="all", leaf=1, depth=8).fit(learn.assembled(known, v)) for k, v in inputs.items()}
+    plain = table.drop("label")
+    assert features.for_atom(plain, "CA") == names
+    alone = {r.res_num: r.CA_X for r in features.predict(plain, "CA", models).collect()}
+    assert alone == pytest.approx({r[3]: 50 + r[8] for r in rows})
+    given = table.filter("res_num < 30").select("file_id", "model", "chain", "res_num", F.when(F.col("res_num") < 10, "GLY").otherwise("ALA").alias("RESNAME"), (F.col("label") + 50).alias("value"), F.lit(1.0).alias("score"), F.lit(1.0).alias("cov"), F.lit(1.0).alias("match"))
+    both = features.predict(plain, "CA", models, given).collect()
+    assert len(both) == 60 and all(r.CA_final == pytest.approx(r.CA_X) for r in both if r.res_num < 10 or r.res_num >= 30)
+    assert [r.CA_final for r in both if 10 <= r.res_num < 30] == pytest.approx([50 + rows[r.res_num][8] for r in both if 10 <= r.res_num < 30])
+    assert {r.res_num for r in both if r.CA_Y is None} == set(range(30, 60))
+
+
+def test_tables_are_written_and_read_back(spark, tmp_path):
+    table = spark.createDataFrame([(1, "a,b"), (2, None), (3, 'q"t')], "k int, v string")
+    tables.write_csv(table, str(tmp_path / "t"))
+    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "t"), "k int, v string").collect())) == sorted(map(tuple, table.collect()))
+
+
 def test_union_and_unambiguous_files(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(2.0, 1)], "w double, k int")
     assert [(r.k, r.v, r.w) for r in tables.union([a, b]).orderBy("v").collect()] == [(1, None, 2.0), (1, "x", None)]

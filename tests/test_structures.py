@@ -291,3 +291,37 @@ def test_superposition():
     assert search.superpose(p, p @ turn + 5) == pytest.approx(0, abs=1e-6)
     assert search.tm_score(p, p @ turn + 5, 30) == pytest.approx(1)
     assert search.superpose(p, p * [1, 1, -1]) > 0.1
+
+
+def test_sequence_search_ranks_by_alignment(spark):
+    rng = np.random.default_rng(5)
+    table = np.full((5, 5), -1.0)
+    np.fill_diagonal(table, 4.0)
+    own = [(k, "".join(rng.choice(list("ACDE"), 30))) for k in range(4)] + [(9, None), (10, "AC")]
+    other = []
+    for k in range(40):
+        chars = list(own[k % 4][1])
+        for at in rng.integers(0, 30, k % 7):
+            chars[at] = "ACDE"[rng.integers(4)]
+        other.append((k, "".join(chars[k % 5 :])))
+    other += [(50, None), (51, ""), (52, other[3][1])]
+    found = search.sequence_search(spark.createDataFrame(own, "query int, sequence string"), spark.createDataFrame(other, "target int, sequence string"), 4, table.tolist(), "ACDE", least=3, gap_open=-5.0)
+    got = {(r.query, r.target): (r.shared, r.aligned.score, r["rank"]) for r in found.collect()}
+    words = lambda text: {text[k : k + 4] for k in range(len(text or "") - 3)}
+    want = {}
+    for q, a in own:
+        near = [(-search.align(a, b, table, "ACDE", -5.0, -0.5)[2], t, len(words(a) & words(b))) for t, b in other if len(words(a) & words(b)) >= 3]
+        want |= {(q, t): (n, -s, place + 1) for place, (s, t, n) in enumerate(sorted(near))}
+    assert got == want and len(want) > 40
+
+
+def test_one_chain_and_written_files(spark, tmp_path):
+    lines = [atom(1, "N", "ALA", "A", 1, 0, 0, 0), atom(2, "CA", "ALA", "A", 1, 1, 0, 0)]
+    single = structure.atoms(text.numbered_lines(spark, write(tmp_path, "one.pdb", lines)))
+    assert structure.one_chain(single).count() == 2
+    both = structure.atoms(text.numbered_lines(spark, write(tmp_path, "two.pdb", [*lines, atom(3, "N", "GLY", "B", 1, 2, 0, 0)])))
+    with pytest.raises(Exception, match="several chains"):
+        structure.one_chain(both).collect()
+    structure.write(both, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out")).select("value").collect()
+    assert sorted(r.value for r in back) == sorted(r.line for r in structure.as_lines(both).collect()) and len(back) == 3
