@@ -88,6 +88,20 @@ def training_table(table: DataFrame, labels: DataFrame, pairs: DataFrame | None
     return numbered.join(named, [*where, "feature_no"], "left").drop("feature_no")
 
 
+def less_baselines(table: DataFrame, rings: bool = False) -> DataFrame:
+    """Labels of the six atoms less their random-coil values (missing ones make a label missing); with ``rings`` also less ring currents.
+
+    A missing ring current counts as its column's median over all rows (0 where the column has no value), so with ``rings`` out of folds only.
+    """
+    named = [a for a in ATOMS if a in table.columns]
+    near = [a for a in named if rings and f"{a}_RC" in table.columns]
+    if near:
+        columns = [f"{a}_RC" for a in near]
+        table = curate.impute(table, curate.medians(table, columns, skip_zero=False), zero=False)
+    filled = {a: [F.col(f"{a}_RC")] if a in near else [] for a in named}
+    return table.withColumns({a: R.less_baselines(F.col(a), filled=filled[a], required=[F.col(f"RCOIL_{a}")]) for a in named})
+
+
 def predict(table: DataFrame, atom: str, models: dict[str, RandomForestRegressionModel], transferred: DataFrame | None = None) -> DataFrame:
     """``KEY, RESNAME, <atom>_X`` and, with ``transferred`` (KEY, RESNAME, value, score, cov, match), the combined prediction with its fallback.
 

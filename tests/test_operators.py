@@ -150,6 +150,15 @@ def test_prediction_falls_back_where_nothing_valid_is_transferred(spark):
     assert {r.res_num for r in both if r.CA_Y is None} == set(range(30, 60))
 
 
+def test_labels_less_coil_and_rings(spark):
+    table = spark.createDataFrame([(1, 10.0, 1.0, 0.5), (2, 20.0, None, 0.5), (3, None, 1.0, 0.5), (4, 30.0, 1.0, None), (5, 40.0, 1.0, 2.5)], "k int, CA double, RCOIL_CA double, CA_RC double")
+    out = lambda **how: [r.CA for r in features.less_baselines(table, **how).orderBy("k").collect()]
+    assert out() == [9.0, None, None, 29.0, 39.0]
+    assert out(rings=True) == [8.5, None, None, 28.5, 36.5]
+    none = table.withColumn("CA_RC", F.lit(None).cast("double"))
+    assert [r.CA for r in features.less_baselines(none, rings=True).orderBy("k").collect()] == [9.0, None, None, 29.0, 39.0]
+
+
 def test_tables_are_written_and_read_back(spark, tmp_path):
     table = spark.createDataFrame([(1, "a,b"), (2, None), (3, 'q"t')], "k int, v string")
     tables.write_csv(table, str(tmp_path / "t"))
