@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import chat, decontam, langid, mixing, quality_model, quality_rules, secret_scan, sharding, simhash, token_output
+from residuum.llm import chat, decontam, infill, langid, mixing, pieces, quality_model, quality_rules, repair, secret_scan, sharding, simhash, token_output
 from residuum.llm.common import documents, new_path, stash
 
 
@@ -92,6 +92,43 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(documents(spark, sf_dir), pages, labels).withColumnRenamed("id", "doc_id")
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(documents(spark, sf_dir).select("doc_id", "text"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with the faults that the contract of ``op13_repair`` plants."""
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
+    told = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = conversations.select("conv_id", "turn", *filled, F.pmod(F.crc32(told.cast("binary")), F.lit(20)).alias("__d")).filter("__d != 0")
+    text = F.when(F.col("__d") == 1, "").when(F.col("__d") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("__d") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("__d") == 3, 2).otherwise(1))).alias("__k")).drop("__k")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = repair.read(damaged(conversations))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    shown = repair.attach(turns, repair.plan(turns)).withColumn("row", F.struct("at", repair.audit().alias("audit"), F.when(F.size("turns") > 0, told).alias("told")))
+    # the digest is of whole conversations, so here, unlike in the operator, each is put together
+    whole = shown.groupBy(F.col("key.conv").alias("c")).agg(*repair.counts(), F.array_sort(F.collect_list("row")).alias("rows"))
+    whole = whole.withColumn("audit", F.array_join("rows.audit", "")).withColumn("repaired_sha256", F.sha2(F.array_join("rows.told", "\n"), 256)).drop("rows")
+    every = conversations.select("conv_id").distinct()
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    found = every.join(whole, every["conv_id"].eqNullSafe(whole["c"]), "left")
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_windows": op2_chat_windows,
@@ -103,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_token_output": op9_token_output,
     "op10_secret_scan": op10_secret_scan,
+    "op11_pieces": op11_pieces,
+    "op12_infill": op12_infill,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -186,6 +226,21 @@ taken AS (SELECT id, source, size, count(*) AS epochs FROM queue WHERE total <=
 SELECT j.id AS doc_id, j.size, j.source_size, j.target, CAST(j.size * coalesce(t.epochs, 0) AS BIGINT) AS taken
 FROM joined j LEFT JOIN taken t ON j.id IS NOT DISTINCT FROM t.id AND j.source IS NOT DISTINCT FROM t.source AND j.size = t.size,
      LATERAL (SELECT unnest(range(j.repeats)) AS k)
+""",
+    "op12_infill": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS h1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM docs),
+formed AS (
+  SELECT *, least(h1, h2) AS a, greatest(h1, h2) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM formed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
 """,
     "op10_secret_scan": r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),

@@ -5,6 +5,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("residuum.llm")
@@ -30,7 +31,7 @@ def documents(tables):
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: f"{float(v):.7g}" if isinstance(v, (int, float, np.number)) else str(v)
+    plain = lambda v: "none" if v is None or v is pd.NA or v != v else f"{float(v):.7g}" if isinstance(v, (int, float, np.number)) else str(v)
     return sorted(tuple(map(plain, r)) for r in frame.astype(object).itertuples(index=False))
 
 
