@@ -12,9 +12,8 @@ from residuum.llm.common import documents, new_path, stash
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(documents(spark, sf_dir))
-    each = plan.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
-    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
+    each = mixing.dealt(mixing.plan_mix(documents(spark, sf_dir)))
+    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,15 +216,15 @@ joined AS (
   SELECT r.id, r.source, r.size, r.repeats, r.words, l.source_size, l.source_rank, l.budget, l.earlier, l.target,
          md5('mix-0:' || coalesce(CAST(r.id AS VARCHAR), '')) AS h
   FROM rows_ r JOIN levels l ON r.source IS NOT DISTINCT FROM l.source),
-served AS (SELECT *, CAST(sum(words) OVER (ORDER BY source_rank, h, id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - earlier AS served FROM joined),
+numbered AS (SELECT *, unnest(range(1, repeats + 1)) AS k FROM joined),
+served AS (SELECT *, CAST(sum(size) OVER (ORDER BY source_rank, h, id NULLS FIRST, size, k ROWS UNBOUNDED PRECEDING) AS BIGINT) - earlier AS served FROM numbered),
 copies AS (
   SELECT *, CAST(epoch * source_size + served AS DOUBLE) / target AS finish
   FROM served, (SELECT unnest([0, 1, 2]) AS epoch) WHERE target > 0),
-queue AS (SELECT *, sum(words) OVER (ORDER BY finish, source_rank, h, id NULLS FIRST, size, epoch ROWS UNBOUNDED PRECEDING) AS total FROM copies),
-taken AS (SELECT id, source, size, count(*) AS epochs FROM queue WHERE total <= budget GROUP BY id, source, size)
+queue AS (SELECT *, sum(size) OVER (ORDER BY finish, source_rank, h, id NULLS FIRST, size, epoch, k ROWS UNBOUNDED PRECEDING) AS total FROM copies),
+taken AS (SELECT id, source, size, k, count(*) AS epochs FROM queue WHERE total <= budget GROUP BY id, source, size, k)
 SELECT j.id AS doc_id, j.size, j.source_size, j.target, CAST(j.size * coalesce(t.epochs, 0) AS BIGINT) AS taken
-FROM joined j LEFT JOIN taken t ON j.id IS NOT DISTINCT FROM t.id AND j.source IS NOT DISTINCT FROM t.source AND j.size = t.size,
-     LATERAL (SELECT unnest(range(j.repeats)) AS k)
+FROM numbered j LEFT JOIN taken t ON j.id IS NOT DISTINCT FROM t.id AND j.source IS NOT DISTINCT FROM t.source AND j.size = t.size AND j.k = t.k
 """,
     "op12_infill": r"""
 WITH docs AS (

@@ -51,18 +51,53 @@ def test_mix_follows_targets_and_repeats(spark):
     assert sum(r.repeats for r in plan) == len(rows)
     for r in plan:
         assert 0 <= r.epochs <= 3 and r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
-        taken[r.source] += r.size * r.epochs * r.repeats
+        assert 0 <= r.part < r.repeats and r.epochs + (r.part > 0) <= 3
+        taken[r.source] += r.size * (r.epochs * r.repeats + r.part)
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 2 * largest
     assert sum(taken.values()) <= sum(sizes.values())
     mixed = mixing.mix(table)
     assert mixed.columns == table.columns
     count = Counter((r.doc_id, r.source, r.text) for r in mixed.collect())
-    assert sum(count.values()) == sum(r.epochs * r.repeats for r in plan)
+    assert sum(count.values()) == sum(r.epochs * r.repeats + r.part for r in plan)
     again = mixing.plan_mix(table.repartition(5)).collect()
     assert sorted(map(str, plan)) == sorted(map(str, again))
 
 
+def one_by_one(rows):
+    """Times each row is taken when every copy is queued by itself; rows: (id, source, size)."""
+    sizes = defaultdict(int)
+    for _, s, n in rows:
+        sizes[s] += n
+    want, at, queue = brute_targets(dict(sizes)), defaultdict(int), []
+    rank = {s: k for k, s in enumerate(sorted(sizes))}
+    for epoch in range(3):
+        for i, s, n in sorted(rows, key=lambda r: (rank[r[1]], hashlib.md5(f"mix-0:{r[0]}".encode()).hexdigest(), r[0], r[2])):
+            at[s] += n
+            queue.append((at[s] / want[s], rank[s], i, s, n))
+    total, taken = 0, Counter()
+    for _, _, i, s, n in sorted(queue):
+        total += n
+        if total > sum(sizes.values()):
+            break
+        taken[i, s, n] += 1
+    return want, taken
+
+
+@pytest.mark.parametrize("copies, size", [(3000, 3), (700, 11), (40, 400)])
+def test_mix_takes_part_of_a_rows_copies(spark, copies, size):
+    rows = [(7, "a", size)] * copies + [(100 + k, "a", 1 + k % 9) for k in range(600)] + [(5000 + k, "b", 1 + k % 7) for k in range(900)] + [(6000, "b", 2000)] * 2
+    table = docs(spark, [(i, "w " * n, "en", s) for i, s, n in rows])
+    want, taken = one_by_one(rows)
+    plan = mixing.plan_mix(table).collect()
+    assert {(r.id, r.source, r.size): r.epochs * r.repeats + r.part for r in plan if r.epochs or r.part} == dict(taken)
+    for s in "ab":
+        assert abs(sum(r.size * (r.epochs * r.repeats + r.part) for r in plan if r.source == s) - want[s]) <= max(n for *_, n in rows)
+    count = Counter((r.doc_id, r.source, len(r.text) // 2) for r in mixing.mix(table).collect())
+    assert count == taken
+    assert Counter(r.id for r in mixing.dealt(mixing.plan_mix(table), chunk=64).collect()) == Counter(i for i, *_ in rows)
+
+
 def test_mix_of_nothing_and_of_no_words(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r.epochs for r in mixing.plan_mix(docs(spark, [(1, "", "en", "a"), (2, None, "en", "b")])).collect()] == [0, 0]
