@@ -34,8 +34,8 @@ from residuum.llm.common import slices
 
 #: The character that stands for a space.
 SPACE = "▁"
-#: The most texts and bytes of text that are encoded at a time; a longer text is encoded alone.
-BATCH_ROWS, BATCH_BYTES = 5_000, 8_000_000
+#: The most texts and bytes of text that are encoded at a time, and ids that are decoded at a time; a longer text is worked on alone.
+BATCH_ROWS, BATCH_BYTES, BATCH_IDS = 5_000, 3_000_000, 250_000
 NONE = np.iinfo(np.int32).max
 
 codecs.register_error("residuum-each", lambda e: ("�", e.start + 1))
@@ -283,8 +283,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            upto, at = batch.column(0).offsets.to_numpy(), 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(upto, upto[at] + BATCH_IDS, "right")) - 1)
+                part, at = batch.slice(at, stop - at), stop
                 lists = part.column(0)
                 offsets = lists.offsets.to_numpy().astype(np.int64)
                 texts = model(path).decode(lists.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])
