@@ -6,13 +6,15 @@ numbers, seeded), then each partition permutes its rows and cuts them by its row
 each shard permutes what it got. Shard sizes are exact by construction and reruns agree.
 
 Partitions are logical, by a hash of the row, so that a recomputed task after a lost executor deals the same rows.
-Defined cases. Nulls hash as such. Identical rows get an ordinal within their partition, or, where there are very many, in all, and are spread like any others.
+Draws are exact at any size. Defined cases. Nulls hash as such; maps are told apart by their JSON. Identical rows get an ordinal within their partition, or, where there are very many, in all, and are spread like any others.
 Fewer rows than shards: the first shards hold one row each. Empty table: empty result. Input columns named like the two
 results are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +42,6 @@ def communication_matrix(held: list[int], sizes: list[int], seed: int) -> list[l
         row, need, pool = [], n, sum(left)
         for s, have in enumerate(left):
             pool -= have
-            # numpy's sampler takes less than 10**9 of either kind; beyond that the normal limit is exact to rounding
             x = need if not pool else 0 if not need or not have else _draw(rng, have, pool, need)
             row.append(x)
             left[s] -= x
@@ -50,11 +51,65 @@ def communication_matrix(held: list[int], sizes: list[int], seed: int) -> list[l
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if max(good, bad) < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
-    p, all_ = good / (good + bad), good + bad
-    x = round(rng.normal(n * p, (n * p * (1 - p) * (all_ - n) / (all_ - 1)) ** 0.5))
-    return min(max(x, n - bad, 0), n, good)
+    """How many of ``n`` rows drawn without replacement are of the ``good``."""
+    # numpy's sampler takes less than 10**9 of either kind
+    return int(rng.hypergeometric(good, bad, n)) if max(good, bad) < 10**9 else _ratio_of_uniforms(rng, good, bad, n)
+
+
+def _ratio_of_uniforms(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """The same law at any size: Stadlober's rejection from a ratio of uniforms, with probabilities that keep a double's precision."""
+    if 2 * n > good + bad:
+        return good - _ratio_of_uniforms(rng, good, bad, good + bad - n)
+    if good > bad:
+        return n - _ratio_of_uniforms(rng, bad, good, n)
+    all_ = good + bad
+    p = good / all_
+    spread = (n * p * (1 - p) * ((all_ - n) / (all_ - 1)) + 0.5) ** 0.5
+    top = log_share((n + 1) * (good + 1) // (all_ + 2), good, bad, n)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        x = math.floor(n * p + 0.5 + (HAT * spread + HAT_MORE) * (v - 0.5) / u)
+        if max(0, n - bad) <= x <= min(n, good) and 2 * math.log(u) <= log_share(x, good, bad, n) - top:
+            return x
+
+
+#: Constants of the hat: 2 * sqrt(2 / e) and 3 - 2 * sqrt(3 / e).
+HAT, HAT_MORE = 2 * (2 / math.e) ** 0.5, 3 - 2 * (3 / math.e) ** 0.5
+
+
+def log_share(x: int, good: int, bad: int, n: int) -> float:
+    """Log of the hypergeometric probability, from three binomial ones in saddle-point form: no large logarithms are subtracted."""
+    all_ = good + bad
+    p, q = n / all_, (all_ - n) / all_
+    return _log_binomial(x, good, p, q) + _log_binomial(n - x, bad, p, q) - _log_binomial(n, all_, p, q)
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    if x == 0 or x == n:
+        return 0.0 if n == 0 else n * (math.log1p(-p) if x == 0 and p < 0.5 else math.log(q) if x == 0 else math.log(p))
+    rest = _stirling(n) - _stirling(x) - _stirling(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return rest + 0.5 * (math.log(n / (2 * math.pi * x)) - math.log((n - x)))
+
+
+def _stirling(n: int) -> float:
+    """log n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(x: int, mean: float) -> float:
+    """x log(x / mean) + mean - x, by a series where x is near the mean."""
+    v = (x - mean) / (x + mean)
+    if abs(v) >= 0.1:
+        return x * math.log(x / mean) + mean - x
+    total, power, k = (x - mean) * v, 2 * x * v, 1
+    while True:
+        power *= v * v
+        more = total + power / (2 * k + 1)
+        if more == total:
+            return total
+        total, k = more, k + 1
 
 
 def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
@@ -65,13 +120,21 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED,
     parts = max(1, min(MOST_PARTITIONS, -(-total // rows_a_task)))
     blocks = max(1, min(MOST_PARTITIONS // shards, -(-total // (shards * rows_a_task))))
     names = rows.columns
-    hashed = rows.select("*", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names]).alias("__r"))
+    # maps can't be hashed or grouped: their JSON stands for them
+    maps = [f.name for f in rows.schema if "map<" in f.dataType.simpleString()]
+    told = [F.to_json(F.struct(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`") for c in names]
+    hashed = rows.select("*", F.xxhash64(F.lit(seed), *told).alias("__r"))
     # copies of a row share a hash: those of a row with very many are counted first and spread by their number
     many = max(rows_a_task // 5, total // MOST_HOT)
     hot = stash(hashed.groupBy("__r").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > many).select("__r"), "shard-hot")
     if not hot.isEmpty():
-        counted = hashed.join(F.broadcast(hot), "__r", "left_semi").groupBy(*[F.col(f"`{c}`") for c in names], "__r").agg(F.count(F.lit(1)).cast("int").alias("__n"))
-        copies = counted.withColumn("__r", F.explode(F.transform(F.sequence(F.lit(1), "__n"), lambda k: F.xxhash64("__r", k)))).drop("__n")
+        each = [c.alias(f"__c{k}") for k, c in enumerate(told)]
+        counted = hashed.join(F.broadcast(hot), "__r", "left_semi").groupBy(*each, "__r").agg(F.count(F.lit(1)).alias("__n"), *[F.first(f"`{c}`").alias(f"__m{k}") for k, c in enumerate(names) if c in maps])
+        counted = counted.select(*[F.col(f"__m{k}" if c in maps else f"__c{k}").alias(c) for k, c in enumerate(names)], "__r", "__n")
+        # written out in two steps, so that no task makes many copies by itself
+        some = counted.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(rows_a_task).cast("long")))).repartition("__r", "__from")
+        copies = some.withColumn("__k", F.explode(F.sequence(F.col("__from") + 1, F.least(F.col("__n"), F.col("__from") + rows_a_task))))
+        copies = copies.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("__r", "__k").alias("__r"))
         hashed = hashed.join(F.broadcast(hot), "__r", "left_anti").unionByName(copies)
     hashed = hashed.withColumn("__p", F.pmod(F.xxhash64("__r", F.lit(1)), F.lit(parts)).cast("int"))
     held = {r["__p"]: r["n"] for r in hashed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a partition

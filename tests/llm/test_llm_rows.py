@@ -1,14 +1,18 @@
 """Mixing, sharding, language and quality models, and the pipeline: laws, brute force, held-out accuracy, defined cases."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
 pytest.importorskip("residuum.llm")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from residuum.llm import langid, mixing, quality_model, sharding  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, size string, epochs string, target string"
@@ -131,6 +135,45 @@ def test_matrix_has_the_margins_and_the_law():
     assert many[:, 0, 0].var() == pytest.approx(70 * (1 / 3) * (2 / 3) * (50 / 119), rel=0.2)
 
 
+def exact_share(x, good, bad, n):
+    """The hypergeometric probability as a fraction; n is small."""
+    falling = lambda a, k: math.prod(range(a - k + 1, a + 1))
+    return float(Fraction(math.comb(n, x) * falling(good, x) * falling(bad, n - x), falling(good + bad, n)))
+
+
+def test_draws_beyond_a_billion_follow_the_law():
+    good, bad = 3 * 10**9, 5 * 10**9
+    for n in (1, 7, 60):
+        assert [math.exp(sharding.log_share(x, good, bad, n)) for x in range(n + 1)] == pytest.approx([exact_share(x, good, bad, n) for x in range(n + 1)], rel=1e-10)
+    for x in (0, 20, 37, 50):  # against exact integers where both kinds are small
+        assert math.exp(sharding.log_share(x, 80, 120, 50)) == pytest.approx(math.comb(80, x) * math.comb(120, 50 - x) / math.comb(200, 50), rel=1e-12, abs=1e-300)
+    rng = np.random.Generator(np.random.PCG64(3))
+    many, want = 20_000, np.array([exact_share(x, good, bad, 12) for x in range(13)])
+    got = np.bincount([sharding._draw(rng, good, bad, 12) for _ in range(many)], minlength=13)
+    assert ((got - many * want) ** 2 / (many * want)).sum() < 40  # chi-squared of 12 degrees of freedom
+    for good, bad, n in ((2 * 10**10, 10**9, 3 * 10**6), (5 * 10**9, 10**7, 2 * 10**9)):
+        p, all_ = good / (good + bad), good + bad
+        var = n * p * (1 - p) * (all_ - n) / (all_ - 1)
+        x = np.array([sharding._draw(rng, good, bad, n) for _ in range(4_000)], float)
+        assert abs(x.mean() - n * p) < 5 * (var / 4_000) ** 0.5 and x.var() == pytest.approx(var, rel=0.12)
+
+
+def test_matrix_of_many_billions():
+    held = [3 * 10**6] * 2000
+    sizes = sharding.exact_sizes(sum(held), 16)
+    matrix = np.array(sharding.communication_matrix(held, sizes, 1))
+    assert (matrix.sum(1) == held).all() and (matrix.sum(0) == sizes).all() and matrix.min() > 180_000
+
+
+def test_shards_of_maps_and_of_one_row_often(spark):
+    rows = spark.range(300).select((F.col("id") % 3).alias("a"), F.create_map(F.lit("k"), F.col("id") % 2).alias("m"), F.lit("x").alias("slot"))
+    got = sharding.shuffle_into_shards(rows.union(rows.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(900)))).drop("n")), shards=4, rows_a_task=50)
+    assert got.columns == ["a", "m", "shard", "slot"]
+    found = got.collect()
+    assert sorted(Counter(r.shard for r in found).values()) == [300] * 4 and {str(r.m) for r in found} == {"{'k': 0}", "{'k': 1}"}
+    assert all(sorted(r.slot for r in found if r.shard == s) == list(range(300)) for s in range(4))
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_few_rows(spark, n):
     got = sharding.shuffle_into_shards(docs(spark, [(k, None, None, None) for k in range(n)])).collect()
