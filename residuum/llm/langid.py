@@ -2,7 +2,7 @@
 
 Subwords are the byte trigrams and 4-grams of the lower-cased text, hashed to ``BUCKETS`` rows of an embedding; a text is
 the average over all its subwords, a linear softmax gives the languages. Both layers are trained together by stochastic
-gradient descent in numpy on a bounded, hash-chosen sample of whole labelled texts. As everything is linear up to the
+gradient descent in numpy on a bounded, hash-chosen sample of different whole labelled texts, rare languages first. As everything is linear up to the
 softmax, embedding times weights is one small table, and a text's score is a histogram of its subwords times that table.
 A tenth of the sample is kept from training to fit the temperature of the softmax and the score under which a
 prediction is rejected (``accepted`` false; the language is still given).
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 13
 DIM = 16
-#: Labelled rows that the fit uses, at most (about).
+#: Different labelled texts that the fit uses, at most (about).
 TRAIN_ROWS = 2_500
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.5, 6
 #: Share of right predictions on the kept rows that the rejection threshold lets pass.
@@ -100,19 +100,38 @@ def train(x: np.ndarray, labels: list[str]) -> Model:
     return Model(languages, table, bias, temperature, float(np.quantile(right, 1 - PASS_RATE)) if len(right) else 1.0)
 
 
+def shares(counts: dict[str, int], most_rows: int) -> dict[str, float]:
+    """Share of each language's texts to take, so that rare ones are taken whole and the others get equal parts of what is left."""
+    left, out = most_rows, {}
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(1.0, left / (len(counts) - k) / n)
+        left -= out[lang] * n
+    return out
+
+
 def fit(labelled: DataFrame, text: Column, lang: Column, most_rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most about ``most_rows`` texts with a language and a letter, chosen by a hash of the text; copies count once."""
-    rows = labelled.select(text.alias("text"), lang.alias("lang"), F.pmod(F.xxhash64(text, F.lit(SEED)), F.lit(1_000_000)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.select("lang").count()
-    sample = rows.filter(F.col("h") < int(1_000_000 * min(1.0, most_rows / max(1, total)))).select("text", "lang").distinct()
+    """Train on about ``most_rows`` different texts with a language and a letter, or all if there are fewer; a hash of the text chooses them.
+
+    Different texts are counted by language (hashes alone are shuffled, copies meet before), so that copies neither shrink the sample nor fill it.
+    """
+    step = 1 << 31
+    rows = labelled.select(text.alias("text"), lang.alias("lang"), F.xxhash64(text, F.lit(SEED)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.filter(F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang", "h").count().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    told = rows.sparkSession.createDataFrame([(k, int(step * v)) for k, v in shares(counts, most_rows).items()], "lang string, least long")
+    sample = rows.join(F.broadcast(told), "lang").filter(F.pmod("h", F.lit(step)) < F.col("least")).select("text", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            langs, places, values = [], [], []
             for text_, lang_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if any(map(str.isalpha, text_)):
                     counts = subwords(text_)
                     at = np.flatnonzero(counts)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang_]), pa.array([at.astype("<u2").tobytes()]), pa.array([counts[at].astype("<f4").tobytes()])], names=["lang", "at", "counts"])
+                    langs.append(lang_)
+                    places.append(at.astype("<u2").tobytes())
+                    values.append(counts[at].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["lang", "at", "counts"])
 
     got = sample.mapInArrow(run, "lang string, at binary, counts binary").collect()  # bounded by most_rows
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["counts"])))

@@ -195,6 +195,29 @@ def test_languages_held_out(spark):
     assert got[None].lang_pred in model.languages and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_copies_neither_shrink_nor_fill_the_sample(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    copied = table.filter("lang IS NOT NULL").limit(1).withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(100_000)))).drop("__k")  # nine rows in ten
+    rare = docs(spark, [(k, f"qqzz {k} xxqq vvq{k}", "zz", None) for k in range(40)]).select("doc_id", "text", "lang")
+    seen, train = [], langid.train
+    monkeypatch.setattr(langid, "train", lambda x, labels: seen.append(labels) or train(x, labels))
+    known = table.filter("doc_id % 4 <> 2")
+    model = langid.fit(known.unionByName(copied).unionByName(rare), F.col("text"), F.col("lang"))
+    assert 2_000 < len(seen[0]) < 3_000 and Counter(seen[0])["zz"] == 40
+    held = table.filter("doc_id % 4 = 2 AND length(text) > 50")
+    got = {r.id: r.lang_pred for r in langid.predict(held, model).collect()}
+    assert np.mean([got[r.doc_id] == r.lang for r in held.collect() if r.lang]) > 0.9
+
+
+def test_language_of_a_very_long_text(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(table, table["text"], table["lang"])
+    one = table.filter("length(text) > 500 AND lang IS NOT NULL").first()
+    long = "1 " * 2_000_000 + one.text * 500  # judged by its end too
+    got = langid.predict(docs(spark, [(1, one.text * 2000, None, None), (2, long, None, None)]), model).collect()
+    assert got[0].lang_pred == one.lang and {r.id for r in got} == {1, 2} and all(0 <= r.score <= 1 for r in got)
+
+
 def test_language_without_labels(spark):
     table = docs(spark, [(1, "hello", None, None)])
     model = langid.fit(table, table["text"], table["lang"])
