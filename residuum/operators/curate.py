@@ -7,17 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from residuum.operators import keys as K
 from residuum.operators.ranks import quantiles
 
 
 def outliers(df: DataFrame, value: str, k: float = 5.0, groups: Sequence[str] = ()) -> DataFrame:
-    """``df`` with ``is_outlier``: outside mean +- k sample standard deviations of its group (nulls never are).
+    """``df`` with ``is_outlier``: outside mean +- k sample standard deviations of its group (nulls never are; a null group is a group).
 
     Statistics come from one pre-aggregated row a group and are joined back.
     """
     keys = list(groups)
     stats = df.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
-    joined = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))  # one row without groups
+    joined = K.join(df, stats, keys) if keys else df.crossJoin(F.broadcast(stats))  # one row without groups
     return joined.withColumn("is_outlier", F.coalesce(F.abs(F.col(value) - F.col("__mean")) > k * F.col("__sd"), F.lit(False))).drop("__mean", "__sd")
 
 
@@ -40,14 +41,14 @@ def impute(df: DataFrame, fitted: DataFrame, zero: bool = True) -> DataFrame:
 def exclude(df: DataFrame, listed: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Null ``names`` on rows whose keys are listed; keys compare as columns, never as a joined string."""
     flags = listed.select(*keys).distinct().withColumn("__listed", F.lit(True))
-    joined = df.join(flags, list(keys), "left")
+    joined = K.join(df, flags, keys, "left")
     return joined.withColumns({n: F.when(F.col("__listed").isNull(), F.col(n)) for n in names}).drop("__listed")
 
 
 def only_if_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is not ambiguous."""
+    """Rows whose key is not ambiguous; a null key is one like any other."""
     single = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n = 1").drop("__n")
-    return df.join(single, list(keys), "left_semi")
+    return K.join(df, single, keys, "left_semi")
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:

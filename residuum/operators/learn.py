@@ -10,14 +10,16 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residuum.operators import keys as K
+
 
 def out_of_fold_means(df: DataFrame, group: Sequence[str], fold: str, value: str, name: str = "oof") -> DataFrame:
-    """Mean of the group over the other folds, from sums by (group, fold) alone."""
+    """Mean of the group over the other folds, from sums by (group, fold) alone; a null group is a group, a null fold a fold."""
     parts = df.groupBy(*group, fold).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
     whole = parts.groupBy(*group).agg(F.sum("__s").alias("__all_s"), F.sum("__n").alias("__all_n"))
     rest = F.col("__all_n") - F.col("__n")
-    means = parts.join(whole, list(group)).select(*group, fold, F.when(rest > 0, (F.col("__all_s") - F.col("__s")) / rest).alias(name))
-    return df.join(means, [*group, fold])
+    means = K.join(parts, whole, group).select(*group, fold, F.when(rest > 0, (F.col("__all_s") - F.coalesce("__s", F.lit(0))) / rest).alias(name))
+    return K.join(df, means, [*group, fold])
 
 
 def assembled(df: DataFrame, features: Sequence[str], into: str = "features") -> DataFrame:

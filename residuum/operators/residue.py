@@ -76,14 +76,14 @@ def contact_order(atoms: DataFrame, radius: float = 10.0) -> DataFrame:
 ALONE = 109.5
 
 
-def bond_candidates(probes: DataFrame, atoms: DataFrame, elements: Sequence[str], skip: Sequence[int], radius: float = 5.0, third: str | None = None) -> DataFrame:
+def bond_candidates(probes: DataFrame, atoms: DataFrame, elements: Sequence[str], skip: Sequence[int], radius: float = 5.0, third: str | None = None, also: Sequence[str] = ()) -> DataFrame:
     """All pairs of a probe and an atom of ``elements`` near it, with both cosines and the energy.
 
-    ``probes``: KEY and structs a0, a1 (a1 carries the bond). Left out are atoms of the own residue and of its neighbours at ``skip``.
+    ``probes``: KEY, structs a0, a1 (a1 carries the bond) and any columns ``also``. Left out are atoms of the own residue and of its neighbours at ``skip``.
     The angle at the other atom is to ``third``, an atom of its residue by name, else to that residue's nearest N, C or O;
     where there is none the atom stands ``alone``: 109.5 degrees and energy 0.
     """
-    tips = probes.select(*KEY, "a0", "a1", F.col("a1.x").alias("x"), F.col("a1.y").alias("y"), F.col("a1.z").alias("z"))
+    tips = probes.select(*KEY, "a0", "a1", *also, F.col("a1.x").alias("x"), F.col("a1.y").alias("y"), F.col("a1.z").alias("z"))
     wanted = atoms.filter(F.col("element").isin(list(elements)))
     near = spatial.radius_join(tips, wanted, radius, STRUCTURE).filter((F.col("dist") > 0.5) & (F.col("dist") < radius))
     own = (F.col("chain") == F.col("o_chain")) & F.col("o_res_num").isin(F.col("res_num"), *[F.col("res_num") + k for k in skip])
@@ -122,18 +122,20 @@ def bonds(probes: DataFrame, atoms: DataFrame, elements: Sequence[str], skip: in
     return _five(spatial.first_valid(scored, KEY, bond_holds(by_energy), ["dist", "o_pos"]), probes, prefix, F.lit(1))
 
 
-def alpha_bonds(probes: DataFrame, atoms: DataFrame, acceptors: DataFrame, radius: float = 5.0, energy_of_own: bool = True, prefix: str = "Ha") -> DataFrame:
+def alpha_bonds(probes: DataFrame, atoms: DataFrame, radius: float = 5.0, energy_of_own: bool = True, prefix: str = "Ha") -> DataFrame:
     """Bonds of alpha hydrogens to O, not of the own residue or either neighbour; the angle at the O is to its residue's carbonyl C.
 
-    The nearest candidate with both angles counts. It EXISTS if the O has a bond of its own (``acceptors``: probes of
-    all O; a hydrogen other than this one, below the energy cutoff if ``energy_of_own``) or is water's.
+    The nearest candidate with both angles counts. It EXISTS if that very O, of the backbone or of a side chain, has a bond of its own (from its residue's
+    C; to a hydrogen other than this one and not of its own or the next residue, below the energy cutoff if ``energy_of_own``) or is water's.
     """
     scored = bond_candidates(probes, atoms, ["O"], (-1, 1), radius, third="C")
     found = spatial.first_valid(scored, KEY, bond_holds(), ["dist", "o_pos"])
-    own = bond_candidates(acceptors, atoms, ["H", "D"], (1,), radius).filter(bond_holds(energy_of_own))
-    own = own.select(*STRUCTURE, F.col("chain").alias("o_chain"), F.col("res_num").alias("o_res_num"), F.struct("o_x", "o_y", "o_z").alias("at"))
+    place = F.struct(F.col("o_x").alias("x"), F.col("o_y").alias("y"), F.col("o_z").alias("z"))
+    acceptors = found.filter("NOT alone").select(*STRUCTURE, F.col("o_chain").alias("chain"), F.col("o_res_num").alias("res_num"), F.col("a3").alias("a0"), place.alias("a1"), F.col("o_pos").alias("acceptor")).distinct()
+    own = bond_candidates(acceptors, atoms, ["H", "D"], (1,), radius, also=["acceptor"]).filter(bond_holds(energy_of_own))
+    own = own.select(*STRUCTURE, F.col("acceptor").alias("o_pos"), F.struct("o_x", "o_y", "o_z").alias("at"))
     tip = F.struct(F.col("a1.x").alias("o_x"), F.col("a1.y").alias("o_y"), F.col("a1.z").alias("o_z"))
-    others = found.select(*KEY, "o_chain", "o_res_num", tip.alias("tip")).join(own, [*STRUCTURE, "o_chain", "o_res_num"]).filter("at <> tip").select(*KEY).distinct().withColumn("bound", F.lit(1))
+    others = found.select(*KEY, "o_pos", tip.alias("tip")).join(own, [*STRUCTURE, "o_pos"]).filter("at <> tip").select(*KEY).distinct().withColumn("bound", F.lit(1))
     return _five(found.join(others, KEY, "left"), probes, prefix, F.when(F.col("alone"), 1).otherwise(F.coalesce("bound", F.lit(0))))
 
 
@@ -151,7 +153,7 @@ def hydrogen_bonds(atoms: DataFrame, radius: float = 5.0, by_energy: bool = Fals
 
     ha, hn, o = probes("CA", ["HA", "1HA"]), probes("N", ["H", "1H", "H1", "D", "1D", "D1"]), probes("C", ["O"])
     parts = [
-        alpha_bonds(ha, around, o, radius, energy_of_own) if restrict_ha else bonds(ha, around, ["N", "O"], -1, radius, "Ha", by_energy),
+        alpha_bonds(ha, around, radius, energy_of_own) if restrict_ha else bonds(ha, around, ["N", "O"], -1, radius, "Ha", by_energy),
         bonds(hn, around, ["N", "O"], -1, radius, "HN", by_energy),
         bonds(o, around, ["H", "D"], 1, radius, "O", by_energy),
     ]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from residuum.operators import keys as K
+
 
 def chain_window(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -45,10 +47,10 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], counts: Co
 
 
 def fill_gaps(df: DataFrame, keys: Sequence[str], number: str, step: Column | None = None) -> DataFrame:
-    """A row for every number between the first and the last of each key; other columns are null on new rows."""
+    """A row for every number between the first and the last of each key; other columns are null on new rows, rows without a number drop out."""
     span = df.groupBy(*keys).agg(F.min(number).alias("__a"), F.max(number).alias("__b"))
     every = F.sequence("__a", "__b") if step is None else F.sequence(F.col("__a"), F.col("__b"), step)
-    return span.select(*keys, F.explode(every).alias(number)).join(df, [*keys, number], "left")
+    return K.join(span.select(*keys, F.explode(every).alias(number)), df, [*keys, number], "left")
 
 
 def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Column, name: str = "segment") -> DataFrame:
@@ -59,7 +61,7 @@ def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: C
 def sections(lines: DataFrame, keys: Sequence[str], number: str, text: str, markers: dict[str, str]) -> DataFrame:
     """``lines`` with the place of the last line that contains each marker (null if none does)."""
     last = lines.groupBy(*keys).agg(*[F.max(F.when(F.contains(F.col(text), F.lit(m)), F.col(number))).alias(name) for name, m in markers.items()])
-    return lines.join(last, list(keys))
+    return K.join(lines, last, keys)
 
 
 def current_section(df: DataFrame, keys: Sequence[str], order: Sequence[str], marker: Column, name: str) -> DataFrame:

@@ -12,17 +12,19 @@ from residuum.functions import lookup
 from residuum.functions import rules as R
 from residuum.operators import curate, learn, residue, transfer
 from residuum.operators import windows as W
+from residuum.sources import structure
 from residuum.sources.labels import ATOMS
 
 KEY = residue.KEY
 
 
 def single(atoms: DataFrame, scores: DataFrame, dssp: DataFrame | None = None, flank: int = 0, ph: DataFrame | None = None, default_ph: float = 5.0, restrict_ha: bool = True, in_order: bool = False) -> DataFrame:
-    """A row a residue. With ``dssp`` residues that it lacks are dropped, as without an assignment they are unusable.
+    """A row a residue, from one place an atom. With ``dssp`` residues that it lacks are dropped, as without an assignment they are unusable.
 
     ``ph``: file_id, ph; other files have the default. ``in_order``: fail where a chain's numbers repeat or fall along the file.
     """
-    everything, atoms = atoms, residue.standard(atoms)
+    everything = structure.one_place(atoms)
+    atoms = residue.standard(everything)
     ids = atoms.groupBy(*KEY, F.col("resname").alias("RESNAME")).agg(F.min("pos").alias("__pos"))
     if in_order:
         ids = curate.check_order(ids, KEY[:-1], "__pos", "res_num")

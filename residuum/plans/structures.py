@@ -151,8 +151,13 @@ _BOND_NAMES = [f"{p}_{n}" for p in ("Ha", "HN", "O") for n in ("d", "COS_A", "CO
 
 
 @query(f"""WITH {_ATOMS}, {_places(["N", "CA", "C", "O", "H", "HA"])}, {_bond("Ha", "ca", "ha", "'O'", (-1, 1), "C")}, {_bond("HN", "n", "h", "'N', 'O'", (-1,))}, {_bond("O", "c", "o", "'H', 'D'", (1,))},
-own AS (SELECT h.file_id, h.res_num, count(b.file_id) AS n FROM Ha_ok h LEFT JOIN O_all b ON h.k = 1 AND b.file_id = h.file_id AND b.res_num = h.o_res AND b.cos_h <= 1e-12 AND b.cos_a <= 1e-12 AND (b.alone OR b.energy <= -0.5)
-        AND NOT (b.o_x = h.q_x AND b.o_y = h.q_y AND b.o_z = h.q_z) WHERE h.k = 1 GROUP BY ALL)
+own AS (
+  SELECT h.file_id, h.res_num, count(*) AS n FROM Ha_ok h JOIN Ha_third c ON c.file_id = h.file_id AND c.o_pos = h.o_pos JOIN everything b ON b.file_id = h.file_id AND b.element IN ('H', 'D') AND b.res_num <> h.o_res AND b.res_num <> h.o_res + 1
+         AND {_far(_v("h.o"), ("b.x", "b.y", "b.z"))} > 0.5 AND {_far(_v("h.o"), ("b.x", "b.y", "b.z"))} < 5 AND NOT (b.x = h.q_x AND b.y = h.q_y AND b.z = h.q_z)
+    LEFT JOIN O_third t ON t.file_id = b.file_id AND t.o_pos = b.pos
+  WHERE h.k = 1 AND NOT h.alone AND {_cosine(_v("c.m"), _v("h.o"), ("b.x", "b.y", "b.z"))} <= 1e-12
+    AND (t.m_x IS NULL OR {_cosine(_v("h.o"), ("b.x", "b.y", "b.z"), _v("t.m"))} <= 1e-12 AND 0.084 * 332 * (1 / {_far(_v("c.m"), ("b.x", "b.y", "b.z"))} + 1 / {_far(_v("h.o"), _v("t.m"))} - 1 / {_far(_v("h.o"), ("b.x", "b.y", "b.z"))} - 1 / {_far(_v("c.m"), _v("t.m"))}) <= -0.5)
+  GROUP BY ALL)
 SELECT l.file_id, l.res_num, {_bond_columns("Ha", "coalesce(Ha.alone OR own.n > 0, false)")}, {_bond_columns("HN", "HN.d IS NOT NULL")}, {_bond_columns("O", "O.d IS NOT NULL")}
 FROM placed l LEFT JOIN Ha_ok Ha ON l.file_id = Ha.file_id AND l.res_num = Ha.res_num AND Ha.k = 1 LEFT JOIN own ON l.file_id = own.file_id AND l.res_num = own.res_num
 LEFT JOIN HN_ok HN ON l.file_id = HN.file_id AND l.res_num = HN.res_num AND HN.k = 1 LEFT JOIN O_ok O ON l.file_id = O.file_id AND l.res_num = O.res_num AND O.k = 1""")
@@ -274,6 +279,21 @@ def structure_repaired(t):
     return structure.repair(rows.unionByName(second).unionByName(again)).select("file_id", "res_num", "resname", "atom_name")
 
 
+@query(f"""WITH {_ATOMS}, alt AS (
+  SELECT file_id, res_num, resname, atom_name, k, x + k * 0.25 AS x, CASE WHEN k = 2 AND pos % 5 = 0 THEN NULL ELSE ((pos * 7 + k * 3) % 11) / 10e0 END AS occupancy, pos * 4 + k AS at FROM everything, (SELECT unnest(range(3)) AS k) WHERE k = 0 OR pos % 3 = 0)
+SELECT file_id, res_num, atom_name, CAST(count(*) AS BIGINT) AS alternates, round(arg_max(x, (coalesce(occupancy, -1) * 10 + 10) * 1000000000 - at), 6) AS x, max(occupancy) AS occupancy FROM alt GROUP BY file_id, res_num, resname, atom_name""")
+def structure_alternates(t):
+    """Of several places of an atom the one with the highest occupancy, the first in the file where several are equal or none is stated."""
+    rows = _everything(t)
+    each = F.explode(F.when(F.col("pos") % 3 == 0, F.sequence(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0))))
+    rows = rows.withColumn("k", each).withColumns({"altloc": F.substring(F.lit("ABC"), F.col("k") + 1, F.lit(1)), "x": F.col("x") + F.col("k") * 0.25})
+    occupancy = F.when((F.col("k") < 2) | (F.col("pos") % 5 != 0), ((F.col("pos") * 7 + F.col("k") * 3) % 11) / F.lit(10.0))
+    rows = rows.withColumns({"occupancy": occupancy, "pos": F.col("pos") * 4 + F.col("k")})
+    counts = rows.groupBy("file_id", "res_num", "resname", "atom_name").agg(F.count(F.lit(1)).alias("alternates"))
+    chosen = structure.one_place(rows).join(counts, ["file_id", "res_num", "resname", "atom_name"])
+    return _rounded(chosen.select("file_id", "res_num", "atom_name", "alternates", "x", "occupancy"), ["x"])
+
+
 @query(f"""WITH {_ATOMS}, r AS (SELECT DISTINCT file_id, res_num, '{"".join(structure.L.THREE_TO_ONE[n] for n in NAMES)}'[list_position({_listed(NAMES)}, resname)] AS letter FROM atoms)
 SELECT file_id AS id, string_agg(letter, '' ORDER BY res_num) AS sequence, max(res_num) AS last FROM r GROUP BY file_id""")
 def sequence_files(t):

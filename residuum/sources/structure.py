@@ -30,7 +30,7 @@ def atoms(lines: DataFrame) -> DataFrame:
         F.col("file").alias("file_id"), "model", _field(22, 22).alias("chain"), _number(23, 26, "int").alias("res_num"), _field(27, 27).alias("icode"),
         F.col("line").startswith("HETATM").alias("het"), _field(18, 20).alias("resname"), name.alias("atom_name"), _field(17, 17).alias("altloc"),
         F.when(stated != "", stated).otherwise(F.regexp_extract(name, "([A-Z])", 1)).alias("element"),
-        _number(31, 38, "double").alias("x"), _number(39, 46, "double").alias("y"), _number(47, 54, "double").alias("z"), _number(61, 66, "double").alias("bfactor"), "pos",
+        _number(31, 38, "double").alias("x"), _number(39, 46, "double").alias("y"), _number(47, 54, "double").alias("z"), _number(55, 60, "double").alias("occupancy"), _number(61, 66, "double").alias("bfactor"), "pos",
     )
 
 
@@ -47,9 +47,10 @@ def one_chain(table: DataFrame) -> DataFrame:
     return first.join(several, "file_id").filter(F.when(F.col("__several"), stop).otherwise(True)).drop("__several")
 
 
-def first_altloc(table: DataFrame) -> DataFrame:
-    """One place for each atom: the alphabetically first alternate."""
-    w = Window.partitionBy(*RESIDUE, "atom_name").orderBy("altloc", "pos")
+def one_place(table: DataFrame) -> DataFrame:
+    """One place for each atom: of its alternates the one with the highest occupancy (none: lowest), of equal ones the first in the file."""
+    occupancy = [F.col("occupancy").desc_nulls_last()] if "occupancy" in table.columns else []
+    w = Window.partitionBy(*RESIDUE, "resname", "atom_name").orderBy(*occupancy, "pos")
     return table.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
@@ -73,10 +74,11 @@ def sequences(table: DataFrame) -> DataFrame:
 def as_lines(table: DataFrame) -> DataFrame:
     """``file_id, pos, line``: atom records in fixed width, one place an atom."""
     w = Window.partitionBy("file_id").orderBy("model", "pos")
-    rows = first_altloc(table).withColumn("serial", F.row_number().over(w))
+    rows = one_place(table).withColumn("serial", F.row_number().over(w))
     name = F.when(F.length("atom_name") < 4, F.concat(F.lit(" "), F.rpad("atom_name", 3, " "))).otherwise(F.col("atom_name"))
+    occupancy = F.coalesce("occupancy", F.lit(1.0)) if "occupancy" in table.columns else F.lit(1.0)
     kind = F.when(F.col("het"), "HETATM").otherwise("ATOM  ")
-    line = F.format_string("%s%5d %s %3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", kind, "serial", name, "resname", "chain", "res_num", F.rpad("icode", 1, " "), "x", "y", "z", F.lit(1.0), F.coalesce("bfactor", F.lit(0.0)), "element")
+    line = F.format_string("%s%5d %s %3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", kind, "serial", name, "resname", "chain", "res_num", F.rpad("icode", 1, " "), "x", "y", "z", occupancy, F.coalesce("bfactor", F.lit(0.0)), "element")
     return rows.select("file_id", F.col("serial").alias("pos"), line.alias("line"))
 
 

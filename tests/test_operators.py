@@ -206,3 +206,18 @@ def test_tm_score_of_a_hinge():
     turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
     q = np.concatenate((p[:40], (p[40:] - p[40]) @ (turn * np.sign(np.linalg.det(turn))) + p[40] + 30))
     assert search.tm_score(p, q, 60) > 40 / 60 - 0.01  # two thirds fit exactly
+
+
+def test_null_groups_stay(spark):
+    rows = spark.createDataFrame([(None, 1, 1.0), (None, 2, 3.0), ("a", 1, 5.0), ("a", 2, None), (None, None, 4.0)], "g string, fold int, v double")
+    assert curate.outliers(rows, "v", 1.0, ["g"]).count() == 5
+    flagged = curate.outliers(rows.union(spark.createDataFrame([(None, 1, 900.0)], rows.schema)), "v", 1.2, ["g"])
+    assert [r.v for r in flagged.filter("is_outlier").collect()] == [900.0]
+    got = {(r.g, r.fold): r.oof for r in learn.out_of_fold_means(rows, ["g"], "fold", "v").collect()}
+    assert got == {(None, 1): 3.5, (None, 2): 2.5, (None, None): 2.0, ("a", 1): None, ("a", 2): 5.0}
+    assert curate.only_if_unique(rows, ["g", "fold"]).count() == 5
+    assert curate.exclude(rows, rows.filter("g IS NULL AND fold = 1"), ["g", "fold"], ["v"]).filter("v IS NULL").count() == 2
+    filled = W.fill_gaps(spark.createDataFrame([(None, 1, "x"), (None, 4, "y"), ("a", 2, "z")], "g string, n int, t string"), ["g"], "n")
+    assert {(r.g, r.n, r.t) for r in filled.collect()} == {(None, 1, "x"), (None, 2, None), (None, 3, None), (None, 4, "y"), ("a", 2, "z")}
+    marked = W.sections(rows.withColumn("t", F.lit("m here")), ["g"], "fold", "t", {"m": "m"})
+    assert marked.count() == 5

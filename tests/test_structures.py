@@ -12,9 +12,9 @@ from residuum.plans import features
 from residuum.sources import labels, reports, structure, text
 
 
-def atom(serial, name, res, chain, num, x, y, z, b=1.0, icode=" ", alt=" ", element=None, het=False):
+def atom(serial, name, res, chain, num, x, y, z, b=1.0, icode=" ", alt=" ", element=None, het=False, occupancy=1.0):
     place = f" {name:<3}" if len(name) < 4 else name
-    return f"{'HETATM' if het else 'ATOM  '}{serial:5d} {place}{alt}{res:>3} {chain}{num:4d}{icode}   {x:8.3f}{y:8.3f}{z:8.3f}{1.0:6.2f}{b:6.2f}          {element or name[0]:>2}"
+    return f"{'HETATM' if het else 'ATOM  '}{serial:5d} {place}{alt}{res:>3} {chain}{num:4d}{icode}   {x:8.3f}{y:8.3f}{z:8.3f}{occupancy:6.2f}{b:6.2f}          {element or name[0]:>2}"
 
 
 def peptide():
@@ -54,12 +54,26 @@ def test_atoms_models_and_round_trip(spark, atoms, tmp_path):
 
 
 def test_repair_keeps_the_first_of_a_number_and_alternates(spark, tmp_path):
-    lines = [atom(1, "CA", "MSE", "A", 1, 0, 0, 0), atom(2, "CA", "XYZ", "A", 2, 0, 0, 0), atom(3, "CA", "GLY", "A", 3, 0, 0, 0, alt="B"), atom(4, "CA", "GLY", "A", 3, 1, 0, 0, alt="A"), atom(5, "CA", "ALA", "A", 3, 9, 0, 0, icode="A")]
+    lines = [atom(1, "CA", "MSE", "A", 1, 0, 0, 0), atom(2, "CA", "XYZ", "A", 2, 0, 0, 0), atom(3, "CA", "GLY", "A", 3, 0, 0, 0, alt="A", occupancy=0.3), atom(4, "CA", "GLY", "A", 3, 1, 0, 0, alt="B", occupancy=0.7), atom(5, "CA", "ALA", "A", 3, 9, 0, 0, icode="A")]
     table = structure.repair(structure.atoms(text.numbered_lines(spark, write(tmp_path, "x.pdb", lines))))
-    got = {(r.res_num, r.resname, r.x) for r in structure.first_altloc(table).collect()}
+    got = {(r.res_num, r.resname, r.x) for r in structure.one_place(table).collect()}
     assert got == {(1, "MET", 0.0), (3, "GLY", 1.0)}
 
 
+def test_the_place_with_the_highest_occupancy_reaches_features_and_files(spark, tmp_path):
+    rows = [atom(1, "CA", "ALA", "A", 1, 0, 0, 0), atom(2, "CB", "ALA", "A", 1, 9, 9, 9, b=4, alt="A", occupancy=0.4), atom(3, "CB", "ALA", "A", 1, 1, 1, 1, b=2, alt="B", occupancy=0.6)]
+    rows += [atom(4, "O", "ALA", "A", 1, 5, 0, 0, b=3, alt="A", occupancy=0.5), atom(5, "O", "ALA", "A", 1, 6, 0, 0, b=7, alt="B", occupancy=0.5)]
+    table = structure.atoms(text.numbered_lines(spark, write(tmp_path, "alt.pdb", rows)))
+    assert {(r.atom_name, r.altloc): r.occupancy for r in table.collect()}["CB", "B"] == 0.6
+    assert {(r.atom_name, r.x) for r in structure.one_place(table).collect()} == {("CA", 0.0), ("CB", 1.0), ("O", 5.0)}
+    assert [(r.line[30:38].strip(), r.line[54:60].strip()) for r in structure.as_lines(table).orderBy("pos").collect()] == [("0.000", "1.00"), ("1.000", "0.60"), ("5.000", "0.50")]
+    scores = spark.createDataFrame([("ALA", "ALA", 4.0)], "a string, b string, score double")
+    assert features.single(table, scores).collect()[0].AVG_B == pytest.approx((1 + 2 + 3) / 3)
+    unstated = [x[:54] + " " * 6 + x[60:] for x in rows[1:2]] + rows[2:3]
+    table = structure.atoms(text.numbered_lines(spark, write(tmp_path, "un.pdb", unstated)))
+    assert [r.x for r in structure.one_place(table).collect()] == [1.0]
+
+
 def test_free_text(spark, tmp_path):
     paths = [write(tmp_path, "a.txt", ["Details 'pH 6.5' at 298 K", "RESOLUTION. 1.80 ANGSTROMS."]), write(tmp_path, "b.txt", ["sample pH 7 . 10 mM", "none"]), write(tmp_path, "c.txt", ["nothing"])]
     lines = text.numbered_lines(spark, paths)
@@ -187,6 +201,22 @@ def test_alpha_bond_needs_an_acceptor_with_a_bond_of_its_own(spark):
     assert alpha_bond(spark, ALPHA + CARBONYL, restrict_ha=False).Ha_EXISTS == 1
 
 
+def test_alpha_bond_asks_the_side_chain_oxygen_itself(spark):
+    side = [(9, "ASP", "OD1", "O", 3.0, 0.0, 0.0), (9, "ASP", "C", "C", 4.2, 0.0, 0.0)]
+    backbone = [(9, "ASP", "O", "O", 6.0, 0.0, 0.0)]
+    to_backbone = [(20, "SER", "H", "H", 6.0, 1.9, 0.0), (20, "SER", "N", "N", 6.0, 2.9, 0.0)]
+    assert alpha_bond(spark, ALPHA + side + backbone).Ha_EXISTS == 0
+    # the backbone's O is bonded, but it isn't the acceptor
+    far = [(9, "ASP", "O", "O", 9.4, 0.0, 0.0)]
+    bound = [(20, "SER", "H", "H", 11.3, 0.0, 0.0), (20, "SER", "N", "N", 12.3, 0.0, 0.0)]
+    assert alpha_bond(spark, ALPHA + side + far + bound).Ha_EXISTS == 0
+    # the acceptor is bonded, and there is no backbone O at all
+    assert alpha_bond(spark, ALPHA + side + AMIDE).Ha_EXISTS == 1
+    assert alpha_bond(spark, ALPHA + side + backbone + to_backbone + AMIDE).Ha_EXISTS == 1
+    # two oxygens of one residue: the nearer one is asked
+    assert alpha_bond(spark, ALPHA + side + [(9, "ASP", "OD2", "O", 3.2, -0.2, 0.0)] + AMIDE).Ha_d == 2.0
+
+
 def test_alpha_bond_passes_over_neighbours_and_bent_acceptors(spark):
     for near in (4, 6):
         rows = [(near, *x[1:]) for x in CARBONYL]
