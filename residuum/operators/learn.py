@@ -1,4 +1,4 @@
-"""Learning on Spark: folds, out-of-fold means and forests, stacking with a fallback. Models are pyspark.ml's."""
+"""Learning on Spark: out-of-fold means, stacked models with a fallback. The first level is grown by ``trees``, the second by pyspark.ml."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residuum.operators import keys as K
+from residuum.operators import trees as randomised
 
 
 def out_of_fold_means(df: DataFrame, group: Sequence[str], fold: str, value: str, name: str = "oof") -> DataFrame:
@@ -32,31 +33,18 @@ def forest(label: str, trees: int = 500, subset: str = "0.3", leaf: int = 3, dep
     return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="pred", numTrees=trees, featureSubsetStrategy=subset, minInstancesPerNode=leaf, maxDepth=depth, seed=seed, bootstrap=bootstrap)
 
 
-def out_of_fold(df: DataFrame, model: RandomForestRegressor, fold: str, k: int, key: Sequence[str]) -> DataFrame:
-    """``key, pred``: each fold predicted by a model of the others. The loop is over folds, rows stay distributed."""
-    parts = [model.fit(df.filter(F.col(fold) != i)).transform(df.filter(F.col(fold) == i)).select(*key, "pred") for i in range(k)]
-    return reduce(DataFrame.unionByName, parts)
+def stack(df: DataFrame, features: Sequence[str], label: str, fold: str, k: int, transferred: Sequence[str], trees: int = 500, depth: int = 30, seed: int = 1) -> dict[str, randomised.Forest | RandomForestRegressionModel]:
+    """Three models: R0 on the features, extremely randomised trees; R1 on those and R0's out-of-fold prediction; R2 also on what was transferred, where it exists.
 
-
-def stack(df: DataFrame, features: Sequence[str], label: str, fold: str, k: int, key: Sequence[str], transferred: Sequence[str], **trees) -> dict[str, RandomForestRegressionModel]:
-    """Three levels: R0 on the features; R1 on those and R0's out-of-fold prediction; R2 also on what was transferred, where it exists."""
-    base = assembled(df, features)
-    r0 = forest(label, **trees)
-    held = out_of_fold(base, r0, fold, k, key).withColumnRenamed("pred", "r0_pred")
-    joined = df.join(held, list(key))
-    r1 = forest(label, **(trees | {"subset": "0.5", "leaf": 7}))
+    R0's folds and its model of all rows are grown together. R1 and R2 are random forests without bootstrap.
+    """
+    r0 = randomised.fit(df, features, label, trees, subset=0.3, leaf=3, split=15, depth=2 * depth, seed=seed, fold=fold, folds=k)
+    joined = randomised.predict(df, r0, "r0_pred", fold)
+    level_1 = forest(label, trees, subset="0.5", leaf=7, depth=depth, seed=seed)  # a leaf of 7 asks for 14 rows to split, more than the 12 that were asked
     full = joined.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in transferred]))
-    return {"r0": r0.fit(base), "r1": r1.fit(assembled(joined, [*features, "r0_pred"])), "r2": r1.fit(assembled(full, [*features, *transferred, "r0_pred"]))}
+    return {"r0": r0, "r1": level_1.fit(assembled(joined, [*features, "r0_pred"])), "r2": level_1.fit(assembled(full, [*features, *transferred, "r0_pred"]))}
 
 
 def fallback(valid: Column, combined: Column, alone: Column, base: Column) -> Column:
     """The combined model where its inputs are valid, else the feature model; plus the baseline."""
     return F.coalesce(F.when(valid, combined), alone) + base
-
-
-def save(model: RandomForestRegressionModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load(path: str) -> RandomForestRegressionModel:
-    return RandomForestRegressionModel.load(path)

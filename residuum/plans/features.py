@@ -5,12 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.regression import RandomForestRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.functions import lookup
 from residuum.functions import rules as R
-from residuum.operators import curate, learn, residue, transfer
+from residuum.operators import curate, learn, residue, transfer, trees
 from residuum.operators import windows as W
 from residuum.sources import structure
 from residuum.sources.labels import ATOMS
@@ -31,10 +31,7 @@ def single(atoms: DataFrame, scores: DataFrame, dssp: DataFrame | None = None, f
     ids = ids.drop("__pos")
     parts = [residue.torsions(atoms), residue.side_torsions(atoms), residue.hydrogen_bonds(atoms, restrict_ha=restrict_ha, around=everything), residue.contact_order(atoms), residue.substitution_row(atoms, scores), residue.exposure(atoms), residue.ring_currents(atoms), residue.mean_bfactor(atoms), residue.oxidised(atoms)]
     table = reduce(lambda a, b: a.join(b, KEY, "left"), parts, ids)
-    if ph is None:
-        table = table.withColumn("PH", F.lit(default_ph))
-    else:
-        table = table.join(ph.groupBy("file_id").agg(F.min("ph").alias("PH")), "file_id", "left").withColumn("PH", F.coalesce("PH", F.lit(default_ph)))
+    table = with_ph(table, ph, default_ph)
     if dssp is not None:
         table = table.join(residue.accessible(dssp).drop("resname"), KEY)
     if flank:
@@ -104,26 +101,44 @@ def less_baselines(table: DataFrame, rings: bool = False) -> DataFrame:
     return table.withColumns({a: R.less_baselines(F.col(a), filled=filled[a], required=[F.col(f"RCOIL_{a}")]) for a in named})
 
 
-def predict(table: DataFrame, atom: str, models: dict[str, RandomForestRegressionModel], transferred: DataFrame | None = None) -> DataFrame:
-    """``KEY, RESNAME, <atom>_X`` and, with ``transferred`` (KEY, RESNAME, value, score, cov, match), the combined prediction with its fallback.
+QUALITY = {"SCORE": "score", "COV": "cov", "MATCH": "match"}
+
+
+def with_transferred(table: DataFrame, transferred: DataFrame, base: Column) -> DataFrame:
+    """``table`` with ``valid``, ``VALUE`` as transferred, ``Y`` (it less ``base``) and the qualities SCORE, COV and MATCH.
+
+    ``transferred``: KEY, RESNAME, value, score, cov, match, one row a residue. Where a residue has none, its file has none at all, or the residue names differ, nothing is
+    valid: Y is null and the qualities are 0. The same for training and for prediction.
+    """
+    y = transferred.select(*KEY, F.col("RESNAME").alias("__name"), F.col("value").alias("VALUE"), *[F.col(c).alias(f"__{c}") for c in QUALITY.values()])
+    rows = table.join(y, KEY, "left").withColumn("valid", F.coalesce((F.col("RESNAME") == F.col("__name")) & F.col("VALUE").isNotNull(), F.lit(False)))
+    more = {"Y": F.when(F.col("valid"), F.col("VALUE") - base)} | {n: F.when(F.col("valid"), F.col(f"__{c}")).otherwise(0.0) for n, c in QUALITY.items()}
+    return rows.withColumns(more).drop("__name", *[f"__{c}" for c in QUALITY.values()])
+
+
+def with_ph(table: DataFrame, ph: DataFrame | None, default: float = 5.0) -> DataFrame:
+    """``table`` with ``PH``: that of its file (``ph``: file_id, ph; the least of several), else the default."""
+    if ph is None:
+        return table.withColumn("PH", F.lit(default))
+    return table.join(ph.groupBy("file_id").agg(F.min("ph").alias("PH")), "file_id", "left").withColumn("PH", F.coalesce("PH", F.lit(default)))
+
+
+def predict(table: DataFrame, atom: str, models: dict[str, trees.Forest | RandomForestRegressionModel], transferred: DataFrame | None = None) -> DataFrame:
+    """``KEY, RESNAME, <atom>_X`` and, with ``transferred`` (see ``with_transferred``), the combined prediction with its fallback.
 
     The transferred value counts only where the residue names agree.
     """
     base = F.col(f"RCOIL_{atom}")
     inputs = for_atom(table, atom)
-    rows = table.na.fill(0.0, inputs)
     step = lambda df, names, model, out: model.transform(learn.assembled(df, names)).withColumnRenamed("pred", out).drop("features")
-    rows = step(rows, inputs, models["r0"], "r0_pred")
+    rows = trees.predict(table.na.fill(0.0, inputs), models["r0"], "r0_pred")
     rows = step(rows, [*inputs, "r0_pred"], models["r1"], "r1_pred")
     if transferred is None:
         return rows.select(*KEY, "RESNAME", (F.col("r1_pred") + base).alias(f"{atom}_X"))
-    y = transferred.select(*KEY, F.col("RESNAME").alias("__name"), *[F.col(c).alias(f"__{c}") for c in ("value", "score", "cov", "match")])
-    rows = rows.join(y, KEY, "left").withColumn("__valid", F.coalesce((F.col("RESNAME") == F.col("__name")) & F.col("__value").isNotNull(), F.lit(False)))
-    more = {"Y": F.col("__value") - base, "SCORE": F.col("__score"), "COV": F.col("__cov"), "MATCH": F.col("__match")}
-    rows = rows.withColumns({k: F.when(F.col("__valid"), c).otherwise(0.0) for k, c in more.items()})
-    rows = step(rows, [*inputs, *more, "r0_pred"], models["r2"], "r2_pred")
-    final = learn.fallback(F.col("__valid"), F.col("r2_pred"), F.col("r1_pred"), base)
-    return rows.select(*KEY, "RESNAME", (F.col("r1_pred") + base).alias(f"{atom}_X"), F.col("__value").alias(f"{atom}_Y"), final.alias(f"{atom}_final"))
+    rows = with_transferred(rows, transferred, base).na.fill(0.0, ["Y"])
+    rows = step(rows, [*inputs, "Y", *QUALITY, "r0_pred"], models["r2"], "r2_pred")
+    final = learn.fallback(F.col("valid"), F.col("r2_pred"), F.col("r1_pred"), base)
+    return rows.select(*KEY, "RESNAME", (F.col("r1_pred") + base).alias(f"{atom}_X"), F.col("VALUE").alias(f"{atom}_Y"), final.alias(f"{atom}_final"))
 
 
 def predict_transfer(residues: DataFrame, candidates: DataFrame, caps: dict[str, float] = transfer.CAPS) -> DataFrame:

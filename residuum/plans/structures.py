@@ -279,6 +279,27 @@ def structure_repaired(t):
     return structure.repair(rows.unionByName(second).unionByName(again)).select("file_id", "res_num", "resname", "atom_name")
 
 
+@query(f"""WITH {_ATOMS}, r AS (SELECT DISTINCT file_id, res_num, resname FROM atoms),
+told AS (SELECT 'f' || (l_orderkey % 9) AS file_id, CAST(l_partkey % 60 AS INTEGER) AS res_num, max(l_quantity) AS value, max(l_tax) AS score, min(l_discount) AS cov FROM lineitem GROUP BY ALL),
+j AS (SELECT r.*, t.value, t.score, t.cov, t.value IS NOT NULL AND r.res_num % 4 > 0 AS valid FROM r LEFT JOIN told t ON r.file_id = t.file_id AND r.res_num = t.res_num)
+SELECT file_id, res_num, valid, value AS "VALUE", round(CASE WHEN valid THEN value - res_num END, 6) AS "Y", CASE WHEN valid THEN score ELSE 0 END AS "SCORE", CASE WHEN valid THEN cov ELSE 0 END AS "COV", CASE WHEN valid THEN 1e0 ELSE 0e0 END AS "MATCH" FROM j""")
+def transferred_inputs(t):
+    """Features with transferred values for training and prediction: every fourth residue has another name there, and some files have none."""
+    table = _atoms(t).select(*residue.KEY, F.col("resname").alias("RESNAME")).distinct()
+    told = t("lineitem").groupBy(F.concat(F.lit("f"), (F.col("l_orderkey") % 9).cast("string")).alias("file_id"), (F.col("l_partkey") % 60).cast("int").alias("res_num")).agg(F.max("l_quantity").alias("value"), F.max("l_tax").alias("score"), F.min("l_discount").alias("cov"))
+    named = told.join(table, ["file_id", "res_num"]).withColumn("RESNAME", F.when(F.col("res_num") % 4 > 0, F.col("RESNAME")).otherwise("other")).withColumn("match", F.lit(1.0))
+    out = features.with_transferred(table, named, F.col("res_num").cast("double"))
+    return out.select("file_id", "res_num", "valid", "VALUE", F.round("Y", 6).alias("Y"), "SCORE", "COV", "MATCH")
+
+
+@query(f"""WITH {_ATOMS}, p AS (SELECT 'f' || (s_suppkey % 7) AS file_id, min(s_nationkey / 4e0) AS ph FROM supplier GROUP BY ALL)
+SELECT r.file_id, r.res_num, coalesce(ph, 5e0) AS "PH" FROM (SELECT DISTINCT file_id, res_num FROM atoms) r LEFT JOIN p ON r.file_id = p.file_id""")
+def residue_ph(t):
+    """The pH that is stated for a file, else the default."""
+    stated = t("supplier").select(F.concat(F.lit("f"), (F.col("s_suppkey") % 7).cast("string")).alias("file_id"), (F.col("s_nationkey") / 4).alias("ph"))
+    return features.with_ph(_atoms(t).select("file_id", "res_num").distinct(), stated)
+
+
 @query(f"""WITH {_ATOMS}, alt AS (
   SELECT file_id, res_num, resname, atom_name, k, x + k * 0.25 AS x, CASE WHEN k = 2 AND pos % 5 = 0 THEN NULL ELSE ((pos * 7 + k * 3) % 11) / 10e0 END AS occupancy, pos * 4 + k AS at FROM everything, (SELECT unnest(range(3)) AS k) WHERE k = 0 OR pos % 3 = 0)
 SELECT file_id, res_num, atom_name, CAST(count(*) AS BIGINT) AS alternates, round(arg_max(x, (coalesce(occupancy, -1) * 10 + 10) * 1000000000 - at), 6) AS x, max(occupancy) AS occupancy FROM alt GROUP BY file_id, res_num, resname, atom_name""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from residuum.functions import label_text as L
 from residuum.functions import rules as R
-from residuum.operators import curate, evaluate, learn, transfer
+from residuum.operators import curate, evaluate, learn, transfer, trees
 from residuum.operators import windows as W
 from residuum.plans.registry import query
 from residuum.sources import tables
@@ -355,11 +355,35 @@ def whiten(t):
 
 @query()
 def forest_fit_predict(t):
-    """Rows only: trees have no SQL. Each fold is predicted by a model of the others."""
+    """Rows only: trees have no SQL. Each fold is predicted by trees that haven't seen it; all are grown together."""
     rows = t("events").select("event_id", F.col("user_id").cast("double").alias("user"), F.hour("ts").cast("double").alias("hour"), F.length("event_type").cast("double").alias("kind"), "value", W.folds("event_id", 3).alias("fold"))
-    ready = learn.assembled(rows, ["user", "hour", "kind"])
-    held = learn.out_of_fold(ready, learn.forest("value", trees=10, leaf=3, depth=6), "fold", 3, ["event_id"])
-    return held.withColumnRenamed("pred", "prediction")
+    names = ["user", "hour", "kind"]
+    grown = trees.fit(rows, names, "value", trees=8, subset=0.7, leaf=3, split=15, depth=6, fold="fold", folds=3)
+    return trees.predict(rows, grown, "prediction", "fold").select("event_id", "prediction")
+
+
+@query()
+def stacked_models(t):
+    """Rows only. Both levels: trees out of fold, a forest on top of them, and one more with a transferred value where there is one."""
+    rows = t("events").select("event_id", F.col("user_id").cast("double").alias("user"), F.hour("ts").cast("double").alias("hour"), "value", F.when(F.col("user_id") % 2 == 0, F.col("value") + F.col("user_id") % 7).alias("moved"), W.folds("event_id", 3).alias("fold"))
+    models = learn.stack(rows, ["user", "hour"], "value", "fold", 3, ["moved"], trees=4, depth=5)
+    out = trees.predict(rows, models["r0"], "r0_pred", "fold")
+    for name, inputs in (("r1", ["user", "hour", "r0_pred"]), ("r2", ["user", "hour", "filled", "r0_pred"])):
+        ready = learn.assembled(out.withColumn("filled", F.coalesce("moved", F.lit(0.0))), inputs)
+        out = models[name].transform(ready).withColumnRenamed("pred", f"{name}_pred").drop("features", "filled")
+    final = learn.fallback(F.col("moved").isNotNull(), F.col("r2_pred"), F.col("r1_pred"), F.lit(0.0))
+    return out.select("event_id", "r0_pred", "r1_pred", final.alias("final"))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, l_linenumber, nullif(l_quantity, 7) AS q, nullif(l_discount, 0.05) AS d FROM lineitem),
+m AS (SELECT median(q) AS mq, median(d) AS md FROM t WHERE l_orderkey % 2 = 0)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(coalesce(q, mq), 6) AS q, round(coalesce(d, md), 6) AS d FROM t, m""")
+def null_impute(t):
+    """Nulls become medians of the training rows, those of even orders."""
+    rows = t("lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.nullif(F.col("l_quantity"), F.lit(7.0)).alias("q"), F.nullif(F.col("l_discount"), F.lit(0.05)).alias("d"))
+    fitted = curate.medians(rows.filter("l_orderkey % 2 = 0"), ["q", "d"], skip_zero=False)
+    return curate.impute(rows, fitted, zero=False).withColumns({c: F.round(c, 6) for c in ("q", "d")})
 
 
 @query("""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from residuum.functions import label_text as L
 from residuum.functions import rules as R
-from residuum.operators import curate, evaluate, learn, transfer
+from residuum.operators import curate, evaluate, learn, transfer, trees
 from residuum.operators import windows as W
 from residuum.plans import features
 from residuum.sources import tables
@@ -122,12 +122,16 @@ def test_hits_and_defaults(spark):
 def test_forests_stack_and_fall_back(spark, tmp_path):
     rows = [(k, k % 5, float(k % 7), float(k % 3), float(k % 7) * 2 + k % 3, None if k % 4 else float(k % 7)) for k in range(200)]
     df = spark.createDataFrame(rows, "k int, fold int, a double, b double, y double, t double")
-    models = learn.stack(df, ["a", "b"], "y", "fold", 5, ["k"], ["t"], trees=5, depth=5)
-    assert set(models) == {"r0", "r1", "r2"}
-    out = models["r0"].transform(learn.assembled(df, ["a", "b"]))
-    assert out.agg(F.corr("pred", "y")).first()[0] > 0.9
-    learn.save(models["r0"], str(tmp_path / "m"))
-    assert learn.load(str(tmp_path / "m")).getNumTrees == 5
+    models = learn.stack(df, ["a", "b"], "y", "fold", 5, ["t"], trees=8, depth=6)
+    assert set(models) == {"r0", "r1", "r2"} and models["r1"].getNumTrees == 8
+    out = trees.predict(df, models["r0"], "p0", "fold")
+    assert out.agg(F.corr("p0", "y")).first()[0] > 0.9
+    out = models["r1"].transform(learn.assembled(out.withColumnRenamed("p0", "r0_pred"), ["a", "b", "r0_pred"]))
+    assert out.agg(F.corr("pred", "y")).first()[0] > 0.95
+    trees.save(spark, models["r0"], str(tmp_path / "m"))
+    back = trees.load(spark, str(tmp_path / "m"))
+    assert (back.names, back.groups, back.trees) == (("a", "b"), (0, 1, 2, 3, 4, -1), 8)
+    assert trees.predict(df, back, "p", "fold").select("k", "p").collect() == trees.predict(df, models["r0"], "p", "fold").select("k", "p").collect()
     c = learn.fallback(F.col("t").isNotNull(), F.col("t"), F.col("a"), F.lit(1.0))
     assert df.select(F.sum(c)).first()[0] == sum((r[5] if r[5] is not None else r[2]) + 1 for r in rows)
 
@@ -139,6 +143,7 @@ def test_prediction_falls_back_where_nothing_valid_is_transferred(spark):
     names = ["x1", "x2"]
     inputs = {"r0": names, "r1": [*names, "r0_pred"], "r2": [*names, "Y", "SCORE", "COV", "MATCH", "r0_pred"]}
     models = {k: learn.forest("label", trees=2, subset="all", leaf=1, depth=8).fit(learn.assembled(known, v)) for k, v in inputs.items()}
+    models["r0"] = trees.fit(known, names, "label", trees=3, subset=1.0, leaf=1, split=2)
     plain = table.drop("label")
     assert features.for_atom(plain, "CA") == names
     alone = {r.res_num: r.CA_X for r in features.predict(plain, "CA", models).collect()}
