@@ -56,48 +56,83 @@ def identity(a: Column, b: Column) -> Column:
     return F.size(F.filter(pairs, lambda p: p["x"] == p["y"])) / F.size(pairs)
 
 
+#: Cells of the matrices that an alignment holds at a time; longer ones are cut in halves and worked out again on the way back.
+CELLS = 2_000_000
+
+
 def align(a: str, b: str, score: np.ndarray, letters: str, gap_open: float = -10.0, gap_extend: float = -0.5) -> tuple[str, str, float]:
     """Global alignment with affine gaps (Gotoh); of equal ones a match is preferred to a gap in b, that to a gap in a.
 
-    ``score``: similarity of ``letters`` by ``letters``; its last row and column are for any other letter.
+    ``score``: similarity of ``letters`` by ``letters``; its last row and column are for any other letter. Rows are halved until a part has few
+    enough cells: the first half is run through for its last row alone, the second is traced back, then the first. So memory is in proportion to one
+    sequence (times the logarithm of the other), and the alignment is the one that whole matrices give.
     """
     other = len(letters)
     at = {c: k for k, c in enumerate(letters)}
     x, y = [at.get(c, other) for c in a], [at.get(c, other) for c in b]
     n, m = len(x), len(y)
-    low = -1e18
-    best, down, right = (np.full((n + 1, m + 1), low) for _ in range(3))
     steps = np.arange(m + 1) * gap_extend
-    for i in range(n + 1):  # a row at a time; a gap in a is a running maximum along the row
-        row = best[i]
-        if i:
-            down[i] = np.maximum(best[i - 1] + gap_open, down[i - 1] + gap_extend)
-            row[1:] = np.maximum(best[i - 1, :-1] + score[x[i - 1], y], down[i, 1:])
-            row[0] = down[i, 0]
-        else:
-            row[0] = 0
-        right[i, 1:] = (np.maximum.accumulate(row - steps) + steps + gap_open - gap_extend)[:-1] + gap_extend
-        np.maximum(row, right[i], out=row)
-    out_a, out_b, i, j, state = [], [], n, m, "best"
-    while i or j:
-        if state == "best":
-            if i and j and best[i, j] == best[i - 1, j - 1] + score[x[i - 1], y[j - 1]]:
-                i, j = i - 1, j - 1
+    none = np.full(m + 1, -1e18)
+    Row = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def first_row() -> Row:
+        row = none.copy()
+        row[0] = 0
+        return closed(row, none.copy())
+
+    def closed(row: np.ndarray, down: np.ndarray) -> Row:
+        """A gap in a is a running maximum along the row."""
+        right = none.copy()
+        right[1:] = (np.maximum.accumulate(row - steps) + steps + gap_open - gap_extend)[:-1] + gap_extend
+        return np.maximum(row, right), down, right
+
+    def following(i: int, before: Row) -> Row:
+        down = np.maximum(before[0] + gap_open, before[1] + gap_extend)
+        row = down.copy()
+        row[1:] = np.maximum(before[0][:-1] + score[x[i - 1], y], down[1:])
+        return closed(row, down)
+
+    out_a, out_b, final = [], [], 0.0
+
+    def back(low: int, high: int, start: Row, j: int, state: str) -> tuple[int, str]:
+        """Trace from row ``high`` to row ``low``, whose values are ``start``; where in it and in what state the path arrives."""
+        nonlocal final
+        if (high - low) * (m + 1) > CELLS and high - low > 1:
+            middle, row = (low + high) // 2, start
+            for i in range(low + 1, middle + 1):
+                row = following(i, row)
+            j, state = back(middle, high, row, j, state)
+            del row
+            return back(low, middle, start, j, state)
+        rows = [start]
+        for i in range(low + 1, high + 1):
+            rows.append(following(i, rows[-1]))
+        i = high
+        if high == n and not out_a:
+            final = float(rows[-1][0][m])
+        while i > low or (low == 0 and j):
+            best, down, right = rows[i - low]
+            if state == "best":
+                if i and j and best[j] == rows[i - low - 1][0][j - 1] + score[x[i - 1], y[j - 1]]:
+                    i, j = i - 1, j - 1
+                    out_a.append(a[i])
+                    out_b.append(b[j])
+                    continue
+                state = "down" if best[j] == down[j] else "right"
+            if state == "down":
+                state = "best" if down[j] == rows[i - low - 1][0][j] + gap_open else "down"
+                i -= 1
                 out_a.append(a[i])
+                out_b.append("-")
+            else:
+                state = "best" if right[j] == best[j - 1] + gap_open else "right"
+                j -= 1
+                out_a.append("-")
                 out_b.append(b[j])
-                continue
-            state = "down" if best[i, j] == down[i, j] else "right"
-        if state == "down":
-            state = "best" if down[i, j] == best[i - 1, j] + gap_open else "down"
-            i -= 1
-            out_a.append(a[i])
-            out_b.append("-")
-        else:
-            state = "best" if right[i, j] == best[i, j - 1] + gap_open else "right"
-            j -= 1
-            out_a.append("-")
-            out_b.append(b[j])
-    return "".join(reversed(out_a)), "".join(reversed(out_b)), float(best[n, m])
+        return j, state
+
+    back(0, n, first_row(), m, "best")
+    return "".join(reversed(out_a)), "".join(reversed(out_b)), final
 
 
 def align_pairs(pairs: DataFrame, a: str, b: str, score: list[list[float]], letters: str, gap_open: float = -10.0, gap_extend: float = -0.5) -> DataFrame:
