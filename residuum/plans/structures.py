@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from residuum.functions import lookup
-from residuum.operators import evaluate, residue, search, transfer
+from residuum.operators import evaluate, residue, search, structure_search, transfer
 from residuum.plans import features
 from residuum.plans.registry import query
 from residuum.sources import labels, reports, structure, text
@@ -259,6 +259,16 @@ def residue_triples(t):
     return _rounded(out.select("file_id", "res_num", "RESNAME_im1", "RESNAME_ip1", "AVG_B_im1", "AVG_B_ip1", "RCOIL_CA", "HYDROPHOBICITY", "PH"), ["AVG_B_im1", "AVG_B_ip1", "RCOIL_CA"])
 
 
+@query()
+def structures_alike(t):
+    """Rows only: chains of 21 places, one an embedding, the vector's triples summed up; every hundredth against all."""
+    e, k = F.col("embedding"), F.col("k")
+    step = lambda i: F.aggregate(F.transform(F.sequence(F.lit(0), k), lambda j: F.get(e, j * 3 + i).cast("double")), F.lit(0.0), lambda a, b: a + b * 8)
+    points = t("embeddings").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20)))).select(F.col("vec_id").alias("target"), k.alias("pos"), *[step(i).alias(c) for i, c in enumerate("xyz")])
+    found = structure_search.search(points.filter("target % 100 = 0").withColumnRenamed("target", "query"), points, least=5)
+    return found.select("query", "target", "votes", F.round("tmscore", 6).alias("tmscore"), F.round("rmsd", 6).alias("rmsd"), "aligned", "rank")
+
+
 # files as lines
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from residuum.functions import label_text as L
 from residuum.functions import rules as R
-from residuum.operators import curate, evaluate, learn, transfer, trees
+from residuum.operators import curate, evaluate, learn, local_search, transfer, trees
 from residuum.operators import windows as W
 from residuum.plans.registry import query
 from residuum.sources import tables
@@ -375,6 +375,43 @@ def stacked_models(t):
     return out.select("event_id", "r0_pred", "r1_pred", final.alias("final"))
 
 
+_ACIDS = "ARNDCQEGHILKMFPSTWYV"
+_PUT = f"'abcdefghijklmnopqrstuvwxyz ', '{(_ACIDS * 2)[:26]}'"
+#: Identity, a likeness by rule, and the rest.
+_LIKE = [[4 if a == b else 1 if (a + b + 2) % 3 == 0 else -3 for b in range(21)] for a in range(21)]
+
+
+def _names(t, key):
+    """Names of parts as sequences of twenty letters."""
+    return t("part").select(F.col("p_partkey").alias(key), F.translate("p_name", "abcdefghijklmnopqrstuvwxyz ", (_ACIDS * 2)[:26]).alias("sequence"))
+
+
+def _sql_score(k):
+    a, b = f"strpos('{_ACIDS}', a.w[{k}])", f"strpos('{_ACIDS}', b.w[{k}])"
+    return f"CASE WHEN {a} = {b} THEN 4 WHEN ({a} + {b}) % 3 = 0 THEN 1 ELSE -3 END"
+
+
+@query(f"""
+WITH s AS (SELECT p_partkey AS id, translate(p_name, {_PUT}) AS s FROM part),
+w AS (SELECT id, i, s[i + 1 : i + 3] AS w FROM (SELECT id, s, unnest(range(length(s) - 2)) AS i FROM s)),
+near AS (SELECT a.w AS a, b.w AS b FROM (SELECT DISTINCT w FROM w WHERE id % 100 = 0) a, (SELECT DISTINCT w FROM w) b WHERE {" + ".join(map(_sql_score, (1, 2, 3)))} >= 9),
+hit AS (SELECT q.id AS query, t.id AS target, q.i AS pos, t.i - q.i AS diagonal FROM w q JOIN near ON q.w = near.a JOIN w t ON t.w = near.b WHERE q.id % 100 = 0),
+two AS (SELECT *, count(*) OVER (PARTITION BY query, target, diagonal ORDER BY pos RANGE BETWEEN 40 PRECEDING AND 3 PRECEDING) AS n FROM hit)
+SELECT query, target, CAST(pos AS INTEGER) AS pos, CAST(diagonal AS INTEGER) AS diagonal FROM two WHERE n > 0""")
+def diagonal_hits(t):
+    """Where every hundredth name meets all names: words that score 9 against each other, two of them near each other on a diagonal."""
+    queries = _names(t, "query").filter("query % 100 = 0")
+    near = local_search.neighbours(queries.sparkSession, _LIKE, _ACIDS, 3, 9)
+    return local_search.second_hits(local_search.hits(queries, _names(t, "target"), near, 3, _ACIDS), 3, 40)
+
+
+@query()
+def ranked_segments(t):
+    """Rows only: every hundredth name searched among all, segments by E-value."""
+    found = local_search.search(_names(t, "query").filter("query % 100 = 0"), _names(t, "target"), _LIKE, _ACIDS, 3, 9)
+    return found.select("query", "target", "diagonal", "begin", "end", "score", F.round("bits", 6).alias("bits"), F.round("expected", 9).alias("expected"), "rank")
+
+
 @query("""
 WITH t AS (SELECT l_orderkey, l_linenumber, nullif(l_quantity, 7) AS q, nullif(l_discount, 0.05) AS d FROM lineitem),
 m AS (SELECT median(q) AS mq, median(d) AS md FROM t WHERE l_orderkey % 2 = 0)
