@@ -311,8 +311,8 @@ def residue_ph(t):
 
 
 @query(f"""WITH {_ATOMS}, alt AS (
-  SELECT file_id, res_num, resname, atom_name, k, x + k * 0.25 AS x, CASE WHEN k = 2 AND pos % 5 = 0 THEN NULL ELSE ((pos * 7 + k * 3) % 11) / 10e0 END AS occupancy, pos * 4 + k AS at FROM everything, (SELECT unnest(range(3)) AS k) WHERE k = 0 OR pos % 3 = 0)
-SELECT file_id, res_num, atom_name, CAST(count(*) AS BIGINT) AS alternates, round(arg_max(x, (coalesce(occupancy, -1) * 10 + 10) * 1000000000 - at), 6) AS x, max(occupancy) AS occupancy FROM alt GROUP BY file_id, res_num, resname, atom_name""")
+  SELECT file_id, res_num, resname, atom_name, k, x + k * 0.25 AS x, CASE WHEN k = 2 AND pos % 5 = 0 THEN NULL ELSE ((pos * 7 + k * 3) % 11) / 10e0 END AS occupancy, pos * 4 + k AS line_no FROM everything, (SELECT unnest(range(3)) AS k) WHERE k = 0 OR pos % 3 = 0)
+SELECT file_id, res_num, atom_name, CAST(count(*) AS BIGINT) AS alternates, round(arg_max(x, (coalesce(occupancy, -1) * 10 + 10) * 1000000000 - line_no), 6) AS x, max(occupancy) AS occupancy FROM alt GROUP BY file_id, res_num, resname, atom_name""")
 def structure_alternates(t):
     """Of several places of an atom the one with the highest occupancy, the first in the file where several are equal or none is stated."""
     rows = _everything(t)
