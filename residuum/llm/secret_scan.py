@@ -123,56 +123,40 @@ def _z_to_tenths(z: Column) -> Column:
     return F.when(z > 1, F.least(F.lit(float(BIN * LOWEST)), -BIN * tail / F.log(F.lit(10.0)))).otherwise(0.0)
 
 
-def statistics(token: Column) -> Column:
-    """n; alphabet (counts of the kinds of characters in the inferred one); cells (counts in the token); cased; changes (of class); squares
-    (sum of the squared counts of its characters); serial (correlation of neighbours' places); written, numbered (its shape)."""
-
-    def of(core: Column) -> Column:
-        n, low = F.length(core).cast("double"), F.lower(core)
-        code = F.lit(len(ENCODINGS) - 1)
-        for k, (pattern, _) in reversed([*enumerate(ENCODINGS)][:-1]):
-            code = F.when(core.rlike(pattern), k).otherwise(code)
-        repeats = lambda x: F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0.0), lambda s, c: s + F.pow(n - F.length(F.replace(x, c, F.lit(""))), F.lit(2)))
-
-        def placed(p: Column) -> Column:
-            """Lag-1 correlation, 1 where all places are the same."""
-            total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-            first, last = F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1)
-            sums = F.struct(total(p).alias("s"), total(F.transform(p, lambda x: x * x)).alias("q"), total(F.zip_with(first, last, lambda x, y: x * y)).alias("c"))
-
-            def correlation(x: Column) -> Column:
-                mean, ends = x["s"] / n, F.get(p, 0) + F.element_at(p, -1)
-                spread = x["q"] - n * mean * mean
-                return F.when(spread > 0, (x["c"] - mean * (2 * x["s"] - ends) + (n - 1) * mean * mean) / spread).otherwise(1.0)
-
-            return let(sums, correlation)
-
-        def shaped(code: Column) -> Column:
-            folded = code < FOLDED_CODES
-            place = lambda c: F.instr(F.when(folded, FOLDED).otherwise(ORDER), c).cast("double")
-            places = F.transform(F.split(F.when(folded, low).otherwise(F.translate(core, "-_", "+/")), ""), place)
-            return F.struct(let(places, placed).alias("serial"), repeats(core).alias("squares"), F.when(code == HEX, repeats(low)).alias("folded"))
-
-        def counted(cased: Column) -> Column:
-            count = lambda characters: (n - F.length(F.translate(F.when(cased, core).otherwise(low), characters, ""))).cast("double")
-            vowels, common, capitals, digits = (count(x) for x in (VOWELS, COMMON, ORDER[:26], FOLDED[:10]))
-            return F.array(vowels, common, n - vowels - common - capitals - digits, capitals, digits)
-
-        def told(x: Column) -> Column:
-            """Hex of both cases is 22 even characters or 16 even digits in chance case: the one that fits better."""
-            excess = lambda size, squares: (size * squares / n - n - (size - 1)) / F.sqrt(F.lit(2.0 * (size - 1)))
-            fold = F.coalesce(excess(16, x["folded"]) < excess(22, x["squares"]), F.lit(False))
-            cased = code >= FOLDED_CODES
-            alphabet = F.get(F.array(*[F.array(*[F.lit(float(v)) for v in a]) for _, a in ENCODINGS]), F.when(fold, ONE_CASE_HEX).otherwise(code))
-            runs = F.regexp_count(core, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"))
-            return F.struct(
-                n.alias("n"), alphabet.alias("alphabet"), counted(cased).alias("cells"), cased.alias("cased"),
-                (runs - 1).cast("double").alias("changes"), F.when(fold, x["folded"]).otherwise(x["squares"]).alias("squares"), x["serial"].alias("serial"), token.rlike(WRITTEN).alias("written"), (token.rlike("[0-9]") & token.rlike(NUMBERED)).alias("numbered"),
-            )
-
-        return let(code, lambda c: let(shaped(c), told))
-
-    return let(_core(token), of)
+def with_statistics(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with ``s``: n; alphabet (counts of the kinds of characters in the inferred one); cells (counts in the token); cased; changes (of class);
+    squares (sum of the squared counts of its characters); serial (correlation of neighbours' places); written, numbered (its shape)."""
+    core, low, n, code, token = (F.col(c) for c in ("__core", "__low", "__n", "__code", "token"))
+    first = F.lit(len(ENCODINGS) - 1)
+    for k, (pattern, _) in reversed([*enumerate(ENCODINGS)][:-1]):
+        first = F.when(core.rlike(pattern), k).otherwise(first)
+    rows = tokens.withColumn("__core", _core(token)).withColumns({"__n": F.length(core).cast("double"), "__low": F.lower(core)}).withColumn("__code", first)
+    folded, cased = code < FOLDED_CODES, code >= FOLDED_CODES
+    place = lambda c: F.instr(F.when(folded, FOLDED).otherwise(ORDER), c).cast("double")
+    repeats = lambda x: F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0.0), lambda t, c: t + F.pow(n - F.length(F.replace(x, c, F.lit(""))), F.lit(2)))
+    rows = rows.withColumns({"__p": F.transform(F.split(F.when(folded, low).otherwise(F.translate(core, "-_", "+/")), ""), place), "__squares": repeats(core), "__folded": F.when(code == HEX, repeats(low))})
+    # lag-1 correlation, 1 where all places are the same
+    p = F.col("__p")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    before, after = F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1)
+    rows = rows.withColumns({"__s": total(p), "__q": total(F.transform(p, lambda x: x * x)), "__c": total(F.zip_with(before, after, lambda x, y: x * y)), "__ends": F.get(p, 0) + F.element_at(p, -1)})
+    mean = F.col("__s") / n
+    spread = F.col("__q") - n * mean * mean
+    serial = F.when(spread > 0, (F.col("__c") - mean * (2 * F.col("__s") - F.col("__ends")) + (n - 1) * mean * mean) / spread).otherwise(1.0)
+    # hex of both cases is 22 even characters or 16 even digits in chance case: the one that fits better
+    excess = lambda size, squares: (size * squares / n - n - (size - 1)) / F.sqrt(F.lit(2.0 * (size - 1)))
+    fold = F.coalesce(excess(16, F.col("__folded")) < excess(22, F.col("__squares")), F.lit(False))
+    count = lambda characters: (n - F.length(F.translate(F.when(cased, core).otherwise(low), characters, ""))).cast("double")
+    counted = {"__v": count(VOWELS), "__m": count(COMMON), "__u": count(ORDER[:26]), "__d": count(FOLDED[:10])}
+    rows = rows.withColumns({"__serial": serial, "__fold": fold} | counted)
+    vowels, common, capitals, digits = (F.col(c) for c in counted)
+    alphabet = F.get(F.array(*[F.array(*[F.lit(float(v)) for v in a]) for _, a in ENCODINGS]), F.when(F.col("__fold"), ONE_CASE_HEX).otherwise(code))
+    runs = F.regexp_count(core, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"))
+    s = F.struct(
+        n.alias("n"), alphabet.alias("alphabet"), F.array(vowels, common, n - vowels - common - capitals - digits, capitals, digits).alias("cells"), cased.alias("cased"),
+        (runs - 1).cast("double").alias("changes"), F.when(F.col("__fold"), F.col("__folded")).otherwise(F.col("__squares")).alias("squares"), F.col("__serial").alias("serial"), token.rlike(WRITTEN).alias("written"), (token.rlike("[0-9]") & token.rlike(NUMBERED)).alias("numbered"),
+    )
+    return rows.select(*tokens.columns, s.alias("s"))
 
 
 def _core(token: Column) -> Column:
@@ -200,71 +184,58 @@ class Written:
 
 @dataclass(frozen=True)
 class Null:
-    """Written text in encodings of one case and of two; mean of the weights; least bin that is a discovery."""
+    """Written text in encodings of one case and of two; mean of the weights."""
 
     written: tuple[Written, Written]
     weight: float = 1.0
-    cut: int = 0
 
 
 def _sum(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _size(s: Column) -> Column:
-    return _sum(F.get(s["alphabet"], k) for k in range(KINDS_OF_CHARACTERS))
-
-
-def _shares(s: Column) -> list[tuple[Column, Column]]:
-    """(count in the token, share of the alphabet) of each kind of characters."""
-    return [(F.get(s["cells"], k), F.get(s["alphabet"], k) / _size(s)) for k in range(KINDS_OF_CHARACTERS)]
-
-
-def _chi(s: Column) -> Column:
-    n = s["n"]
-    return _sum(F.when(e > 0, (c - n * e) * (c - n * e) / (n * e)).otherwise(0.0) for c, e in _shares(s))
-
-
-def deviates(s: Column, null: Null) -> list[tuple[Column, Column]]:
-    """(deviate, its mean for a uniform draw) of each test; large ones are unlike written text and like a uniform draw."""
-    n = s["n"]
+def with_deviates(stats: DataFrame, null: Null) -> DataFrame:
+    """``stats`` with z0, z1, z2 (deviates of the tests, large where unlike written text and like a uniform draw), w0, w1, w2 (their means for a uniform draw) and chi, size."""
+    s, n, size = F.col("s"), F.col("s.n"), F.col("size")
+    kinds = range(KINDS_OF_CHARACTERS)
     either = lambda of: F.when(s["cased"], of(null.written[1])).otherwise(of(null.written[0]))
-    parts = [(e, either(lambda w, k=k: F.lit(w.shares[k]))) for k, (_, e) in enumerate(_shares(s))]
     over = lambda x, e: F.when(e > 0, x / e).otherwise(0.0)
-    mean = n * _sum(over((p - e) * (p - e), e) for e, p in parts) + _sum(over(p * (1 - p), e) for e, p in parts)
-    tilt = _sum(p * over(p - e, e) for e, p in parts)
-    variance = 4 * n * (_sum(p * over(p - e, e) * over(p - e, e) for e, p in parts) - tilt * tilt) + 2 * (KINDS_OF_CHARACTERS - 1)
-    rate, between = either(lambda w: F.lit(w.changes[0])), either(lambda w: F.lit(w.changes[1]))
-    serial, spread = either(lambda w: F.lit(w.serial[0])), either(lambda w: F.lit(w.serial[1]))
-    alphabet = [F.get(s["alphabet"], k) for k in range(KINDS_OF_CHARACTERS)]
+    rows = stats.withColumn("size", _sum(F.get(s["alphabet"], k) for k in kinds))
+    rows = rows.withColumns({f"__e{k}": F.get(s["alphabet"], k) / size for k in kinds} | {f"__p{k}": either(lambda w, k=k: F.lit(w.shares[k])) for k in kinds})
+    e, p, c = [F.col(f"__e{k}") for k in kinds], [F.col(f"__p{k}") for k in kinds], [F.get(s["cells"], k) for k in kinds]
+    rows = rows.withColumns({
+        "chi": _sum(F.when(a > 0, (x - n * a) * (x - n * a) / (n * a)).otherwise(0.0) for x, a in zip(c, e)),
+        "__mean": n * _sum(over((b - a) * (b - a), a) for a, b in zip(e, p)) + _sum(over(b * (1 - b), a) for a, b in zip(e, p)),
+        "__tilt": _sum(b * over(b - a, a) for a, b in zip(e, p)),
+        "__bend": _sum(b * over(b - a, a) * over(b - a, a) for a, b in zip(e, p)),
+        "__rate": either(lambda w: F.lit(w.changes[0])), "__between": either(lambda w: F.lit(w.changes[1])), "__usual": either(lambda w: F.lit(w.serial[0])), "__spread": either(lambda w: F.lit(w.serial[1])),
+    })
+    mean, tilt, rate, usual = (F.col(x) for x in ("__mean", "__tilt", "__rate", "__usual"))
+    alphabet = [F.get(s["alphabet"], k) for k in kinds]
     lower = alphabet[0] + alphabet[1] + alphabet[2]
-    drawn = 1 - (lower * lower + alphabet[3] * alphabet[3] + alphabet[4] * alphabet[4]) / (_size(s) * _size(s))  # rate of changes of a uniform draw
-    tests = (
-        (mean, _chi(s), F.lit(KINDS_OF_CHARACTERS - 1.0), variance, -1),
-        (rate, s["changes"] / (n - 1), drawn, between + rate * (1 - rate) / (n - 1), 1),
-        (serial, F.abs(s["serial"]), 0.8 / F.sqrt(n), spread, -1),
-    )
-    scale = [F.sqrt(v * either(lambda w, k=k: F.lit(w.squares[k]))) for k, (*_, v, _) in enumerate(tests)]
-    return [(sign * (got - usual) / d, sign * (uniform_ - usual) / d) for (usual, got, uniform_, _, sign), d in zip(tests, scale)]
+    drawn = 1 - (lower * lower + alphabet[3] * alphabet[3] + alphabet[4] * alphabet[4]) / (size * size)  # rate of changes of a uniform draw
+    variances = 4 * n * (F.col("__bend") - tilt * tilt) + 2 * (KINDS_OF_CHARACTERS - 1), F.col("__between") + rate * (1 - rate) / (n - 1), F.col("__spread")
+    rows = rows.withColumns({f"__d{k}": F.sqrt(v * either(lambda w, k=k: F.lit(w.squares[k]))) for k, v in enumerate(variances)} | {"__drawn": drawn})
+    d = [F.col(f"__d{k}") for k in range(3)]
+    zs = -1 * (F.col("chi") - mean) / d[0], (s["changes"] / (n - 1) - rate) / d[1], -1 * (F.abs(s["serial"]) - usual) / d[2]
+    ws = -1 * (F.lit(KINDS_OF_CHARACTERS - 1.0) - mean) / d[0], (F.col("__drawn") - rate) / d[1], -1 * (0.8 / F.sqrt(n) - usual) / d[2]
+    return rows.select(*[F.col(x) for x in stats.columns], "chi", "size", *[x.alias(f"z{k}") for k, x in enumerate(zs)], *[x.alias(f"w{k}") for k, x in enumerate(ws)])
 
 
-def uniform(s: Column) -> Column:
-    """Whether a uniform draw may well look like this."""
-    n, size = s["n"], _size(s)
-    return (_chi(s) <= MOST_CHI) & (size * s["squares"] / n - n <= (size - 1) + MOST_EXCESS * F.sqrt(2 * (size - 1)))
+def with_bin(stats: DataFrame, null: Null) -> DataFrame:
+    """``stats`` with ``bin``: that of the combined p-value (tenths of a decade, weighted by length), less than 0 where uniformity is refused or the shape is that of words and numbers.
 
-
-def combined(s: Column, null: Null) -> Column:
-    """Weighted sum of the deviates, of variance 1 under written text."""
+    Deviates are added with weights, scaled to variance 1 under written text.
+    """
+    s, n, size = F.col("s"), F.col("s.n"), F.col("size")
     either = lambda of: F.when(s["cased"], of(null.written[1])).otherwise(of(null.written[0]))
-
-    def of(x: Column) -> Column:
-        z, w = [x[f"z{k}"] for k in range(3)], [F.greatest(F.lit(0.05), x[f"w{k}"]) for k in range(3)]
-        product = [2 * w[a] * w[b] * either(lambda p, k=k: F.lit(p.products[k])) for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)))]
-        return _sum(a * b for a, b in zip(w, z)) / F.sqrt(_sum([a * a for a in w] + product))
-
-    both = [c.alias(f"{name}{k}") for k, pair in enumerate(deviates(s, null)) for name, c in zip("zw", pair)]
-    return let(F.struct(*both), of)
+    rows = with_deviates(stats, null).withColumns({f"__w{k}": F.greatest(F.lit(0.05), F.col(f"w{k}")) for k in range(3)})
+    z, w = [F.col(f"z{k}") for k in range(3)], [F.col(f"__w{k}") for k in range(3)]
+    product = [2 * w[a] * w[b] * either(lambda p, k=k: F.lit(p.products[k])) for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)))]
+    rows = rows.withColumn("__z", _sum(a * b for a, b in zip(w, z)) / F.sqrt(_sum([a * a for a in w] + product)))
+    uniform = (F.col("chi") <= MOST_CHI) & (size * s["squares"] / n - n <= (size - 1) + MOST_EXCESS * F.sqrt(2 * (size - 1)))
+    bin_ = F.floor(_z_to_tenths(F.col("__z")) + BIN * F.log10(_weight(n) / null.weight))
+    return rows.select(*[F.col(x) for x in stats.columns], F.when(uniform & ~s["numbered"], F.greatest(F.lit(0), bin_.cast("int"))).otherwise(-1).alias("bin"))
 
 
 def _weight(n: Column) -> Column:
@@ -274,25 +245,26 @@ def _weight(n: Column) -> Column:
     return weight
 
 
-def tested(s: Column, null: Null) -> Column:
-    """Bin of the combined p-value (tenths of a decade, weighted by length), less than 0 where uniformity is refused or the shape is that of words and numbers."""
-    bin_ = F.floor(let(combined(s, null), _z_to_tenths) + BIN * F.log10(_weight(s["n"]) / null.weight))
-    return F.when(uniform(s) & ~s["numbered"], F.greatest(F.lit(0), bin_.cast("int"))).otherwise(-1)
+def candidates(docs: DataFrame, text: Column) -> DataFrame:
+    """``h, g, start, stop, token`` of every candidate; h and g tell texts apart."""
+    spans, tokens = spans_of(text, CANDIDATE, len(BASE)), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    found = docs.filter(text.rlike(CANDIDATE)).select(*_hashes(text), F.explode(F.arrays_zip(spans.alias("span"), tokens.alias("token"))).alias("c"))
+    return found.select("h", "g", "c.span.start", "c.span.stop", "c.token").filter(_candidate(F.col("token")))
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), _candidate)
+def _hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")]
 
 
-def calibrate(docs: DataFrame, text: Column) -> Null:
-    """Count what written text looks like, and the least bin that is a discovery, over all candidates."""
-    tokens = docs.filter(text.rlike(CANDIDATE)).select(F.explode(_tokens(text)).alias("token"))
-    stats = stash(tokens.select(statistics(F.col("token")).alias("s")), "secret-candidates")
+def discoveries(stats: DataFrame) -> DataFrame:
+    """The rows of ``stats`` (column ``s``; all candidates) that are discoveries, by what written text among them looks like."""
     s = F.col("s")
     n, rate, size = s["n"], s["changes"] / (s["n"] - 1), F.abs(s["serial"])
     names = {"k": F.lit(1.0), "n": n, "m": n - 1, "x": s["changes"], "r": rate, "rr": rate * rate, "i": 1 / (n - 1), "z": size, "zz": size * size} | {f"c{k}": F.get(s["cells"], k) for k in range(KINDS_OF_CHARACTERS)}
-    by = stats.filter(s["written"]).groupBy(s["cased"].alias("cased"))
-    totals = {r["cased"]: r for r in by.agg(*[F.sum(x).alias(k) for k, x in names.items()]).collect()}  # two rows
+    # grouped, not filtered: a filter under many computed columns takes the optimizer long
+    kinds = [s["cased"].alias("cased"), s["written"].alias("written")]
+    counts = stats.groupBy(*kinds).agg(*[F.sum(x).alias(k) for k, x in names.items()], F.sum(_weight(n)).alias("weight")).collect()  # four rows
+    totals = {r["cased"]: r for r in counts if r["written"]}
 
     def counted(cased: bool) -> Written:
         t = totals.get(cased) or dict.fromkeys(names, 0.0)
@@ -305,9 +277,9 @@ def calibrate(docs: DataFrame, text: Column) -> Null:
         return Written(shares, (change, (PRIOR * CHANGES[cased][1] + between) / many), (serial, spread / many))
 
     first = Null((counted(False), counted(True)))
-    z = [d for d, _ in deviates(s, first)]
+    z = [F.col(f"z{k}") for k in range(3)]
     pairs = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
-    moments = {r["cased"]: r for r in by.agg(F.count(F.lit(1)).alias("k"), *[F.sum(z[a] * z[b]).alias(f"z{a}{b}") for a, b in pairs]).collect()}
+    moments = {r["cased"]: r for r in with_deviates(stats, first).groupBy(*kinds).agg(F.count(F.lit(1)).alias("k"), *[F.sum(z[a] * z[b]).alias(f"z{a}{b}") for a, b in pairs]).collect() if r["written"]}
 
     def dependent(cased: bool) -> Written:
         t, w = moments.get(cased), first.written[cased]
@@ -317,24 +289,25 @@ def calibrate(docs: DataFrame, text: Column) -> Null:
         squares = tuple(mean[k, k] for k in range(3))
         return Written(w.shares, w.changes, w.serial, squares, tuple(max(0.0, mean[a, b] / (squares[a] * squares[b]) ** 0.5) for a, b in pairs[3:]))
 
-    null = Null((dependent(False), dependent(True)), stats.agg(F.avg(_weight(n))).first()[0] or 1.0)
-    bins = stats.select(F.greatest(tested(s, null), F.lit(0)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("k"))
+    weight = sum(r["weight"] for r in counts) / (sum(r["k"] for r in counts) or 1.0)
+    null = Null((dependent(False), dependent(True)), weight or 1.0)
+    binned = stash(with_bin(stats, null).drop("s"), "secret-bins")
+    bins = binned.groupBy(F.greatest("bin", F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
     ranked = bins.withColumn("found", F.sum("k").over(Window.orderBy(F.desc("bin")))).withColumn("all", F.sum("k").over(Window.partitionBy(F.lit(0))))  # one row a bin
     cut = ranked.filter((F.col("bin") > 0) & (F.pow(F.lit(10.0), -F.col("bin") / BIN) <= Q * F.col("found") / F.col("all"))).agg(F.min("bin")).first()[0]
-    return Null(null.written, null.weight, BIN * LOWEST * 2 if cut is None else cut)
+    return binned.filter(F.col("bin") >= (BIN * LOWEST * 2 if cut is None else cut)).drop("bin")
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: (start, kind, stop) by start, then kind; kinds as in ``KINDS``. Two passes over the texts, no shuffle of them."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    null = calibrate(docs, text)
-
-    def discovered(spans: Column) -> Column:
-        token = lambda x: F.substr(text, (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int"))
-        return F.filter(spans, lambda x: let(token(x), lambda t: F.when(_candidate(t), let(statistics(t), lambda s: tested(s, null) >= null.cut)).otherwise(False)))
-
-    more = let(spans_of(text, CANDIDATE, len(BASE)), discovered)
-    return docs.withColumn("spans", F.array_sort(F.concat(*base_spans(text), more)))
+    """``docs`` with ``spans``: (start, kind, stop) by start, then kind; kinds as in ``KINDS``. Two passes over the texts; discoveries come back by a hash of the text."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    stats = stash(with_statistics(candidates(docs, text)).drop("token"), "secret-candidates")
+    span = F.struct("start", F.lit(len(BASE)).alias("kind"), "stop").cast(SPAN)
+    more = discoveries(stats).select("h", "g", span.alias("span")).distinct().groupBy("h", "g").agg(F.collect_list("span").alias("__more"))  # those of one text
+    kept = [c for c in docs.columns if c != "spans"]
+    based = docs.select(*[F.col(f"`{c}`") for c in kept], F.concat(*base_spans(text)).alias("__base"), *[c.alias(f"__{n}") for c, n in zip(_hashes(text), "hg")])
+    found = based.join(more, (F.col("__h") == F.col("h")) & (F.col("__g") == F.col("g")), "left")
+    return found.select(*[F.col(f"`{c}`") for c in kept], F.array_sort(F.concat("__base", F.coalesce("__more", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
 
 
 def written(spans: Column) -> Column:
