@@ -191,7 +191,8 @@ measured AS (
 based AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * len(lines) OR 2 * upper_ > letters OR 2 * bangs > n_words
+       NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * len(lines)
+         OR len(lines) >= 3 AND (100 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\t]*[-*•‣▪]'))) > 90 * len(lines) OR 100 * len(list_filter(lines, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\t\r]*$'))) > 30 * len(lines)) OR 2 * upper_ > letters OR 2 * bangs > n_words
          OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * letters < 3 * word_chars) AS kept
 FROM based
 """,

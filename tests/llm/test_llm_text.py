@@ -62,6 +62,20 @@ def test_quality_order_never_changes_the_verdict(spark):
     assert kept[0] == kept[1] == {0, 1, 2, 3, 4} == {r.doc_id for r in quality_rules.keep_good(table).collect()}
 
 
+def test_quality_rules_read_lines(spark):
+    lines = [" ".join(w + c for w in ("good", "words", "here", "make", "lines", "of", "text")) for c in "abcdefg"]
+    texts = ["\n".join(f"  - {x}" for x in lines), "\n".join(f"• {x}" if k else x for k, x in enumerate(lines)), "\n".join(f"{x} ..." for x in lines[:3]) + "\n" + "\n".join(lines[3:]), "\n".join(lines) + "…", f"- {lines[0]}\n\n- {lines[1]}..."]
+    got = {r.doc_id: r.rejected_by for r in quality_rules.judge(docs(spark, texts), "text", quality_rules.RULES).collect()}
+    assert got == {0: "bullets", 1: None, 2: "cut_lines", 3: None, 4: None}
+
+
+def test_quality_seconds_grow_with_the_work(spark):
+    sample = docs(spark, ["word " * 2_000] * 40).repartition(1)
+    cheap, dear = F.length("text") < 0, F.size(F.array_distinct(F.transform(F.split("text", " "), lambda w: F.sha2(w, 256)))) < 0
+    a, b = quality_rules.seconds_of(sample, [cheap, dear])
+    assert 0 <= 10 * a < b
+
+
 def test_quality_order_by_rejections_per_second():
     cheap, dear, shared = (quality_rules.Rule(n, needs, None) for n, needs in (("cheap", ("word_chars",)), ("dear", ("n_repeat_words",)), ("shared", ("n_words",))))
     seconds = {"word_chars": 1.0, "words": 4.0, "n_repeat_words": 4.0, "n_words": 0.1}
