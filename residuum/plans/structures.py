@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from residuum.functions import lookup
-from residuum.operators import evaluate, residue, search, structure_search, transfer
+from residuum.operators import assign, evaluate, residue, search, structure_search, transfer
 from residuum.plans import features
 from residuum.plans.registry import query
 from residuum.sources import labels, reports, structure, text
@@ -244,6 +244,91 @@ def residue_accessible(t):
     return _rounded(residue.accessible(dssp), ["ABS_ASA"])
 
 
+#: Backbone atoms on a helix: distance from its axis, angle in degrees and height (fixed by bond lengths and angles, and torsions of -57 and -47 degrees).
+_HELIX = {"N": (1.55, 0.0, 0.0), "CA": (2.276, 26.81, 0.917), "C": (1.664, 53.61, 1.984), "O": (1.925, 46.88, 3.168)}
+#: And on strands that run to and fro, 12 residues each: along, up (turned by residue) and whether every fifth residue lacks it.
+_STRAND = {"N": (-1.2, 0.0), "CA": (0.0, 0.0), "C": (1.2, 0.0), "O": (1.2, 1.23), "H": (-1.2, 1.0)}
+
+
+def _folded_sql(a, k):
+    """Place of an atom of the k-th kind: a helix where the file's number is even, strands where it is odd, with a little of the vector."""
+    along, up = _STRAND[a]
+    noise = [f"0.3e0 * CAST(e[{3 * k + c}] AS DOUBLE)" for c in (1, 2, 3)]
+    j, turn, side = "(rn % 12)", "(CASE WHEN (rn // 12) % 2 = 0 THEN 1e0 ELSE -1e0 END)", "(CASE WHEN rn % 2 = 0 THEN 1e0 ELSE -1e0 END)"
+    strand = (f"CASE WHEN (rn // 12) % 2 = 0 THEN 3.4e0 * {j} ELSE 3.4e0 * (11 - {j}) END + {turn} * {along}", f"CASE WHEN (rn // 12) % 2 = 0 THEN 0e0 ELSE 4.9e0 END + {side} * {up}", "10e0 * (rn // 24)")
+    if a == "H":
+        helix = strand
+    else:
+        r, angle, z = _HELIX[a]
+        helix = (f"{r} * cos(radians(99.473e0 * rn + {angle}))", f"{r} * sin(radians(99.473e0 * rn + {angle}))", f"1.5514e0 * rn + {z}")
+    return [f"CASE WHEN label % 2 = 0 THEN {h} ELSE {t} END + {n}" for h, t, n in zip(helix, strand, noise)]
+
+
+def _folded(t):
+    """Atoms of files whose chains are helices or strands; helices and every fifth residue have no H."""
+    rows = t("embeddings").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    rn, even = F.col("rn"), F.col("label") % 2 == 0
+    forth, side = F.floor(rn / 12) % 2 == 0, F.when(rn % 2 == 0, 1.0).otherwise(-1.0)
+    out = []
+    for k, (a, (along, up)) in enumerate(_STRAND.items()):
+        j = rn % 12
+        strand = [F.when(forth, 3.4 * j + along).otherwise(3.4 * (11 - j) - along), F.when(forth, 0.0).otherwise(4.9) + side * up, 10.0 * F.floor(rn / 24)]
+        helix = strand
+        if a in _HELIX:
+            r, angle, z = _HELIX[a]
+            helix = [r * F.cos(F.radians(99.473 * rn + angle)), r * F.sin(F.radians(99.473 * rn + angle)), 1.5514 * rn + z]
+        place = [(F.when(even, h).otherwise(s) + 0.3 * F.get("embedding", F.lit(3 * k + c)).cast("double")).alias(x) for c, (h, s, x) in enumerate(zip(helix, strand, "xyz"))]
+        out.append(F.struct(F.lit(a).alias("atom_name"), F.lit(a[0]).alias("element"), *place, (F.col("vec_id") * 8 + k).alias("pos")))
+    pick = F.get(F.array(*[F.lit(v) for v in NAMES]), (F.col("vec_id") % 20).cast("int"))
+    rows = rows.select(F.concat(F.lit("f"), F.col("label").cast("string")).alias("file_id"), F.lit(1).alias("model"), F.lit("A").alias("chain"), rn.cast("int").alias("res_num"), pick.alias("resname"), "label", F.inline(F.array(*out)))
+    return rows.filter("atom_name <> 'H' OR (label % 2 = 1 AND res_num % 5 > 0)").drop("label")
+
+
+_FOLDED = f"""base AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn, embedding AS e FROM embeddings),
+atoms AS ({" UNION ALL ".join(f"SELECT 'f' || label AS file_id, CAST(rn AS INTEGER) AS res_num, ({_listed(NAMES)})[vec_id % 20 + 1] AS resname, '{a}' AS atom_name, '{a[0]}' AS element, " + ", ".join(f"{e} AS {c}" for e, c in zip(_folded_sql(a, k), "xyz")) + f", vec_id * 8 + {k} AS pos FROM base" + (" WHERE label % 2 = 1 AND rn % 5 > 0" if a == "H" else "") for k, a in enumerate(_STRAND))})"""
+
+
+@query(f"""WITH {_FOLDED}, {_places(["N", "CA", "C", "O", "H"])},
+l AS (SELECT *, {", ".join(f"lag(c_{c}) OVER w AS b_{c}, lag(o_{c}) OVER w AS a_{c}" for c in "xyz")} FROM placed WINDOW w AS (PARTITION BY file_id ORDER BY res_num)),
+k AS (SELECT *, coalesce({_far(_v("b"), _v("n"))} <= 2.5, false) AS linked, {_far(_v("b"), _v("a"))} AS co FROM l),
+r AS (SELECT *, CAST(sum(CASE WHEN linked THEN 1 ELSE 10 END) OVER (PARTITION BY file_id ORDER BY res_num ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n,
+      {", ".join(f"CASE WHEN resname <> 'PRO' THEN coalesce(h_{c}, CASE WHEN linked THEN n_{c} + (b_{c} - a_{c}) / co END) END AS q_{c}" for c in "xyz")} FROM k),
+e AS (SELECT d.file_id, c.n AS co, d.n AS nh, 0.084 * 332 * (1 / {_far(_v("c.o"), _v("d.n"))} + 1 / {_far(_v("c.c"), _v("d.q"))} - 1 / {_far(_v("c.o"), _v("d.q"))} - 1 / {_far(_v("c.c"), _v("d.n"))}) AS energy
+      FROM r d JOIN r c ON d.file_id = c.file_id AND d.n <> c.n AND d.n <> c.n + 1 AND d.q_x IS NOT NULL AND {_far(_v("d.ca"), _v("c.ca"))} <= 9),
+h AS (SELECT * FROM e WHERE energy < -0.5 QUALIFY row_number() OVER (PARTITION BY file_id, nh ORDER BY energy, co) <= 2),
+turn AS (SELECT file_id, co AS t, nh - co AS reach FROM h WHERE nh - co IN (3, 4, 5)),
+spiral AS (SELECT a.file_id, a.t, a.reach FROM turn a JOIN turn b ON a.file_id = b.file_id AND a.reach = b.reach AND a.t = b.t + 1),
+one AS (
+  SELECT a.file_id, a.co + 1 AS i, a.nh AS j, true AS parallel FROM h a JOIN h b ON a.file_id = b.file_id AND b.co = a.nh AND b.nh = a.co + 2
+  UNION ALL SELECT a.file_id, a.co, a.nh, false FROM h a JOIN h b ON a.file_id = b.file_id AND b.co = a.nh AND b.nh = a.co
+  UNION ALL SELECT a.file_id, a.co + 1, a.nh - 1, false FROM h a JOIN h b ON a.file_id = b.file_id AND b.co = a.nh - 2 AND b.nh = a.co + 2),
+bridge AS (SELECT file_id, i, j, parallel FROM one WHERE abs(i - j) >= 3 UNION SELECT file_id, j, i, parallel FROM one WHERE abs(i - j) >= 3),
+flag AS (
+  SELECT file_id, unnest(range(t + 1, t + reach)) AS n, 'T' AS f FROM turn
+  UNION ALL SELECT file_id, unnest(range(t, t + reach)), CASE reach WHEN 4 THEN 'H' WHEN 3 THEN 'G' ELSE 'I' END FROM spiral
+  UNION ALL SELECT b.file_id, b.i, CASE WHEN EXISTS (SELECT 1 FROM bridge x WHERE x.file_id = b.file_id AND x.parallel = b.parallel AND
+    (x.i = b.i + 1 AND x.j = b.j + CASE WHEN b.parallel THEN 1 ELSE -1 END OR x.i = b.i - 1 AND x.j = b.j - CASE WHEN b.parallel THEN 1 ELSE -1 END)) THEN 'E' ELSE 'B' END FROM bridge b
+  UNION ALL SELECT m.file_id, m.n, 'S' FROM r m JOIN r a ON a.file_id = m.file_id AND a.n = m.n - 2 JOIN r b ON b.file_id = m.file_id AND b.n = m.n + 2
+    WHERE -{_cosine(_v("a.ca"), _v("m.ca"), _v("b.ca"))} < cos(radians(70e0)) AND EXISTS (SELECT 1 FROM r x WHERE x.file_id = m.file_id AND x.n = m.n - 1) AND EXISTS (SELECT 1 FROM r x WHERE x.file_id = m.file_id AND x.n = m.n + 1)),
+best AS (SELECT file_id, n, min(strpos('HEBGITS', f)) AS k FROM flag GROUP BY ALL)
+SELECT r.file_id, r.res_num, coalesce('HEBGITS'[k], '-') AS ss FROM r LEFT JOIN best ON r.file_id = best.file_id AND r.n = best.n""")
+def residue_secondary(t):
+    """Secondary structure from hydrogen bonds; half of the files are helices, half strands."""
+    return assign.secondary(_folded(t)).select("file_id", "res_num", "ss")
+
+
+@query(f"""WITH {_FOLDED}, h AS (SELECT *, CASE element WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 ELSE 1.7 END + 1.4 AS r FROM atoms WHERE element <> 'H'),
+p AS (SELECT k, 1 - (2 * k + 1) / 40e0 AS up FROM (SELECT unnest(range(40)) AS k)),
+u AS (SELECT up, sqrt(1 - up * up) * cos(k * 2.399963229728653e0) AS cx, sqrt(1 - up * up) * sin(k * 2.399963229728653e0) AS cy FROM p),
+near AS (SELECT a.file_id, a.pos, b.x, b.y, b.z, b.r FROM h a JOIN h b ON a.file_id = b.file_id AND a.pos <> b.pos AND {_far(("a.x", "a.y", "a.z"), ("b.x", "b.y", "b.z"))} < a.r + b.r),
+hidden AS (SELECT DISTINCT h.file_id, h.pos, up FROM h CROSS JOIN u JOIN near b ON b.file_id = h.file_id AND b.pos = h.pos AND {_dot(("(h.x + h.r * cx - b.x)", "(h.y + h.r * cy - b.y)", "(h.z + h.r * up - b.z)"), ("(h.x + h.r * cx - b.x)", "(h.y + h.r * cy - b.y)", "(h.z + h.r * up - b.z)"))} < b.r * b.r),
+n AS (SELECT file_id, pos, count(*) AS n FROM hidden GROUP BY ALL)
+SELECT h.file_id, res_num, round(sum((40 - coalesce(n.n, 0)) / 40e0 * 4 * pi() * r * r), 5) AS asa FROM h LEFT JOIN n ON h.file_id = n.file_id AND h.pos = n.pos GROUP BY h.file_id, res_num""")
+def residue_surface(t):
+    """The surface that a probe reaches, by 40 points an atom."""
+    return _rounded(assign.surface(_folded(t), 40).select("file_id", "res_num", "asa"), ["asa"], 5)
+
+
 @query(f"""WITH {_ATOMS}, r AS (SELECT file_id, res_num, any_value(resname) AS name, avg(bfactor) AS b FROM atoms GROUP BY file_id, res_num),
 n AS (SELECT *, lag(res_num) OVER w = res_num - 1 AS before_, lead(res_num) OVER w = res_num + 1 AS after_, lag(b) OVER w AS b0, lead(b) OVER w AS b1, lag(name) OVER w AS n0, lead(name) OVER w AS n1 FROM r WINDOW w AS (PARTITION BY file_id ORDER BY res_num)),
 c AS (SELECT *, list_position({_listed(NAMES)}, name) - 1 + CASE WHEN after_ AND n1 = 'PRO' THEN 100 ELSE 0 END AS coil FROM n)
