@@ -176,11 +176,15 @@ def test_union_and_unambiguous_files(spark):
     assert [r.k for r in tables.unambiguous(spark.createDataFrame([(1,), (1,), (2,)], "k int"), "k").collect()] == [2]
 
 
-def test_quantiles_are_exact_however_rows_are_spread(spark):
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_quantiles_are_exact_however_rows_are_spread(spark, few, monkeypatch):
     import numpy as np
 
+    from residuum.operators import ranks
     from residuum.operators.ranks import quantiles
 
+    monkeypatch.setattr(ranks, "FEW", few)
+
     rng = np.random.default_rng(5)
     rows = [("a", float(x)) for x in rng.integers(0, 9, 400)] + [("b", float(x)) for x in rng.normal(size=301)] + [("c", 2.5), (None, 1.0), (None, 4.0), ("d", None)]
     shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
