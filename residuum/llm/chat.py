@@ -1,10 +1,10 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Prefix sums of turn tokens cut a conversation into strides of the room that a window has for new turns (its budget less the
-system turn and the history). Turns that lie within a stride form a span, a turn that crosses into the next stride is a
-span of its own: spans are aligned to turns and need no sequential packing. Every window shows the system turn, then as
+Prefix sums of turn tokens give each turn the furthest end of a span that would begin with it: the largest sum within the room that a window has for
+new turns (its budget less the system turn and the history; the first window has no history). These pointers are followed from a conversation's first turn by doubling, so that a
+conversation of n spans needs log n joins and no sequential packing. Every window shows the system turn, then as
 many turns before its span as fit into the history budget, then the span. The loss mask covers assistant texts of the span
-alone, so a repeated target is masked. Strides don't move, so a turn across the border of two leaves both less than full.
+alone, so a repeated target is masked. Sums are searched in steps of the room: a sum and the largest one below it lie in one step or in two neighbours.
 
 Turns are sorted once, with their texts; windows are planned on token counts alone; texts are attached to the plan in one join and
 gathered by window.
@@ -51,8 +51,8 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def _spans(told: DataFrame, budget: int, history: int) -> DataFrame:
-    """``conv, at, system, from, to`` (prefix sums without the system turn) and ``span`` of each turn, without its text.
+def _sums(told: DataFrame, budget: int, history: int) -> DataFrame:
+    """``conv, at, system, from, to`` (prefix sums without the system turn) and ``room`` of each turn, without its text.
 
     ``told``: turns with ``at``, a number that rises in the order of the turns and names their range in its upper bits. Sums run over all
     turns of all conversations at once, range by range, less what comes before the conversation, so that a conversation of any length is spread
@@ -69,16 +69,60 @@ def _spans(told: DataFrame, budget: int, history: int) -> DataFrame:
     before = F.col("first.sum") - F.when(F.col("first.opens"), 0).otherwise(F.col("first.tokens"))
     to = F.col("sum") - before
     system = F.col("first.opens") & (F.col("at") == F.col("first.at"))
-    room = F.greatest(F.lit(1), budget - history - F.when(F.col("first.opens"), F.col("first.tokens")).otherwise(0))
+    room = F.greatest(F.lit(1), budget - history - F.when(F.col("first.opens"), F.col("first.tokens")).otherwise(0)).cast("long")
     rows = rows.select("conv", "at", system.alias("system"), F.when(system, to).otherwise(to - F.col("tokens")).alias("from"), to.alias("to"), room.alias("room"))
-    first, last = F.floor(F.col("from") / F.col("room")), F.floor((F.col("to") - 1) / F.col("room"))
-    return rows.withColumn("span", F.when(~F.col("system"), 2 * first + F.when(first < last, 1).otherwise(0))).drop("room")
+    return rows
+
+
+def _asof(points: DataFrame, keys: DataFrame, value: str, out: str) -> DataFrame:
+    """``points`` (conv, room, p, ...) with ``out``: the largest ``value`` of ``keys`` (conv, room, value) that is at most p and in p's step of the room or the one before."""
+    step = lambda c: F.floor(F.col(c) / F.col("room"))
+    known = keys.select("conv", "room", value).distinct()
+    tops = known.groupBy("conv", step(value).alias("__before")).agg(F.max(value).alias("__top")).select(F.col("conv").alias("__c"), (F.col("__before") + 1).alias("__before"), "__top")
+    names = points.columns
+    events = points.withColumns({"__step": step("p"), "__v": F.col("p"), "__k": F.lit(1), "__has": F.lit(None).cast("long")})
+    own = known.select("conv", "room", F.col(value).alias("__has"), step(value).alias("__step"), F.col(value).alias("__v"), F.lit(0).alias("__k"))
+    events = events.unionByName(own, allowMissingColumns=True)
+    w = Window.partitionBy("conv", "__step").orderBy("__v", "__k").rowsBetween(Window.unboundedPreceding, 0)  # a step holds as many turns as the budget
+    found = events.withColumn("__last", F.last("__has", ignorenulls=True).over(w)).filter("__k = 1")
+    found = found.join(tops, found["conv"].eqNullSafe(tops["__c"]) & (found["__step"] == tops["__before"]), "left")
+    return found.select(*names, F.coalesce("__last", "__top").alias(out))
+
+
+def _starts(turns: DataFrame, history: int) -> DataFrame:
+    """``conv, room, start``: where spans begin, in tokens; ``turns``: conv, from, to, room."""
+    total = turns.groupBy("conv", "room").agg(F.max("to").alias("total"), F.max(F.when(F.col("to") <= F.col("room") + history, F.col("to"))).alias("first"))
+    total = stash(total, "chat-totals")
+    long = total.filter(F.col("total") > F.col("room") + history)
+    reached = total.select("conv", "room", F.lit(0).cast("long").alias("start"))
+    spans = long.agg(F.max(2 * F.col("total") / F.col("room") + 2)).first()[0]  # more than any conversation has
+    if not spans:
+        return reached
+    several = turns.join(long.select(F.col("conv").alias("c"), "total", "first"), turns["conv"].eqNullSafe(F.col("c"))).drop("c")
+    points = several.select("conv", "room", "from", "to", "total", "first", (F.col("from") + F.col("room")).alias("p"))
+    ahead = _asof(points, several, "to", "end").groupBy("conv", "room", "from").agg(F.max(F.greatest("to", F.coalesce("end", "to"))).alias("end"), F.max("to").alias("own"), F.max("first").alias("first"), F.max("total").alias("total"))
+    end = F.when(F.col("from") == 0, F.greatest("own", F.coalesce("first", "own"))).otherwise(F.col("end"))
+    jumps = stash(ahead.withColumn("end", end).filter(F.col("end") < F.col("total")).select("conv", F.col("from").alias("a"), F.col("end").alias("b")), "chat-jumps")
+    reached = stash(reached, "chat-starts")
+    for _ in range(int(spans).bit_length()):
+        step = jumps.select(F.col("conv").alias("c"), "a", "b")
+        on = reached["conv"].eqNullSafe(step["c"]) & (reached["start"] == step["a"])
+        reached = stash(reached.unionByName(reached.join(step, on).select("conv", "room", F.col("b").alias("start"))), "chat-starts")
+        twice = step.select("c", F.col("a").alias("m"), F.col("b").alias("z"))
+        jumps = stash(jumps.join(twice, jumps["conv"].eqNullSafe(twice["c"]) & (jumps["b"] == twice["m"])).select("conv", "a", F.col("z").alias("b")), "chat-jumps")
+        if jumps.isEmpty():
+            break
+    return reached
 
 
 def planned(told: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """``conv, span, at, fresh``: which turns each window shows, and whether as new ones; no texts."""
-    rows = stash(_spans(told, budget, history), "chat-plan")
-    turns = rows.filter("NOT system")
+    rows = stash(_sums(told, budget, history), "chat-sums")
+    turns = rows.filter("NOT system").drop("system")
+    starts = _starts(turns, history)
+    # a span is named by where it begins; turns without tokens go with what follows them
+    placed = _asof(turns.withColumn("p", F.col("from")), starts, "start", "span").drop("p", "room")
+    turns = stash(placed.withColumn("span", F.coalesce("span", F.lit(0).cast("long"))), "chat-plan")
     spans = turns.groupBy("conv", "span").agg(F.min("from").alias("begin"))
     own = turns.select("conv", "span", "at", F.lit(True).alias("fresh"))
     # a turn is history of the spans that begin within the history budget after it: an equality on steps of that width

@@ -146,7 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_windows": r"""
-WITH turns AS (
+WITH RECURSIVE turns AS (
   SELECT conv_id AS conv, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 placed AS (
@@ -159,9 +159,15 @@ summed AS (
   FROM marked WINDOW w AS (PARTITION BY conv ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 spanned AS (
   SELECT *, CASE WHEN sys THEN upto ELSE upto - tokens END AS since FROM summed),
+starts(conv, s) AS (
+  SELECT DISTINCT conv, CAST(0 AS BIGINT) FROM spanned WHERE NOT sys
+  UNION ALL SELECT conv, CAST(next_ AS BIGINT) FROM (
+    SELECT s.conv, s.s, greatest(min(k.upto), coalesce(max(CASE WHEN k.upto <= s.s + k.room + CASE WHEN s.s = 0 THEN 128 ELSE 0 END THEN k.upto END), 0)) AS next_, max(k.upto) AS total
+    FROM starts s JOIN spanned k ON s.conv = k.conv AND NOT k.sys AND k.upto > s.s GROUP BY s.conv, s.s) WHERE next_ < total),
+begun AS (SELECT k.conv, k.pos, max(s.s) AS span FROM spanned k JOIN starts s ON s.conv = k.conv AND NOT k.sys AND s.s <= k.since GROUP BY k.conv, k.pos),
 keyed AS (
-  SELECT *, CASE WHEN NOT sys THEN 2 * (since // room) + CASE WHEN since // room < (upto - 1) // room THEN 1 ELSE 0 END END AS span,
-         8 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '[<\[]\\*(\|(turn|end)\|>|/?s>|/?INST\])')) + 7 AS chars FROM spanned),
+  SELECT p.*, b.span, 8 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '[<\[]\\*(\|(turn|end)\|>|/?s>|/?INST\])')) + 7 AS chars
+  FROM spanned p LEFT JOIN begun b ON p.conv = b.conv AND p.pos = b.pos),
 spans AS (SELECT conv, span, min(since) AS begin_ FROM keyed WHERE NOT sys GROUP BY conv, span),
 shown AS (
   SELECT conv, chars FROM keyed WHERE NOT sys

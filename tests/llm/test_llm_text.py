@@ -207,6 +207,26 @@ def test_chat_round_trip_budget_and_mask(spark):
             assert r.formatted.startswith("<|turn|>system\nbe kind<|end|>")
 
 
+def test_chat_spans_reach_as_far_as_they_can(spark):
+    rng = random.Random(9)
+    rows = [(c, k, "system" if k == 0 and c % 3 == 0 else ("user", "assistant")[k % 2], " ".join(["w"] * rng.choice([0, 3, 20, 60, 110, 230])), "") for c in range(40) for k in range(rng.randrange(1, 50) if c else 900)]
+    want = {}
+    for c in range(40):
+        sizes = [len(words(t)) + 3 for conv, _, role, t, _ in rows if conv == c and role != "system"]
+        opening = sum(len(words(t)) + 3 for conv, _, role, t, _ in rows if conv == c and role == "system")
+        room, packs = 300 - 80 - opening, [[]]
+        for n in sizes:
+            if packs[-1] and sum(packs[-1]) + n > room + (80 if len(packs) == 1 else 0):
+                packs.append([])
+            packs[-1].append(n)
+        want[c] = [len(p) for p in packs]
+    got = {}
+    for r in chat.format_windows(turns(spark, rows), budget=300, history=80).orderBy("conv", "window").collect():
+        shown = r.formatted.count("<|turn|>") - r.lead
+        got.setdefault(r.conv, []).append(shown - (r.window == 0 and r.conv % 3 == 0))
+    assert got == want
+
+
 def test_chat_of_nothing(spark):
     assert chat.format_windows(turns(spark, [])).count() == 0
 
