@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.functions import lookup
-from residuum.functions import rules as R
 from residuum.functions import vectors as V
 from residuum.operators import spatial
 from residuum.operators.residue import KEY, STRUCTURE, places
