@@ -53,3 +53,24 @@ def resolution(line: Column) -> Column:
     """Resolution in angstroms of a header line, null if it states none."""
     found = F.regexp_extract(line, r"RESOLUTION\..*?(\d+\.\d+) *ANGSTROMS\.", 1)
     return found.try_cast("double")
+
+
+#: The first number that ``hybrid36`` can't write, by width.
+HYBRID36_END = {w: 10**w + 52 * 36 ** (w - 1) for w in (4, 5)}
+
+
+def hybrid36(number: Column, width: int) -> Column:
+    """A whole number in ``width`` characters: as such where it fits, then from A000... in capitals and from a000... in small letters to base 36; null beyond."""
+    first, many = 10**width, 26 * 36 ** (width - 1)
+    based = lambda n: F.conv((n + 10 * 36 ** (width - 1)).cast("string"), 10, 36)
+    n = number.cast("long")
+    plain = (n < first) & (n > -(10 ** (width - 1)))
+    return F.when(plain, F.lpad(n.cast("string"), width, " ")).when((n >= first) & (n < first + many), based(n - first)).when((n >= first + many) & (n < first + 2 * many), F.lower(based(n - first - many)))
+
+
+def from_hybrid36(text: Column, width: int) -> Column:
+    """The number that ``hybrid36`` wrote, null for other text."""
+    first, many = 10**width, 26 * 36 ** (width - 1)
+    value = F.conv(text, 36, 10).cast("long") - 10 * 36 ** (width - 1) + first
+    rest = f"{{{width - 1}}}$"
+    return F.when(text.rlike(f"^[A-Z][0-9A-Z]{rest}"), value).when(text.rlike(f"^[a-z][0-9a-z]{rest}"), value + many).otherwise(text.try_cast("long"))

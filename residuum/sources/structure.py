@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def atoms(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("model", F.coalesce(model, F.lit(1))).filter(F.substring("line", 1, 6).isin("ATOM  ", "HETATM"))
     name, stated = _field(13, 16), _field(77, 78)
     return rows.select(
-        F.col("file").alias("file_id"), "model", _field(22, 22).alias("chain"), _number(23, 26, "int").alias("res_num"), _field(27, 27).alias("icode"),
+        F.col("file").alias("file_id"), "model", _field(22, 22).alias("chain"), L.from_hybrid36(_field(23, 26), 4).cast("int").alias("res_num"), _field(27, 27).alias("icode"),
         F.col("line").startswith("HETATM").alias("het"), _field(18, 20).alias("resname"), name.alias("atom_name"), _field(17, 17).alias("altloc"),
         F.when(stated != "", stated).otherwise(F.regexp_extract(name, "([A-Z])", 1)).alias("element"),
         _number(31, 38, "double").alias("x"), _number(39, 46, "double").alias("y"), _number(47, 54, "double").alias("z"), _number(55, 60, "double").alias("occupancy"), _number(61, 66, "double").alias("bfactor"), "pos",
@@ -72,14 +74,22 @@ def sequences(table: DataFrame) -> DataFrame:
 
 
 def as_lines(table: DataFrame) -> DataFrame:
-    """``file_id, pos, line``: atom records in fixed width, one place an atom."""
+    """``file_id, pos, line``: atom records in fixed width, one place an atom.
+
+    Serials over 99,999 and residue numbers over 9,999 are in base 36 (``hybrid36``); evaluating a record with a value that its columns can't hold fails.
+    """
     w = Window.partitionBy("file_id").orderBy("model", "pos")
     rows = one_place(table).withColumn("serial", F.row_number().over(w))
     name = F.when(F.length("atom_name") < 4, F.concat(F.lit(" "), F.rpad("atom_name", 3, " "))).otherwise(F.col("atom_name"))
     occupancy = F.coalesce("occupancy", F.lit(1.0)) if "occupancy" in table.columns else F.lit(1.0)
     kind = F.when(F.col("het"), "HETATM").otherwise("ATOM  ")
-    line = F.format_string("%s%5d %s %3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", kind, "serial", name, "resname", "chain", "res_num", F.rpad("icode", 1, " "), "x", "y", "z", occupancy, F.coalesce("bfactor", F.lit(0.0)), "element")
-    return rows.select("file_id", F.col("serial").alias("pos"), line.alias("line"))
+    line = F.format_string("%s%5s %s %3s %1s%4s%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", kind, L.hybrid36(F.col("serial"), 5), name, "resname", "chain", L.hybrid36(F.col("res_num"), 4), F.rpad("icode", 1, " "), "x", "y", "z", occupancy, F.coalesce("bfactor", F.lit(0.0)), "element")
+    within = lambda c, low, high: F.coalesce((c > low) & (c < high), c.isNull())
+    short = lambda c, n: F.coalesce(F.length(c) <= n, F.lit(True))
+    number = F.col("res_num")
+    fits = reduce(lambda a, b: a & b, [*[within(F.col(c), -999.9995, 9999.9995) for c in "xyz"], *[within(c, -99.995, 999.995) for c in (occupancy, F.col("bfactor"))], *[short(c, n) for c, n in (("atom_name", 4), ("resname", 3), ("chain", 1), ("element", 2))], within(number, -1000, L.HYBRID36_END[4]), F.col("serial") < L.HYBRID36_END[5]])
+    checked = F.when(fits, line).otherwise(F.raise_error(F.concat(F.lit("a value is too wide for an atom record in "), F.col("file_id"))))
+    return rows.select("file_id", F.col("serial").alias("pos"), checked.alias("line"))
 
 
 def write(table: DataFrame, path: str) -> None:

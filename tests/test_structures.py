@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from residuum.functions import label_text as L
 from residuum.functions import vectors as V
 from residuum.operators import residue, search, spatial
 from residuum.plans import features
@@ -355,3 +356,21 @@ def test_one_chain_and_written_files(spark, tmp_path):
     structure.write(both, str(tmp_path / "out"))
     back = spark.read.text(str(tmp_path / "out")).select("value").collect()
     assert sorted(r.value for r in back) == sorted(r.line for r in structure.as_lines(both).collect()) and len(back) == 3
+
+
+def test_numbers_too_wide_for_a_record_come_back(spark):
+    numbers = [-999, 0, 9_999, 10_000, 10_000 + 26 * 36**3 - 1, 10_000 + 26 * 36**3, 10_000 + 52 * 36**3 - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    told = df.select("n", L.hybrid36(F.col("n"), 4).alias("t")).select("n", "t", L.from_hybrid36(F.trim("t"), 4).alias("back")).collect()
+    assert [(r.n, len(r.t)) for r in told] == [(r.back, 4) for r in told]
+    assert [r.t for r in told] == ["-999", "   0", "9999", "A000", "ZZZZ", "a000", "zzzz"]
+    assert df.select(L.hybrid36(F.lit(10_000 + 52 * 36**3), 4).alias("t")).first().t is None
+
+
+def test_files_of_more_atoms_than_a_serial_has_digits(spark):
+    rows = spark.range(100_003).select(F.lit("f").alias("file_id"), F.lit(1).alias("model"), F.lit("A").alias("chain"), F.lit("").alias("icode"), F.lit("").alias("altloc"), (F.col("id") / 9).cast("int").alias("res_num"), F.lit(False).alias("het"), F.lit("GLY").alias("resname"), F.concat(F.lit("C"), (F.col("id") % 9).cast("string")).alias("atom_name"), F.lit("C").alias("element"), *[(F.col("id") % 1000).cast("double").alias(c) for c in "xyz"], F.lit(5.0).alias("bfactor"), F.col("id").alias("pos"))
+    back = structure.atoms(structure.as_lines(rows).withColumnRenamed("file_id", "file"))
+    last = back.filter("pos >= 99999").orderBy("pos").select("pos", "res_num", "resname", "atom_name", "x").collect()
+    assert [tuple(r) for r in last] == [(n + 1, n // 9, "GLY", f"C{n % 9}", float(n % 1000)) for n in range(99_998, 100_003)]
+    with pytest.raises(Exception, match="too wide"):
+        structure.as_lines(rows.limit(1).withColumn("z", F.lit(10_000.0))).collect()
