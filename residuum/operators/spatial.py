@@ -3,31 +3,79 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.functions import vectors as V
+from residuum.session import stash
 
 
-def _cells(xyz: Sequence[str], size: float) -> list[Column]:
-    return [F.floor(F.col(c) / size) for c in xyz]
+def _near_cells(xyz: Sequence[str], radius: float) -> list[Column]:
+    """Along each axis the cells (of two radii) that a ball around the row reaches: one or two."""
+    wide = lambda c: radius * (1 + 1e-9) + F.abs(F.col(c)) * 1e-14  # noqa: E731  rounding can't lose a cell
+    return [F.array_distinct(F.array(*[F.floor((F.col(c) + move) / (2 * radius)) for move in (-wide(c), wide(c))])) for c in xyz]
+
+
+def _met(own: DataFrame, other: DataFrame, radius: float, keys: Sequence[str], xyz: Sequence[str], prefix: str) -> DataFrame:
+    """Rows of ``own`` (whose ``__c`` lists cells) with those of ``other`` in these cells that are within ``radius``."""
+    on = [F.col(f"__c{i}") == F.col(f"__l{i}") for i in range(len(xyz))] + [F.col(k) == F.col(prefix + k) for k in keys]
+    dist = F.sqrt(sum(((F.col(c) - F.col(prefix + c)) * (F.col(c) - F.col(prefix + c)) for c in xyz), F.lit(0.0)))
+    # the cells' rows are many times the table's, which the planner doesn't see: never a broadcast
+    pairs = own.hint("merge").join(other.hint("merge"), on).withColumn("dist", dist).filter(F.col("dist") <= radius)
+    return pairs.drop(*[f"__l{i}" for i in range(len(xyz))], *[f"__c{i}" for i in range(len(xyz))])
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: Sequence[str] = (), xyz: Sequence[str] = ("x", "y", "z"), prefix: str = "o_") -> DataFrame:
     """Pairs within ``radius`` (inclusive) that share ``keys``; columns of the right side get ``prefix``; ``dist`` is added.
 
-    The right side is put into the 27 cells around its own, so the left side stays one row each. Rows without coordinates drop out.
+    Cells are two radii wide, and the left side is put into the at most eight that its ball reaches; the right side stays one row each. Rows without coordinates drop out.
     """
+    own = left.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in xyz]))
+    for i, cells in enumerate(_near_cells(xyz, radius)):
+        own = own.withColumn(f"__c{i}", F.explode(cells))
     other = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
-    for i, c in enumerate(xyz):
-        cell = F.floor(F.col(prefix + c) / radius)
-        other = other.withColumn(f"__c{i}", F.explode(F.array(cell - 1, cell, cell + 1)))
-    own = left.withColumns({f"__l{i}": c for i, c in enumerate(_cells(xyz, radius))})
-    on = [F.col(f"__l{i}") == F.col(f"__c{i}") for i in range(len(xyz))] + [F.col(k) == F.col(prefix + k) for k in keys]
-    dist = F.sqrt(sum(((F.col(c) - F.col(prefix + c)) * (F.col(c) - F.col(prefix + c)) for c in xyz), F.lit(0.0)))
-    pairs = own.join(other, on).withColumn("dist", dist).filter(F.col("dist") <= radius)
-    return pairs.drop(*[f"__l{i}" for i in range(len(xyz))], *[f"__c{i}" for i in range(len(xyz))])
+    other = other.withColumns({f"__l{i}": F.floor(F.col(prefix + c) / (2 * radius)) for i, c in enumerate(xyz)})
+    return _met(own, other, radius, keys, xyz, prefix)
+
+
+#: Points in a cell, on average over the points, that the first step of a search for nearest rows starts from.
+IN_A_CELL = 16
+
+
+def nearest(left: DataFrame, right: DataFrame, radius: float, row: Sequence[str], order: Sequence[str], n: int = 1, valid: Column | None = None, keys: Sequence[str] = (), xyz: Sequence[str] = ("x", "y", "z"), prefix: str = "o_") -> DataFrame:
+    """Of each row's pairs within ``radius`` that are ``valid`` the ``n``-th by distance, then ``order``; the columns of ``radius_join``.
+
+    Steps of doubling radius: a row that has ``n`` valid pairs within a step's radius has its nearest among them, so only the others go on. The first
+    radius is one whose cells hold few points, so work follows the points and not their pairs, however dense they lie. ``row`` names rows of the left side.
+    """
+    steps = _steps(right, radius, keys, xyz)
+    open_, found = left, []
+    for k, reach in enumerate(steps):
+        pairs = radius_join(open_, right, reach, keys, xyz, prefix)
+        pairs = pairs if valid is None else pairs.filter(valid)
+        ranked = F.row_number().over(Window.partitionBy(*row).orderBy("dist", *order))
+        step = pairs.withColumn("__n", ranked).filter(F.col("__n") == n).drop("__n")
+        if k < len(steps) - 1:
+            step = stash(step, "nearest")
+            open_ = stash(open_.join(step.select(*row), list(row), "left_anti"), "nearest-open")
+        found.append(step)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _steps(points: DataFrame, radius: float, keys: Sequence[str], xyz: Sequence[str]) -> list[float]:
+    """Radii that double up to ``radius``, from the largest whose cells hold few points."""
+    total = points.count()
+    halves = 0
+    while 8**halves * IN_A_CELL < total:
+        halves += 1
+    reach = [radius / 2**k for k in range(halves + 1)]
+    cells = F.array(*[F.struct(F.lit(k).alias("__k"), *[F.floor(F.col(c) / (2 * r)).alias(f"__l{i}") for i, c in enumerate(xyz)]) for k, r in enumerate(reach)])
+    counts = points.select(*keys, F.inline(cells)).groupBy(*keys, "__k", *[f"__l{i}" for i in range(len(xyz))]).agg(F.count(F.lit(1)).alias("__m"))
+    crowd = {r["__k"]: r["m"] for r in counts.groupBy("__k").agg(F.sum(F.col("__m") * F.col("__m")).alias("m")).collect()}
+    first = next((k for k in range(halves + 1) if crowd.get(k, 0) <= IN_A_CELL * total), halves)
+    return reach[first::-1]
 
 
 def first_valid(pairs: DataFrame, row: Sequence[str], valid: Column, order: Sequence[str]) -> DataFrame:

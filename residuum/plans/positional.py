@@ -124,23 +124,24 @@ def radius_contact(t):
 @query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, o_vec_id) AS k FROM q WHERE dist <= 0.1 AND label <> o_label)
 SELECT vec_id, o_vec_id, round(dist, 9) AS dist FROM r WHERE k = 1""")
 def nearest_typed(t):
-    _, pairs = _near(t, 0.1)
-    return spatial.nth_nearest(pairs.filter("label <> o_label"), ["vec_id"], ["dist", "o_vec_id"]).select("vec_id", "o_vec_id", F.round("dist", 9).alias("dist"))
+    points = _points(t)
+    found = spatial.nearest(points, points, 0.1, ["vec_id"], ["o_vec_id"], valid=F.expr("vec_id <> o_vec_id AND label <> o_label"))
+    return found.select("vec_id", "o_vec_id", F.round("dist", 9).alias("dist"))
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, o_vec_id) AS k FROM q WHERE dist <= 0.1)
 SELECT vec_id, o_vec_id, round(dist, 9) AS dist FROM r WHERE k = 2""")
 def second_nearest(t):
-    _, pairs = _near(t, 0.1)
-    return spatial.nth_nearest(pairs, ["vec_id"], ["dist", "o_vec_id"], 2).select("vec_id", "o_vec_id", F.round("dist", 9).alias("dist"))
+    points = _points(t)
+    return spatial.nearest(points, points, 0.1, ["vec_id"], ["o_vec_id"], 2, F.expr("vec_id <> o_vec_id")).select("vec_id", "o_vec_id", F.round("dist", 9).alias("dist"))
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, o_vec_id) AS k FROM q WHERE dist <= 0.05 AND label = o_label AND abs(vec_id - o_vec_id) >= 4)
 SELECT p.vec_id, coalesce(o_vec_id, 0) AS partner, coalesce(round(r.dist, 9), 0) AS dist, CAST(o_vec_id IS NOT NULL AS INTEGER) AS found FROM p LEFT JOIN r ON p.vec_id = r.vec_id AND k = 1""")
 def first_valid_candidate(t):
-    points, pairs = _near(t, 0.05)
-    valid = (F.col("label") == F.col("o_label")) & (F.abs(F.col("vec_id") - F.col("o_vec_id")) >= 4)
-    hit = spatial.first_valid(pairs, ["vec_id"], valid, ["dist", "o_vec_id"]).select("vec_id", "o_vec_id", "dist")
+    points = _points(t)
+    valid = F.abs(F.col("vec_id") - F.col("o_vec_id")) >= 4
+    hit = spatial.nearest(points, points, 0.05, ["vec_id"], ["o_vec_id"], valid=valid, keys=["label"]).select("vec_id", "o_vec_id", "dist")
     return points.join(hit, "vec_id", "left").select("vec_id", F.coalesce("o_vec_id", F.lit(0)).alias("partner"), F.coalesce(F.round("dist", 9), F.lit(0.0)).alias("dist"), F.col("o_vec_id").isNotNull().cast("int").alias("found"))
 
 

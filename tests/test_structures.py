@@ -374,3 +374,21 @@ def test_files_of_more_atoms_than_a_serial_has_digits(spark):
     assert [tuple(r) for r in last] == [(n + 1, n // 9, "GLY", f"C{n % 9}", float(n % 1000)) for n in range(99_998, 100_003)]
     with pytest.raises(Exception, match="too wide"):
         structure.as_lines(rows.limit(1).withColumn("z", F.lit(10_000.0))).collect()
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_nearest_equals_all_pairs_without_making_them(spark, monkeypatch, n):
+    rng = np.random.default_rng(2)
+    places = np.concatenate([rng.normal(0, 0.01, (300, 3)), rng.uniform(-1, 1, (100, 3)), np.zeros((3, 3))])
+    points = [(k, k % 3, *map(float, p)) for k, p in enumerate(places)]
+    df = spark.createDataFrame(points, "id int, g int, x double, y double, z double").cache()
+    radii, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda left, right, radius, *rest: radii.append((radius, left.count())) or join(left, right, radius, *rest))
+    got = {r.id: (r.o_id, r.dist) for r in spatial.nearest(df, df, 0.5, ["id"], ["o_id"], n, F.expr("g <> o_g")).collect()}
+    want = {}
+    for a in points:
+        near = sorted((math.dist(a[2:], b[2:]), b[0]) for b in points if a[1] != b[1] and math.dist(a[2:], b[2:]) <= 0.5)
+        if len(near) >= n:
+            want[a[0]] = near[n - 1]
+    assert got == {k: (b, pytest.approx(d)) for k, (d, b) in want.items()}
+    assert radii[0][0] < 0.5 and radii[-1] < (0.51, 150)
