@@ -138,3 +138,21 @@ def test_a_long_alignment_keeps_to_its_memory():
     tracemalloc.stop()
     assert x.replace("-", "") == a and y.replace("-", "") == b and y.count("-") == 300 and x.count("-") == 200
     assert peak < 200e6  # three whole matrices take 860 MB
+
+
+def test_copies_of_a_sequence_are_searched_with_once(spark, monkeypatch):
+    own, rng = sequences(2, 40, 3), random.Random(9)
+    others = [s[:20] + "".join(rng.choices(LETTERS, k=5)) + s[20:] for s in own] + sequences(1, 40, 8)
+    queries = spark.createDataFrame([(k, own[k % 2]) for k in range(6)], "query int, sequence string")
+    targets = spark.createDataFrame([(k, others[k % 3]) for k in range(12)] + [(20, None)], "target int, sequence string")
+    met, hits = [], local_search.hits
+    monkeypatch.setattr(local_search, "hits", lambda a, b, *rest: met.append((a.count(), b.count())) or hits(a, b, *rest))
+    found = local_search.search(queries, targets, SCORE.tolist(), LETTERS, least=9, most_expected=1e9).collect()
+    assert met == [(2, 3)]
+    rows = {q: sorted(tuple(r)[1:] for r in found if r.query == q) for q in range(6)}
+    assert rows[0] == rows[2] == rows[4] and rows[1] == rows[3] == rows[5]
+    assert {r.target for r in found if r.query == 0} >= {0, 3, 6, 9}
+    for q in range(6):
+        mine = sorted((r for r in found if r.query == q), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, len(mine) + 1))
+        assert mine == sorted(mine, key=lambda r: (r.expected, r.target, r.diagonal, r.begin))
