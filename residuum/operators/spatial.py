@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,32 +101,70 @@ def half_sphere(pairs: DataFrame, row: Sequence[str], direction: Column) -> Data
     return pairs.groupBy(*row).agg(F.count_if(direction > 0).alias("up"), F.count_if(direction <= 0).alias("down"))
 
 
+#: Atoms and corners of rings in one block, and the pairs of them that are worked out at a time.
+TARGETS, CORNERS, AT_ONCE = 8_192, 16_384, 65_536
+
+
+def _blocks(df: DataFrame, keys: Sequence[str], most: int, salt: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the number of a block of about ``most`` rows within ``keys``, by a hash of ``salt``."""
+    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).alias("__blocks"))
+    return df.join(counts, list(keys)).withColumn(name, F.pmod(F.xxhash64(*salt), F.col("__blocks")).cast("int")).drop("__blocks")
+
+
 def ring_current(atoms: DataFrame, rings: DataFrame, keys: Sequence[str], row: Sequence[str], intensity: Column, factor: Column) -> DataFrame:
     """``row, ring``: over all rings of the structure the sum of intensity * factor * signed area * (1/r_i^3 + 1/r_j^3) over edges.
 
-    ``atoms`` has x, y, z; ``rings`` has ``ring``, an array of struct<x,y,z> in order around the ring. Areas are of the triangles
-    that the atom's projection to the ring plane spans with each edge, signed by the plane's normal.
+    ``atoms`` has x, y, z and the columns of ``factor``; ``rings`` has those of ``intensity`` and ``ring``, an array of struct<x,y,z> in order around the ring. Areas are of the
+    triangles that the atom's projection to the ring plane spans with each edge, signed by the plane's normal n.
+
+    With d from corner c to the atom, both edges at c come to d . (before - after) x n / 2 times 1/|d|^3, so each corner is a source of six numbers, and nothing is projected. Blocks of
+    atoms meet blocks of corners of their structure; their sums, one an atom and block, are added up. All pairs of a structure are worked out: that is quadratic in its size, in bounded memory.
     """
-    pairs = atoms.join(rings, list(keys))
-    point = F.struct("x", "y", "z")
     at = lambda k: V.vec(F.get(F.col("ring"), F.lit(k)))
-    last = V.vec(F.element_at("ring", -1))
-    raw = V.cross(V.sub(at(1), at(0)), V.sub(last, at(0)))
+    raw = V.cross(V.sub(at(1), at(0)), V.sub(V.vec(F.element_at("ring", -1)), at(0)))
     size = V.norm(raw)
-    pairs = pairs.withColumn("__n", F.struct(*[F.try_divide(c, size).alias(a) for c, a in zip(raw, "xyz")]))
-    normal, first = V.vec("__n"), at(0)
-    height = V.dot(V.sub(V.vec(point), first), normal)
-    pairs = pairs.withColumn("__p", F.struct(*[(F.col(a) - height * n).alias(a) for a, n in zip("xyz", normal)]))
-    turned = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
-
-    def edge(a: Column, b: Column) -> Column:
-        p, u, v, q = V.vec(F.col("__p")), V.vec(a), V.vec(b), (F.col("x"), F.col("y"), F.col("z"))
-        area = V.dot(V.cross(V.sub(u, p), V.sub(v, p)), V.vec(F.col("__n"))) / 2
-        cube = lambda w: F.coalesce(F.try_divide(F.lit(1.0), F.pow(V.distance(q, w), F.lit(3.0))), F.lit(0.0))  # noqa: E731  a corner exerts nothing on itself
-        return area * (cube(u) + cube(v))
-
-    total = F.aggregate(F.zip_with("ring", turned, edge), F.lit(0.0), lambda s, e: s + e)
-    return pairs.groupBy(*row).agg(F.sum(intensity * factor * total).alias("ring"))
+    # a ring without a plane, or with a corner that has no place, adds nothing
+    whole = F.coalesce((size > 0) & ~F.exists("ring", lambda p: p["x"].isNull() | p["y"].isNull() | p["z"].isNull()), F.lit(False))
+    planes = rings.select(*keys, "ring", intensity.cast("double").alias("__i"), whole.alias("__whole"), *[F.try_divide(c, size).alias(f"__n{a}") for c, a in zip(raw, "xyz")])
+    turned = lambda first, rest: F.concat(first, rest)
+    n = F.size("ring")
+    before, after = turned(F.slice("ring", n, F.lit(1)), F.slice("ring", F.lit(1), n - 1)), turned(F.slice("ring", F.lit(2), n - 1), F.slice("ring", 1, 1))
+    each = planes.select(*keys, "__i", "__whole", "__nx", "__ny", "__nz", F.inline(F.arrays_zip(F.col("ring").alias("c"), before.alias("b"), after.alias("a"))))
+    pull = V.cross(V.sub(V.vec("b"), V.vec("a")), V.columns("__nx", "__ny", "__nz"))
+    source = F.array(*V.vec("c"), *[F.col("__i") * g / 2 for g in pull])
+    corners = each.select(*keys, "c", F.when(F.col("__whole") & F.col("__i").isNotNull(), source).alias("source"))
+    corners = _blocks(corners, keys, CORNERS, ["c", "source"], "__s").groupBy(*keys, "__s").agg(F.collect_list("source").alias("__sources"))  # of valid ones; at most a block
+    rows = atoms.select(*keys, F.struct(*row).alias("__row"), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z"), factor.cast("double").alias("f")).alias("at"))
+    targets = _blocks(rows, keys, TARGETS, ["__row"], "__t").groupBy(*keys, "__t").agg(F.collect_list(F.struct("__row", "at")).alias("__targets"))
+
+    @F.pandas_udf("array<double>")
+    def run(at: pd.Series, sources: pd.Series) -> pd.Series:
+        def one(a: np.ndarray, s: np.ndarray) -> np.ndarray:
+            if not len(s):
+                return np.full(len(a), None)
+            p = np.array([[np.nan if r[c] is None else r[c] for c in "xyzf"] for r in a], float)
+            q = np.stack(s).astype(float)
+            out = np.zeros(len(p))
+            step = max(1, AT_ONCE // 2048)
+            for i in range(0, len(p), step):
+                some = p[i : i + step]
+                for j in range(0, len(q), 2048):
+                    x, y, z, gx, gy, gz = q[j : j + 2048].T
+                    dx, dy, dz = some[:, 0, None] - x, some[:, 1, None] - y, some[:, 2, None] - z
+                    far = dx * dx + dy * dy + dz * dz
+                    pulled = dx * gx + dy * gy + dz * gz
+                    cube = far * np.sqrt(far)
+                    cube[cube == 0] = np.inf  # a corner exerts nothing on itself
+                    out[i : i + step] += (pulled / cube).sum(1)
+            out *= p[:, 3]
+            return np.where(np.isnan(out), None, out)
+
+        return pd.Series([one(a, s) for a, s in zip(at, sources)])
+
+    met = targets.hint("merge").join(corners.hint("merge"), list(keys)).repartition(*keys, "__t", "__s")
+    met = met.select("__targets.__row", run("__targets.at", "__sources").alias("__v"))
+    sums = met.select(F.inline(F.arrays_zip(F.col("__row").alias("r"), F.col("__v").alias("v"))))
+    return sums.select("r.*", "v").groupBy(*row).agg(F.sum("v").alias("ring"))
 
 
 def disulfides(sulfurs: DataFrame, keys: Sequence[str], number: str, reach: float = 2.5, apart: int = 4) -> DataFrame:
