@@ -111,7 +111,8 @@ def transfer_labels(alignment: DataFrame, labels: DataFrame, similarity: DataFra
     paired = numbered.filter("source_res <> '-' AND target_res <> '-'")
     scored = paired.join(similarity.select(F.col("a").alias("source_res"), F.col("b").alias("target_res"), "score"), ["source_res", "target_res"], "left")
     allowed = scored.filter(F.coalesce(transferable(strict, F.col("source_res") == F.col("target_res"), F.col("score")), F.lit(False)))
-    found = allowed.join(labels.withColumnRenamed("ordinal", "target_no"), ["target", "target_no"])
+    # labels may be made by an explode, whose rows the planner doesn't see: never a broadcast
+    found = allowed.hint("merge").join(labels.withColumnRenamed("ordinal", "target_no").hint("merge"), ["target", "target_no"])
     if coil is None:
         return found
     found = add_baseline(found, coil, "target_res")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from residuum.functions import label_text as L
 from residuum.functions import vectors as V
-from residuum.operators import residue, search, spatial
+from residuum.operators import residue, search, spatial, transfer
 from residuum.plans import features
 from residuum.sources import labels, reports, structure, text
 
@@ -392,3 +392,31 @@ def test_nearest_equals_all_pairs_without_making_them(spark, monkeypatch, n):
             want[a[0]] = near[n - 1]
     assert got == {k: (b, pytest.approx(d)) for k, (d, b) in want.items()}
     assert radii[0][0] < 0.5 and radii[-1] < (0.51, 150)
+
+
+def test_ring_currents_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TARGETS", 3)
+    monkeypatch.setattr(spatial, "CORNERS", 7)
+    rng = np.random.default_rng(4)
+    rings = [[tuple(map(float, p)) for p in rng.normal(0, 5, (5, 3))] for _ in range(6)]
+    probes = [tuple(map(float, p)) for p in rng.normal(0, 5, (12, 3))] + [rings[0][2]]
+    flat = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (2.0, 0.0, 0.0)]
+    point = "struct<x:double,y:double,z:double>"
+    atoms = spark.createDataFrame([("f", k, *p) for k, p in enumerate(probes)] + [("g", 50, 0.0, 0.0, 1.0), ("h", 60, 0.0, 0.0, 1.0)], "f string, id int, x double, y double, z double")
+    table = spark.createDataFrame([("f", r, float(k)) for k, r in enumerate(rings)] + [("f", flat, 9.0), ("g", flat, 9.0)], f"f string, ring array<{point}>, i double")
+    got = {r.id: r.ring for r in spatial.ring_current(atoms, table, ["f"], ["id"], F.col("i"), F.col("id") + 1).collect()}
+    assert set(got) == {*range(13), 50} and got[50] is None
+    for k, p in enumerate(probes[:-1]):
+        assert got[k] == pytest.approx((k + 1) * sum(i * brute_ring(np.array(p), r) for i, r in enumerate(rings)))
+    assert got[12] == pytest.approx(13 * sum(i * brute_ring(np.array(probes[-1]), r) for i, r in enumerate(rings) if i))
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    df = spark.range(4).select(F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit("t").alias("target"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(spatial.radius_join(df, df, 1.0))
+    rows = spark.createDataFrame([("q", "t", 1, "A", "A")], "query string, target string, pos int, source_res string, target_res string")
+    labels_ = spark.range(9).select(F.lit("t").alias("target"), (F.col("id") + 1).alias("ordinal"), F.lit("CA").alias("atom"), F.lit(1.0).alias("value"))
+    same = spark.createDataFrame([("A", "A", 1.0)], "a string, b string, score double")
+    found = transfer.transfer_labels(rows, labels_, same)
+    assert found.count() == 1 and "SortMergeJoin [target" in plan(found)
