@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import slices, stash
+from residuum.llm.common import released, slices, stash
 
 WINDOW = 5
 LEAST_PLAIN = 3
@@ -270,7 +270,7 @@ def matches(docs: DataFrame, items: list[tuple[int, int, int, list[str]]], id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found = shared.value
         codes = Codes(known)
-        for batch in batches:
+        for batch in released(batches):
             for some in slices(batch, 2, 10_000, BYTES):
                 if rows := list(scan(some, codes, found)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["id", "key", "item", "variant", "words", "windows"])

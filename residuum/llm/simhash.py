@@ -14,9 +14,9 @@ the whole sequence is the shingle. Null ids: linked, but never a component's nam
 rows: same fingerprint, same component. Empty table: empty result. Extra columns are left alone.
 
 The pipeline's stage (``drop_near_duplicates``) asks for more than three bits reach: all pairs of texts whose sets of five-word
-shingles have a Jaccard similarity of ``SIMILARITY`` or more. Such pairs differ in about 10 of 64 bits, where blocks of bits no longer
-select. So MinHash bands propose pairs (one at the least similarity is missed with probability 3e-6, others less often), and
-only pairs whose exact similarity suffices are linked. Groups of a band meet in tasks that know what is linked already; the first
+shingles have a Jaccard similarity of ``SIMILARITY`` or more. The index proposes the texts whose fingerprints it links. But most such pairs differ in
+about 10 of 64 bits, where blocks of bits no longer select, so MinHash bands propose more (a pair at the least similarity is missed with probability
+3e-6, others less often), and only pairs whose exact similarity suffices are linked. Groups of a band meet in tasks that know what is linked already; the first
 bands link most, so that later groups, which are compared in full, are those that still span several components.
 """
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import discard, stash
+from residuum.llm.common import discard, released, stash
 
 K = 3
 SHINGLE = 3
@@ -64,7 +64,11 @@ def digests(text: str, shingle: int) -> bytes:
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """Bit set if it is set in over half of the shingles' XXH64 (repeats included); 0 without words."""
-    hashes = digests(text, shingle)
+    return majority(digests(text, shingle))
+
+
+def majority(hashes: bytes) -> int:
+    """The fingerprint of shingles' XXH64."""
     if not hashes:
         return 0
     bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
@@ -271,19 +275,32 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id, key, bands`` of each row; key names the set of shingles, and a set without members has no bands."""
+    """``id, key, fp, bands`` of each row; key names the set of shingles, fp is their fingerprint, and a set without members has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for a in range(0, batch.num_rows, 512):
                 some = batch.slice(a, 512)
-                sets = [shingle_set(t, shingle) for t in some.column(1).to_pylist()]
-                found = [bands(x).astype(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+                keys, fps, found = [], [], []
+                for t in some.column(1).to_pylist():
+                    hashes = digests(t, shingle)
+                    members = np.unique(np.frombuffer(hashes, U64))
+                    keys.append(_set_key(members))
+                    fps.append(_signed(majority(hashes)))
+                    found.append(bands(members).astype(np.int64) if len(members) else np.zeros(0, np.int64))
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([_set_key(x) for x in sets], pa.int64()), listed], names=["id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), listed], names=["id", "key", "fp", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "id long, key long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "id long, key long, fp long, bands array<long>")
+
+
+def fingerprint_groups(marked: DataFrame) -> DataFrame:
+    """``key, no, band`` with one value for all sets whose fingerprints ``links`` joins: the index's proposals, as a group like those of a band."""
+    each = marked.filter(F.size("bands") > 0).select("key", "fp").distinct()
+    found = components(links(each.select("fp").distinct()))
+    root = F.coalesce("root", "fp")
+    return each.join(found, each["fp"] == found["node"], "left").select("key", F.lit(-1).alias("no"), F.xxhash64(F.lit("fingerprint"), root).alias("band"))
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -297,7 +314,7 @@ def sets_of(docs: DataFrame, keys: DataFrame, text_col: str, shingle: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in released(batches):
             for a in range(0, batch.num_rows, 512):
                 kept = []
                 for t in batch.column(0).slice(a, 512).to_pylist():
@@ -378,7 +395,7 @@ def _similar(shared: DataFrame, sets: DataFrame, similarity: float, cell: int, w
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """``id, key, component`` of each row; component is the smallest id that links of ``similarity`` reach, itself included."""
     marked = stash(signatures(docs, id_col, text_col, shingle), "signatures")
-    banded = marked.select("key", F.posexplode("bands").alias("no", "band")).distinct()
+    banded = marked.select("key", F.posexplode("bands").alias("no", "band")).unionByName(fingerprint_groups(marked)).distinct()
     groups = banded.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first != last")
     shared = stash(banded.join(groups.select("band"), "band"), "shared-bands")
     sets = stash(sets_of(docs, shared.select("key").distinct(), text_col, shingle), "shared-sets")

@@ -321,6 +321,20 @@ def test_stage_links_all_texts_of_enough_similarity(spark, cell):
     assert {r.id: r.component for r in simhash.similar_texts(docs(spark, texts), cell=cell).collect()} == dict(enumerate(root))
 
 
+def test_stage_takes_what_the_fingerprint_index_links(spark, monkeypatch):
+    base = " ".join(f"w{k}" for k in range(400))
+    texts = [base, base.replace(" w7 ", " other "), " ".join(f"v{k}" for k in range(400)), ""]
+    marked = simhash.signatures(docs(spark, texts), "doc_id", "text", 5).cache()
+    rows = {r.id: r for r in marked.collect()}
+    assert [rows[k].fp & (1 << 64) - 1 for k in range(4)] == [simhash.fingerprint(t, 5) for t in texts]
+    near = (rows[0].fp ^ rows[1].fp) & (1 << 64) - 1
+    groups_ = {r.key: r.band for r in simhash.fingerprint_groups(marked).collect()}
+    assert set(groups_) == {rows[k].key for k in range(3)} and (groups_[rows[0].key] == groups_[rows[1].key]) == (near.bit_count() <= 3)
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: asked.append(1) or links(*a))
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs(spark, texts)).collect()) == [0, 2, 3] and asked
+
+
 # tokens
 
 
