@@ -53,6 +53,16 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], number: str, step: Column | No
     return K.join(span.select(*keys, F.explode(every).alias(number)), df, [*keys, number], "left")
 
 
+def line_numbers(df: DataFrame, keys: Sequence[str], number: str, name: str, width: int = 100_000) -> DataFrame:
+    """``name``: 1, 2, ... within ``keys`` in the order of the whole numbers ``number`` (none twice). Stretches of ``width`` numbers are counted first and numbered alone, so a long key is many tasks' work."""
+    rows = df.withColumn("__block", F.floor(F.col(number) / width))
+    counts = rows.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(chain_window(keys, ["__block"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = K.join(rows, counts.select(*keys, "__block", before.alias("__before")), [*keys, "__block"])
+    own = F.row_number().over(chain_window([*keys, "__block"], [number]))
+    return joined.withColumn("__own", own).withColumn(name, F.col("__before") + F.col("__own")).drop("__block", "__before", "__own")
+
+
 def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Column, name: str = "segment") -> DataFrame:
     """Running number of the segment; ``breaks`` is true on a row that starts a new one."""
     return ordinal(df, keys, order, F.coalesce(breaks, F.lit(False)), name)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from residuum.functions import lookup
 from residuum.operators import assign, evaluate, residue, search, structure_search, transfer
+from residuum.operators import windows as W
 from residuum.plans import features
 from residuum.plans.registry import query
+from residuum.session import stash
 from residuum.sources import labels, reports, structure, text
 
 NAMES = sorted(lookup.HYDROPHOBICITY)
@@ -421,6 +423,10 @@ def sequence_files(t):
     return read.join(chains.select(F.col("file_id").alias("id"), F.array_max("numbers").alias("last")), "id").select("id", "sequence", "last")
 
 
+#: Places that a section of a file of labels may take: more than four a part.
+_SECTION = 10**12
+
+
 @query("""
 SELECT 'o' || k AS file, CAST(r AS INTEGER) AS resid, quantity + 100 AS "CA", CAST(NULL AS DOUBLE) AS "N",
        round(CASE r % 3 WHEN 0 THEN (quantity + 3) / 2 WHEN 1 THEN quantity END, 6) AS "HA", CASE WHEN r % 5 <> 0 THEN r % 10 / 10 END AS s2, k / 10 AS ph
@@ -428,16 +434,15 @@ FROM (SELECT l_orderkey % 50 AS k, l_partkey AS r, max(l_quantity) AS quantity F
 def label_files(t):
     """Files of labels, fifty of them, with three sections: a residue is a part; one alpha hydrogen, two or none."""
     lines = t("lineitem").groupBy((F.col("l_orderkey") % 50).alias("k"), F.col("l_partkey").alias("r")).agg(F.max("l_quantity").alias("ha"))
-    at = lambda section, row, words: F.struct((F.lit(section) * 10_000_000 + row).alias("pos"), F.concat_ws(" ", *words).alias("line"))
+    at = lambda section, row, words: F.struct((F.lit(section * _SECTION) + row).alias("pos"), F.concat_ws(" ", *words).alias("line"))
     number = lambda c: F.round(c, 2).cast("string")
     row, r = F.col("r") * 4, F.col("r").cast("string")
     rows = F.array(at(2, row, [r, F.lit("A"), F.lit("CA"), number(F.col("ha") + 100)]), at(2, row + 1, [r, F.lit("A"), F.when(F.col("r") % 3 < 2, "HA2"), F.when(F.col("r") % 3 < 2, number(F.col("ha")))]), at(2, row + 2, [r, F.lit("A"), F.when(F.col("r") % 3 == 0, "HA3"), F.when(F.col("r") % 3 == 0, "3.0")]))
     rows = F.concat(rows, F.array(at(4, row, [r, (F.col("r") % 10 / 10).cast("string"), F.when(F.col("r") % 5 == 0, "C").otherwise("A")])))
     body = lines.select("k", F.inline(rows))
-    titles = lines.select("k").distinct().select("k", F.inline(F.array(*[F.struct((F.lit(s) * 10_000_000 - 5).alias("pos"), F.lit(x).alias("line")) for s, x in ((1, "REMARK pH and S2 follow"), (2, "FORMAT %4d"), (4, "RESID S2 RESNAME"), (5, "pH"))], F.struct(F.lit(20_000_000 - 4).alias("pos"), F.lit("").alias("line")), F.struct(F.lit(50_000_000 - 4).alias("pos"), (F.col("k") / 10).cast("string").alias("line")))))
+    titles = lines.select("k").distinct().select("k", F.inline(F.array(*[F.struct(F.lit(s * _SECTION - 5).alias("pos"), F.lit(x).alias("line")) for s, x in ((1, "REMARK pH and S2 follow"), (2, "FORMAT %4d"), (4, "RESID S2 RESNAME"), (5, "pH"))], F.struct(F.lit(2 * _SECTION - 4).alias("pos"), F.lit("").alias("line")), F.struct(F.lit(5 * _SECTION - 4).alias("pos"), (F.col("k") / 10).cast("string").alias("line")))))
     every = body.unionByName(titles).select(F.concat(F.lit("o"), F.col("k").cast("string")).alias("file"), "pos", "line")
-    own = Window.partitionBy("file").orderBy("pos")
-    numbered = every.withColumn("pos", F.row_number().over(own))
+    numbered = stash(W.line_numbers(every, ["file"], "pos", "pos"), "label-lines")  # read many times below
     shifts = labels.shifts(numbered)
     out = labels.wide(shifts).join(labels.order_parameters(numbered, shifts), ["file", "resid"]).join(labels.stated_ph(numbered), "file")
     return out.select("file", "resid", "CA", "N", F.round("HA", 6).alias("HA"), "s2", "ph")

@@ -230,3 +230,10 @@ def test_null_groups_stay(spark):
     assert {(r.g, r.n, r.t) for r in filled.collect()} == {(None, 1, "x"), (None, 2, None), (None, 3, None), (None, 4, "y"), ("a", 2, "z")}
     marked = W.sections(rows.withColumn("t", F.lit("m here")), ["g"], "fold", "t", {"m": "m"})
     assert marked.count() == 5
+
+
+def test_line_numbers_in_stretches(spark):
+    places = [3, 9, 10, 11, 25, 10**12, 10**12 + 1, 7 * 10**12]
+    rows = spark.createDataFrame([(f, p) for f in ("a", "b", None) for p in places[: 8 if f else 3]], "file string, pos long")
+    got = sorted(((r.file or "", r.pos, r.n) for r in W.line_numbers(rows, ["file"], "pos", "n", width=10).collect()))
+    assert got == sorted((f, p, k + 1) for f in ("a", "b", "") for k, p in enumerate(places[: 8 if f else 3]))
