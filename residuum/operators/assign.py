@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from residuum.functions import lookup
 from residuum.functions import vectors as V
+from residuum.operators import keys as K
 from residuum.operators import spatial
 from residuum.operators.residue import KEY, STRUCTURE, places
 from residuum.session import stash
@@ -27,24 +28,36 @@ RADII = {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8}
 PROBE = 1.4
 #: Numbers that are left out at a break of the chain, more than any pattern spans.
 JUMP = 10
+#: Residue numbers of a chain that are counted in one go.
+STRETCH = 2_000
 #: Longest bond between residues in a chain, and farthest CA of residues that may be bonded.
 LINK, REACH = 2.5, 9.0
 
 
 def backbone(atoms: DataFrame) -> DataFrame:
-    """``KEY, resname, at`` and N, CA, C, O, H as structs, of residues with the first four; a missing H is placed 1 angstrom from N, away from the previous residue's O."""
-    w = Window.partitionBy(*STRUCTURE).orderBy("chain", "res_num")
+    """``KEY, resname, at`` and N, CA, C, O, H as structs, of residues with the first four; a missing H is placed 1 angstrom from N, away from the previous residue's O.
+
+    Chains are cut into stretches of residue numbers. Each hands its last residue to the next one and its count on, so a long structure is many tasks' work.
+    """
+    part = [*STRUCTURE, "chain", "__part"]
+    own, parts = Window.partitionBy(*part).orderBy("res_num"), Window.partitionBy(*STRUCTURE).orderBy("chain", "__part")
     rows = places(atoms, ["N", "CA", "C", "O", "H"]).filter("N IS NOT NULL AND CA IS NOT NULL AND C IS NOT NULL AND O IS NOT NULL")
-    rows = rows.withColumns({"__c": F.lag("C").over(w), "__o": F.lag("O").over(w), "__chain": F.lag("chain").over(w)})
-    linked = F.coalesce((F.col("__chain") == F.col("chain")) & (V.distance(V.vec("__c"), V.vec("N")) <= LINK), F.lit(False))
-    rows = rows.withColumn("__linked", linked)
+    rows = stash(rows.withColumn("__part", F.floor(F.col("res_num") / STRETCH)), "backbone-places")  # read twice below, and so is what follows
+    last = rows.groupBy(*part).agg(F.max_by(F.struct("C", "O", "chain"), F.coalesce("res_num", F.lit(0))).alias("last"))
+    handed = last.select(*part, F.lag("last").over(parts).alias("__handed"))
+    rows = K.join(rows.withColumn("__before", F.lag(F.struct("C", "O", "chain")).over(own)), handed, part)
+    rows = rows.withColumn("__before", F.coalesce("__before", "__handed")).drop("__handed")
+    linked = F.coalesce((F.col("__before.chain") == F.col("chain")) & (V.distance(V.vec("__before.C"), V.vec("N")) <= LINK), F.lit(False))
+    rows = stash(rows.withColumn("__linked", linked), "backbone-linked")
     step = F.when(F.col("__linked"), 1).otherwise(JUMP)
-    rows = rows.withColumn("at", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    away = V.sub(V.vec("__c"), V.vec("__o"))
+    counts = rows.groupBy(*part).agg(F.sum(step).alias("__sum"))
+    offsets = counts.select(*part, F.coalesce(F.sum("__sum").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
+    rows = K.join(rows.withColumn("__own", F.sum(step).over(own.rowsBetween(Window.unboundedPreceding, 0))), offsets, part)
+    away = V.sub(V.vec("__before.C"), V.vec("__before.O"))
     size = V.norm(away)
     placed = F.when(F.col("__linked") & (size > 0), F.struct(*[(F.col("N")[c] + a / size).alias(c) for c, a in zip("xyz", away)]))
     hydrogen = F.when(F.col("resname") != "PRO", F.coalesce("H", placed))
-    return rows.select(*KEY, "resname", "at", "N", "CA", "C", "O", hydrogen.alias("H"))
+    return rows.select(*KEY, "resname", (F.col("__offset") + F.col("__own")).alias("at"), "N", "CA", "C", "O", hydrogen.alias("H"))
 
 
 def backbone_bonds(rows: DataFrame) -> DataFrame:
@@ -93,9 +106,9 @@ def secondary(atoms: DataFrame) -> DataFrame:
     behind = found.select(*STRUCTURE, (F.col("i") + 1).alias("i"), F.when(F.col("parallel"), F.col("j") + 1).otherwise(F.col("j") - 1).alias("j"), "parallel")
     ladder = found.join(ahead.unionByName(behind).distinct().withColumn("__next", F.lit(True)), [*STRUCTURE, "i", "j", "parallel"], "left")
     flags.append(ladder.select(*STRUCTURE, F.col("i").alias("at"), F.when(F.col("__next"), "E").otherwise("B").alias("flag")))
-    w = Window.partitionBy(*STRUCTURE).orderBy("at")
-    near = lambda k: F.when(F.lead("at", k).over(w) == F.col("at") + k, F.lead("CA", k).over(w)) if k > 0 else F.when(F.lag("at", -k).over(w) == F.col("at") + k, F.lag("CA", -k).over(w))
-    bent = rows.select(*STRUCTURE, "at", "CA", near(-2).alias("__a"), near(2).alias("__b"))
+    # numbers go up by one or by a jump, so none is missing between two that are two apart
+    two_off = lambda k, name: rows.select(*STRUCTURE, (F.col("at") + k).alias("at"), F.col("CA").alias(name))
+    bent = rows.select(*STRUCTURE, "at", "CA").join(two_off(2, "__a"), [*STRUCTURE, "at"]).join(two_off(-2, "__b"), [*STRUCTURE, "at"])
     turned = V.cos_angle(V.vec("__a"), V.vec("CA"), V.vec("__b"))  # 180 degrees less the bend
     flags.append(bent.filter(-turned < F.cos(F.radians(F.lit(70.0)))).select(*STRUCTURE, "at", F.lit("S").alias("flag")))
     all_ = reduce(DataFrame.unionByName, flags).groupBy(*STRUCTURE, "at").agg(F.collect_set("flag").alias("f"))

@@ -3,7 +3,6 @@ triples of numbers are the places of its atoms; every tenth also has a water. Te
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from residuum.functions import lookup
@@ -33,9 +32,14 @@ everything AS (
 atoms AS (SELECT * FROM everything WHERE NOT het)"""
 
 
+def _numbered(t):
+    """Embeddings with their number within the label, from 0; labels are few and may be long, so stretches of ids are numbered alone."""
+    return W.line_numbers(t("embeddings"), ["label"], "vec_id", "rn", 20_000).withColumn("rn", (F.col("rn") - 1).cast("int"))
+
+
 def _everything(t):
     """Atoms of all files, water included."""
-    rows = t("embeddings").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    rows = _numbered(t)
     row, at = F.col("rn"), lambda k, n: F.get("embedding", k).cast("double") * 8 + n
     shift = (3 * (row % 8), 3 * (F.floor(row / 8) % 8), 3 * F.floor(row / 64))
 
@@ -268,7 +272,7 @@ def _folded_sql(a, k):
 
 def _folded(t):
     """Atoms of files whose chains are helices or strands; helices and every fifth residue have no H."""
-    rows = t("embeddings").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    rows = _numbered(t)
     rn, even = F.col("rn"), F.col("label") % 2 == 0
     forth, side = F.floor(rn / 12) % 2 == 0, F.when(rn % 2 == 0, 1.0).otherwise(-1.0)
     out = []

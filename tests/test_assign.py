@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from residuum.operators import assign, residue
+from residuum.plans import structures
 from residuum.plans.structures import _HELIX
 
 ROW = "file_id string, model int, chain string, res_num int, resname string, atom_name string, element string, x double, y double, z double, pos int"
@@ -68,3 +69,22 @@ def test_assignment_feeds_the_features(spark):
     got = residue.accessible(assign.assigned(table(spark, helix(12)))).orderBy("res_num").collect()
     assert [r.H_SS for r in got] == [0, *[1] * 10, 0] and all(0 < r.rel_asa < 3 and r.ABS_ASA > 0 for r in got)
     assert assign.assigned(table(spark, helix(12)).withColumn("extra", F.lit(1))).columns == [*residue.KEY, "resname", "ss", "rel_asa"]
+
+
+def test_long_chains_are_counted_in_stretches(spark, monkeypatch):
+    # a chain of one stretch and more, a break at a border and one within, a second chain, a missing number, a negative one
+    rows = [r for r in helix(40, first=-7) if r[3] != 11] + helix(9, first=40, shift=60.0) + helix(6, first=51, shift=90.0) + helix(12, chain="B", shift=-60.0)
+    whole = assign.backbone(table(spark, rows)).orderBy("chain", "res_num").collect()
+    assert [r["at"] for r in whole][:20] == [*range(10, 28), 37, 38] and len(whole) == 66
+    for stretch in (1, 3):
+        monkeypatch.setattr(assign, "STRETCH", stretch)
+        assert assign.backbone(table(spark, rows)).orderBy("chain", "res_num").collect() == whole
+
+
+def test_no_window_takes_a_whole_file(spark):
+    t = spark.range(4000).selectExpr("id AS vec_id", "transform(sequence(0, 63), k -> CAST(0.1 AS FLOAT)) AS embedding", "CAST(id % 3 AS INT) AS label")
+    for df in (structures._folded(lambda _: t), structures._everything(lambda _: t)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # rows with vectors go by label and stretch; counts alone go by label
+        assert "row_number() windowspecdefinition(label#" in plan
+        assert all("__block" in line for line in plan.splitlines() if "row_number()" in line)
