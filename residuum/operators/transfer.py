@@ -67,7 +67,7 @@ def with_context(df: DataFrame, keys: Sequence[str], number: str, name: str, spe
 def add_baseline(df: DataFrame, coil: DataFrame, name: str, value: str = "coil") -> DataFrame:
     """Joins the lookup ``context, resname, atom, value`` on context, name and atom; unknown ones stay null."""
     table = coil.select("context", F.col("resname").alias(name), "atom", F.col("value").alias(value))
-    return df.join(table, ["context", name, "atom"], "left")
+    return df.join(F.broadcast(table), ["context", name, "atom"], "left")  # as many rows as there are names and atoms, whatever the size of df
 
 
 def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: Column, cap: Column | float | None = None, name: str = "value") -> DataFrame:
@@ -109,7 +109,8 @@ def transfer_labels(alignment: DataFrame, labels: DataFrame, similarity: DataFra
         following = F.first(F.when(F.col("target_res") != "-", F.col("target_res")), ignorenulls=True).over(later)
         numbered = numbered.withColumn("context", F.when(following == special, "pro").otherwise("ala"))
     paired = numbered.filter("source_res <> '-' AND target_res <> '-'")
-    scored = paired.join(similarity.select(F.col("a").alias("source_res"), F.col("b").alias("target_res"), "score"), ["source_res", "target_res"], "left")
+    # pairs of letters are few; without the hint the exploded rows are taken for the smaller side, since the filter below makes the join an inner one
+    scored = paired.join(F.broadcast(similarity.select(F.col("a").alias("source_res"), F.col("b").alias("target_res"), "score")), ["source_res", "target_res"], "left")
     allowed = scored.filter(F.coalesce(transferable(strict, F.col("source_res") == F.col("target_res"), F.col("score")), F.lit(False)))
     # labels may be made by an explode, whose rows the planner doesn't see: never a broadcast
     found = allowed.hint("merge").join(labels.withColumnRenamed("ordinal", "target_no").hint("merge"), ["target", "target_no"])

@@ -420,3 +420,14 @@ def test_exploded_rows_are_not_broadcast(spark):
     same = spark.createDataFrame([("A", "A", 1.0)], "a string, b string, score double")
     found = transfer.transfer_labels(rows, labels_, same)
     assert found.count() == 1 and "SortMergeJoin [target" in plan(found)
+
+
+def test_pairs_of_letters_are_the_side_that_is_broadcast(spark):
+    rows = spark.range(50).select(F.lit("q").alias("query"), F.col("id").cast("string").alias("target"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("pos"), F.lit("A").alias("source_res"), F.lit("P").alias("target_res"))
+    labels_ = spark.range(50).select(F.col("id").cast("string").alias("target"), F.lit(1).cast("long").alias("ordinal"), F.lit("CA").alias("atom"), F.lit(1.0).alias("value"))
+    similar = spark.createDataFrame([("A", "P", 1.0), ("P", "A", -1.0)], "a string, b string, score double")
+    coil = spark.createDataFrame([("pro", "CA", "P", 0.25)], "context string, atom string, resname string, value double")
+    found = transfer.transfer_labels(rows, labels_, similar, 1, coil)
+    assert [r.value for r in found.collect()] == [0.75] * 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BuildRight") >= 2 and "BuildLeft" not in plan
